@@ -1,0 +1,83 @@
+"""Language-model clients as a protocol over tables: requests in, responses out.
+
+No client here calls a network.  Responses are keyed by the request's text, since the order in which
+tasks ask is not defined; routing, failover and counting are joins and Column expressions.
+"""
+
+from __future__ import annotations
+
+from typing import Protocol
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .functions.text import is_empty_payload, is_yes, profile, route
+
+
+class Client(Protocol):
+    """Adds ``response`` (null: failed) to rows with ``request``."""
+
+    def complete(self, requests: DataFrame) -> DataFrame: ...
+
+
+class ScriptedClient:
+    """Answers from a table ``(request, response)``; requests that it lacks fail."""
+
+    def __init__(self, answers: DataFrame) -> None:
+        self.answers = answers.dropDuplicates(["request"]).select("request", "response")
+
+    def complete(self, requests: DataFrame) -> DataFrame:
+        return requests.join(self.answers, "request", "left")
+
+
+class FallbackClient:
+    """The second client's answer where the first fails or gives an empty one."""
+
+    def __init__(self, first: Client, second: Client) -> None:
+        self.first, self.second = first, second
+
+    def complete(self, requests: DataFrame) -> DataFrame:
+        a = self.first.complete(requests).withColumnRenamed("response", "first_")
+        b = self.second.complete(a).withColumnRenamed("response", "second_")
+        use_first = ~is_empty_payload(F.col("first_"))
+        out = b.withColumn("response", F.when(use_first, F.col("first_")).otherwise(F.coalesce("second_", "first_")))
+        return out.withColumn("backend_used", F.when(use_first, "first").otherwise("second")).drop("first_", "second_")
+
+
+class RouterClient:
+    """Short, plain texts go to the light client, others to the deep one; each stands in for the other."""
+
+    def __init__(self, light: Client, deep: Client) -> None:
+        self.light, self.deep = light, deep
+
+    def complete(self, requests: DataFrame) -> DataFrame:
+        base = requests.withColumn("arm", route(profile(F.col("request"))["score"]))
+        a = self.light.complete(base).withColumnRenamed("response", "light_")
+        b = self.deep.complete(a).withColumnRenamed("response", "deep_")
+        own = F.when(F.col("arm") == "deep", F.col("deep_")).otherwise(F.col("light_"))
+        other = F.when(F.col("arm") == "deep", F.col("light_")).otherwise(F.col("deep_"))
+        other_arm = F.when(F.col("arm") == "deep", "light").otherwise("deep")
+        failover = is_empty_payload(own)
+        out = b.withColumn("response", F.when(failover, F.coalesce(other, own)).otherwise(own))
+        return out.withColumn("backend_used", F.when(failover, other_arm).otherwise(F.col("arm"))).drop("light_", "deep_")
+
+
+def judge(answers: DataFrame) -> DataFrame:
+    """Add ``verdict``: whether a judge's response says yes."""
+    return answers.withColumn("verdict", is_yes(F.col("response")))
+
+
+def counters(answered: DataFrame) -> DataFrame:
+    """How often each backend was used, and how often in place of another."""
+    moved = F.col("backend_used") != F.col("arm") if "arm" in answered.columns else F.col("backend_used") == "second"
+    return answered.groupBy("backend_used").agg(F.count("*").alias("completions"), F.sum(moved.cast("long")).alias("failovers"))
+
+
+def backoff_ms(attempt: int, base: float = 500.0, most: float = 30_000.0) -> float:
+    """Wait before an attempt: doubles up to ten times, bounded."""
+    return min(base * 2 ** min(attempt, 10), most)
+
+
+def effective_max_tokens(asked: int) -> int:
+    """What to ask of a model that thinks aloud: eight times as much, from 4096 to 16384."""
+    return max(4096, min(8 * asked, 16_384))
