@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,12 +11,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-#: Distinct space-separated chunks whose pre-tokens a Python worker remembers; then it starts anew.
-REMEMBERED = 400_000
+#: Marks that are pre-tokens of their own behind a word, alone at its end.
+MARKS = frozenset(".,;:!?")
 #: Where these stand, splitting a text at spaces could change its pre-tokens.
 _UNSAFE = re.compile(r"\s \s|\s{3}|\s\Z")
 
 
+def plain(text: str) -> bool:
+    """Whether all characters come before U+0530, where letters are the same in all versions of Unicode."""
+    return text.isascii() or max(text) < "\u0530"
+
+
 def load(path: str):
     """A tokenizer of the tokenizers library, without truncation or padding, on one thread."""
     import os
@@ -35,13 +39,13 @@ class PreTokens:
     """The pre-tokens of texts for a byte-level tokenizer whose pre-tokens may start with one space.
 
     Such a tokenizer never joins a space to what stands before it, so between a character that is no
-    white space and a space a text can be cut; the chunks repeat a lot and are remembered.  Texts
-    with longer runs of white space take the library's own pre-tokenizer as a whole.  Added tokens
-    are cut out first, as the library does, and are pre-tokens of their own.
+    white space and a space a text can be cut; the chunks repeat a lot and are split once for each
+    block of documents.  Texts with longer runs of white space take the library's own pre-tokenizer as
+    a whole.  Added tokens are cut out first, as the library does, and are pre-tokens of their own.
     """
 
-    def __init__(self, tokenizer, remembered: int = REMEMBERED) -> None:
-        self.tokenizer, self.remembered, self.known = tokenizer, remembered, {}
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer = tokenizer
         added = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in tokenizer.get_added_tokens_decoder().values()) or tokenizer.normalizer is not None:
             raise ValueError("only plain added tokens and no normaliser are supported")
@@ -57,22 +61,51 @@ class PreTokens:
                 out += [part[i:j] for _, (i, j) in self.tokenizer.pre_tokenizer.pre_tokenize_str(part)]
         return out
 
-    def count(self, text: str) -> Counter:
-        """How often each pre-token occurs in the whole text."""
-        if _UNSAFE.search(text):
-            return Counter(self.split(text))
-        first, *rest = text.split(" ")
-        out = Counter(self.split(first))
-        if len(self.known) > self.remembered:
-            self.known.clear()
-        known = self.known
-        for chunk, n in Counter(rest).items():
-            pieces = known.get(chunk)
-            if pieces is None:
-                pieces = known[chunk] = self.split(" " + chunk)
-            for p in pieces:
-                out[p] += n
-        return out
+    def split_chunk(self, chunk: str) -> list[str]:
+        """``split`` of a chunk behind a space, without the library for plain words and words with a mark."""
+        if chunk.isalpha() and plain(chunk):
+            return [" " + chunk]
+        if len(chunk) > 1 and chunk[-1] in MARKS and chunk[:-1].isalpha() and plain(chunk):
+            return [" " + chunk[:-1], chunk[-1]]
+        return self.split(" " + chunk)
+
+    def block(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Pre-tokens of whole texts: the distinct ones, and (code, text, count) sorted by code and text."""
+        names: dict[str, int] = {}
+        code_of = lambda p: names.setdefault(p, len(names))
+        flat: list[int] = []
+        sizes: list[int] = []
+        split_chunk = self.split_chunk
+
+        class Chunks(dict):
+            def __missing__(self, chunk: str) -> int:
+                codes = [code_of(p) for p in split_chunk(chunk)]
+                flat.extend(codes)
+                sizes.append(len(codes))
+                self[chunk] = len(sizes) - 1
+                return len(sizes) - 1
+
+        chunks = Chunks()
+        code, doc, at, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for d, text in enumerate(texts):
+            if _UNSAFE.search(text):
+                head, rest = text, []
+            else:
+                head, *rest = text.split(" ")
+            own = [code_of(p) for p in self.split(head)]
+            code.append(np.array(own, np.int64))
+            doc.append(np.full(len(own), d, np.int64))
+            if rest:
+                at.append(np.fromiter(map(chunks.__getitem__, rest), np.int64, len(rest)))
+                of.append(np.full(len(rest), d, np.int64))
+        at, of, lengths = np.concatenate(at), np.concatenate(of), np.array(sizes, np.int64)
+        n = lengths[at]
+        first = (np.cumsum(lengths) - lengths)[at]
+        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        code.append(np.array(flat, np.int64)[np.repeat(first, n) + inside])
+        doc.append(np.repeat(of, n))
+        keys, counts = np.unique(np.concatenate(code) * max(1, len(texts)) + np.concatenate(doc), return_counts=True)
+        return list(names), keys // max(1, len(texts)), keys % max(1, len(texts)), counts
 
 
 def pre_token_frequencies(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -94,15 +127,9 @@ def pre_token_frequencies(docs: DataFrame, path: str, text: str = "text", key: s
         task = TaskContext.get().partitionId()
         for number, batch in enumerate(batches):
             block = f"{task}-{number}"
-            names: dict[str, int] = {}
-            codes, docs_at, times, sizes = [], [], [], []
-            for d, t in enumerate(batch.column(1).to_pylist()):
-                t = t or ""
-                sizes.append(len(t.encode("utf-8", "surrogatepass")))
-                found = pre.count(t)
-                codes.append(np.fromiter((names.setdefault(p, len(names)) for p in found), np.int64, len(found)))
-                times.append(np.fromiter(found.values(), np.int32, len(found)))
-                docs_at.append(np.full(len(found), d, np.int32))
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
+            names, code, at, times = pre.block(texts)
             n = batch.num_rows
             ids = batch.column(0)
             empty = pa.array([None] * n, pa.list_(pa.int32()))
@@ -113,32 +140,67 @@ def pre_token_frequencies(docs: DataFrame, path: str, text: str = "text", key: s
             )
             if not names:
                 continue
-            code, at, times = np.concatenate(codes), np.concatenate(docs_at), np.concatenate(times)
-            order = np.argsort(code, kind="stable")
             edges = np.concatenate(([0], np.cumsum(np.bincount(code, minlength=len(names))))).astype(np.int32)
-            words = pa.array(list(names), pa.string())
+            words = pa.array(names, pa.string())
             m = len(names)
             yield pa.RecordBatch.from_arrays(
-                [words, words, pa.array([block] * m, pa.string()), pa.ListArray.from_arrays(edges, at[order]), pa.ListArray.from_arrays(edges, times[order]), pa.nulls(m, pa.int32()), pa.nulls(m, ids.type), pa.nulls(m, pa.int64())],
+                [words, words, pa.array([block] * m, pa.string()), pa.ListArray.from_arrays(edges, at.astype(np.int32)), pa.ListArray.from_arrays(edges, times.astype(np.int32)), pa.nulls(m, pa.int32()), pa.nulls(m, ids.type), pa.nulls(m, pa.int64())],
                 names=["at", "pre_token", "block", "ords", "counts", "ord", "id", "n_bytes"],
             )
 
     return docs.select(key, F.col(text).alias("the_text")).mapInArrow(run, schema)
 
 
-def count_pieces(pre_tokens: DataFrame, path: str) -> DataFrame:
-    """``(pre_token, pieces)`` for a table of distinct pre-tokens."""
+class Pieces:
+    """How many pieces the library makes of a pre-token.
+
+    Plain words behind a space are encoded many at a time, as one text, and told apart by their
+    length in bytes; a space always starts a new pre-token, so they encode as they do alone.
+    """
+
+    def __init__(self, tokenizer) -> None:
+        self.tokenizer = tokenizer
+        vocab = tokenizer.get_vocab(with_added_tokens=False)
+        self.bytes_of = np.zeros(max(tokenizer.get_vocab(True).values()) + 1, np.int64)
+        self.bytes_of[np.fromiter(vocab.values(), np.int64, len(vocab))] = np.fromiter(map(len, vocab), np.int64, len(vocab))
+
+    def alone(self, words: list[str]) -> list[int]:
+        return [len(e) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def together(self, words: list[str]) -> list[int]:
+        if not words:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.cumsum(self.bytes_of[ids])
+        wanted = np.cumsum([len(w.encode()) for w in words])
+        cut = np.searchsorted(ends, wanted) + 1
+        if cut[-1] != len(ids) or (ends[cut - 1] != wanted).any():  # never seen; counted one by one
+            return self.alone(words)
+        return np.diff(cut, prepend=0).tolist()
+
+    def count(self, words: list[str]) -> list[int]:
+        joint = [len(w) > 1 and w[0] == " " and w[1:].isalpha() and plain(w) for w in words]
+        rest = iter(self.alone([w for w, j in zip(words, joint, strict=True) if not j]))
+        many = iter(self.together([w for w, j in zip(words, joint, strict=True) if j]))
+        return [next(many if j else rest) for j in joint]
+
+
+def count_pieces(frequencies: DataFrame, path: str) -> DataFrame:
+    """``(at, pieces)`` for the distinct pre-tokens of a table that is partitioned by them.
+
+    All rows of a pre-token are in one task, which counts it once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(path)
-        lengths = None
-        for batch in batches:
-            words = batch.column(0).to_pylist()
-            found = tokenizer.encode_batch_fast(words, add_special_tokens=False)
-            lengths = pa.array([len(e) for e in found], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), lengths], names=["pre_token", "pieces"])
+        pieces = Pieces(load(path))
+        last = None
+        for batch in batches:  # sorted: equal pre-tokens follow each other
+            words = [w for w in batch.column("pre_token").dictionary_encode().dictionary.to_pylist() if w != last and w is not None]
+            if words:
+                last = words[-1]
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(pieces.count(words), pa.int32())], names=["at", "pieces"])
 
-    return pre_tokens.select("pre_token").mapInArrow(run, "pre_token string, pieces int")
+    return frequencies.sortWithinPartitions("at").mapInArrow(run, "at string, pieces int")
 
 
 def token_counts(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", limit: int = 512) -> DataFrame:
@@ -152,38 +214,44 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", key: str = "doc
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # one shuffle serves both sides of the join, so nothing may be filtered or pruned before it
     frequencies = pre_token_frequencies(docs, path, text, key).repartition(n, "at")
-    pieces = count_pieces(frequencies.where("pre_token is not null").select("pre_token").distinct(), path)
-    joined = frequencies.where("pre_token is not null").join(pieces, "pre_token")
+    pieces = count_pieces(frequencies, path).withColumnRenamed("at", "piece_at")
+    joined = frequencies.join(pieces, (F.col("at") == F.col("piece_at")) & F.col("pre_token").isNotNull(), "left")
+    kind = docs.schema[key].dataType.simpleString()
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums of a batch by document, added over the task: one row for each document and task."""
+        """Sums by document over the task: one row for each document and task, beside the documents' own rows."""
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            ords, counts = batch.column(1), batch.column(2)
+            own = batch.filter(batch.column("ord").is_valid())
+            if own.num_rows:
+                yield pa.RecordBatch.from_arrays([own.column("block"), own.column("ord"), pa.array(np.zeros(own.num_rows, np.int64)), own.column("id"), own.column("n_bytes")], names=names)
+            rows = batch.filter(batch.column("ord").is_null())
+            if not rows.num_rows:
+                continue
+            ords, counts = rows.column("ords"), rows.column("counts")
             lengths = np.diff(ords.offsets.to_numpy())
-            worth = np.repeat(batch.column(3).to_numpy().astype(np.int64), lengths) * counts.flatten().to_numpy()
-            blocks = batch.column(0).dictionary_encode()
-            at = np.repeat(blocks.indices.to_numpy().astype(np.int64), lengths) << 32 | ords.flatten().to_numpy()
-            docs_at, inverse = np.unique(at, return_inverse=True)
-            sums = np.bincount(inverse, weights=worth, minlength=len(docs_at)).astype(np.int64)
-            names = blocks.dictionary.to_pylist()
-            starts = np.searchsorted(docs_at, np.arange(len(names) + 1) << 32)
-            for i, name in enumerate(names):
-                s = slice(starts[i], starts[i + 1])
-                where = (docs_at[s] & 0xFFFFFFFF).astype(np.int64)
+            worth = np.repeat(rows.column("pieces").to_numpy().astype(np.int64), lengths) * counts.flatten().to_numpy()
+            blocks = rows.column("block").dictionary_encode()
+            block_of, ord_of = np.repeat(blocks.indices.to_numpy(), lengths), ords.flatten().to_numpy()
+            for i, name in enumerate(blocks.dictionary.to_pylist()):
+                here = block_of == i if len(blocks.dictionary) > 1 else slice(None)
+                sums = np.bincount(ord_of[here], weights=worth[here]).astype(np.int64)
                 old = total.get(name)
-                size = int(where[-1]) + 1
-                if old is None or len(old) < size:
-                    old = np.concatenate((old if old is not None else np.zeros(0, np.int64), np.zeros(size - (0 if old is None else len(old)), np.int64)))
-                    total[name] = old
-                old[where] += sums[s]
+                if old is None or len(old) < len(sums):
+                    total[name], old = sums, old if old is not None else sums[:0]
+                    total[name][: len(old)] += old
+                else:
+                    old[: len(sums)] += sums
         for name, sums in total.items():
             where = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(where), pa.string()), pa.array(where.astype(np.int32)), pa.array(sums[where])], names=["block", "ord", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(where), pa.string()), pa.array(where.astype(np.int32)), pa.array(sums[where]), pa.nulls(len(where), id_type[0]), pa.nulls(len(where), pa.int64())], names=names)
+
+    names = ["block", "ord", "n", "id", "n_bytes"]
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    partial = joined.select("block", "ords", "counts", "pieces").mapInArrow(add_up, "block string, ord int, n long")
-    rows = frequencies.where("pre_token is null").select("block", "ord", F.lit(0).cast("long").alias("n"), "id", "n_bytes", F.lit(True).alias("doc"))
-    empty = partial.select("block", "ord", "n", F.lit(None).cast(docs.schema[key].dataType).alias("id"), F.lit(None).cast("long").alias("n_bytes"), F.lit(None).cast("boolean").alias("doc"))
-    total = rows.unionByName(empty).groupBy("block", "ord").agg(F.sum("n").alias("n_tokens"), F.max("id").alias("id"), F.max("n_bytes").alias("n_bytes"))
+    id_type = [to_arrow_type(docs.schema[key].dataType)]
+    partial = joined.select("block", "ords", "counts", "ord", "id", "n_bytes", "pieces").mapInArrow(add_up, f"block string, ord int, n long, id {kind}, n_bytes long")
+    total = partial.groupBy("block", "ord").agg(F.sum("n").alias("n_tokens"), F.max("id").alias("id"), F.max("n_bytes").alias("n_bytes"))
     return total.select(F.col("id").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
