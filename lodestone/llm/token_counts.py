@@ -86,69 +86,78 @@ class PreTokens:
                 return len(sizes) - 1
 
         chunks = Chunks()
-        code, doc, at, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for d, text in enumerate(texts):
-            if _UNSAFE.search(text):
-                head, rest = text, []
-            else:
-                head, *rest = text.split(" ")
-            own = [code_of(p) for p in self.split(head)]
-            code.append(np.array(own, np.int64))
-            doc.append(np.full(len(own), d, np.int64))
-            if rest:
-                at.append(np.fromiter(map(chunks.__getitem__, rest), np.int64, len(rest)))
-                of.append(np.full(len(rest), d, np.int64))
-        at, of, lengths = np.concatenate(at), np.concatenate(of), np.array(sizes, np.int64)
-        n = lengths[at]
-        first = (np.cumsum(lengths) - lengths)[at]
-        inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        code.append(np.array(flat, np.int64)[np.repeat(first, n) + inside])
-        doc.append(np.repeat(of, n))
-        keys, counts = np.unique(np.concatenate(code) * max(1, len(texts)) + np.concatenate(doc), return_counts=True)
-        return list(names), keys // max(1, len(texts)), keys % max(1, len(texts)), counts
+        out = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64))]
+        for start in range(0, len(texts), SLICE):  # a slice has texts of its own, so counts never meet again
+            code, doc, at, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for d, text in enumerate(texts[start : start + SLICE]):
+                head, *rest = [text] if _UNSAFE.search(text) else text.split(" ")
+                own = [code_of(p) for p in self.split(head)]
+                code.append(np.array(own, np.int64))
+                doc.append(np.full(len(own), d, np.int64))
+                if rest:
+                    at.append(np.fromiter(map(chunks.__getitem__, rest), np.int64, len(rest)))
+                    of.append(np.full(len(rest), d, np.int64))
+            at, of, lengths = np.concatenate(at), np.concatenate(of), np.array(sizes, np.int64)
+            n = lengths[at]
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            code.append(np.array(flat, np.int64)[np.repeat((np.cumsum(lengths) - lengths)[at], n) + inside])
+            doc.append(np.repeat(of, n))
+            keys, counts = np.unique(np.concatenate(code) * SLICE + np.concatenate(doc), return_counts=True)
+            out.append(((keys // SLICE).astype(np.int32), (keys % SLICE + start).astype(np.int32), counts))
+        code, doc, counts = (np.concatenate(x) for x in zip(*out, strict=True))
+        order = np.argsort(code, kind="stable")
+        return list(names), code[order], doc[order], counts[order]
+
+
+#: Texts whose chunks are expanded at a time.
+SLICE = 1024
+#: Documents in a block at most, as places in it are written in two bytes.
+BLOCK = 1 << 16
 
 
 def pre_token_frequencies(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Pre-token frequencies of every document, grouped by block.
 
-    A block is the documents of one Arrow batch of one task.  Two kinds of rows come out: for every
-    distinct pre-token of a block ``(pre_token, block, ords, counts)``, the positions of the block's
-    documents that hold it and how often; and for every document ``(null, block, ord, key, n_bytes)``,
-    under the key ``block:ord`` so that these spread as well.  Rows of a frequent pre-token number no
-    more than the blocks, so no key is hot.
+    A block is the documents of one Arrow batch of one task.  Rows are ``(at, block, postings)`` for
+    every distinct pre-token ``at`` of a block; the postings are the places of the documents that hold
+    it (two bytes each), then how often (one byte each; a document with more than 255 comes several
+    times).  One more row for each block, without postings, has its documents' ``ids`` and ``sizes`` in
+    bytes.  A frequent pre-token has no more rows than there are blocks, so no key is hot.
     """
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"at string, pre_token string, block string, ords array<int>, counts array<int>, ord int, id {kind}, n_bytes long"
+    names = ["at", "block", "postings", "ids", "sizes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         pre = PreTokens(load(path))
-        task = TaskContext.get().partitionId()
-        for number, batch in enumerate(batches):
-            block = f"{task}-{number}"
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            sizes = [len(t.encode("utf-8", "surrogatepass")) for t in texts]
-            names, code, at, times = pre.block(texts)
-            n = batch.num_rows
-            ids = batch.column(0)
-            empty = pa.array([None] * n, pa.list_(pa.int32()))
-            order_key = pa.array([f"{block}:{d}" for d in range(n)], pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [order_key, pa.nulls(n, pa.string()), pa.array([block] * n, pa.string()), empty, empty, pa.array(np.arange(n, dtype=np.int32)), ids, pa.array(sizes, pa.int64())],
-                names=["at", "pre_token", "block", "ords", "counts", "ord", "id", "n_bytes"],
-            )
-            if not names:
-                continue
-            edges = np.concatenate(([0], np.cumsum(np.bincount(code, minlength=len(names))))).astype(np.int32)
-            words = pa.array(names, pa.string())
-            m = len(names)
-            yield pa.RecordBatch.from_arrays(
-                [words, words, pa.array([block] * m, pa.string()), pa.ListArray.from_arrays(edges, at.astype(np.int32)), pa.ListArray.from_arrays(edges, times.astype(np.int32)), pa.nulls(m, pa.int32()), pa.nulls(m, ids.type), pa.nulls(m, pa.int64())],
-                names=["at", "pre_token", "block", "ords", "counts", "ord", "id", "n_bytes"],
-            )
-
-    return docs.select(key, F.col(text).alias("the_text")).mapInArrow(run, schema)
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(start, BLOCK)
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                ids, n = part.column(0), part.num_rows
+                whole = pa.array([0, n], pa.int32())
+                sizes = pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([str(number)]), pa.array([number], pa.int64()), pa.nulls(1, pa.binary()), pa.ListArray.from_arrays(whole, ids), pa.ListArray.from_arrays(whole, sizes)], names=names)
+                words, code, doc, times = pre.block(texts)
+                many = -(-times // 255)
+                if many.sum() > len(many):
+                    last = np.cumsum(many) - 1
+                    code, doc = np.repeat(code, many), np.repeat(doc, many)
+                    spread = np.full(len(code), 255, np.int64)
+                    spread[last] = times - 255 * (many - 1)
+                    times = spread
+                edges = np.concatenate(([0], np.cumsum(np.bincount(code, minlength=len(words))))).tolist()
+                places, counts = doc.astype("<u2").tobytes(), times.astype(np.uint8).tobytes()
+                for i in range(0, len(words), 50_000):
+                    some = range(i, min(i + 50_000, len(words)))
+                    postings = [places[2 * edges[j] : 2 * edges[j + 1]] + counts[edges[j] : edges[j + 1]] for j in some]
+                    m = len(some)
+                    yield pa.RecordBatch.from_arrays([pa.array(words[i : i + m], pa.string()), pa.array(np.full(m, number)), pa.array(postings, pa.binary()), pa.nulls(m, pa.list_(ids.type)), pa.nulls(m, pa.list_(pa.int64()))], names=names)
+                number += 1
+
+    return docs.select(key, F.col(text).alias("the_text")).mapInArrow(run, f"at string, block long, postings binary, ids array<{kind}>, sizes array<long>")
 
 
 class Pieces:
@@ -195,7 +204,8 @@ def count_pieces(frequencies: DataFrame, path: str) -> DataFrame:
         pieces = Pieces(load(path))
         last = None
         for batch in batches:  # sorted: equal pre-tokens follow each other
-            words = [w for w in batch.column("pre_token").dictionary_encode().dictionary.to_pylist() if w != last and w is not None]
+            own = batch.column("at").filter(batch.column("postings").is_valid())
+            words = [w for w in own.dictionary_encode().dictionary.to_pylist() if w != last]
             if words:
                 last = words[-1]
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(pieces.count(words), pa.int32())], names=["at", "pieces"])
@@ -212,46 +222,61 @@ def token_counts(docs: DataFrame, path: str, text: str = "text", key: str = "doc
     count alone: repeated rows and null keys come out as often as they came in.  An empty table gives
     an empty result.  Only ``key`` and ``text`` are read, so other columns cannot clash.
     """
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # one shuffle serves both sides of the join, so nothing may be filtered or pruned before it
     frequencies = pre_token_frequencies(docs, path, text, key).repartition(n, "at")
     pieces = count_pieces(frequencies, path).withColumnRenamed("at", "piece_at")
-    joined = frequencies.join(pieces, (F.col("at") == F.col("piece_at")) & F.col("pre_token").isNotNull(), "left")
+    joined = frequencies.join(pieces, (F.col("at") == F.col("piece_at")) & F.col("postings").isNotNull(), "left")
     kind = docs.schema[key].dataType.simpleString()
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums by document over the task: one row for each document and task, beside the documents' own rows."""
-        total: dict[str, np.ndarray] = {}
+        """Sums by document over the task: one row for each block and task, beside the blocks' own rows."""
+        total: dict[int, np.ndarray] = {}
+        names = ["block", "sums", "ids", "sizes"]
         for batch in batches:
-            own = batch.filter(batch.column("ord").is_valid())
+            own = batch.filter(batch.column("postings").is_null())
             if own.num_rows:
-                yield pa.RecordBatch.from_arrays([own.column("block"), own.column("ord"), pa.array(np.zeros(own.num_rows, np.int64)), own.column("id"), own.column("n_bytes")], names=names)
-            rows = batch.filter(batch.column("ord").is_null())
-            if not rows.num_rows:
-                continue
-            ords, counts = rows.column("ords"), rows.column("counts")
-            lengths = np.diff(ords.offsets.to_numpy())
-            worth = np.repeat(rows.column("pieces").to_numpy().astype(np.int64), lengths) * counts.flatten().to_numpy()
-            blocks = rows.column("block").dictionary_encode()
-            block_of, ord_of = np.repeat(blocks.indices.to_numpy(), lengths), ords.flatten().to_numpy()
-            for i, name in enumerate(blocks.dictionary.to_pylist()):
-                here = block_of == i if len(blocks.dictionary) > 1 else slice(None)
-                sums = np.bincount(ord_of[here], weights=worth[here]).astype(np.int64)
-                old = total.get(name)
-                if old is None or len(old) < len(sums):
-                    total[name], old = sums, old if old is not None else sums[:0]
-                    total[name][: len(old)] += old
-                else:
-                    old[: len(sums)] += sums
-        for name, sums in total.items():
-            where = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(where), pa.string()), pa.array(where.astype(np.int32)), pa.array(sums[where]), pa.nulls(len(where), id_type[0]), pa.nulls(len(where), pa.int64())], names=names)
-
-    names = ["block", "ord", "n", "id", "n_bytes"]
+                yield pa.RecordBatch.from_arrays([own.column("block"), pa.nulls(own.num_rows, pa.list_(pa.int64())), own.column("ids"), own.column("sizes")], names=names)
+            rows = batch.filter(batch.column("postings").is_valid())
+            blocks, pieces_of = rows.column("block").to_numpy(), rows.column("pieces").to_numpy(zero_copy_only=False)
+            raw = rows.column("postings").to_pylist()
+            order = np.argsort(blocks, kind="stable")
+            starts = np.flatnonzero(np.diff(blocks[order], prepend=-1))
+            for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
+                some = order[i:j]
+                lengths = np.array([len(raw[k]) // 3 for k in some])
+                places = np.frombuffer(b"".join(raw[k][: 2 * len(raw[k]) // 3] for k in some), "<u2")
+                counts = np.frombuffer(b"".join(raw[k][2 * len(raw[k]) // 3 :] for k in some), np.uint8)
+                sums = np.bincount(places, weights=counts * np.repeat(pieces_of[some].astype(np.float64), lengths)).astype(np.int64)
+                block = int(blocks[some[0]])
+                total[block] = longer_sum(total.get(block), sums)
+        for block, sums in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sums], pa.list_(pa.int64())), pa.nulls(1, id_list), pa.nulls(1, pa.list_(pa.int64()))], names=names)
+
+    def of_block(table: pa.Table) -> pa.Table:
+        """The documents of a block with the sums of all tasks."""
+        total, ids, sizes = np.zeros(0, np.int64), None, None
+        for i in range(table.num_rows):
+            if (sums := table.column("sums")[i]).is_valid:
+                total = longer_sum(total, sums.values.to_numpy())
+            else:
+                ids, sizes = table.column("ids")[i].values, table.column("sizes")[i].values
+        total = longer_sum(total, np.zeros(len(ids), np.int64))
+        return pa.table({"id": ids, "n_bytes": sizes, "n_tokens": total})
+
     from pyspark.sql.pandas.types import to_arrow_type
 
-    id_type = [to_arrow_type(docs.schema[key].dataType)]
-    partial = joined.select("block", "ords", "counts", "ord", "id", "n_bytes", "pieces").mapInArrow(add_up, f"block string, ord int, n long, id {kind}, n_bytes long")
-    total = partial.groupBy("block", "ord").agg(F.sum("n").alias("n_tokens"), F.max("id").alias("id"), F.max("n_bytes").alias("n_bytes"))
+    id_list = pa.list_(to_arrow_type(docs.schema[key].dataType))
+    partial = joined.select("block", "postings", "ids", "sizes", "pieces").mapInArrow(add_up, f"block long, sums array<long>, ids array<{kind}>, sizes array<long>")
+    total = partial.groupBy("block").applyInArrow(of_block, f"id {kind}, n_bytes long, n_tokens long")
     return total.select(F.col("id").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+
+
+def longer_sum(a: np.ndarray | None, b: np.ndarray) -> np.ndarray:
+    """Sum of two arrays, the shorter one filled with zeros."""
+    if a is None:
+        return b
+    a, b = (a, b) if len(a) >= len(b) else (b, a)
+    a = a.copy()
+    a[: len(b)] += b
+    return a
