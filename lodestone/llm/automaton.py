@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Rows of the transition table and remembered words before the table is built anew.
-TABLE_ROWS, REMEMBERED = 400_000, 400_000
+TABLE_ROWS, REMEMBERED = 150_000, 300_000
 
 
 class Automaton:
@@ -40,13 +40,16 @@ class Automaton:
         self.left: dict[int, int] = {}
         self.born: dict[int, int] = {}
         self.labels = {ids[s]: s for s in symbols}
+        never: set[int] = set()
         for k, (a, b) in enumerate(merges):
             u, v, uv = ids[a], ids[b], ids[a + b]
-            if u not in self.target or v not in self.target or uv in self.target:
+            if {u, v} - self.target.keys() - never or uv in self.target:
                 raise ValueError(f"merge {k} uses a token that is not made yet, or makes one twice")
+            # where u v cannot stand side by side, or one of them never comes, the gadget changes nothing
+            if {u, v} & never or not self.has_arc(self.target[u], v):
+                never.add(uv)
+                continue
             old = self.target[u]
-            if not self.has_arc(old, v):  # u v cannot stand side by side: the gadget changes nothing
-                raise ValueError(f"merge {k} can never apply")
             self.target[uv] = self.target[v]
             self.parent.append(old)
             self.lacks.append(v)
@@ -195,7 +198,8 @@ class WordTokenizer:
         self.automaton = Automaton(symbols, merges, self.ids)
         spell: dict[int, tuple[str, ...]] = {self.ids[s]: (s,) for s in symbols}
         for a, b in merges:
-            spell[self.ids[a + b]] = spell[self.ids[a]] + spell[self.ids[b]]
+            if self.ids[a + b] in self.automaton.target:
+                spell[self.ids[a + b]] = spell[self.ids[a]] + spell[self.ids[b]]
         self.encoder = Encoder(self.automaton, spell)
         added = self.library.get_added_tokens_decoder()
         if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
@@ -246,6 +250,11 @@ class WordTokenizer:
                     labels.append(found[1])
         return b"".join(ids), b" ".join(labels)
 
+    def forget(self) -> None:
+        """Give back what was remembered of texts; the compiled automaton stays."""
+        self.words.clear()
+        self.encoder.reset()
+
     def decode(self, ids: bytes) -> bytes:
         """The labels of the arcs, joined by spaces; ids beyond the vocabulary are left out."""
         return " ".join(self.labels[i] for i in np.frombuffer(ids, "<u4").tolist() if i in self.labels).encode()
@@ -282,14 +291,15 @@ def encode_decode(docs, path: str, text: str = "text", carry: list[str] | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = compiled(path)
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
         for batch in batches:
             found = []
             for t in batch.column(batch.num_columns - 1):
                 ids, label = tokenizer.encode(t.as_py() or "")
                 row = [len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(label).hexdigest()]
                 found.append([*row, np.frombuffer(ids, "<u4").astype(np.int32), label.decode("utf-8", "replace")] if outputs else row)
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
             arrays = [pa.array([f[i] for f in found], kinds[i]) for i in range(len(made))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=[*carry, *made])
+        tokenizer.forget()  # Spark uses the worker again, perhaps for something else
 
     return docs.select(*carry, F.col(text).alias("the_text")).mapInArrow(run, schema)
