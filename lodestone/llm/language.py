@@ -16,11 +16,13 @@ from .common import free_name
 UNKNOWN = "und"
 #: The dictionary of a language: whole texts of this many labelled documents, up to this many bytes.
 SAMPLE_DOCS, DICTIONARY_BYTES = 400, 256 * 1024
+#: Languages at most; the driver sees one row and one dictionary for each.
+MAX_LANGUAGES = 1000
 #: Texts are compressed in pieces of this many bytes, so that the dictionary matters all along them.
 PIECE_BYTES = 2048
 #: Least lead of the best language over the next, as a share of the next one's bytes.
 MARGIN = 0.005
-LEVEL = 3
+LEVEL = 6
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -40,11 +42,18 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     """
     order = F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
     rows = docs.where(F.col(lang).isNotNull() & (F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) > 0))
-    rows = rows.select(F.col(lang).cast("string").alias("lang"), F.encode(F.col(text), "UTF-8").alias("raw"), order.alias("o"))
-    rows = rows.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("o", "raw"))).where(F.col("n") <= sample_docs)
-    # a text that would overflow the dictionary is left out, so the bound holds whatever its length
-    so_far = F.sum(F.length("raw")).over(W.partitionBy("lang").orderBy("n"))
-    fits = rows.where(F.length("raw") <= dictionary_bytes // 4).withColumn("so_far", so_far).where(F.col("so_far") <= dictionary_bytes)
+    rows = rows.select(F.col(lang).cast("string").alias("lang"), order.alias("o"), F.encode(F.col(text), "UTF-8").alias("raw"))
+    fits = rows.where(F.length("raw") <= dictionary_bytes // 4)  # so that no text takes most of a dictionary
+    # hashes alone are ranked; texts are read for those that are in
+    rank_of = F.row_number().over(W.partitionBy("lang").orderBy("o"))
+    ends = fits.select("lang", "o").withColumn("n", rank_of).where(F.col("n") <= sample_docs).groupBy("lang").agg(F.max("o").alias("last"))
+    ends = ends.limit(MAX_LANGUAGES + 1).collect()
+    if len(ends) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    last = docs.sparkSession.createDataFrame([(r["lang"], r["last"]) for r in ends], "lang string, last string")
+    chosen = fits.join(F.broadcast(last), "lang").where("o <= last")
+    by = W.partitionBy("lang").orderBy("o", "raw")
+    fits = chosen.withColumn("n", F.row_number().over(by)).where(F.col("n") <= sample_docs).withColumn("so_far", F.sum(F.length("raw")).over(by)).where(F.col("so_far") <= dictionary_bytes)
     learned: dict[str, list[bytes]] = {}
     rank = docs.where(F.col(lang).isNotNull()).groupBy(F.col(lang).cast("string").alias("lang")).count().orderBy(F.desc("count"), "lang")
     for r in fits.orderBy("lang", "n").select("lang", "raw").toLocalIterator():
