@@ -36,7 +36,7 @@ def rendezvous(key: Column, weights: Sequence[float]) -> Column:
     return (-(F.greatest(*scores) if len(scores) > 1 else scores[0])["shard"]).cast("int")
 
 
-def slots(records: DataFrame, shard: str, order: Sequence[str], slot: str = "slot", buckets: int = 64, bucket_of: Column | None = None) -> DataFrame:
+def slots(records: DataFrame, shard: str, order: Sequence[str], slot: str = "slot", buckets: int = 1024, bucket_of: Column | None = None) -> DataFrame:
     """Number the records of every shard from 0 without gaps.
 
     A shard may hold any share of the table, so no task sees a whole shard: records are dealt into
@@ -74,7 +74,7 @@ def assign(docs: DataFrame, weights: Sequence[float], key: str = "doc_id", text:
         rendezvous(F.col(key), weights).alias("shard"),
         (rendezvous(F.col(key), grown) if grown is not None else F.lit(None).cast(T.IntegerType())).alias("grown_shard"),
     )
-    # by an MD5 of the key, so that any SQL engine can recompute the order; the 64 buckets of slots() come from it
+    # by an MD5 of the key, so that any SQL engine can recompute the order; the buckets of slots() come from it
     bucket = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("long")
     return slots(out, "shard", [key, "text_crc32", "size"], bucket_of=bucket)
 
