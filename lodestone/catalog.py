@@ -483,10 +483,10 @@ _ADV = """a AS (SELECT *, avg(l_discount) OVER w AS mu, stddev_pop(l_discount) O
 adv AS (SELECT *, CASE WHEN sd < 1e-9 THEN 0 ELSE (l_discount - mu) / sd END AS advantage FROM a)"""
 
 
-@query(f"WITH {_ADV} SELECT l_orderkey, l_linenumber, round(advantage, 5) AS advantage FROM adv")
+@query(f"WITH {_ADV} SELECT l_orderkey, l_linenumber, round(advantage, 5) + 0.0::DOUBLE AS advantage FROM adv")
 def group_advantage(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_discount")
-    return evaluate.group_advantage(rows, "l_orderkey", "l_discount").select("l_orderkey", "l_linenumber", F.round("advantage", 5).alias("advantage"))
+    return evaluate.group_advantage(rows, "l_orderkey", "l_discount").select("l_orderkey", "l_linenumber", (F.round("advantage", 5) + 0.0).alias("advantage"))
 
 
 @query(f"""WITH {_ADV}, r AS (SELECT l_returnflag, advantage, exp((l_tax - l_discount) * 10) AS ratio FROM adv)
