@@ -85,4 +85,21 @@ def _best(n: int) -> str:
     return "CASE " + " ".join(f"WHEN s{i} = {top} THEN {i}" for i in range(n)) + " END"
 
 
-ORACLE_SQL: dict[str, str] = {}
+_ALL = ", ".join(f"{_score(i)} AS s{i}" for i in range(17))
+
+#: The table of CRC-32 is made from its polynomial, then folded over the bytes of each text.
+SHARDING_SQL = f"""WITH t AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tbl),
+b AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes, {_ALL} FROM documents),
+r AS (SELECT doc_id, (len(bytes) + 1)::BIGINT AS size, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, tbl[(xor(c, x) & 255) + 1])), 4294967295)::BIGINT AS text_crc32,
+  'key' AS law, ({_best(16)})::INT AS shard, ({_best(17)})::INT AS grown_shard, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % 1024 AS bucket FROM b, t)
+SELECT doc_id, size, text_crc32, law, shard, row_number() OVER (PARTITION BY shard ORDER BY bucket, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard FROM r"""
+
+#: Brute force over all pairs; rows that cannot be compared are left out of the links.
+NEAR_VECTORS_SQL = """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY 1), n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON vec_id = c.a LEFT JOIN n ON vec_id = n.a"""
+
+#: Of the other queries, each needs a hash, a tokenizer, compression or alignment that SQL lacks.
+ORACLE_SQL: dict[str, str] = {"op8_sharding": SHARDING_SQL, "op3_embedding_near_dedup": NEAR_VECTORS_SQL}
