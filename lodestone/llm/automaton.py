@@ -27,7 +27,9 @@ from collections.abc import Iterator
 
 import numpy as np
 
-#: Rows of the transition table and remembered words before the table is built anew.
+#: Marks that are words of their own behind a word, alone at its end.
+MARKS = ".,;:!?"
+#: Rows of the transition table, and remembered words and chunks, before they are built anew.
 TABLE_ROWS, REMEMBERED = 150_000, 300_000
 
 
@@ -43,10 +45,10 @@ class Automaton:
         never: set[int] = set()
         for k, (a, b) in enumerate(merges):
             u, v, uv = ids[a], ids[b], ids[a + b]
-            if {u, v} - self.target.keys() - never or uv in self.target:
+            if any(x not in self.target and x not in never for x in (u, v)) or uv in self.target:
                 raise ValueError(f"merge {k} uses a token that is not made yet, or makes one twice")
             # where u v cannot stand side by side, or one of them never comes, the gadget changes nothing
-            if {u, v} & never or not self.has_arc(self.target[u], v):
+            if u in never or v in never or not self.has_arc(self.target[u], v):
                 never.add(uv)
                 continue
             old = self.target[u]
@@ -210,10 +212,25 @@ class WordTokenizer:
         self.joiner = " " if self.library.decoder is None else None
         if self.joiner is None:
             raise ValueError("decoders are not supported: labels are joined by spaces")
-        self.remembered, self.words = remembered, {}
+        self.remembered, self.words, self.chunks = remembered, {}, {}
+
+        latin = "".join(map(chr, range(256)))
+        words = [c for c in latin if c.isalpha()]
+        self.latin = all(self._split(c + "b" + m) == [(c + "b").lower(), m] and self._split(c) == [c.lower()] for c in words for m in MARKS)
+
+    def _split(self, text: str) -> list[str]:
+        """The pre-split words of a stretch of text, by the library."""
+        normal = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
+        return [normal[i:j] for _, (i, j) in self.library.pre_tokenizer.pre_tokenize_str(normal) if j > i]
 
     def word(self, word: str) -> tuple[bytes, bytes]:
         """Ids (little-endian 32-bit) and labels joined by spaces (UTF-8) of one pre-split word."""
+        found = self.words.get(word)
+        if found is None:
+            found = self.words[word] = self._encode(word)
+        return found
+
+    def _encode(self, word: str) -> tuple[bytes, bytes]:
         raw = word.encode("utf-8", "surrogatepass")
         symbols = [self.byte[b] for b in raw]
         if self.end:
@@ -222,9 +239,18 @@ class WordTokenizer:
         return np.array(ids, "<u4").tobytes(), " ".join(self.automaton.labels[i] for i in ids).encode()
 
     def chunk(self, text: str) -> tuple[bytes, bytes]:
-        """As ``word``, for any stretch of raw text without added tokens."""
-        normal = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
-        found = [self.word(normal[i:j]) for _, (i, j) in self.library.pre_tokenizer.pre_tokenize_str(normal) if j > i]
+        """As ``word``, for any stretch of raw text without added tokens or spaces.
+
+        Plain words of Latin letters, alone or with one mark behind, need neither normalising beyond
+        lower case nor splitting beyond the mark.
+        """
+        if self.latin and (text.isascii() or max(text) < "\u0100"):
+            if text.isalpha():
+                return self.word(text.lower())
+            if text[-1] in MARKS and text[:-1].isalpha():
+                a, b = self.word(text[:-1].lower()), self.word(text[-1])
+                return a[0] + b[0], a[1] + b" " + b[1]
+        found = [self.word(w) for w in self._split(text)]
         return b"".join(f[0] for f in found), b" ".join(f[1] for f in found)
 
     def encode(self, text: str) -> tuple[bytes, bytes]:
@@ -236,9 +262,10 @@ class WordTokenizer:
                 labels.append(part.encode())
                 continue
             # no word holds white space, and normalising works on each side of it alone
-            if len(self.words) > self.remembered:
+            if len(self.words) > self.remembered or len(self.chunks) > self.remembered:
                 self.words.clear()
-            words = self.words
+                self.chunks.clear()
+            words = self.chunks
             for piece in part.replace("\n", " ").split(" "):
                 if not piece:
                     continue
@@ -253,6 +280,7 @@ class WordTokenizer:
     def forget(self) -> None:
         """Give back what was remembered of texts; the compiled automaton stays."""
         self.words.clear()
+        self.chunks.clear()
         self.encoder.reset()
 
     def decode(self, ids: bytes) -> bytes:
