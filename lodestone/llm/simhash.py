@@ -115,21 +115,29 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", radius:
     Equal fingerprints are compared once.  Empty input gives an empty result.
     """
     found = materialise(with_fingerprints(docs, text, "fp", [key]), "fingerprints")
+    return found.join(classes(found, key, radius), "fp").select(key, "fp", "component_id")
+
+
+def classes(found: DataFrame, key: str, radius: int) -> DataFrame:
+    """``(fp, root, component_id)`` of each fingerprint of ``found``: its group, and the smallest key there."""
     prints = found.groupBy("fp").agg(F.min(key).alias("least"))
     links = connected_components(tile_links(prints.select("fp"), radius))
     top = prints.join(links.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
     least = top.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = materialise(top.join(least, "root").select("fp", "component_id"), "classes")
-    return found.join(classes, "fp").select(key, "fp", "component_id")
+    return materialise(top.join(least, "root").select("fp", "root", "component_id"), "classes")
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
     """One document of each group stays: that with the smallest key; columns as in ``docs``.
 
-    Of several rows with that key (repeated rows) one stays.
+    Groups are told apart by their fingerprints alone, so rows without a key and different texts
+    under one key stay, one for each group.  Null keys come last; of several texts with the smallest
+    key that with the smallest hash stays, and of rows equal in both (repeated rows) one.
     """
-    c = free_name(docs, "component_id")
-    groups = components(docs, text, key, radius)
-    keepers = groups.groupBy("component_id").agg(F.min(key).alias("k")).select(F.col("k").alias(c)).distinct()
-    kept = docs.join(keepers, docs[key].eqNullSafe(keepers[c]), "left_semi")
-    return kept.dropDuplicates([key])
+    k, h, root = (free_name(docs, c) for c in ("k_", "h_", "root_"))
+    rows = docs.select(F.col(key).alias("k"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    found = materialise(with_fingerprints(rows, "text", "fp", ["k", "h"]), "fingerprints")
+    of_root = found.join(classes(found, "k", radius), "fp").groupBy("root").agg(F.min(F.struct(F.col("k").isNull().alias("none"), "k", "h")).alias("least"))
+    keepers = of_root.select(F.col("least.k").alias(k), F.col("least.h").alias(h), F.col("root").alias(root))
+    kept = docs.join(keepers, docs[key].eqNullSafe(F.col(k)) & (F.xxhash64(docs[text]) == F.col(h)))
+    return kept.dropDuplicates([root]).select(*docs.columns)

@@ -426,6 +426,16 @@ def test_simhash_keeps_one(odd, empty):
     assert simhash.drop_near_duplicates(empty).count() == 0
 
 
+def test_simhash_keeps_one_of_each_group_whatever_its_key(spark):
+    """Rows without a key, and different texts under one key, are documents of their own."""
+    rng = random.Random(12)
+    clean = [sentence(rng, 200) for _ in range(8)]
+    rows = [(None, t) for t in clean[:4]] + [(5, t) for t in clean[4:7]] + [(None, clean[0]), (5, clean[4]), (7, clean[1]), (None, clean[7]), (9, clean[7])]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = {clean[0]: None, clean[1]: 7, clean[2]: None, clean[3]: None, clean[4]: 5, clean[5]: 5, clean[6]: 5, clean[7]: 9}
+    assert {r.text: r.doc_id for r in kept} == want and len(kept) == len(want)
+
+
 # 8 -------------------------------------------------------------------------------------------------
 
 
