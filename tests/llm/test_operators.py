@@ -138,6 +138,31 @@ def test_exact_passages_by_brute_force(spark):
     assert all(want[i] <= got[i] for i in want) and set(got) == set(want)
 
 
+def test_alignment_pairs_are_a_longest_common_subsequence():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        a, b = (rng.integers(0, rng.integers(2, 60), rng.integers(1, 150)) for _ in range(2))
+        pairs = passages.common_pairs(a, b)
+        assert len(pairs) == passages.common_words(a, b) and all(a[i] == b[j] for i, j in pairs)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in itertools.pairwise(pairs))
+
+
+def test_two_passages_of_one_pair_with_other_text_between(spark):
+    """A chain over both is no passage as a whole; each of them is."""
+    rng = random.Random(21)
+    one, two = sentence(rng, 60), sentence(rng, 60)
+    rows, n = [], 0
+    for gap in (31, 100, 300):
+        rows += [(n, f"{sentence(rng, 30)} {one} {sentence(rng, gap)} {two} {sentence(rng, 30)}"), (n + 1, f"{sentence(rng, 50)} {one} {sentence(rng, gap)} {two} {sentence(rng, 10)}")]
+        one, two, n = sentence(rng, 60), sentence(rng, 60), n + 2
+    text = dict(rows)
+    found = passages.find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for i in range(0, n, 2):
+        spans = sorted((r.start, r.end) for r in found if (r.doc_id, r.other) == (i + 1, i))
+        assert len(spans) == 2 and all(text[i + 1][a:b] in text[i] and len(text[i + 1][a:b].split()) == 60 for a, b in spans)
+    assert len(found) == n
+
+
 def test_passages_odd(odd, empty):
     found = passages.find_passages(odd).collect()
     assert {(r.doc_id, r.other) for r in found} == {(9, 8), (15, 14)}
