@@ -163,6 +163,20 @@ def test_two_passages_of_one_pair_with_other_text_between(spark):
     assert len(found) == n
 
 
+def test_passage_whose_seeds_an_earlier_document_has_first(spark):
+    """Earlier documents have a passage's sentences apart, too short to report; two later ones have it whole."""
+    rng = random.Random(31)
+    rows = []
+    for i in range(0, 60, 3):
+        first, second = sentence(rng, 30), sentence(rng, 30)
+        apart = f"{sentence(rng, 20)} {first} {sentence(rng, 700)} {second} {sentence(rng, 20)}"
+        rows += [(i, apart), *((i + j, f"{sentence(rng, 40)} {first} {second} {sentence(rng, 40)}") for j in (1, 2))]
+    text = dict(rows)
+    found = passages.find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.other) for r in found} == {(i + 2, i + 1) for i in range(0, 60, 3)}
+    assert all(len(text[r.doc_id][r.start : r.end].split()) == 60 for r in found)
+
+
 def test_passages_odd(odd, empty):
     found = passages.find_passages(odd).collect()
     assert {(r.doc_id, r.other) for r in found} == {(9, 8), (15, 14)}
