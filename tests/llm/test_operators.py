@@ -177,6 +177,22 @@ def test_passage_whose_seeds_an_earlier_document_has_first(spark):
     assert all(len(text[r.doc_id][r.start : r.end].split()) == 60 for r in found)
 
 
+def test_fuzzy_passages_recall(spark):
+    """Copies of 50 words with one to two words in ten replaced, at random and at regular places."""
+    rng, rows, n = random.Random(41), [], 60
+    hows = [*([("random", 10)] * n), *([("random", 5)] * n), *([("every", 5)] * n)]
+    for i, (how, part) in enumerate(hows):
+        words = sentence(rng, 50).split()
+        other = list(words)
+        for at in rng.sample(range(50), 50 // part) if how == "random" else range(2, 50, part):
+            other[at] = "changed" + sentence(rng, 1)
+        rows += [(2 * i, f"{sentence(rng, 60)} {' '.join(words)} {sentence(rng, 60)}"), (2 * i + 1, f"{sentence(rng, 60)} {' '.join(other)} {sentence(rng, 60)}")]
+    got = {(r.doc_id, r.other) for r in passages.find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = Counter(hows[i] for i in range(len(hows)) if (2 * i + 1, 2 * i) in got)
+    print(dict(found), "of", n)
+    assert found["random", 10] == n and found["random", 5] >= 0.9 * n and found["every", 5] >= 0.9 * n
+
+
 def test_passages_odd(odd, empty):
     found = passages.find_passages(odd).collect()
     assert {(r.doc_id, r.other) for r in found} == {(9, 8), (15, 14)}
