@@ -194,6 +194,67 @@ def complete(members: DataFrame, threshold: float, tile: int) -> DataFrame:
     return pairs.select("ra", "rb").mapInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
+def cross_links(graph: DataFrame, members: DataFrame, threshold: float, most: int, tile: int) -> DataFrame:
+    """Links ``(a, b)`` between components that full lists may hide, one for each pair of tiles.
+
+    A link that no list holds has two ends whose lists are full of closer vectors.  Such vectors are dealt
+    into tiles of their component; two tiles of different components are compared in full, unless the
+    angle between their centres is more than both radii and the threshold's angle together.
+    """
+    full = graph.where(F.col("sim") >= threshold - 1e-4).select("u", "v").distinct().groupBy("u").count().where(F.col("count") >= most).select(F.col("u").alias("node"))
+    dense = members.join(full, "node").select("component", "node", "unit")
+    sizes = dense.groupBy("component").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
+    dealt = dense.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    packed = dealt.groupBy("component", "part").agg(F.collect_list(F.struct("node", "unit")).alias("rows"))
+
+    def ball(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            centres, radii = [], []
+            for rows in batch.column(2):
+                units = _stack(rows.values.field(1).to_pylist())
+                c = units.sum(0)
+                size = np.sqrt(c @ c)
+                c = c / size if size > 0 else units[0]
+                centres.append(c.tobytes())
+                radii.append(float(np.arccos(np.clip((units @ c).min(), -1, 1))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(centres, pa.binary()), pa.array(radii, pa.float64())], names=["component", "part", "rows", "centre", "radius"])
+
+    kind = "component long, part int, rows array<struct<node: long, unit: binary>>, centre binary, radius double"
+    tiles = materialise(packed.mapInArrow(ball, kind), "dense_tiles")
+    blocks = max(1, -(-tiles.count() // tile))
+    balls = tiles.select("component", "part", "centre", "radius").withColumn("block", F.pmod(F.xxhash64("component", "part"), F.lit(blocks)).cast("int"))
+    blocked = materialise(balls.groupBy("block").agg(F.collect_list(F.struct("component", "part", "centre", "radius")).alias("balls")), "balls")
+    near_blocks = blocked.withColumn("other", F.explode(F.sequence("block", F.lit(blocks - 1)))).join(blocked.select(F.col("block").alias("other"), F.col("balls").alias("others")), "other")
+    reach = float(np.arccos(threshold)) + 1e-9
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ra, rb in zip(batch.column(0), batch.column(1), strict=True):
+                a, b = ra.values, rb.values
+                angle = np.arccos(np.clip(_stack(a.field(2).to_pylist()) @ _stack(b.field(2).to_pylist()).T, -1, 1))
+                ca, cb = a.field(0).to_numpy(), b.field(0).to_numpy()
+                i, j = np.nonzero((angle <= a.field(3).to_numpy()[:, None] + b.field(3).to_numpy()[None, :] + reach) & (ca[:, None] != cb[None, :]))
+                take_a, take_b = pa.array(i), pa.array(j)
+                yield pa.RecordBatch.from_arrays([a.field(0).take(take_a), a.field(1).take(take_a), b.field(0).take(take_b), b.field(1).take(take_b)], names=["ca", "pa", "cb", "pb"])
+
+    pairs = near_blocks.select("balls", "others").mapInArrow(near, "ca long, pa int, cb long, pb int")
+    # a block meets itself too, where each pair comes twice
+    pairs = pairs.select(*[F.when(F.col("ca") < F.col("cb"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("ca", "cb"), ("pa", "pb"))], *[F.when(F.col("ca") < F.col("cb"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("cb", "ca"), ("pb", "pa"))]).distinct()
+    both = pairs.join(tiles.select(F.col("component").alias("ca"), F.col("part").alias("pa"), F.col("rows").alias("ra")), ["ca", "pa"])
+    both = both.join(tiles.select(F.col("component").alias("cb"), F.col("part").alias("pb"), F.col("rows").alias("rb")), ["cb", "pb"])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ra, rb in zip(batch.column(0), batch.column(1), strict=True):
+                a, b = ra.values, rb.values
+                sims = _stack(a.field(1).to_pylist()) @ _stack(b.field(1).to_pylist()).T
+                i, j = np.unravel_index(int(sims.argmax()), sims.shape)
+                if sims[i, j] >= threshold:
+                    yield pa.RecordBatch.from_arrays([a.field(0).slice(i, 1), b.field(0).slice(j, 1)], names=["a", "b"])
+
+    return both.select("ra", "rb").mapInArrow(link, "a long, b long")
+
+
 def audit(nodes: DataFrame, links: DataFrame, threshold: float, size: int) -> float:
     """Share of the true links of ``size`` vectors (smallest hash) that were counted."""
     chosen = nodes.orderBy(F.xxhash64("node", F.lit(99)), "node").limit(size).select("node", "unit").collect()
@@ -218,7 +279,8 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     """One row for each input row: ``key``, ``n_links``, ``component_id``, ``kept``.
 
     Vectors link where their cosine in double precision is ``threshold`` or more.  NN-descent finds the
-    neighbour graph; its links at the threshold, checked in double precision, make the components;
+    neighbour graph; its links at the threshold, checked in double precision, make the components,
+    with links between vectors whose lists are full, which are compared across components;
     links of a component's members are then counted in full, so lists that saturate lose nothing.  An
     audit compares some vectors with all rows; if recall is short, another descent from other
     partitions adds to the graph.
@@ -246,8 +308,13 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     for attempt in range(attempts):
         more = descend(nodes, threshold, k, most, rounds, trees, leaf, seed=1000 * attempt)
         graph = more if graph is None else graph.unionByName(more)
-        found = connected_components(exact_links(graph, nodes, threshold))
+        exact = materialise(exact_links(graph, nodes, threshold), "exact")
+        found = connected_components(exact)
         members = nodes.join(found.select("node", "component"), "node")
+        across = materialise(cross_links(graph, members, threshold, most, tile), "across")
+        if not across.isEmpty():
+            found = connected_components(exact.unionByName(across))
+            members = nodes.join(found.select("node", "component"), "node")
         links = materialise(complete(members.select("component", "node", "unit", "copies"), threshold, tile), "links")
         if audit(nodes, links, threshold, audit_size) >= recall:
             break

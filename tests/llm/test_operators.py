@@ -327,6 +327,19 @@ def test_near_vectors(spark):
     assert nn_descent.near_vectors(df.limit(0)).count() == 0
 
 
+def test_dense_groups_whose_lists_are_full_are_joined(spark):
+    """Two groups closer inside than across, each with more members than a list holds; a third one is apart."""
+    rng = np.random.default_rng(18)
+    a, b, apart = np.linalg.qr(rng.standard_normal((16, 3)))[0].T
+    b = 0.92 * a + np.sqrt(1 - 0.92**2) * b
+    rows = [(1000 * g + i, (c + rng.standard_normal(16) * 0.02).tolist()) for g, c in enumerate((a, b, apart)) for i in range(90)]
+    want = brute_links(rows)
+    assert len({c for _, c in want.values()}) == 2
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in nn_descent.near_vectors(df, leaf=64, tile=64).collect()}
+    assert got == want
+
+
 def test_near_vectors_recall_audit(spark):
     """The audit's brute force agrees with numpy."""
     rng = np.random.default_rng(9)
