@@ -21,8 +21,8 @@ TREES, LEAF = 8, 256
 ROUNDS = 3
 #: Rows of a list that meet in one local join, and of a tile in the completion of groups.
 CHUNK, TILE = 48, 1024
-#: Vectors compared with all rows to measure recall, the recall wanted, and attempts to reach it.
-AUDIT, RECALL, ATTEMPTS = 512, 0.97, 2
+#: Vectors compared with all rows, share of them that need all of their links, and attempts to reach it.
+AUDIT, RECALL, ATTEMPTS = 512, 0.97, 8
 
 
 def unit_vectors(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
@@ -255,11 +255,11 @@ def cross_links(graph: DataFrame, members: DataFrame, threshold: float, most: in
     return both.select("ra", "rb").mapInArrow(link, "a long, b long")
 
 
-def audit(nodes: DataFrame, links: DataFrame, threshold: float, size: int) -> float:
-    """Share of the true links of ``size`` vectors (smallest hash) that were counted."""
+def audited(nodes: DataFrame, links: DataFrame, threshold: float, size: int) -> list[tuple[int, int]]:
+    """True and counted links of ``size`` vectors (smallest hash), by comparing them with all rows."""
     chosen = nodes.orderBy(F.xxhash64("node", F.lit(99)), "node").limit(size).select("node", "unit").collect()
     if not chosen:
-        return 1.0
+        return []
     ids, units = np.array([r["node"] for r in chosen]), _stack([bytes(r["unit"]) for r in chosen])
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,8 +271,34 @@ def audit(nodes: DataFrame, links: DataFrame, threshold: float, size: int) -> fl
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["node", "true_links"])
 
     true = nodes.select("node", "unit", "copies").mapInArrow(brute, "node long, true_links long").groupBy("node").agg(F.sum("true_links").alias("true_links"))
-    row = true.join(links, "node", "left").agg(F.sum("true_links").alias("t"), F.sum(F.least(F.coalesce("links", F.lit(0)), "true_links")).alias("f")).first()
-    return row["f"] / row["t"] if row["t"] else 1.0
+    rows = true.join(links, "node", "left").select("true_links", F.coalesce("links", F.lit(0)).alias("found")).collect()
+    return [(r["true_links"], r["found"]) for r in rows]
+
+
+def audit(nodes: DataFrame, links: DataFrame, threshold: float, size: int) -> float:
+    """Share of the true links of ``size`` vectors (smallest hash) that were counted."""
+    rows = audited(nodes, links, threshold, size)
+    true = sum(t for t, _ in rows)
+    return sum(min(t, f) for t, f in rows) / true if true else 1.0
+
+
+def whole_share(rows: list[tuple[int, int]], recall: float, strata: tuple[int, ...] = (3, MOST)) -> float:
+    """Least share of vectors with all of their links: of the audited with any, and of each stratum by true links.
+
+    A stratum ends at each number of ``strata``; one with too few vectors to tell ``recall`` counts in the whole only.
+    """
+    rows = [(t, f >= t) for t, f in rows if t > 0]
+    ends = [0, *strata, float("inf")]
+    groups = [[ok for t, ok in rows if lo < t <= hi] for lo, hi in zip(ends[:-1], ends[1:], strict=True)]
+    groups = [[ok for _, ok in rows], *(g for g in groups if len(g) * (1 - recall) >= 1)]
+    return min(sum(g) / len(g) if g else 1.0 for g in groups)
+
+
+def enough_trees(n: int, leaf: int, trees: int, threshold: float) -> int:
+    """At least ``trees``; so many that a pair at the threshold shares a leaf with nine chances in ten."""
+    bits = max(0, int(np.ceil(np.log2(max(1, n / leaf)))))
+    together = (1 - np.arccos(threshold) / np.pi) ** bits
+    return trees if together >= 0.9 else max(trees, int(np.ceil(np.log(0.1) / np.log(1 - together))))
 
 
 def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", threshold: float = THRESHOLD, k: int = NEIGHBOURS, most: int = MOST, rounds: int = ROUNDS, trees: int = TREES, leaf: int = LEAF, tile: int = TILE, audit_size: int = AUDIT, recall: float = RECALL, attempts: int = ATTEMPTS) -> DataFrame:
@@ -282,8 +308,9 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     neighbour graph; its links at the threshold, checked in double precision, make the components,
     with links between vectors whose lists are full, which are compared across components;
     links of a component's members are then counted in full, so lists that saturate lose nothing.  An
-    audit compares some vectors with all rows; if recall is short, another descent from other
-    partitions adds to the graph.
+    audit compares some vectors with all rows; while too few of them have all of their links (in all,
+    or among those with few, more or many), another descent from other partitions adds to the graph.
+    Where that finds nothing new, or ``attempts`` are used up, an error tells the share.
 
     Equal vectors are one node with a count: they link with each other and are never compared.  Rows
     that cannot be compared (see ``unit_vectors``) have no links and are components of their own;
@@ -304,7 +331,10 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     named = same.withColumn("n_", F.row_number().over(W.partitionBy("node").orderBy("unit")))
     named = named.select(F.when(F.col("n_") == 1, F.col("node")).otherwise(-F.abs(F.xxhash64("unit")) - 1).alias("node"), "unit", "copies")
     nodes = materialise(named.mapInArrow(shrink, "node long, unit binary, copies long, small binary"), "nodes")
-    graph, links = None, None
+    graph, links, before = None, None, -1
+    n = nodes.count()
+    trees = enough_trees(n, leaf, trees, threshold)
+    rounds += max(0, int(np.ceil(np.log10(max(1, n) / 100_000))))
     for attempt in range(attempts):
         more = descend(nodes, threshold, k, most, rounds, trees, leaf, seed=1000 * attempt)
         graph = more if graph is None else graph.unionByName(more)
@@ -316,8 +346,13 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
             found = connected_components(exact.unionByName(across))
             members = nodes.join(found.select("node", "component"), "node")
         links = materialise(complete(members.select("component", "node", "unit", "copies"), threshold, tile), "links")
-        if audit(nodes, links, threshold, audit_size) >= recall:
+        share = whole_share(audited(nodes, links, threshold, audit_size), recall)
+        if share >= recall:
             break
+        total = links.agg(F.sum("links")).first()[0] or 0
+        if total == before or attempt == attempts - 1:
+            raise RuntimeError(f"{share:.3f} of the audited vectors have all of their links after {attempt + 1} descents; {recall} is wanted")
+        before = total
     of_node = nodes.join(found, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("component", "node"))
     ids = rows.where("unit is not null").groupBy("unit").agg(F.min("id").alias("first_id"))
     of_node = of_node.join(ids, "unit")

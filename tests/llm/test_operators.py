@@ -353,6 +353,18 @@ def test_near_vectors_recall_audit(spark):
     assert math.isclose(nn_descent.audit(nodes, links, 0.9, 1000), sum(n // 2 for n, _ in want.values()) / total)
 
 
+def test_near_vectors_audit_counts_vectors_and_fails_if_short(spark):
+    """Pairs that were all lost are not outweighed by one dense group; a recall that is not reached is an error."""
+    rows = [(300, 300)] * 300 + [(1, 0)] * 100 + [(0, 0)] * 100
+    assert sum(min(r) for r in rows) > 0.99 * sum(t for t, _ in rows)
+    assert nn_descent.whole_share(rows, 0.97) == 0.0 and nn_descent.whole_share([(1, 1)] * 50 + [(0, 0)], 0.97) == 1.0
+    assert [nn_descent.enough_trees(n, 256, 8, 0.9) for n in (10, 50_000, 1_000_000, 10_000_000)] == [8, 8, 14, 27]
+    base = np.random.default_rng(19).standard_normal((40, 8))
+    df = spark.createDataFrame([(i, base[i % 20].tolist() if i < 20 else (base[i % 20] + 0.01).tolist()) for i in range(40)], "vec_id long, embedding array<double>")
+    with pytest.raises(RuntimeError, match="have all of their links"):
+        nn_descent.near_vectors(df, recall=1.01)
+
+
 # 5 -------------------------------------------------------------------------------------------------
 
 
