@@ -36,7 +36,8 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
 
     Takes, for each non-null language, the ``sample_docs`` rows with the smallest MD5 of their key
     (each task keeps no more than that), and of them whole texts up to ``dictionary_bytes``.  Rows
-    with a null or blank text or a null language teach nothing.  The driver receives at most
+    with a null or blank text or a null language teach nothing, nor do texts over a quarter of
+    ``dictionary_bytes`` (64 KiB): a language whose rows are all longer is not learned.  The driver receives at most
     languages x ``dictionary_bytes``.  The result lists languages by their number of labelled rows,
     most first (ties by name), which is also the order in which equal sizes are decided.
     """
