@@ -8,22 +8,33 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as a URI; one without a scheme belongs to the default file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return "file://" + found[5:] if found.startswith("file:/") and not found.startswith("file://") else found
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a local folder is made only where it is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """``spark.checkpoint.dir`` of the session; where that is unset, a local folder in local mode and an error on a cluster."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not base:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(base)
+    return qualified(spark, base).rstrip("/")
 
 
 def new_folder(spark: SparkSession, what: str) -> str:
-    """A fresh path below the shared folder."""
+    """A fresh path below the shared folder; nothing is created yet."""
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     """Write to the shared folder and read back: short lineage that survives lost executors."""
-    path = new_folder(df.sparkSession, "cut")
+    path = new_folder(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
