@@ -21,65 +21,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .chunks import ByteTexts, Ragged, slices
 from .common import materialise, new_folder
-from .token_counts import _UNSAFE, load
 
 # fixed values of the seekable format
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC, WITH_CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
 
-#: Distinct chunks whose ids a Python worker remembers; then it starts anew.
-REMEMBERED = 700_000
 
+def encode(pre: ByteTexts, texts: pa.Array) -> list[bytes]:
+    """Ids (little-endian unsigned 32-bit) of whole texts without nulls, as the library gives them.
 
-class ChunkEncoder:
-    """Whole texts to ids with the tokenizers library, encoding each distinct chunk once.
-
-    A chunk is what stands between spaces.  A byte-level tokenizer never joins a space to what stands
-    before it, so chunks encode alone as they do in the text; texts with longer runs of white space
-    are encoded as a whole.  New chunks of a batch are encoded together and told apart by length.
+    Each distinct pre-token is encoded once by the library's model; texts that may not be cut are
+    encoded by the library as a whole.
     """
-
-    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
-        self.library, self.remembered = load(path), remembered
-        vocab = self.library.get_vocab(with_added_tokens=False)
-        self.bytes_of = np.zeros(max(self.library.get_vocab(True).values()) + 1, np.int64)
-        for token, i in vocab.items():
-            self.bytes_of[i] = len(token)  # one character for each byte
-        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.inner: dict[str, bytes] = {}
-        self.outer: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if c and not c[0].isspace() and not c[-1].isspace() and not any(a in c for a in self.added)]
-        other = list(set(chunks).difference(plain))
-        self.inner.update(zip(other, self.whole([" " + c for c in other]), strict=True))
-        for i in range(0, len(plain), 5000):
-            part = plain[i : i + 5000]
-            ids = np.array(self.library.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum(self.bytes_of[ids])
-            wanted = np.cumsum([len(c.encode("utf-8", "surrogatepass")) + 1 for c in part])
-            cut = np.searchsorted(ends, wanted) + 1
-            if len(ids) != cut[-1] or (ends[cut - 1] != wanted).any():  # a token across two chunks
-                self.inner.update(zip(part, self.whole([" " + c for c in part]), strict=True))
-                continue
-            raw, at = ids.tobytes(), [0, *(4 * cut).tolist()]
-            self.inner.update((c, raw[at[j] : at[j + 1]]) for j, c in enumerate(part))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if _UNSAFE.search(t) else t.split(" ") for t in texts]
-        if len(self.inner) > self.remembered:
-            self.inner.clear()
-        new: set[str] = set()
-        for s in split:
-            if s:
-                new.update(s[1:])
-        self.learn([c for c in new if c not in self.inner])
-        apart = iter(self.whole([t if s is None else s[0] for t, s in zip(texts, split, strict=True)]))
-        get = self.inner.__getitem__
-        return [a if s is None else a + b"".join(map(get, s[1:])) for a, s in zip(apart, split, strict=True)]
+    whole = pre.whole(texts)
+    words, found = pre.read(texts.filter(pa.array(~whole)))
+    pieces = Ragged.of(pre.pieces(words.to_pylist(), lambda made: [t.id for t in made]))
+    ids = Ragged(pieces.flat.astype("<u4"), pieces.lengths).take(found.flat)
+    ends = np.concatenate(([0], np.cumsum(ids.lengths)))[np.cumsum(found.lengths)].tolist()
+    out: list[bytes] = [b""] * len(texts)
+    start = 0
+    for i, end in zip(np.flatnonzero(~whole).tolist(), ends, strict=True):
+        out[i], start = ids.flat[start:end].tobytes(), end
+    at = np.flatnonzero(whole)
+    for i, e in zip(at.tolist(), pre.library.encode_batch_fast(texts.take(pa.array(at)).to_pylist(), add_special_tokens=False), strict=True):
+        out[i] = np.array(e.ids, "<u4").tobytes()
+    return out
 
 
 def seek_table(entries: list[tuple[int, int, int]]) -> bytes:
@@ -137,7 +104,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, text: str = "text", key: s
         task = TaskContext.get()
         name = f"{path}/files/part-{task.partitionId():06d}-{task.taskAttemptId()}.ids.zst"
         system, inner = fs.FileSystem.from_uri(name)
-        encoder = encoders(tokenizer)
+        pre = ByteTexts(tokenizer)
         out, entries, offset = None, [], 0
         packer = zstandard.ZstdCompressor(level=level)
         for batch in batches:
@@ -145,8 +112,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, text: str = "text", key: s
                 system.create_dir(inner.rpartition("/")[0], recursive=True)
                 out = system.open_output_stream(inner, compression=None)
             frames, offsets, counts = [], [], []
-            for i in range(0, batch.num_rows, 512):
-                for ids in encoder.encode(batch.column(1).slice(i, 512).to_pylist()):
+            for i, j in slices(batch.column(1)):
+                for ids in encode(pre, batch.column(1).slice(i, j - i).cast(pa.string())):
                     raw = ids + end
                     packed = packer.compress(raw)
                     out.write(packed)
@@ -199,16 +166,6 @@ def read(index: DataFrame, ids: bool = True) -> DataFrame:
     return index.mapInArrow(run, schema)
 
 
-_encoders: dict[str, ChunkEncoder] = {}
-
-
-def encoders(path: str) -> ChunkEncoder:
-    """The encoder of a file; Python workers that Spark uses again keep what it remembers."""
-    if path not in _encoders:
-        _encoders[path] = ChunkEncoder(path)
-    return _encoders[path]
-
-
 def round_trip(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Write all documents to a new shared folder and read all back: ``key, start, n_tokens, ids_crc32``."""
     index = write(docs, new_folder(docs.sparkSession, "ids"), tokenizer, text, key)
