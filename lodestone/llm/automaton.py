@@ -8,285 +8,282 @@ with an arc ``u`` gets an arc ``uv`` to where ``u`` then ``v`` led.  All arcs of
 same state at all times, so a gadget adds one state and the whole automaton has no more states than
 there are merges, plus one.
 
-States are kept as their parent and the one label they lack (``parent``, ``lacks``, ``since``), not as
-rows of arcs: ``has_arc`` follows the lineage.
+States are kept as their parent and the one label they lack, not as rows of arcs.  The lineage of the
+state behind a token follows the token's right parts, so whether it has an arc is told by the merges
+of those parts (``follows``).
 
 **Encoding.**  Every prefix of a word has exactly one accepted sequence, so the set of automaton
-states that reading characters can lead to is known from the last tokens of the prefixes near the
-end.  ``Encoder`` turns this subset construction into a table of transitions on characters, built
-while words are read and used for all words: for each character one lookup gives the next state
-and the token whose arc ends there.  The arcs on the path from the end of the word back to its
-start are the tokens.  Decoding emits the labels of arcs.
+states that reading bytes can lead to is known from the last tokens of the prefixes near the end.
+``Encoder`` turns this subset construction into a table of transitions on bytes, built while words are
+read and used for all words: for each byte one lookup gives the next state and the token whose arc
+ends there.  The arcs on the path from the end of the word back to its start are the tokens.
+
+**Decoding** emits the labels of the arcs that the ids name.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .chunks import MARKS, Ragged, byte_symbols, cut, load, slices, spread
 
-#: Marks that are words of their own behind a word, alone at its end.
-MARKS = ".,;:!?"
-#: Rows of the transition table, and remembered words and chunks, before they are built anew.
-TABLE_ROWS, REMEMBERED = 150_000, 300_000
+#: Rows of the transition table before it is built anew.
+TABLE_ROWS = 150_000
+#: Latin letters of one byte in Latin-1.
+LATIN = r"A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}"
+#: Added to a byte that ends a word.
+END = 256
 
 
 class Automaton:
     """The compiled merges: ``target[token]`` is the state after an arc of that label."""
 
     def __init__(self, symbols: list[str], merges: list[tuple[str, str]], ids: dict[str, int]) -> None:
-        self.parent, self.lacks, self.since = [-1], [-1], [-1]
+        self.parent, self.lacks = [-1], [-1]
         self.target: dict[int, int] = {ids[s]: 0 for s in symbols}
         self.left: dict[int, int] = {}
+        self.right: dict[int, int] = {}
         self.born: dict[int, int] = {}
-        self.labels = {ids[s]: s for s in symbols}
+        self.taken: dict[int, int] = {}
         never: set[int] = set()
         for k, (a, b) in enumerate(merges):
             u, v, uv = ids[a], ids[b], ids[a + b]
             if any(x not in self.target and x not in never for x in (u, v)) or uv in self.target:
                 raise ValueError(f"merge {k} uses a token that is not made yet, or makes one twice")
             # where u v cannot stand side by side, or one of them never comes, the gadget changes nothing
-            if u in never or v in never or not self.has_arc(self.target[u], v):
+            if u in never or v in never or not self.follows(v, u):
                 never.add(uv)
                 continue
             old = self.target[u]
             self.target[uv] = self.target[v]
             self.parent.append(old)
             self.lacks.append(v)
-            self.since.append(k)
             self.target[u] = len(self.parent) - 1
-            self.left[uv], self.born[uv] = u, k
-            self.labels[uv] = a + b
-        self._lacking: list[dict[int, int] | None] = [None] * len(self.parent)
+            self.taken[u << 32 | v] = k
+            self.left[uv], self.right[uv], self.born[uv] = u, v, k
 
-    def has_arc(self, state: int, token: int) -> bool:
-        """Whether ``state`` has an arc ``token``.
+    def follows(self, token: int, after: int) -> bool:
+        """Whether the state behind ``after`` has an arc ``token``.
 
-        An arc of a merged token came from the arc of its left part, if that was there when the merge
-        was applied; so no token down the left spine may have been taken away by then (a merge of a token with itself
-        takes the arc away from the very state that would get the merged one).
+        The state lacks what merges took from ``after`` itself and, before ``after`` was made, from its
+        right part, and so on down the right spine.  The arc of a merged token came from the arc of its
+        left part, if that was there when the merge was applied; so no token down the left spine may have
+        been taken away by then.
         """
-        gone: dict[int, int] = {}
-        while state > 0:
-            gone.setdefault(self.lacks[state], self.since[state])
-            gone[self.lacks[state]] = min(gone[self.lacks[state]], self.since[state])
-            state = self.parent[state]
-        return self._open(gone, token)
-
-    def _open(self, gone: dict[int, int], token: int) -> bool:
-        before = 1 << 60
+        until = 1 << 60
         while True:
-            since = gone.get(token)
-            if since is not None and since <= before:
-                return False
-            if token not in self.left:
+            before, t = 1 << 60, token
+            while True:
+                since = self.taken.get(after << 32 | t)
+                if since is not None and since < until and since <= before:
+                    return False
+                if t not in self.left:
+                    break
+                before, t = self.born[t], self.left[t]
+            if after not in self.right:
                 return True
-            before, token = self.born[token], self.left[token]
-
-    def lacking(self, state: int) -> dict[int, int]:
-        """The arcs that the state lacks, and the merge that took each away."""
-        found = self._lacking[state]
-        if found is None:
-            found, s = {}, state
-            while s > 0:
-                found[self.lacks[s]] = min(found.get(self.lacks[s], 1 << 60), self.since[s])
-                s = self.parent[s]
-            self._lacking[state] = found
-        return found
-
-    def follows(self, token: int, after: int | None) -> bool:
-        """Whether ``token`` has an arc out of the state behind ``after`` (None: the start)."""
-        return after is None or self._open(self.lacking(self.target[after]), token)
+            until, after = self.born[after], self.right[after]
 
 
 class Encoder:
-    """Table-driven encoding of symbol sequences (words) with an automaton."""
+    """Table-driven encoding of words with an automaton; symbols are numbers below 512."""
 
-    def __init__(self, automaton: Automaton, spell: dict[int, tuple[str, ...]], rows: int = TABLE_ROWS) -> None:
+    def __init__(self, automaton: Automaton, spell: dict[int, tuple[int, ...]], rows: int = TABLE_ROWS) -> None:
         self.automaton, self.rows = automaton, rows
-        self.children: list[dict[str, int]] = [{}]  # a trie of all tokens
+        self.child: dict[int, int] = {}  # a trie of all tokens: node * 512 + symbol
         self.ends: list[int] = [-1]
         for token, symbols in spell.items():
             node = 0
             for s in symbols:
-                nxt = self.children[node].get(s)
+                nxt = self.child.get(node << 9 | s)
                 if nxt is None:
-                    nxt = self.children[node][s] = len(self.children)
-                    self.children.append({})
+                    nxt = self.child[node << 9 | s] = len(self.ends)
                     self.ends.append(-1)
                 node = nxt
             self.ends[node] = token
+        self.inner = bytearray(len(self.ends))  # nodes with children
+        for place in self.child:
+            self.inner[place >> 9] = 1
         self.size = {token: len(symbols) for token, symbols in spell.items()}
         self.reset()
 
     def reset(self) -> None:
-        # a row: its open matches (trie node, token before it), transitions, and the token that ends here
-        self.states: dict[tuple, int] = {}
-        self.open: list[tuple] = []
-        self.step: list[dict[str, int]] = []
-        self.out: list[int] = []
-        self._row(((0, -1),), -1)
-
-    def _row(self, opened: tuple, out: int) -> int:
-        key = (opened, out)
+        # a row: its open matches (trie node and the token before it, in one number; the last one starts a
+        # token here), and the token that ends here
+        self.states: dict[tuple[int, ...], int] = {(0,): 0}
+        self.open: list[tuple[int, ...]] = [(0,)]
+        self.out: list[int] = [-1]
+        self.step: dict[int, int] = {}  # transitions: row * 512 + symbol
+
+    def _make(self, row: int, symbol: int) -> int:
+        opened, out, child, ends = [], -1, self.child, self.ends
+        for match in self.open[row]:
+            node, before = match >> 32, (match & 0xFFFFFFFF) - 1
+            nxt = child.get(node << 9 | symbol)
+            if nxt is not None:
+                if self.inner[nxt]:
+                    opened.append(nxt << 32 | before + 1)
+                token = ends[nxt]
+                if out < 0 and token >= 0 and (before < 0 or self.automaton.follows(token, before)):
+                    out = token
+        if out < 0:
+            raise KeyError(symbol)
+        opened.append(out + 1)
+        key = tuple(opened)
         found = self.states.get(key)
         if found is None:
             found = self.states[key] = len(self.open)
-            self.open.append(opened)
-            self.step.append({})
+            self.open.append(key)
             self.out.append(out)
+        self.step[row << 9 | symbol] = found
         return found
 
-    def _make(self, row: int, symbol: str) -> int:
-        opened, out = [], -1
-        for node, before in self.open[row]:
-            nxt = self.children[node].get(symbol)
-            if nxt is not None:
-                opened.append((nxt, before))
-                token = self.ends[nxt]
-                if out < 0 and token >= 0 and self.automaton.follows(token, None if before < 0 else before):
-                    out = token
-        if out < 0:
-            raise KeyError(symbol)
-        opened.append((0, out))
-        made = self.step[row][symbol] = self._row(tuple(opened), out)
-        return made
-
     def encode(self, symbols) -> list[int]:
         """The tokens of one word; a symbol that no token has raises KeyError."""
         if len(self.open) > self.rows:
             self.reset()
-        row, ends, step = 0, [], self.step
+        row, ends, step, out = 0, [], self.step, self.out
         for s in symbols:
-            nxt = step[row].get(s)
+            nxt = step.get(row << 9 | s)
             row = self._make(row, s) if nxt is None else nxt
-            ends.append(self.out[row])
-        tokens, at = [], len(ends)
+            ends.append(out[row])
+        tokens, at, size = [], len(ends), self.size
         while at:
             token = ends[at - 1]
             tokens.append(token)
-            at -= self.size[token]
+            at -= size[token]
         return tokens[::-1]
 
 
-def byte_symbols() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    extra = iter(range(256, 512))
-    return [chr(b) if b in shown else chr(next(extra)) for b in range(256)]
-
-
 class WordTokenizer:
     """A tokenizer file whose model is byte-level BPE over pre-split words with a word-end mark.
 
-    Normaliser and pre-splitting are the library's own components; the merges are the automaton's.
+    Normaliser and pre-splitting are the library's own components; the merges are the automaton's.  What
+    a task remembers of its texts is gone when its slice of texts is done.
     """
 
-    def __init__(self, path: str, remembered: int = REMEMBERED) -> None:
-        from .token_counts import load
-
+    def __init__(self, path: str) -> None:
         self.library = load(path)
         with open(path, encoding="utf-8") as f:
             model = json.load(f)["model"]
         if model["type"] != "BPE" or model.get("dropout") or model.get("byte_fallback") or model.get("continuing_subword_prefix"):
             raise ValueError("not a plain BPE model")
-        self.ids, self.end = model["vocab"], model.get("end_of_word_suffix") or ""
+        ids, end = model["vocab"], model.get("end_of_word_suffix") or ""
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.byte = byte_symbols()
-        symbols = [*self.byte, *(b + self.end for b in self.byte)] if self.end else list(self.byte)
-        symbols = [s for s in symbols if s in self.ids]
-        self.automaton = Automaton(symbols, merges, self.ids)
-        spell: dict[int, tuple[str, ...]] = {self.ids[s]: (s,) for s in symbols}
+        numbers = {s: i for i, s in enumerate(byte_symbols())}
+        if end:
+            numbers |= {s + end: i + END for s, i in numbers.items()}
+        if not all(s in ids for s in numbers):
+            raise ValueError("the vocabulary lacks a byte")
+        self.last = END if end else 0
+        automaton = Automaton(list(numbers), merges, ids)
+        spell: dict[int, tuple[int, ...]] = {ids[s]: (i,) for s, i in numbers.items()}
         for a, b in merges:
-            if self.ids[a + b] in self.automaton.target:
-                spell[self.ids[a + b]] = spell[self.ids[a]] + spell[self.ids[b]]
-        self.encoder = Encoder(self.automaton, spell)
+            if ids[a + b] in automaton.target:
+                spell[ids[a + b]] = spell[ids[a]] + spell[ids[b]]
+        self.encoder = Encoder(automaton, spell)
         added = self.library.get_added_tokens_decoder()
         if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
             raise ValueError("only plain added tokens are supported")
-        self.added = {t.content: i for i, t in added.items()}
-        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.labels = {i: t for t, i in {**self.ids, **self.added}.items()}
-        self.joiner = " " if self.library.decoder is None else None
-        if self.joiner is None:
+        if self.library.decoder is not None:
             raise ValueError("decoders are not supported: labels are joined by spaces")
-        self.remembered, self.words, self.chunks = remembered, {}, {}
-
-        latin = "".join(map(chr, range(256)))
-        words = [c for c in latin if c.isalpha()]
-        self.latin = all(self._split(c + "b" + m) == [(c + "b").lower(), m] and self._split(c) == [c.lower()] for c in words for m in MARKS)
+        self.added = {t.content: i for i, t in added.items()}
+        self.at_added = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.labels: list[bytes | None] = [None] * (1 + max(*ids.values(), *added))
+        for label, i in {**ids, **self.added}.items():
+            self.labels[i] = label.encode()
+        # plain words need neither normalising beyond lower case nor splitting beyond a mark behind them
+        letters = [c for c in map(chr, range(256)) if c.isalpha() and c not in "\u00aa\u00b5\u00ba"]
+        self.plain = all(self._split(c + "b" + m) == [(c + "b").lower(), m] and self._split(c) == [c.lower()] for c in letters for m in MARKS)
 
     def _split(self, text: str) -> list[str]:
-        """The pre-split words of a stretch of text, by the library."""
+        """The pre-split words of a stretch of text without added tokens, by the library."""
         normal = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
         return [normal[i:j] for _, (i, j) in self.library.pre_tokenizer.pre_tokenize_str(normal) if j > i]
 
-    def word(self, word: str) -> tuple[bytes, bytes]:
-        """Ids (little-endian 32-bit) and labels joined by spaces (UTF-8) of one pre-split word."""
-        found = self.words.get(word)
-        if found is None:
-            found = self.words[word] = self._encode(word)
-        return found
-
-    def _encode(self, word: str) -> tuple[bytes, bytes]:
-        raw = word.encode("utf-8", "surrogatepass")
-        symbols = [self.byte[b] for b in raw]
-        if self.end:
-            symbols[-1] += self.end
-        ids = self.encoder.encode(symbols)
-        return np.array(ids, "<u4").tobytes(), " ".join(self.automaton.labels[i] for i in ids).encode()
-
-    def chunk(self, text: str) -> tuple[bytes, bytes]:
-        """As ``word``, for any stretch of raw text without added tokens or spaces.
-
-        Plain words of Latin letters, alone or with one mark behind, need neither normalising beyond
-        lower case nor splitting beyond the mark.
-        """
-        if self.latin and (text.isascii() or max(text) < "\u0100"):
-            if text.isalpha():
-                return self.word(text.lower())
-            if text[-1] in MARKS and text[:-1].isalpha():
-                a, b = self.word(text[:-1].lower()), self.word(text[-1])
-                return a[0] + b[0], a[1] + b" " + b[1]
-        found = [self.word(w) for w in self._split(text)]
-        return b"".join(f[0] for f in found), b" ".join(f[1] for f in found)
-
-    def encode(self, text: str) -> tuple[bytes, bytes]:
-        """Ids of the whole text and the labels of their arcs joined by spaces."""
-        ids, labels = [], []
-        for part in self.cut.split(text) if self.cut else [text]:
+    def word(self, word: str) -> list[int]:
+        """Ids of one pre-split word, by the automaton."""
+        symbols = list(word.encode("utf-8", "surrogatepass"))
+        symbols[-1] += self.last
+        return self.encoder.encode(symbols)
+
+    def chunks(self, chunks: pa.Array) -> Ragged:
+        """Ids of chunks, which hold no spaces and no added tokens."""
+        plain = pc.match_substring_regex(chunks, rf"\A[{LATIN}]+[{MARKS}]?\z").to_numpy(zero_copy_only=False) & self.plain
+        marked = pc.match_substring_regex(chunks, rf"[{MARKS}]\z")
+        stem = pc.utf8_lower(pc.if_else(marked, pc.utf8_slice_codeunits(chunks, 0, -1), chunks))
+        mark = pc.index_in(pc.utf8_slice_codeunits(chunks, -1), pa.array(list(MARKS))).fill_null(0).to_numpy()
+        marked = marked.to_numpy(zero_copy_only=False) & plain
+        odd = np.flatnonzero(~plain)
+        parts = [self._split(c) for c in chunks.take(pa.array(odd)).to_pylist()]
+        coded = pa.concat_arrays([pa.array(list(MARKS)), stem.filter(pa.array(plain)).cast(pa.string()), pa.array([w for p in parts for w in p], pa.string())]).dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        words = Ragged.of([self.word(w) for w in coded.dictionary.to_pylist()])
+        sizes = np.ones(len(chunks), np.int64)
+        sizes[odd] = np.fromiter(map(len, parts), np.int64, len(parts))
+        lengths = sizes + marked
+        ends = np.cumsum(lengths)
+        starts = ends - lengths
+        flat = np.zeros(int(lengths.sum()), np.int64)
+        flat[ends[marked] - 1] = codes[mark[marked]]
+        n = int(plain.sum())
+        flat[starts[plain]] = codes[len(MARKS) : len(MARKS) + n]
+        flat[spread(starts[odd], sizes[odd])] = codes[len(MARKS) + n :]
+        found = words.take(flat)
+        bounds = np.concatenate(([0], np.cumsum(found.lengths)))
+        return Ragged(found.flat.astype("<u4"), bounds[ends] - bounds[starts])
+
+    def with_added(self, text: str) -> bytes:
+        """Ids of a text that has strings of added tokens, which become those tokens."""
+        out: list[int] = []
+        for part in self.at_added.split(text):
             if part in self.added:
-                ids.append(np.array([self.added[part]], "<u4").tobytes())
-                labels.append(part.encode())
-                continue
-            # no word holds white space, and normalising works on each side of it alone
-            if len(self.words) > self.remembered or len(self.chunks) > self.remembered:
-                self.words.clear()
-                self.chunks.clear()
-            words = self.chunks
-            for piece in part.replace("\n", " ").split(" "):
-                if not piece:
-                    continue
-                found = words.get(piece)
-                if found is None:
-                    found = words[piece] = self.chunk(piece)
-                if found[0]:
-                    ids.append(found[0])
-                    labels.append(found[1])
-        return b"".join(ids), b" ".join(labels)
+                out.append(self.added[part])
+            else:
+                for w in self._split(part):
+                    out += self.word(w)
+        return np.array(out, "<u4").tobytes()
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids (little-endian unsigned 32-bit) of whole texts without nulls."""
+        special = pa.array(np.zeros(len(texts), bool))
+        for content in self.added:
+            special = pc.or_(special, pc.match_substring(texts, content))
+        special = special.to_numpy(zero_copy_only=False)
+        # no word holds white space, and normalising works on each side of it alone
+        chunks, codes, sizes = cut(pc.replace_substring(texts.filter(pa.array(~special)), "\n", " "))
+        ids = self.chunks(chunks).take(codes)
+        ends = np.concatenate(([0], np.cumsum(ids.lengths)))[np.cumsum(sizes)].tolist()
+        out: list[bytes] = [b""] * len(texts)
+        start = 0
+        for i, end in zip(np.flatnonzero(~special).tolist(), ends, strict=True):
+            out[i], start = ids.flat[start:end].tobytes(), end
+        at = np.flatnonzero(special)
+        for i, t in zip(at.tolist(), texts.take(pa.array(at)).to_pylist(), strict=True):
+            out[i] = self.with_added(t)
+        return out
+
+    def decode(self, ids: bytes) -> bytes:
+        """The labels of the arcs that ids name, joined by spaces (UTF-8); ids beyond the vocabulary are left out."""
+        labels, n = self.labels, len(self.labels)
+        numbers = np.frombuffer(ids, "<u4")
+        if len(numbers) and int(numbers.max()) >= n:
+            numbers = numbers[numbers < n]
+        return b" ".join([label for label in map(labels.__getitem__, numbers.tolist()) if label is not None])
 
     def forget(self) -> None:
-        """Give back what was remembered of texts; the compiled automaton stays."""
-        self.words.clear()
-        self.chunks.clear()
+        """Give back the transitions that texts have built; the compiled automaton stays."""
         self.encoder.reset()
 
-    def decode(self, ids: bytes) -> bytes:
-        """The labels of the arcs, joined by spaces; ids beyond the vocabulary are left out."""
-        return " ".join(self.labels[i] for i in np.frombuffer(ids, "<u4").tolist() if i in self.labels).encode()
-
 
 _loaded: dict[str, WordTokenizer] = {}
 
@@ -298,8 +295,8 @@ def compiled(path: str) -> WordTokenizer:
     return _loaded[path]
 
 
-def encode_decode(docs, path: str, text: str = "text", carry: list[str] | None = None, outputs: bool = False):
-    """Encode and decode every whole text; returns ``carry`` and the digests of both.
+def encode_decode(docs: DataFrame, path: str, text: str = "text", carry: list[str] | None = None, outputs: bool = False) -> DataFrame:
+    """Encode every whole text, decode its ids; returns ``carry`` and the digests of both.
 
     Adds ``n_tokens``, ``ids_sha256`` (ids as little-endian unsigned 32-bit integers) and
     ``decoded_sha256`` (decoded text in UTF-8); with ``outputs`` also ``token_ids`` (array) and
@@ -308,11 +305,6 @@ def encode_decode(docs, path: str, text: str = "text", carry: list[str] | None =
     names are dropped; rows are encoded alone, without a shuffle; an empty table gives an empty
     result.
     """
-    import hashlib
-
-    import pyarrow as pa
-    from pyspark.sql import functions as F
-
     made = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"token_ids": "array<int>", "decoded": "string"} if outputs else {})
     carry = [c for c in (docs.columns if carry is None else carry) if c not in made]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema), *(f"{k} {v}" for k, v in made.items())])
@@ -321,13 +313,15 @@ def encode_decode(docs, path: str, text: str = "text", carry: list[str] | None =
         tokenizer = compiled(path)
         kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
         for batch in batches:
-            found = []
-            for t in batch.column(batch.num_columns - 1):
-                ids, label = tokenizer.encode(t.as_py() or "")
-                row = [len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(label).hexdigest()]
-                found.append([*row, np.frombuffer(ids, "<u4").astype(np.int32), label.decode("utf-8", "replace")] if outputs else row)
-            arrays = [pa.array([f[i] for f in found], kinds[i]) for i in range(len(made))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=[*carry, *made])
+            texts = batch.column(batch.num_columns - 1)
+            for start, end in slices(texts):
+                found = []
+                for ids in tokenizer.encode(texts.slice(start, end - start).fill_null("").cast(pa.string())):
+                    decoded = tokenizer.decode(ids)
+                    row = [len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()]
+                    found.append([*row, np.frombuffer(ids, "<u4").astype(np.int32), decoded.decode("utf-8", "replace")] if outputs else row)
+                arrays = [pa.array([f[i] for f in found], kinds[i]) for i in range(len(made))]
+                yield pa.RecordBatch.from_arrays([*(c.slice(start, end - start) for c in batch.columns[:-1]), *arrays], names=[*carry, *made])
         tokenizer.forget()  # Spark uses the worker again, perhaps for something else
 
     return docs.select(*carry, F.col(text).alias("the_text")).mapInArrow(run, schema)
