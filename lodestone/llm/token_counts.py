@@ -2,281 +2,152 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-#: Marks that are pre-tokens of their own behind a word, alone at its end.
-MARKS = frozenset(".,;:!?")
-#: Where these stand, splitting a text at spaces could change its pre-tokens.
-_UNSAFE = re.compile(r"\s \s|\s{3}|\s\Z")
-
-
-def plain(text: str) -> bool:
-    """Whether all characters come before U+0530, where letters are the same in all versions of Unicode."""
-    return text.isascii() or max(text) < "\u0530"
-
-
-def load(path: str):
-    """A tokenizer of the tokenizers library, without truncation or padding, on one thread."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return tokenizer
-
-
-class PreTokens:
-    """The pre-tokens of texts for a byte-level tokenizer whose pre-tokens may start with one space.
-
-    Such a tokenizer never joins a space to what stands before it, so between a character that is no
-    white space and a space a text can be cut; the chunks repeat a lot and are split once for each
-    block of documents.  Texts with longer runs of white space take the library's own pre-tokenizer as
-    a whole.  Added tokens are cut out first, as the library does, and are pre-tokens of their own.
-    """
-
-    def __init__(self, tokenizer) -> None:
-        self.tokenizer = tokenizer
-        added = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
-        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in tokenizer.get_added_tokens_decoder().values()) or tokenizer.normalizer is not None:
-            raise ValueError("only plain added tokens and no normaliser are supported")
-        self.added, self.cut = set(added), re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
-
-    def split(self, text: str) -> list[str]:
-        parts = self.cut.split(text) if self.cut else [text]
-        out: list[str] = []
-        for part in parts:
-            if part in self.added:
-                out.append(part)
-            elif part:
-                out += [part[i:j] for _, (i, j) in self.tokenizer.pre_tokenizer.pre_tokenize_str(part)]
-        return out
-
-    def split_chunk(self, chunk: str) -> list[str]:
-        """``split`` of a chunk behind a space, without the library for plain words and words with a mark."""
-        if chunk.isalpha() and plain(chunk):
-            return [" " + chunk]
-        if len(chunk) > 1 and chunk[-1] in MARKS and chunk[:-1].isalpha() and plain(chunk):
-            return [" " + chunk[:-1], chunk[-1]]
-        return self.split(" " + chunk)
-
-    def block(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-        """Pre-tokens of whole texts: the distinct ones, and (code, text, count) sorted by code and text."""
-        names: dict[str, int] = {}
-        code_of = lambda p: names.setdefault(p, len(names))
-        flat: list[int] = []
-        sizes: list[int] = []
-        split_chunk = self.split_chunk
-
-        class Chunks(dict):
-            def __missing__(self, chunk: str) -> int:
-                codes = [code_of(p) for p in split_chunk(chunk)]
-                flat.extend(codes)
-                sizes.append(len(codes))
-                self[chunk] = len(sizes) - 1
-                return len(sizes) - 1
-
-        chunks = Chunks()
-        out = [(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int64))]
-        for start in range(0, len(texts), SLICE):  # a slice has texts of its own, so counts never meet again
-            code, doc, at, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for d, text in enumerate(texts[start : start + SLICE]):
-                head, *rest = [text] if _UNSAFE.search(text) else text.split(" ")
-                own = [code_of(p) for p in self.split(head)]
-                code.append(np.array(own, np.int64))
-                doc.append(np.full(len(own), d, np.int64))
-                if rest:
-                    at.append(np.fromiter(map(chunks.__getitem__, rest), np.int64, len(rest)))
-                    of.append(np.full(len(rest), d, np.int64))
-            at, of, lengths = np.concatenate(at), np.concatenate(of), np.array(sizes, np.int64)
-            n = lengths[at]
-            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            code.append(np.array(flat, np.int64)[np.repeat((np.cumsum(lengths) - lengths)[at], n) + inside])
-            doc.append(np.repeat(of, n))
-            keys, counts = np.unique(np.concatenate(code) * SLICE + np.concatenate(doc), return_counts=True)
-            out.append(((keys // SLICE).astype(np.int32), (keys % SLICE + start).astype(np.int32), counts))
-        code, doc, counts = (np.concatenate(x) for x in zip(*out, strict=True))
-        order = np.argsort(code, kind="stable")
-        return list(names), code[order], doc[order], counts[order]
-
-
-#: Texts whose chunks are expanded at a time.
-SLICE = 1024
-#: Documents in a block at most, as places in it are written in two bytes.
-BLOCK = 1 << 16
+from .chunks import ByteTexts, slices
+
+#: Bytes of text in a block of documents (one text may be longer).
+BLOCK_BYTES = 24 << 20
+#: Columns of the frequency table: rows of pre-tokens, and one row for each block.
+SCHEMA = "at string, block long, place int, docs binary, postings binary"
+
+
+def frequencies(pre: ByteTexts, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pre-tokens of some texts, and (place of the pre-token, place of the text, count), sorted."""
+    whole = pre.whole(texts)
+    words, found = pre.read(texts.filter(pa.array(~whole)))
+    code, doc = found.flat, np.repeat(np.flatnonzero(~whole), found.lengths)
+    if whole.any():
+        at = np.flatnonzero(whole)
+        parts = [pre.split_whole(t) for t in texts.take(pa.array(at)).to_pylist()]
+        coded = pa.concat_arrays([words, pa.array([p for s in parts for p in s], pa.string())]).dictionary_encode()
+        codes = coded.indices.to_numpy().astype(np.int64)
+        code = np.concatenate([codes[code], codes[len(words) :]])
+        doc = np.concatenate([doc, np.repeat(at, np.fromiter(map(len, parts), np.int64, len(parts)))])
+        words = coded.dictionary
+    n = max(1, len(texts))
+    keys = np.sort(code * n + doc)
+    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    return words, keys[first] // n, keys[first] % n, np.diff(np.append(first, len(keys)))
+
+
+class Postings:
+    """Packed postings: how many documents hold each pre-token, which, and how often (255 at a time)."""
+
+    @staticmethod
+    def pack(words: int, code: np.ndarray, doc: np.ndarray, times: np.ndarray) -> bytes:
+        many = -(-times // 255)
+        last = np.cumsum(many) - 1
+        spread = np.full(int(many.sum()), 255, np.uint8)
+        spread[last] = times - 255 * (many - 1)
+        code, doc = np.repeat(code, many), np.repeat(doc, many)
+        # documents ascend: steps from one to the next are small where a pre-token is frequent
+        steps = np.where(np.diff(code, prepend=-1) != 0, doc, np.diff(doc, prepend=0))
+        sizes = np.bincount(code, minlength=words).astype("<i4")
+        raw = b"".join(x.tobytes() for x in (np.array([words], "<i4"), sizes, (steps & 255).astype(np.uint8), (steps >> 8).astype(np.uint8), spread))
+        return zstandard.ZstdCompressor(level=1).compress(raw)
+
+    @staticmethod
+    def sums(packed: bytes, pieces: np.ndarray, docs: int) -> np.ndarray:
+        """Of each document: the pieces of its pre-tokens, each as often as it stands there."""
+        raw = zstandard.ZstdDecompressor().decompress(packed)
+        words = int(np.frombuffer(raw, "<i4", 1)[0])
+        if words != len(pieces):
+            raise ValueError("a pre-token has no count")
+        sizes = np.frombuffer(raw, "<i4", words, 4)
+        n = int(sizes.sum())
+        low, high, times = np.frombuffer(raw, np.uint8, 3 * n, 4 + 4 * words).reshape(3, n)
+        doc = np.concatenate(([0], np.cumsum(low + (high.astype(np.int64) << 8))))
+        doc = doc[1:] - np.repeat(doc[np.cumsum(sizes) - sizes], sizes)
+        return np.bincount(doc, weights=times * np.repeat(pieces.astype(np.float64), sizes), minlength=docs).astype(np.int64)
 
 
 def pre_token_frequencies(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Pre-token frequencies of every document, grouped by block.
+    """Pre-token frequencies of every document, by blocks of documents.
 
-    A block is the documents of one Arrow batch of one task.  Rows are ``(at, block, postings)`` for
-    every distinct pre-token ``at`` of a block; the postings are the places of the documents that hold
-    it (two bytes each), then how often (one byte each; a document with more than 255 comes several
-    times).  One more row for each block, without postings, has its documents' ``ids`` and ``sizes`` in
-    bytes.  A frequent pre-token has no more rows than there are blocks, so no key is hot.
+    A block is some documents of one task (24 MB of text, or one longer one).  It has a row ``(at, block,
+    place)`` for every distinct pre-token ``at``, and one row with its documents' keys and sizes
+    (``docs``) and the packed ``postings``.  A pre-token has no more rows than there are blocks, so no
+    key is hot.
     """
-    kind = docs.schema[key].dataType.simpleString()
-    names = ["at", "block", "postings", "ids", "sizes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        pre = PreTokens(load(path))
+        pre = ByteTexts(path)
         number = TaskContext.get().partitionId() << 32
+        names = ["at", "block", "place", "docs", "postings"]
         for batch in batches:
-            for start in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(start, BLOCK)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                ids, n = part.column(0), part.num_rows
-                whole = pa.array([0, n], pa.int32())
-                sizes = pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([str(number)]), pa.array([number], pa.int64()), pa.nulls(1, pa.binary()), pa.ListArray.from_arrays(whole, ids), pa.ListArray.from_arrays(whole, sizes)], names=names)
-                words, code, doc, times = pre.block(texts)
-                many = -(-times // 255)
-                if many.sum() > len(many):
-                    last = np.cumsum(many) - 1
-                    code, doc = np.repeat(code, many), np.repeat(doc, many)
-                    spread = np.full(len(code), 255, np.int64)
-                    spread[last] = times - 255 * (many - 1)
-                    times = spread
-                edges = np.concatenate(([0], np.cumsum(np.bincount(code, minlength=len(words))))).tolist()
-                places, counts = doc.astype("<u2").tobytes(), times.astype(np.uint8).tobytes()
+            for start, end in slices(batch.column(1), BLOCK_BYTES):
+                part = batch.slice(start, end - start)
+                texts = part.column(1).fill_null("").cast(pa.string())
+                words, code, doc, times = frequencies(pre, texts)
+                sink = pa.BufferOutputStream()
+                mine = pa.RecordBatch.from_arrays([part.column(0), pa.compute.binary_length(texts).cast(pa.int64())], names=["id", "n_bytes"])
+                with pa.ipc.new_stream(sink, mine.schema) as out:
+                    out.write_batch(mine)
+                yield pa.RecordBatch.from_arrays([pa.array([str(number)]), pa.array([number], pa.int64()), pa.array([-1], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([Postings.pack(len(words), code, doc, times)], pa.binary())], names=names)
                 for i in range(0, len(words), 50_000):
-                    some = range(i, min(i + 50_000, len(words)))
-                    postings = [places[2 * edges[j] : 2 * edges[j + 1]] + counts[edges[j] : edges[j + 1]] for j in some]
+                    some = words.slice(i, 50_000)
                     m = len(some)
-                    yield pa.RecordBatch.from_arrays([pa.array(words[i : i + m], pa.string()), pa.array(np.full(m, number)), pa.array(postings, pa.binary()), pa.nulls(m, pa.list_(ids.type)), pa.nulls(m, pa.list_(pa.int64()))], names=names)
+                    yield pa.RecordBatch.from_arrays([some, pa.array(np.full(m, number)), pa.array(np.arange(i, i + m, dtype=np.int32)), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names=names)
                 number += 1
 
-    return docs.select(key, F.col(text).alias("the_text")).mapInArrow(run, f"at string, block long, postings binary, ids array<{kind}>, sizes array<long>")
-
-
-class Pieces:
-    """How many pieces the library makes of a pre-token.
-
-    Plain words behind a space are encoded many at a time, as one text, and told apart by their
-    length in bytes; a space always starts a new pre-token, so they encode as they do alone.
-    """
-
-    def __init__(self, tokenizer) -> None:
-        self.tokenizer = tokenizer
-        vocab = tokenizer.get_vocab(with_added_tokens=False)
-        self.bytes_of = np.zeros(max(tokenizer.get_vocab(True).values()) + 1, np.int64)
-        self.bytes_of[np.fromiter(vocab.values(), np.int64, len(vocab))] = np.fromiter(map(len, vocab), np.int64, len(vocab))
-
-    def alone(self, words: list[str]) -> list[int]:
-        return [len(e) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def together(self, words: list[str]) -> list[int]:
-        if not words:
-            return []
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, np.int64)
-        ends = np.cumsum(self.bytes_of[ids])
-        wanted = np.cumsum([len(w.encode()) for w in words])
-        cut = np.searchsorted(ends, wanted) + 1
-        if cut[-1] != len(ids) or (ends[cut - 1] != wanted).any():  # never seen; counted one by one
-            return self.alone(words)
-        return np.diff(cut, prepend=0).tolist()
+    return docs.select(key, F.col(text).alias("the_text")).mapInArrow(run, SCHEMA)
 
-    def count(self, words: list[str]) -> list[int]:
-        joint = [len(w) > 1 and w[0] == " " and w[1:].isalpha() and plain(w) for w in words]
-        rest = iter(self.alone([w for w, j in zip(words, joint, strict=True) if not j]))
-        many = iter(self.together([w for w, j in zip(words, joint, strict=True) if j]))
-        return [next(many if j else rest) for j in joint]
 
-
-def count_pieces(frequencies: DataFrame, path: str) -> DataFrame:
+def count_pieces(table: DataFrame, path: str) -> DataFrame:
     """``(at, pieces)`` for the distinct pre-tokens of a table that is partitioned by them.
 
     All rows of a pre-token are in one task, which counts it once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(load(path))
-        last = None
+        pre, last = ByteTexts(path), None
         for batch in batches:  # sorted: equal pre-tokens follow each other
-            own = batch.column("at").filter(batch.column("postings").is_valid())
-            words = [w for w in own.dictionary_encode().dictionary.to_pylist() if w != last]
+            own = batch.column("at").filter(batch.column("docs").is_null())
+            words = own.dictionary_encode().dictionary.to_pylist()
+            if words and words[0] == last:
+                words = words[1:]
             if words:
                 last = words[-1]
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(pieces.count(words), pa.int32())], names=["at", "pieces"])
+                counts = [1 if w in pre.added else n for w, n in zip(words, pre.pieces(words, len), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int32())], names=["at", "pieces"])
 
-    return frequencies.sortWithinPartitions("at").mapInArrow(run, "at string, pieces int")
+    return table.sortWithinPartitions("at").mapInArrow(run, "at string, pieces int")
 
 
 def token_counts(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", limit: int = 512) -> DataFrame:
     """One row for each input row: ``key``, ``n_bytes``, ``n_tokens``, ``over_limit``.
 
     Counts what the library's ``encode(text, add_special_tokens=False)`` gives for the whole text
-    (null: empty, 0 tokens).  Pieces are counted once for each distinct pre-token of the corpus,
-    joined to the per-document frequencies and summed; token ids of documents never exist.  Rows
-    count alone: repeated rows and null keys come out as often as they came in.  An empty table gives
-    an empty result.  Only ``key`` and ``text`` are read, so other columns cannot clash.
+    (null: empty, 0 tokens).  Pieces are counted once for each distinct pre-token of the corpus, joined
+    to the frequencies and summed at each block of documents; token ids never exist, and a task keeps
+    one block.  Rows count alone: repeated rows and null keys come out as often as they came in.  An
+    empty table gives an empty result.  Only ``key`` and ``text`` are read, so other columns cannot clash.
     """
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # one shuffle serves both sides of the join, so nothing may be filtered or pruned before it
-    frequencies = pre_token_frequencies(docs, path, text, key).repartition(n, "at")
-    pieces = count_pieces(frequencies, path).withColumnRenamed("at", "piece_at")
-    joined = frequencies.join(pieces, (F.col("at") == F.col("piece_at")) & F.col("postings").isNotNull(), "left")
-    kind = docs.schema[key].dataType.simpleString()
-
-    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums by document over the task: one row for each block and task, beside the blocks' own rows."""
-        total: dict[int, np.ndarray] = {}
-        names = ["block", "sums", "ids", "sizes"]
-        for batch in batches:
-            own = batch.filter(batch.column("postings").is_null())
-            if own.num_rows:
-                yield pa.RecordBatch.from_arrays([own.column("block"), pa.nulls(own.num_rows, pa.list_(pa.int64())), own.column("ids"), own.column("sizes")], names=names)
-            rows = batch.filter(batch.column("postings").is_valid())
-            blocks, pieces_of = rows.column("block").to_numpy(), rows.column("pieces").to_numpy(zero_copy_only=False)
-            raw = rows.column("postings").to_pylist()
-            order = np.argsort(blocks, kind="stable")
-            starts = np.flatnonzero(np.diff(blocks[order], prepend=-1))
-            for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
-                some = order[i:j]
-                lengths = np.array([len(raw[k]) // 3 for k in some])
-                places = np.frombuffer(b"".join(raw[k][: 2 * len(raw[k]) // 3] for k in some), "<u2")
-                counts = np.frombuffer(b"".join(raw[k][2 * len(raw[k]) // 3 :] for k in some), np.uint8)
-                sums = np.bincount(places, weights=counts * np.repeat(pieces_of[some].astype(np.float64), lengths)).astype(np.int64)
-                block = int(blocks[some[0]])
-                total[block] = longer_sum(total.get(block), sums)
-        for block, sums in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sums], pa.list_(pa.int64())), pa.nulls(1, id_list), pa.nulls(1, pa.list_(pa.int64()))], names=names)
-
-    def of_block(table: pa.Table) -> pa.Table:
-        """The documents of a block with the sums of all tasks."""
-        total, ids, sizes = np.zeros(0, np.int64), None, None
-        for i in range(table.num_rows):
-            if (sums := table.column("sums")[i]).is_valid:
-                total = longer_sum(total, sums.values.to_numpy())
-            else:
-                ids, sizes = table.column("ids")[i].values, table.column("sizes")[i].values
-        total = longer_sum(total, np.zeros(len(ids), np.int64))
-        return pa.table({"id": ids, "n_bytes": sizes, "n_tokens": total})
+    table = pre_token_frequencies(docs, path, text, key).repartition(n, "at")
+    pieces = count_pieces(table, path).withColumnRenamed("at", "piece_at")
+    joined = table.join(pieces, F.col("at") == F.col("piece_at"), "left")
+
+    def of_block(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        is_block = rows.column("docs").is_valid()
+        block, words = rows.filter(is_block), rows.filter(pa.compute.invert(is_block))
+        counts = np.zeros(words.num_rows, np.int64)
+        counts[words.column("place").to_numpy()] = words.column("pieces").to_numpy()
+        own = pa.ipc.open_stream(block.column("docs")[0].as_buffer()).read_all()
+        sums = Postings.sums(block.column("postings")[0].as_py(), counts, own.num_rows)
+        return pa.table({"id": own.column("id"), "n_bytes": own.column("n_bytes"), "n_tokens": sums})
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    id_list = pa.list_(to_arrow_type(docs.schema[key].dataType))
-    partial = joined.select("block", "postings", "ids", "sizes", "pieces").mapInArrow(add_up, f"block long, sums array<long>, ids array<{kind}>, sizes array<long>")
-    total = partial.groupBy("block").applyInArrow(of_block, f"id {kind}, n_bytes long, n_tokens long")
+    kind = docs.schema[key].dataType.simpleString()
+    total = joined.select("block", "place", "pieces", "docs", "postings").groupBy("block").applyInArrow(of_block, f"id {kind}, n_bytes long, n_tokens long")
     return total.select(F.col("id").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
-
-
-def longer_sum(a: np.ndarray | None, b: np.ndarray) -> np.ndarray:
-    """Sum of two arrays, the shorter one filled with zeros."""
-    if a is None:
-        return b
-    a, b = (a, b) if len(a) >= len(b) else (b, a)
-    a = a.copy()
-    a[: len(b)] += b
-    return a
