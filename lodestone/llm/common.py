@@ -2,46 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: ASCII white space that separates words wherever a contract says ``[^\x20\x09-\x0D]+``.
-SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where that setting is absent (tests in local mode) a local folder is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/") if "://" in base else "file://" + base.rstrip("/")
+from ..shared import cut as materialise
+from ..shared import new_folder, shared_dir
 
+__all__ = ["SPACES", "code_points", "connected_components", "free_name", "materialise", "mix", "new_folder", "powers_upto", "rolling", "roots", "shared_dir", "window_hash", "word_bounds"]
 
-def new_folder(spark: SparkSession, what: str) -> str:
-    """A fresh path below the shared folder; nothing is created yet."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage of ``df``: write it to the shared folder and read it back.
-
-    Unlike a local checkpoint the copy survives the loss of any executor.
-    """
-    spark = df.sparkSession
-    path = new_folder(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: ASCII white space that separates words wherever a contract says ``[^\x20\x09-\x0D]+``.
+SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -70,7 +41,7 @@ _inverse = np.ones(1, np.uint64)
 _P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
 
 
-def _upto(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers_upto(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse, modulo 2**64, at least ``n`` of them."""
     global _powers, _inverse
     if len(_powers) < n:
@@ -95,7 +66,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def rolling(values: np.ndarray) -> np.ndarray:
     """Prefix sums from which ``window_hash`` gives the hash of any slice of ``values``."""
-    powers, _ = _upto(len(values) + 1)
+    powers, _ = powers_upto(len(values) + 1)
     out = np.zeros(len(values) + 1, np.uint64)
     with np.errstate(over="ignore"):
         np.cumsum(mix(values + np.uint64(1)) * powers[: len(values)], out=out[1:])
@@ -104,7 +75,7 @@ def rolling(values: np.ndarray) -> np.ndarray:
 
 def window_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Rolling hash of the slices ``[start, end)``, equal for equal slices wherever they stand."""
-    _, inverse = _upto(len(prefix))
+    _, inverse = powers_upto(len(prefix))
     with np.errstate(over="ignore"):
         return (prefix[ends] - prefix[starts]) * inverse[starts]
 
