@@ -119,12 +119,17 @@ def components(docs: DataFrame, text: str = "text", key: str = "doc_id", radius:
 
 
 def classes(found: DataFrame, key: str, radius: int) -> DataFrame:
-    """``(fp, root, component_id)`` of each fingerprint of ``found``: its group, and the smallest key there."""
-    prints = found.groupBy("fp").agg(F.min(key).alias("least"))
-    links = connected_components(tile_links(prints.select("fp"), radius))
-    top = prints.join(links.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
-    least = top.groupBy("root").agg(F.min("least").alias("component_id"))
-    return materialise(top.join(least, "root").select("fp", "root", "component_id"), "classes")
+    """``(fp, root, component_id)`` of each fingerprint of ``found``: its group, and the smallest key there.
+
+    Fingerprints without links are groups of their own; only the others are joined to their group's
+    key, which is written first, so that Spark can split the rows of a group that holds many.
+    """
+    prints = materialise(found.groupBy("fp").agg(F.min(key).alias("least")), "prints")
+    links = connected_components(tile_links(prints.select("fp"), radius)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
+    near = materialise(prints.join(links, "fp"), "near")
+    least = materialise(near.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    alone = prints.join(links, "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
+    return materialise(near.join(least, "root").select("fp", "root", "component_id").unionByName(alone), "classes")
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
