@@ -93,11 +93,11 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str
     made = ("n_tokens", "weight", "block", "pass_start", "copies")
     size = F.regexp_count(F.col(text), F.lit(WORDS)) if tokens is None else F.col(tokens)
     base = docs.select(*[c for c in docs.columns if c not in made], F.coalesce(size, F.lit(0)).cast("long").alias("n_tokens"))
-    s = free_name(base, "mix_source")
+    s, b, inside, start, taken_from, block_of, passes, rest = (free_name(docs, c) for c in ("mix_source", "mix_block", "mix_inside", "mix_start", "mix_from", "mix_of", "mix_passes", "mix_rest"))
     hashed = F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")), F.xxhash64(F.col(text)))
     base = base.withColumn(s, F.col(source).cast("string")).withColumn("block", F.pmod(hashed, F.lit(blocks)).cast("int"))
-    sizes = materialise(base.groupBy(s, "block").agg(F.sum("n_tokens").alias("block_tokens")), "blocks")
-    totals = sizes.groupBy(s).agg(F.sum("block_tokens").alias("t")).limit(MAX_SOURCES + 1).collect()
+    sizes = materialise(base.groupBy(s, "block").agg(F.sum("n_tokens").alias(b)), "blocks")
+    totals = sizes.groupBy(s).agg(F.sum(b).alias("t")).limit(MAX_SOURCES + 1).collect()
     if len(totals) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     totals = sorted(totals, key=lambda r: (r[0] is not None, r[0] or ""))
@@ -106,17 +106,19 @@ def mix(docs: DataFrame, source: str = "source", key: str = "doc_id", text: str
     weights = tempered(amounts, find_exponent(amounts, whole, target_entropy, repetition_limit))
     plan = []
     for r, w, t in zip(totals, weights.tolist(), amounts, strict=True):
-        passes = math.floor(w * whole / t + 1e-9) if t else 0
-        plan.append((r[0], w, passes, w * whole - passes * t))
-    schema = T.StructType([T.StructField("s_", T.StringType()), T.StructField("weight", T.DoubleType()), T.StructField("passes_", T.LongType()), T.StructField("rest_", T.DoubleType())])
+        n = math.floor(w * whole / t + 1e-9) if t else 0
+        plan.append((r[0], w, n, w * whole - n * t))
+    schema = T.StructType([T.StructField(taken_from, T.StringType()), T.StructField("weight", T.DoubleType()), T.StructField(passes, T.LongType()), T.StructField(rest, T.DoubleType())])
     of_source = F.broadcast(spark.createDataFrame(plan, schema))  # one row for each source, bounded above
     turn = F.xxhash64(F.lit(seed), F.lit("block"), "block")
-    starts = sizes.select(F.col(s).alias("b_"), F.col("block").alias("block_"), F.coalesce(F.sum("block_tokens").over(W.partitionBy(s).orderBy(turn, "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("block_start"))
+    before = F.coalesce(F.sum(b).over(W.partitionBy(s).orderBy(turn, "block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    from_ = free_name(base, taken_from + "_block")
+    starts = sizes.select(F.col(s).alias(from_), F.col("block").alias(block_of), before.alias(start))
     inner = W.partitionBy(s, "block").orderBy(F.xxhash64(F.lit(seed + 1), F.coalesce(F.col(key).cast("string"), F.lit(""))), key, F.xxhash64(F.col(text))).rowsBetween(W.unboundedPreceding, -1)
-    out = base.withColumn("in_block", F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)))
-    out = out.join(starts, out[s].eqNullSafe(starts["b_"]) & (out["block"] == starts["block_"]))
-    out = out.join(of_source, out[s].eqNullSafe(of_source["s_"])).withColumn("pass_start", F.col("block_start") + F.col("in_block"))
-    taken = F.col("passes_") + F.when(F.col("pass_start") < F.col("rest_") - 1e-6, 1).otherwise(0)
+    out = base.withColumn(inside, F.coalesce(F.sum("n_tokens").over(inner), F.lit(0)))
+    out = out.join(starts, out[s].eqNullSafe(starts[from_]) & (out["block"] == starts[block_of]))
+    out = out.join(of_source, out[s].eqNullSafe(of_source[taken_from])).withColumn("pass_start", F.col(start) + F.col(inside))
+    taken = F.col(passes) + F.when(F.col("pass_start") < F.col(rest) - 1e-6, 1).otherwise(0)
     return out.withColumn("copies", taken.cast("long")).select(*[c for c in docs.columns if c not in made], *made)
 
 
