@@ -19,8 +19,8 @@ NEIGHBOURS, MOST = 8, 32
 #: Hyperplane partitions for the first graph, and vectors in a leaf of one.
 TREES, LEAF = 8, 256
 ROUNDS = 3
-#: Rows of a list that meet in one local join, and of a tile in the completion of groups.
-CHUNK, TILE = 48, 1024
+#: Rows of a list that meet in one local join, of a tile in the completion of groups, and of a product of two tiles.
+CHUNK, TILE, STRIP = 48, 4096, 512
 #: Vectors compared with all rows, share of them that need all of their links, and attempts to reach it.
 AUDIT, RECALL, ATTEMPTS = 512, 0.97, 8
 
@@ -28,12 +28,9 @@ AUDIT, RECALL, ATTEMPTS = 512, 0.97, 8
 def unit_vectors(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
     """``(id, unit)`` with unit vectors as float64 bytes; null ``unit`` where a row links with nothing.
 
-    That is: a null vector or key, a zero vector, a null or non-finite component, or a length that
-    is not the table's commonest (ties: the longer one).
+    That is: a null or empty vector, a null key, a zero vector, a null or non-finite component.
     """
     base = vectors.select(F.col(key).alias("id"), F.col(embedding).cast("array<double>").alias("e"))
-    top = base.where("e is not null and size(e) > 0").groupBy(F.size("e").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    dim = top[0]["d"] if top else 0
     kind = vectors.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,7 +38,7 @@ def unit_vectors(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
             out = []
             for i, e in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 unit = None
-                if i is not None and e is not None and len(e) == dim and None not in e:
+                if i is not None and e and None not in e:
                     v = np.array(e, np.float64)
                     if np.isfinite(v).all() and (big := np.abs(v).max()) > 0:
                         v = v / big
@@ -169,29 +166,50 @@ def exact_links(graph: DataFrame, nodes: DataFrame, threshold: float) -> DataFra
     return both.select("a", "b", "ua", "ub").mapInArrow(check, "a long, b long")
 
 
+def in_tiles(members: DataFrame, tile: int, columns: list[str]) -> DataFrame:
+    """``(component, part, rows)``: members of each component dealt into parts of about ``tile``.
+
+    Only components with several parts are joined to their number, and rows are dealt by component and part,
+    so that a large component never meets in one task.
+    """
+    large = materialise(members.groupBy("component").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts")).where("parts > 1"), "large")
+    part = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int")
+    dealt = members.join(large, "component", "left").withColumn("part", part).repartition("component", "part")
+    packed = dealt.groupBy("component", "part").agg(F.collect_list(F.struct(*columns)).alias("rows"), F.max("parts").alias("parts"))
+    return packed.withColumn("parts", F.coalesce("parts", F.lit(1)))
+
+
 def complete(members: DataFrame, threshold: float, tile: int) -> DataFrame:
     """``(node, links)``: each vector's links inside its component, counted in full.
 
     Lists stop at ``MOST`` entries; a vector with more links has them all in its component, whose
-    members are compared tile by tile.  Counts leave a task, never pairs.
+    members are compared tile by tile, each pair of tiles once.  Counts leave a task, never pairs.
     """
-    sizes = members.groupBy("component").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
-    dealt = members.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    tiles = materialise(dealt.groupBy("component", "part").agg(F.collect_list(F.struct("node", "unit", "copies")).alias("rows"), F.first("parts").alias("parts")), "tiles")
+    tiles = materialise(in_tiles(members, tile, ["node", "unit", "copies"]), "tiles")
     # small components go together: a task gets many of them in one batch
-    left = tiles.select("component", F.col("part").alias("pa"), F.col("rows").alias("ra"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("pb"))
+    left = tiles.select("component", F.col("part").alias("pa"), F.col("rows").alias("ra"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("pb"))
     pairs = left.join(tiles.select("component", F.col("part").alias("pb"), F.col("rows").alias("rb")), ["component", "pb"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ra, rb in zip(batch.column(0), batch.column(1), strict=True):
+            for pa_, pb_, ra, rb in zip(*(batch.column(i) for i in range(4)), strict=True):
                 a, b = ra.values, rb.values
                 x, y = _stack(a.field(1).to_pylist()), _stack(b.field(1).to_pylist())
-                na, nb, copies = a.field(0).to_numpy(), b.field(0).to_numpy(), b.field(2).to_numpy()
-                near = (x @ y.T >= threshold) & (na[:, None] != nb[None, :])
-                yield pa.RecordBatch.from_arrays([pa.array(na), pa.array(near @ copies)], names=["node", "links"])
-
-    return pairs.select("ra", "rb").mapInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
+                na, nb = a.field(0).to_numpy(), b.field(0).to_numpy()
+                same = pa_.as_py() == pb_.as_py()
+                of_a, of_b = np.zeros(len(na), np.int64), np.zeros(len(nb), np.int64)
+                for i in range(0, len(na), STRIP):
+                    near = x[i : i + STRIP] @ y.T >= threshold
+                    if same:
+                        near &= na[i : i + STRIP, None] != nb[None, :]
+                    of_a[i : i + STRIP] = near @ b.field(2).to_numpy()
+                    if not same:
+                        of_b += a.field(2).to_numpy()[i : i + STRIP] @ near
+                yield pa.RecordBatch.from_arrays([pa.array(na), pa.array(of_a)], names=["node", "links"])
+                if not same:
+                    yield pa.RecordBatch.from_arrays([pa.array(nb), pa.array(of_b)], names=["node", "links"])
+
+    return pairs.select("pa", "pb", "ra", "rb").mapInArrow(count, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
 def cross_links(graph: DataFrame, members: DataFrame, threshold: float, most: int, tile: int) -> DataFrame:
@@ -203,9 +221,7 @@ def cross_links(graph: DataFrame, members: DataFrame, threshold: float, most: in
     """
     full = graph.where(F.col("sim") >= threshold - 1e-4).select("u", "v").distinct().groupBy("u").count().where(F.col("count") >= most).select(F.col("u").alias("node"))
     dense = members.join(full, "node").select("component", "node", "unit")
-    sizes = dense.groupBy("component").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
-    dealt = dense.join(sizes, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    packed = dealt.groupBy("component", "part").agg(F.collect_list(F.struct("node", "unit")).alias("rows"))
+    packed = in_tiles(dense, tile, ["node", "unit"]).select("component", "part", "rows")
 
     def ball(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,10 +263,13 @@ def cross_links(graph: DataFrame, members: DataFrame, threshold: float, most: in
         for batch in batches:
             for ra, rb in zip(batch.column(0), batch.column(1), strict=True):
                 a, b = ra.values, rb.values
-                sims = _stack(a.field(1).to_pylist()) @ _stack(b.field(1).to_pylist()).T
-                i, j = np.unravel_index(int(sims.argmax()), sims.shape)
-                if sims[i, j] >= threshold:
-                    yield pa.RecordBatch.from_arrays([a.field(0).slice(i, 1), b.field(0).slice(j, 1)], names=["a", "b"])
+                x, y = _stack(a.field(1).to_pylist()), _stack(b.field(1).to_pylist())
+                for start in range(0, len(x), STRIP):
+                    sims = x[start : start + STRIP] @ y.T
+                    i, j = np.unravel_index(int(sims.argmax()), sims.shape)
+                    if sims[i, j] >= threshold:
+                        yield pa.RecordBatch.from_arrays([a.field(0).slice(start + int(i), 1), b.field(0).slice(int(j), 1)], names=["a", "b"])
+                        break
 
     return both.select("ra", "rb").mapInArrow(link, "a long, b long")
 
@@ -312,7 +331,8 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     or among those with few, more or many), another descent from other partitions adds to the graph.
     Where that finds nothing new, or ``attempts`` are used up, an error tells the share.
 
-    Equal vectors are one node with a count: they link with each other and are never compared.  Rows
+    Vectors of different lengths never link; each length is worked on alone.  Equal vectors are one node
+    with a count: they link with each other and are never compared.  Rows
     that cannot be compared (see ``unit_vectors``) have no links and are components of their own;
     a null key has a null component and is not kept.  Keys are expected to be integers and unique;
     rows that repeat a key count as vectors of their own.  An empty table gives an empty result.  Only
@@ -320,18 +340,41 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     """
     kind = vectors.schema[key].dataType
     rows = materialise(unit_vectors(vectors, key, embedding), "units")
-    same = rows.where("unit is not null").groupBy("unit").agg(F.min("id").cast("long").alias("node"), F.count("*").alias("copies"))
+    same = rows.where("unit is not null").groupBy("unit").agg(F.min("id").cast("long").alias("node"), F.count("*").alias("copies"), F.min("id").alias("first_id"))
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            small = [np.frombuffer(u, np.float64).astype(np.float32).tobytes() for u in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(small, pa.binary())], names=["node", "unit", "copies", "small"])
+            small = [np.frombuffer(u, np.float64).astype(np.float32).tobytes() for u in batch.column("unit").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(small, pa.binary())], names=[*names, "small"])
 
     # two nodes may not share a name: of rows that repeat a key with other vectors, later ones get negative names
+    names = ["node", "unit", "copies", "first_id"]
     named = same.withColumn("n_", F.row_number().over(W.partitionBy("node").orderBy("unit")))
-    named = named.select(F.when(F.col("n_") == 1, F.col("node")).otherwise(-F.abs(F.xxhash64("unit")) - 1).alias("node"), "unit", "copies")
-    nodes = materialise(named.mapInArrow(shrink, "node long, unit binary, copies long, small binary"), "nodes")
-    graph, links, before = None, None, -1
+    named = named.select(F.when(F.col("n_") == 1, F.col("node")).otherwise(-F.abs(F.xxhash64("unit")) - 1).alias("node"), *names[1:])
+    nodes = materialise(named.mapInArrow(shrink, f"node long, unit binary, copies long, first_id {kind.simpleString()}, small binary"), "nodes")
+    lengths = [r[0] for r in nodes.select(F.length("unit")).distinct().collect()]  # one, as a rule
+    found = links = None
+    for length in lengths:
+        own = nodes if len(lengths) == 1 else materialise(nodes.where(F.length("unit") == length), "nodes")
+        more_found, more_links = linked(own, threshold, k, most, rounds, trees, leaf, tile, audit_size, recall, attempts)
+        found = more_found if found is None else found.unionByName(more_found)
+        links = more_links if links is None else links.unionByName(more_links)
+    if found is None:
+        found, links = nodes.select("node", F.col("node").alias("component")), nodes.select("node", F.col("copies").alias("links"))
+    near = materialise(nodes.select("node", "unit", "copies", "first_id").join(found, "node"), "near")
+    least = materialise(near.groupBy("component").agg(F.min("first_id").alias("component_id")), "least")
+    counted = near.join(least, "component").join(links, "node", "left")
+    alone = nodes.join(found, "node", "left_anti").select("unit", "copies", F.lit(0).cast("long").alias("links"), F.col("first_id").alias("component_id"))
+    every = counted.select("unit", "copies", "links", "component_id").unionByName(alone)
+    classes = every.select("unit", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    out = rows.join(classes, "unit", "left")
+    component = F.when(F.col("unit").isNull(), F.col("id")).otherwise(F.col("component_id")).cast(kind)
+    return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+
+
+def linked(nodes: DataFrame, threshold: float, k: int, most: int, rounds: int, trees: int, leaf: int, tile: int, audit_size: int, recall: float, attempts: int) -> tuple[DataFrame, DataFrame]:
+    """``(node, component)`` and ``(node, links)`` of distinct vectors of one length; those without links do not appear."""
+    graph, before = None, -1
     n = nodes.count()
     trees = enough_trees(n, leaf, trees, threshold)
     rounds += max(0, int(np.ceil(np.log10(max(1, n) / 100_000))))
@@ -339,25 +382,18 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
         more = descend(nodes, threshold, k, most, rounds, trees, leaf, seed=1000 * attempt)
         graph = more if graph is None else graph.unionByName(more)
         exact = materialise(exact_links(graph, nodes, threshold), "exact")
-        found = connected_components(exact)
-        members = nodes.join(found.select("node", "component"), "node")
+        found = connected_components(exact).select("node", "component")
+        members = nodes.join(found, "node").select("component", "node", "unit", "copies")
         across = materialise(cross_links(graph, members, threshold, most, tile), "across")
         if not across.isEmpty():
-            found = connected_components(exact.unionByName(across))
-            members = nodes.join(found.select("node", "component"), "node")
-        links = materialise(complete(members.select("component", "node", "unit", "copies"), threshold, tile), "links")
+            found = connected_components(exact.unionByName(across)).select("node", "component")
+            members = nodes.join(found, "node").select("component", "node", "unit", "copies")
+        links = materialise(complete(members, threshold, tile), "links")
         share = whole_share(audited(nodes, links, threshold, audit_size), recall)
         if share >= recall:
-            break
+            return found, links
         total = links.agg(F.sum("links")).first()[0] or 0
-        if total == before or attempt == attempts - 1:
-            raise RuntimeError(f"{share:.3f} of the audited vectors have all of their links after {attempt + 1} descents; {recall} is wanted")
+        if total == before:
+            break
         before = total
-    of_node = nodes.join(found, "node", "left").join(links, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    ids = rows.where("unit is not null").groupBy("unit").agg(F.min("id").alias("first_id"))
-    of_node = of_node.join(ids, "unit")
-    least = of_node.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = of_node.join(least, "root").select("unit", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    out = rows.join(classes, "unit", "left")
-    component = F.when(F.col("unit").isNull(), F.col("id")).otherwise(F.col("component_id")).cast(kind)
-    return out.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
+    raise RuntimeError(f"{share:.3f} of the audited vectors have all of their links after {attempt + 1} descents; {recall} is wanted")
