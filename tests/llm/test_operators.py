@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm import automaton, language, mixing, nn_descent, passages, quality, queries, sharding, simhash, token_counts, token_files
+from lodestone.llm import automaton, chunks, language, mixing, nn_descent, passages, quality, queries, sharding, simhash, token_counts, token_files
 from lodestone.llm.common import connected_components, roots
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -71,14 +71,13 @@ def test_fenwick_chains_match_quadratic():
     for _ in range(30):
         n = int(rng.integers(1, 40))
         x, y = rng.choice(4000, n, replace=False), rng.choice(4000, n, replace=False)
-        size = np.full(n, 12)
-        sx, sy, ex, seeds = passages.merge_runs(x, y, size, passages.GAP)
+        sx, sy, ex, seeds = passages.merge_runs(x, y, passages.GAP)
         ey, cost = sy + ex - sx, 1 / (2 * passages.GAP)
         order, score = np.argsort(sx, kind="stable"), np.zeros(len(sx))
         for i in order:
             gains = [score[j] - cost * (sx[i] - ex[j] + sy[i] - ey[j]) for j in order if ex[j] <= sx[i] and ey[j] <= sy[i] and score[j] > 0]
             score[i] = seeds[i] + max([0.0, *gains])
-        best = passages.chains(x, y, size)[0]
+        best = passages.chains(x, y)[0]
         assert best[1] == ex[int(np.argmax(score))] or math.isclose(score.max(), score[list(ex).index(best[1])])
 
 
@@ -177,6 +176,41 @@ def test_passage_whose_seeds_an_earlier_document_has_first(spark):
     assert all(len(text[r.doc_id][r.start : r.end].split()) == 60 for r in found)
 
 
+def test_passage_whose_halves_stand_in_earlier_documents(spark):
+    """Two documents share 70 words; two earlier ones have a half each, too short to be reported."""
+    rng, rows = random.Random(51), []
+    for i in range(0, 400, 4):
+        one, two = sentence(rng, 35), sentence(rng, 35)
+        around = lambda t: f"{sentence(rng, 40)} {t} {sentence(rng, 40)}"
+        rows += [(i, around(one)), (i + 1, around(two)), (i + 2, around(f"{one} {two}")), (i + 3, around(f"{one} {two}"))]
+    got = {(r.doc_id, r.other) for r in passages.find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got & {(i + 3, i + 2) for i in range(0, 400, 4)}) >= 97
+
+
+def test_fuzzy_passages_of_60_words(spark):
+    """Every sixth word changed: 0.83 of 60 words agree."""
+    rng, rows, n = random.Random(61), [], 100
+    for i in range(n):
+        words = sentence(rng, 60).split()
+        other = ["changed" + sentence(rng, 1) if at % 6 == 3 else w for at, w in enumerate(words)]
+        rows += [(2 * i, f"{sentence(rng, 60)} {' '.join(words)} {sentence(rng, 60)}"), (2 * i + 1, f"{sentence(rng, 60)} {' '.join(other)} {sentence(rng, 60)}")]
+    got = {(r.doc_id, r.other) for r in passages.find_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got & {(2 * i + 1, 2 * i) for i in range(n)}) >= 95
+
+
+def test_passages_of_rows_that_repeat_a_key(spark):
+    """Equal rows are one document; of other texts under one key that with the smallest hash is looked at."""
+    rng = random.Random(71)
+    passage = sentence(rng, 60)
+    rows = [(1, f"{sentence(rng, 30)} {passage}"), (2, f"{passage} {sentence(rng, 30)}"), (2, f"{passage} {sentence(rng, 31)}"), (3, f"{sentence(rng, 9)} {passage}"), (3, None)]
+    rows += [rows[3], (None, passage), (None, passage)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = passages.find_passages(df).collect()
+    assert {(r.doc_id, r.other) for r in found} <= {(2, 1), (3, 1), (3, 2)} and {r.doc_id for r in found} >= {2}
+    kept = passages.remove_passages(df).collect()
+    assert sum(passage in (r.text or "") for r in kept if r.doc_id == 2) == 1 and sum(r.doc_id is None for r in kept) == 2
+
+
 def test_fuzzy_passages_recall(spark):
     """Copies of 50 words with one to two words in ten replaced, at random and at regular places."""
     rng, rows, n = random.Random(41), [], 60
@@ -205,7 +239,7 @@ def test_passages_odd(odd, empty):
 
 
 def test_token_counts(docs, texts, odd, empty):
-    library = token_counts.load(BYTE_BPE)
+    library = chunks.load(BYTE_BPE)
     for df, rows in ((docs, list(texts.items())), (odd, [(r.doc_id, r.text) for r in odd.collect()])):
         got = Counter(tuple(r) for r in token_counts.token_counts(df, BYTE_BPE).collect())
         want = Counter()
@@ -217,7 +251,7 @@ def test_token_counts(docs, texts, odd, empty):
 
 
 def test_token_files(spark, docs, texts, odd, empty):
-    library = token_counts.load(BYTE_BPE)
+    library = chunks.load(BYTE_BPE)
     at, want = 0, []
     for i in sorted(texts):
         ids = np.array([*library.encode(texts[i], add_special_tokens=False).ids, 0], "<u4")
@@ -242,7 +276,7 @@ def test_token_files_read_some(spark, docs, texts, tmp_path):
 
     index = token_files.write(docs, f"file://{tmp_path}/out", BYTE_BPE)
     row = token_files.read(index.where("key = 17")).first()
-    library = token_counts.load(BYTE_BPE)
+    library = chunks.load(BYTE_BPE)
     assert row.token_ids == [*library.encode(texts[17], add_special_tokens=False).ids, 0]
     path = index.where("key = 17").first().path
     raw = open(path.removeprefix("file://"), "rb").read()
@@ -257,7 +291,7 @@ def test_token_files_read_some(spark, docs, texts, tmp_path):
 
 
 def test_bpe(docs, texts, odd, empty):
-    library = token_counts.load(WORD_BPE)
+    library = chunks.load(WORD_BPE)
     for df, rows in ((docs, list(texts.items())), (odd, [(r.doc_id, r.text) for r in odd.collect()])):
         want = Counter()
         for i, t in rows:
@@ -269,12 +303,20 @@ def test_bpe(docs, texts, odd, empty):
     assert automaton.encode_decode(empty, WORD_BPE).count() == 0
 
 
+def test_ids_decode_by_their_labels():
+    library, own = chunks.load(WORD_BPE), automaton.WordTokenizer(WORD_BPE)
+    rng = np.random.default_rng(5)
+    for ids in ([], [49406, 7, 49407], rng.integers(0, 49408, 500).tolist()):
+        assert own.decode(np.array(ids, "<u4").tobytes()) == library.decode(ids, skip_special_tokens=False).encode()
+    assert own.decode(np.array([7, 10**6, 8], "<u4").tobytes()) == library.decode([7, 8], skip_special_tokens=False).encode()
+
+
 def test_automaton_accepts_exactly_the_tokenizations():
     """All words over two letters against merging by rank; self-merges included."""
     merges = [("a", "b"), ("a", "a"), ("ab", "a"), ("aa", "aa"), ("b", "ab"), ("aba", "b")]
     ids = {s: i for i, s in enumerate(["a", "b", *(x + y for x, y in merges)])}
     machine = automaton.Automaton(["a", "b"], merges, ids)
-    spell = {0: ("a",), 1: ("b",)}
+    spell = {0: (0,), 1: (1,)}
     for x, y in merges:
         if ids[x + y] in machine.target:  # the last merge can never apply: "ab" is merged before
             spell[ids[x + y]] = spell[ids[x]] + spell[ids[y]]
@@ -289,7 +331,7 @@ def test_automaton_accepts_exactly_the_tokenizations():
                     break
                 i = min(ranked)[1]
                 parts[i : i + 2] = [parts[i] + parts[i + 1]]
-            assert encoder.encode(word) == [ids[p] for p in parts], word
+            assert encoder.encode(["ab".index(c) for c in word]) == [ids[p] for p in parts], word
 
 
 # 3 -------------------------------------------------------------------------------------------------
@@ -340,6 +382,34 @@ def test_dense_groups_whose_lists_are_full_are_joined(spark):
     assert got == want
 
 
+def test_vectors_of_several_lengths(spark):
+    """Each length links within itself; a component of several tiles is counted in full."""
+    rng = np.random.default_rng(28)
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [1.0, 0.0, 0.0]), (4, [0.0, 1.0]), (5, [1.0, 0.0, 0.02])]
+    centre = rng.standard_normal(12)
+    rows += [(100 + i, (centre + rng.standard_normal(12) * 0.2).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in nn_descent.near_vectors(df, leaf=64, tile=32).collect()}
+    want = {1: (1, 1), 2: (1, 1), 3: (1, 3), 4: (0, 4), 5: (1, 3)} | brute_links(rows[5:])
+    assert got == want
+
+
+def test_isolated_pairs_at_eleven_planes(spark):
+    """Pairs at a cosine of 0.91 in leaves as small as those of half a million vectors."""
+    rng = np.random.default_rng(38)
+    base = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+    rows = []
+    for i in range(2000):
+        v = rng.standard_normal(64)
+        v /= np.linalg.norm(v)
+        w = rng.standard_normal(64)
+        w -= (w @ v) * v
+        rows += [(2 * i, (base @ v).tolist()), (2 * i + 1, (base @ (0.91 * v + np.sqrt(1 - 0.91**2) * w / np.linalg.norm(w))).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in nn_descent.near_vectors(df, leaf=2).collect()}
+    assert sum(got[2 * i] == (1, 2 * i) == got[2 * i + 1] for i in range(2000)) >= 0.97 * 2000
+
+
 def test_near_vectors_recall_audit(spark):
     """The audit's brute force agrees with numpy."""
     rng = np.random.default_rng(9)
@@ -595,6 +665,16 @@ def test_mixing(docs, texts, how):
         assert len(blocks) == len(set(blocks))  # blocks come whole
 
 
+def test_mixing_keeps_columns_that_clash(spark):
+    names = ["rest_", "s_", "b_", "in_block", "mix_source", "mix_inside", "mix_from", "mix_rest", "passes_", "block_start"]
+    rows = [(i, f"src{i % 3}", "a b c d " * (i % 7), *(f"{n}{i}" for n in names)) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, " + ", ".join(f"{n} string" for n in names))
+    got = mixing.mix(df, repetition_limit=2.0)
+    assert got.columns == [*df.columns, "n_tokens", "weight", "block", "pass_start", "copies"]
+    assert all(r[n] == f"{n}{r.doc_id}" for r in got.collect() for n in names)
+    assert mixing.realise(df, repetition_limit=2.0).columns == df.columns
+
+
 def test_mixing_odd(odd, empty):
     rows = mixing.mix(odd, repetition_limit=1.0).collect()
     assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in odd.collect()) and all(r.copies == 1 for r in rows if r.n_tokens)

@@ -7,7 +7,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from lodestone.llm import mixing, queries, simhash, token_counts
+from lodestone.llm import chunks, mixing, queries, simhash
 from lodestone.llm.common import materialise, roots
 
 
@@ -56,7 +56,7 @@ def test_mixing_stage(stages):
 
 
 def test_bpe_stage(stages):
-    library = token_counts.load(queries.tokenizer_path("word_bpe_49k.json"))
+    library = chunks.load(queries.tokenizer_path("word_bpe_49k.json"))
     want = Counter()
     for r in stages[4].collect():
         ids = library.encode(r.text, add_special_tokens=False).ids
