@@ -2,19 +2,43 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import cut as materialise
 from ..shared import new_folder, shared_dir
 
-__all__ = ["SPACES", "code_points", "connected_components", "free_name", "materialise", "mix", "new_folder", "powers_upto", "rolling", "roots", "shared_dir", "window_hash", "word_bounds"]
+__all__ = ["SPACES", "code_points", "connected_components", "free_name", "give_back", "materialise", "mix", "new_folder", "powers_upto", "rolling", "roots", "shared_dir", "tidy", "window_hash", "word_bounds"]
 
 #: ASCII white space that separates words wherever a contract says ``[^\x20\x09-\x0D]+``.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
+def give_back() -> None:
+    """Return to the system what this process has freed; Spark keeps Python workers for later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, a function for ``mapInArrow``, which gives memory back at the end of each task."""
+
+    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return all_of
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores added until no column of ``df`` clashes with it."""
     taken = {c.lower() for c in df.columns}
