@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .functions import ids, text, vectors
-from .operators import address, analytics, evaluate, extract, gnn, store
+from .operators import address, analytics, evaluate, extract, gnn, ingest, store
 from .plans import planner, reader
 from .shared import cut, new_folder
+from .sources import patents
 from .sources.files import parse_envelopes
 from .sources.star import star_triples, table
 
@@ -75,11 +76,10 @@ def graph_of(spark: SparkSession, sf_dir: str) -> store.Graph:
     return store.ingest(star_triples(spark, sf_dir))
 
 
-def written_graph(spark: SparkSession, sf_dir: str) -> store.Graph:
-    """The graph in the shared folder, for queries that read it more than once."""
-    triples = cut(star_triples(spark, sf_dir))
-    g = store.ingest(triples)
-    return store.Graph(cut(g.entities), g.edges, cut(g.entity_docs))
+def written_graph(spark: SparkSession, sf_dir: str, *parts: str) -> store.Graph:
+    """The graph, with those parts in the shared folder that a query reads more than once."""
+    g = graph_of(spark, sf_dir)
+    return store.Graph(*(cut(getattr(g, n)) if n in parts else getattr(g, n) for n in ("entities", "edges", "entity_docs")))
 
 
 # store ---------------------------------------------------------------------------------------------------
@@ -102,7 +102,7 @@ def _append(spark, sf_dir):
     """Edges of all orders, appended to the entities that finished orders mention."""
     triples = star_triples(spark, sf_dir)
     finished = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("doc_id"))
-    known = store.merge_entities(extract.mentions(triples.join(finished, "doc_id", "left_semi")))
+    known = cut(store.merge_entities(extract.mentions(triples.join(finished, "doc_id", "left_semi"))))
     return store.append_edges(store.edges_of(triples), known)
 
 
@@ -116,16 +116,35 @@ def edge_reject_anti(spark, sf_dir):
     return _append(spark, sf_dir)[1].groupBy("relation").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
 
 
-@query(f"WITH {GRAPH} SELECT DISTINCT p_name AS asked, entity_id, name FROM part JOIN entities ON lower(name) = lower(p_name)")
+@query(f"""WITH {GRAPH} SELECT DISTINCT p_name AS asked, entity_id, name FROM part JOIN entities ON lower(name) = lower(p_name)
+  UNION ALL SELECT 's' || s_suppkey, entity_id, name FROM supplier JOIN entities ON name = {_plain('s_name')}""")
 def find_by_name(spark, sf_dir):
-    asked = table(spark, sf_dir, "part").select(F.upper("p_name").alias("up"), F.col("p_name").alias("asked")).distinct()
-    e = graph_of(spark, sf_dir).entities
-    return asked.join(e, F.lower("up") == F.lower("name")).select("asked", "entity_id", "name")
+    """Part names in upper case, and aliases: a supplier is also known by its number and nation."""
+    asked = table(spark, sf_dir, "part").select(F.upper("p_name").alias("up"), F.col("p_name").alias("asked"))
+    number = F.format_string("S%d", "s_suppkey")
+    asked = asked.unionByName(table(spark, sf_dir, "supplier").select(number.alias("up"), F.lower(number).alias("asked"))).distinct()
+    aliases = table(spark, sf_dir, "supplier").select(F.lit(0).cast("long").alias("tenant"), ids.entity_id(text.plain_name(F.col("s_name"))).alias("entity_id"), F.array(number).alias("aliases"))
+    e = graph_of(spark, sf_dir).entities.join(aliases, ["tenant", "entity_id"], "left")
+    return store.find_by_name(e, asked, "up").select("asked", "entity_id", "name")
 
 
-@query(f"WITH {GRAPH} SELECT tenant, entity_id, name, 'concept' AS etype FROM entities WHERE contains(lower(name), 'nation') ORDER BY tenant, entity_id LIMIT 10")
+@query(f"WITH {GRAPH}, l AS (SELECT tenant, entity_id, name FROM entities WHERE contains(lower(name), 'nation') ORDER BY tenant, entity_id LIMIT 10) SELECT l.tenant, l.entity_id, name, 'concept' AS etype, '' AS aliases, false AS has_embedding, count(*) AS n_docs, min(doc_id) AS first_doc FROM l JOIN entity_docs d ON d.entity_id = l.entity_id GROUP BY 1, 2, 3")
 def list_filter_limit(spark, sf_dir):
-    return store.listing(graph_of(spark, sf_dir).entities, "Nation", 10)
+    g = written_graph(spark, sf_dir, "entities")
+    return store.listing_rows(g.entities, g.entity_docs, "Nation", 10).withColumn("aliases", F.array_join("aliases", ","))
+
+
+@query(f"WITH {GRAPH} SELECT tenant, entity_id, name FROM entities WHERE entity_id = {_eid("'NATION 7'")}")
+def point_lookup(spark, sf_dir):
+    wanted = spark.range(1).select(ids.entity_id(F.lit("nation 7")).alias("i")).first()["i"]
+    return store.entity(graph_of(spark, sf_dir).entities, 0, wanted).select("tenant", "entity_id", "name")
+
+
+@query(f"WITH {GRAPH} SELECT src, seq, row_number() OVER (ORDER BY seq, src, relation, dst) - 1 AS number FROM edges QUALIFY number % 100 = 0")
+def edge_resequence(spark, sf_dir):
+    """Every hundredth edge, with its number in the order of documents."""
+    e = graph_of(spark, sf_dir).edges.withColumn("old", F.col("seq"))
+    return store.resequenced(e).where("seq % 100 = 0").select("src", F.col("old").alias("seq"), F.col("seq").alias("number"))
 
 
 @query(f"WITH {GRAPH} SELECT 0::BIGINT AS tenant, (SELECT count(*) FROM entities) AS entities, (SELECT count(*) FROM edges) AS edges")
@@ -147,7 +166,7 @@ def _hop_sql(hops: int) -> str:
 
 def _hops(spark, sf_dir, hops):
     seeds = table(spark, sf_dir, "part").select(F.lit(0).cast("long").alias("tenant"), ids.entity_id(text.plain_name(F.col("p_name"))).alias("entity_id"))
-    return store.k_hop(written_graph(spark, sf_dir).edges, seeds, hops, cut)
+    return store.k_hop(graph_of(spark, sf_dir).edges, seeds, hops, cut)
 
 
 @query(_hop_sql(1))
@@ -274,14 +293,80 @@ def html_fields(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", f["title"].alias("title"), f["heading"].alias("heading"), F.md5(F.array_join(f["paragraphs"], "|").cast("binary")).alias("paragraphs"), F.array_join(f["links"], "|").alias("links"))
 
 
-@query("""WITH c AS (SELECT p_partkey, 'Patent ' || p_partkey || ': ' || p_name || '. by ' || p_brand || '. Assigned to ' || p_type || '. CPC classes: S' || p_size || '. Sold at ' || p_size || '.' AS t FROM part)
-  SELECT p_partkey, t AS paragraph, p_brand AS inventors, p_type AS assignees FROM c JOIN part USING (p_partkey)""")
+_ABSTRACT = "'A ' || p_type || ' with ' || p_name || repeat(', made of ' || p_brand, p_size)"
+_LISTS = """p_partkey % 11 <> 0 AS titled, CASE WHEN p_partkey % 13 = 0 THEN '' ELSE 'US' || (p_partkey // 2) END AS number, p_name AS title, [p_brand, p_name] AS inventors, [p_type] AS assignees, 'H' || p_size || 'L' AS c1, 'G' AS c2, p_partkey"""
+_PATENTS = f"""pat AS (SELECT *, CASE WHEN NOT titled OR number = '' THEN 'unparseable' WHEN length(abstract) < 80 THEN 'thin' ELSE 'ok' END AS status FROM (SELECT {_LISTS}, {_ABSTRACT} AS abstract FROM part)),
+emitted AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY number ORDER BY lpad(p_partkey::VARCHAR, 12, '0')) AS r FROM pat WHERE status = 'ok') WHERE r = 1)"""
+
+
+def _pages(spark, sf_dir):
+    """A patent page for every part: two parts share a number, some lack a title, a number or a longer abstract."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    item = lambda name, v: F.concat(F.lit(f'<dd itemprop="{name}" repeat>'), v, F.lit("</dd>"))
+    ref = lambda kind, v: F.concat(F.lit(f'<tr itemprop="{kind}"><td><span itemprop="publicationNumber">'), v, F.lit("</span></td></tr>"))
+    abstract = F.concat(F.lit("A "), "p_type", F.lit(" with "), "p_name", F.expr("repeat(concat(', made of ', p_brand), p_size)"))
+    us = lambda c: F.concat(F.lit("US"), c.cast("string"))
+    code = lambda v: F.concat(F.lit('<span itemprop="Code">'), v, F.lit("</span>"))
+    parts = [
+        F.when(k % 11 != 0, F.concat(F.lit('<meta name="DC.title" content="'), "p_name", F.lit('">'))),
+        F.when(k % 13 != 0, item("publicationNumber", F.concat(F.lit(" "), us(F.floor(k / 2)), F.lit(" ")))),
+        F.concat(F.when(k % 2 == 0, F.lit("<abstract lang='EN'><div>")).otherwise(F.lit('<div class="abstract style">')), abstract, F.lit("</div></abstract>")),
+        item("inventor", F.col("p_brand")), F.when(F.col("p_name") != F.col("p_brand"), item("inventor", F.col("p_name"))), item("assigneeOriginal", F.col("p_type")),
+        code(F.lit("G")), code(F.concat(F.lit("H"), "p_size", F.lit("L"))), code(F.lit("G")),
+        item("filingDate", F.lit("2020-01-02")),
+        F.concat(F.lit('<section itemprop="claims"><div itemprop="claim"> <div>1. A <b>'), "p_name", F.lit("</b>.</div></div></section>")),
+        F.concat(F.lit('<section class="x" itemprop="description">About\n'), "p_brand", F.lit("</section>")),
+        ref("backwardReferencesOrig", us(k + 1)), ref("backwardReferencesFamily", us(k + 2)), ref("backwardReferencesOrig", us(k + 1)), ref("forwardReferencesOrig", us(k + 3)),
+    ]
+    return p.select(F.lpad(k.cast("string"), 12, "0").alias("path"), "p_partkey", F.concat_ws("", *parts).alias("html"))
+
+
+@query(f"""WITH {_PATENTS} SELECT p_partkey, number, CASE WHEN titled THEN title ELSE '' END AS title, abstract, array_to_string(inventors, '|') AS inventors, array_to_string(assignees, '|') AS assignees, c1 || '|' || c2 AS classes,
+  '2020-01-02' AS filing, '1. A ' || title || ' .' AS claim, 'About ' || inventors[1] AS description, '1. A ' || title || ' .' AS claims, 'US' || (p_partkey + 1) || '|US' || (p_partkey + 2) AS cites, 'US' || (p_partkey + 3) AS cited_by, status FROM pat""")
+def patent_fields(spark, sf_dir):
+    f = patents.fields(F.col("html"))
+    shown = [F.array_join(c, "|").alias(n) if n in ("inventors", "assignees", "classes", "cites", "cited_by") else c.alias(n) for n, c in f.items() if n != "has_title"]
+    return _pages(spark, sf_dir).select("p_partkey", *shown, patents.status(f).alias("status"))
+
+
+_HEAD = "CASE WHEN number = '' THEN 'PATENT' ELSE number END || ': ' || title || '. Filed 2020-01-02 by ' || array_to_string(inventors, ', ') || '. Assigned to ' || assignees[1] || '. CPC classes: ' || c1 || ', ' || c2 || '. Abstract: ' || abstract || '.'"
+_FULL = f"{_HEAD} || ' Claims: 1. A ' || title || ' . Description: About ' || inventors[1] || ' Cites: US' || (p_partkey + 1) || ', US' || (p_partkey + 2) || '. Cited by: US' || (p_partkey + 3) || '.'"
+
+
+@query(f"""WITH {_PATENTS}, t AS (SELECT *, {_HEAD} || ' First claim: 1. A ' || title || ' ....' AS short, {_FULL} AS whole FROM pat WHERE titled)
+  SELECT p_partkey, short AS paragraph, md5(CASE WHEN length(whole) > 400 THEN whole[1:396] || ' ...' ELSE whole END) AS full_text, array_to_string(inventors, ',') AS inventors, assignees[1] AS assignees, c1 || ',' || c2 AS classes FROM t""")
 def compose_paragraph(spark, sf_dir):
-    one = lambda c: F.array(F.col(c))
-    p = table(spark, sf_dir, "part").withColumn("cls", F.concat(F.lit("S"), F.col("p_size")))
-    whole = p.select("p_partkey", text.compose(F.col("p_name"), F.col("p_partkey").cast("string"), one("p_brand"), one("p_type"), one("cls"), F.concat(F.lit("Sold at "), F.col("p_size"))).alias("paragraph"))
-    f = text.facets(F.col("paragraph"))
-    return whole.select("p_partkey", "paragraph", F.array_join(f["inventors"], ",").alias("inventors"), F.array_join(f["assignees"], ",").alias("assignees"))
+    f = patents.fields(F.col("html"))
+    whole = _pages(spark, sf_dir).where(f["has_title"]).select("p_partkey", patents.paragraph(f).alias("paragraph"), F.md5(patents.paragraph(f, True, 400).cast("binary")).alias("full_text"))
+    found = patents.facets(F.col("paragraph"))
+    return whole.select("p_partkey", "paragraph", "full_text", *[F.array_join(c, ",").alias(n) for n, c in found.items()])
+
+
+@query(f"""WITH {_PATENTS} SELECT (SELECT count(*) FROM pat) AS scanned, (SELECT count(*) FROM emitted) AS emitted, count(*) FILTER (status = 'unparseable') AS unparseable, count(*) FILTER (status = 'thin') AS thin, count(*) FILTER (status = 'ok') - (SELECT count(*) FROM emitted) AS repeated FROM pat""")
+def patent_counters(spark, sf_dir):
+    return patents.documents(_pages(spark, sf_dir))[2]
+
+
+@query(f"""WITH {_PATENTS} SELECT ('0x' || substr(sha256(number), 1, 16))::UBIGINT::VARCHAR AS doc_id, number, title, lpad(p_partkey::VARCHAR, 12, '0') AS file, md5({_HEAD} || ' First claim: 1. A ' || title || ' ....') AS text FROM emitted WHERE length({_HEAD}) < 1400""")
+def patent_documents(spark, sf_dir):
+    """Documents and their sidecar; longer ones are cut, which another query looks at."""
+    docs, sidecar, _ = patents.documents(_pages(spark, sf_dir))
+    both = docs.join(sidecar, "doc_id").where(F.length("text") < 1400 + 31 + F.length("title"))
+    return both.select(F.col("doc_id").cast("string").alias("doc_id"), "number", "title", "file", F.md5(F.col("text").cast("binary")).alias("text"))
+
+
+@query(f"""WITH {_PATENTS}, w AS (SELECT *, list_filter(list_transform(regexp_split_to_array(title, '[^A-Za-z0-9_]+'), lambda t: lower(t)), lambda t: length(t) >= 3) AS t FROM emitted),
+  f AS (SELECT number AS src, 'titled' AS rel, title AS dst FROM w UNION ALL SELECT number, 'mentions', unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM w
+    UNION ALL SELECT unnest(inventors), 'invented', number FROM w UNION ALL SELECT number, 'assigned_to', assignees[1] FROM w UNION ALL SELECT number, 'classified_as', unnest([c1, c2]) FROM w
+    UNION ALL SELECT number, 'cites', unnest(['US' || (p_partkey + 1), 'US' || (p_partkey + 2)]) FROM w UNION ALL SELECT 'US' || (p_partkey + 3), 'cites', number FROM w)
+  SELECT src, rel, dst, count(*) AS n FROM f GROUP BY 1, 2, 3""")
+def patent_triples(spark, sf_dir):
+    """The seven kinds of triples of every emitted page."""
+    f = patents.fields(F.col("html"))
+    rank = F.row_number().over(W.partitionBy("number").orderBy("path"))
+    records = _pages(spark, sf_dir).select("path", *[c.alias(n) for n, c in f.items()], patents.status(f).alias("status")).where("status = 'ok'").withColumn("rank", rank).where("rank = 1")
+    return patents.triples(records).groupBy("src", "rel", "dst").agg(F.count("*").alias("n"))
 
 
 @query("SELECT page_id, ('0x' || substr(sha256(url), 1, 16))::UBIGINT::VARCHAR AS doc_key FROM pages")
@@ -289,6 +374,35 @@ def doc_id_hash(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", ids.document_key(F.col("url")).cast("string").alias("doc_key"))
 
 
+@query("""SELECT o_orderkey AS doc_id, greatest(least(o_orderkey % 100, 64), 1) AS kept FROM orders""")
+def envelope_cap(spark, sf_dir):
+    """Of long answers the first 64 triples are taken."""
+    n = F.greatest(F.col("o_orderkey") % 100, F.lit(1))
+    one = F.transform(F.sequence(F.lit(1).cast("long"), n), lambda i: F.format_string('{"src": "A%d", "rel": "knows", "dst": "B"}', i))
+    raw = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit('{"triples": ['), F.array_join(one, ","), F.lit("]}")).alias("response"))
+    return parse_envelopes(raw)[0].groupBy("doc_id").agg(F.count("*").alias("kept"))
+
+
+@query("""SELECT count(*) AS docs_seen, count(*) FILTER (o_orderstatus <> 'P' AND o_orderkey % 7 <> 0) AS docs_ingested,
+  (SELECT count(*) FROM (SELECT 'order ' || o_orderkey FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 7 <> 0 UNION SELECT lower(o_orderpriority) FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 7 <> 0 AND NOT contains(o_orderpriority, 'URGENT') UNION SELECT 'customer ' || o_custkey FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 7 <> 0)) AS entities_added,
+  (count(*) FILTER (o_orderstatus <> 'P' AND o_orderkey % 7 <> 0) + count(*) FILTER (o_orderstatus <> 'P' AND o_orderkey % 7 <> 0 AND NOT contains(o_orderpriority, 'URGENT')))::BIGINT AS edges_added,
+  count(*) FILTER (o_orderstatus <> 'P' AND o_orderkey % 7 <> 0 AND contains(o_orderpriority, 'URGENT')) AS triples_skipped FROM orders""")
+def ingest_totals(spark, sf_dir):
+    """All orders read by a writer that is silent about every seventh."""
+    return _ingested(spark, sf_dir).totals
+
+
+@query("""SELECT CASE WHEN o_orderkey % 7 = 0 THEN 'writer' ELSE 'parse' END AS stage, count(*) AS n FROM orders WHERE o_orderkey % 7 = 0 OR o_orderstatus = 'P' GROUP BY 1""")
+def ingest_failures(spark, sf_dir):
+    return _ingested(spark, sf_dir).failures.groupBy("stage").agg(F.count("*").alias("n"))
+
+
+def _ingested(spark, sf_dir):
+    answers = _responses(spark, sf_dir).withColumn("response", F.when(F.col("doc_id") % 7 != 0, F.col("response")))
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("text"))
+    return ingest.ingest_batch(docs, ingest.answered(answers), blocklist=["URGENT"])
+
+
 @query("""WITH c AS (SELECT conv_id, turn, '<think>plan ' || turn || '</think> ```json' || chr(10) || '{"response": "' || role || '"}' || chr(10) || '```' AS raw, role FROM conversations)
   SELECT conv_id, turn, role AS payload, length(role) < 2 AS empty, upper(role)[1] = 'Y' AS yes FROM c""")
 def response_parse(spark, sf_dir):
@@ -364,17 +478,15 @@ def _queries(spark, sf_dir):
     return about.select(F.lit(0).cast("long").alias("tenant"), ids.entity_id(F.col("about")).alias("query_id"), "tier", "about", F.concat(F.lit("Which of the orders in question go with "), F.col("about"), F.lit("?")).alias("text"))
 
 
-def _truth(spark, sf_dir):
-    """Orders with the part, the brand, or a customer or supplier of the nation."""
-    triples = star_triples(spark, sf_dir)
-    q = _queries(spark, sf_dir)
-    by = lambda tier, rel, end: triples.where(F.col("rel") == rel).select("doc_id", F.col(end).alias("about")).join(q.where(F.col("tier") == tier), "about").select("query_id", "doc_id")
-    return by(2, "uses", "dst").unionByName(by(3, "produced_by", "dst")).unionByName(by(4, "located_in", "dst")).distinct()
+def _truth(spark, sf_dir, entity_docs):
+    """Orders with the part, the brand, or a customer or supplier of the nation: those that mention what is asked for."""
+    q = _queries(spark, sf_dir).select("tenant", "query_id", F.col("query_id").alias("entity_id"))
+    return q.join(entity_docs, ["tenant", "entity_id"]).select("query_id", "doc_id")
 
 
 @query(f"WITH {GRAPH}, {_ASKED}, {_MATCH} SELECT query_id, entity_id, round(raw, 6) AS raw FROM scores")
 def address_scores(spark, sf_dir):
-    g = written_graph(spark, sf_dir)
+    g = written_graph(spark, sf_dir, "entities")
     found = address.match_scores(planner.heuristic_plan(_queries(spark, sf_dir)), g.entities)
     return found.select("query_id", "entity_id", F.round("raw", 6).alias("raw"))
 
@@ -382,7 +494,7 @@ def address_scores(spark, sf_dir):
 @query(f"""WITH {GRAPH}, {_ASKED}, {_MATCH} SELECT s.query_id, s.entity_id, round(raw, 6) AS raw FROM scores s JOIN queries q ON q.query_id = s.query_id JOIN entities e ON e.entity_id = s.entity_id WHERE e.name <> q.about""")
 def address_constraints(spark, sf_dir):
     """Scores where what is asked for must not be named itself."""
-    g = written_graph(spark, sf_dir)
+    g = written_graph(spark, sf_dir, "entities")
     must = F.array(F.struct(F.lit("MustExclude").alias("kind"), F.col("about").alias("value")))
     plans = planner.heuristic_plan(_queries(spark, sf_dir)).withColumn("constraints", must)
     keys = ["tenant", "query_id", "entity_id"]
@@ -394,18 +506,18 @@ def constraint_include(spark, sf_dir):
     """Entities that an inclusion by name and a type leave."""
     item = lambda k, v: F.struct(F.lit(k).alias("kind"), v.alias("value"))
     plans = planner.heuristic_plan(_queries(spark, sf_dir)).withColumn("constraints", F.array(item("MustInclude", F.col("about")), item("EntityType", F.lit("concept"))))
-    return address.constrain(plans, written_graph(spark, sf_dir).entities).select("query_id", "entity_id")
+    return address.constrain(plans, written_graph(spark, sf_dir, "entities").entities).select("query_id", "entity_id")
 
 
 @query(f"WITH {GRAPH}, {_ASKED}, {_MATCH}, {_DENSE} SELECT query_id, entity_id, round(p, 9) AS p FROM prob WHERE raw > 0")
 def softmax_prob(spark, sf_dir):
-    g, plans = written_graph(spark, sf_dir), planner.heuristic_plan(_queries(spark, sf_dir))
+    g, plans = written_graph(spark, sf_dir, "entities"), planner.heuristic_plan(_queries(spark, sf_dir))
     found, _ = address.softmax(address.match_scores(plans, g.entities), reader.candidates(plans, g.entities), 0.5)
     return found.select("query_id", "entity_id", F.round("p", 9).alias("p"))
 
 
-def _results(spark, sf_dir):
-    return reader.read(_queries(spark, sf_dir), written_graph(spark, sf_dir), k=10)
+def _results(spark, sf_dir, graph=None):
+    return reader.read(_queries(spark, sf_dir), graph or written_graph(spark, sf_dir, "entities", "entity_docs"), k=10)
 
 
 @query(f"WITH {GRAPH}, {_ASKED}, {_MATCH}, {_DENSE}, {_RANKED} SELECT query_id, doc_id, score, rank FROM results")
@@ -422,7 +534,44 @@ def retrieve_topk(spark, sf_dir):
   docscore AS (SELECT query_id, doc_id, round(sum(e / z), 9) AS score FROM prob JOIN entity_docs USING (entity_id) GROUP BY 1, 2)
   SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM docscore) WHERE rank <= 10""")
 def retrieve_narrowed(spark, sf_dir):
-    return reader.read(_queries(spark, sf_dir), written_graph(spark, sf_dir), k=10, narrow_k=256).select("query_id", "doc_id", "score", "rank")
+    return reader.read(_queries(spark, sf_dir), written_graph(spark, sf_dir, "entities"), k=10, narrow_k=256).select("query_id", "doc_id", "score", "rank")
+
+
+_CONSTRAINED = """bad AS (SELECT q.query_id, e.entity_id FROM queries q JOIN entities e ON (tier = 2 AND e.name <> about) OR (tier = 4 AND e.name = about)),
+dense AS (SELECT d.query_id, d.entity_id, coalesce(raw, 0.0::DOUBLE) AS raw FROM (SELECT query_id, entity_id FROM queries CROSS JOIN entities EXCEPT SELECT query_id, entity_id FROM bad) d LEFT JOIN scores s ON s.query_id = d.query_id AND s.entity_id = d.entity_id),"""
+
+
+@query(f"WITH {GRAPH}, {_ASKED}, {_MATCH}, {_CONSTRAINED} {_DENSE[_DENSE.index('tops AS'):]}, {_RANKED} SELECT query_id, doc_id, score, rank FROM results")
+def retrieve_constrained(spark, sf_dir):
+    """Parts must be named as asked, brands are asked among concepts, nations without the one asked for."""
+    item = lambda k, v: F.struct(F.lit(k).alias("kind"), v.alias("value"))
+    about, concept = F.col("about"), item("EntityType", F.lit("concept"))
+    must = F.when(F.col("tier") == 2, F.array(item("MustInclude", about), concept)).when(F.col("tier") == 3, F.array(concept)).otherwise(F.array(item("MustExclude", about)))
+    return reader.read(_queries(spark, sf_dir).withColumn("constraints", must), written_graph(spark, sf_dir, "entities", "entity_docs"), k=10).select("query_id", "doc_id", "score", "rank")
+
+
+@query(f"""WITH {GRAPH}, {_ASKED}, {_MATCH}, {_DENSE}, {_RANKED} SELECT query_id, 'Question: ' || any_value(text) || chr(10) || 'Evidence doc IDs: [' || array_to_string(list(doc_id ORDER BY rank), ', ') || ']' || chr(10) || 'Answer concisely.' AS prompt FROM results JOIN queries USING (query_id) GROUP BY 1""")
+def answer_prompts(spark, sf_dir):
+    """What a model would be asked, with the documents found as evidence."""
+    q = _queries(spark, sf_dir)
+    return reader.evidence(q, _results(spark, sf_dir)).select("query_id", "prompt")
+
+
+@query(f"""WITH {GRAPH}, {_ASKED}, {_MATCH}, {_DENSE}, best AS (SELECT * FROM (SELECT query_id, entity_id, p, row_number() OVER (PARTITION BY query_id ORDER BY p DESC, entity_id)::INT AS rank FROM (SELECT query_id, entity_id, round(p, 12) AS p FROM prob)) WHERE rank <= 10)
+  SELECT query_id, entity_id, round(p, 9) AS p, rank FROM best""")
+def entity_ranking(spark, sf_dir):
+    """The ten entities of each query with most probability."""
+    found = reader.entities(_queries(spark, sf_dir), written_graph(spark, sf_dir, "entities"), 10)
+    return found.select("query_id", "entity_id", F.round("p", 9).alias("p"), "rank")
+
+
+@query(f"""WITH {GRAPH}, {_ASKED}, {_MATCH}, {_DENSE}, best AS (SELECT query_id, entity_id FROM (SELECT query_id, entity_id, row_number() OVER (PARTITION BY query_id ORDER BY p DESC, entity_id) AS r FROM (SELECT query_id, entity_id, round(p, 12) AS p FROM prob)) WHERE r <= 16),
+  sub AS (SELECT query_id, src, dst, relation, count(*) AS n FROM best JOIN edges ON src = entity_id GROUP BY 1, 2, 3, 4)
+  SELECT query_id, relation, count(*) AS links, sum(n)::BIGINT AS edges, count(DISTINCT dst) AS reached FROM sub GROUP BY 1, 2""")
+def retrieve_subgraph(spark, sf_dir):
+    """What one hop from each query's best sixteen entities reaches, by relation."""
+    sub = reader.subgraph(_queries(spark, sf_dir), written_graph(spark, sf_dir, "entities"))
+    return sub.groupBy("query_id", "relation").agg(F.count("*").alias("links"), F.sum("n").alias("edges"), F.countDistinct("dst").alias("reached"))
 
 
 _MEASURE = f"""WITH {GRAPH}, {_ASKED}, {_MATCH}, {_DENSE}, {_RANKED}, {_TRUTH},
@@ -434,7 +583,8 @@ mm AS (SELECT *, CASE WHEN precision + recall < 1e-12 THEN 0 ELSE 2 * precision
 
 def _measured(spark, sf_dir):
     q = _queries(spark, sf_dir).select("query_id", "tier")
-    return evaluate.metrics_from_rows(_results(spark, sf_dir).select("query_id", "doc_id", "rank"), _truth(spark, sf_dir), q, 10)
+    g = written_graph(spark, sf_dir, "entities", "entity_docs")
+    return cut(evaluate.metrics_from_rows(_results(spark, sf_dir, g).select("query_id", "doc_id", "rank"), _truth(spark, sf_dir, g.entity_docs), q, 10))
 
 
 @query(f"{_MEASURE} SELECT query_id, tier, n_truth, round(recall, 9) AS recall, round(precision, 9) AS precision, round(f1, 9) AS f1, round(mrr, 9) AS mrr FROM mm")
@@ -447,6 +597,12 @@ def eval_by_tier(spark, sf_dir):
     return evaluate.report(_measured(spark, sf_dir), "tier").select("tier", "n", *[F.round(c, 9).alias(c) for c in ("recall", "precision", "f1", "mrr")])
 
 
+@query(f"{_MEASURE} SELECT tier, count(*) AS n, round(avg(recall), 9) AS recall, round(avg(precision), 9) AS precision, round(avg(f1), 9) AS f1, round(avg(mrr), 9) AS mrr FROM mm GROUP BY ROLLUP (tier)")
+def eval_report(spark, sf_dir):
+    """By tier, and one row over all queries."""
+    return evaluate.report_with_overall(_measured(spark, sf_dir), "tier").select("tier", "n", *[F.round(c, 9).alias(c) for c in ("recall", "precision", "f1", "mrr")])
+
+
 # rewards and decay ---------------------------------------------------------------------------------------------------
 
 _SAMPLES = """r AS (SELECT o_custkey AS k, list(o_orderkey ORDER BY o_totalprice DESC, o_orderkey)[1:10] AS retrieved, list(o_orderkey ORDER BY o_orderkey) FILTER (o_orderstatus = 'O') AS truth FROM orders GROUP BY 1),
@@ -518,45 +674,96 @@ def scatter_add(spark, sf_dir):
     return gnn.scatter_add(rows, "idx", "total").select("idx", F.round("total", 4).alias("total"))
 
 
+@query("SELECT l_suppkey AS idx, round(sum(l_quantity), 4) AS quantity, round(sum(l_discount), 4) AS discount FROM lineitem GROUP BY 1")
+def scatter_add_rows(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("idx"), F.array("l_quantity", "l_discount").alias("v"))
+    out = gnn.scatter_add_rows(rows, "idx", "v", 2)
+    return out.select("idx", F.round(F.col("v")[0], 4).alias("quantity"), F.round(F.col("v")[1], 4).alias("discount"))
+
+
 @query(f"""WITH {GRAPH}, n AS (SELECT count(*) AS nodes FROM (SELECT src FROM edges UNION SELECT dst FROM edges)), e AS (SELECT count(*) AS edges FROM edges)
   SELECT nodes, edges, round(edges / nodes::DOUBLE, 6) AS mean_degree, round(edges / (nodes::DOUBLE * (nodes - 1)), 9) AS density FROM n, e""")
 def degree_density(spark, sf_dir):
-    return gnn.graph_shape(written_graph(spark, sf_dir).edges).select("nodes", "edges", F.round("mean_degree", 6).alias("mean_degree"), F.round("density", 9).alias("density"))
+    return gnn.graph_shape(graph_of(spark, sf_dir).edges).select("nodes", "edges", F.round("mean_degree", 6).alias("mean_degree"), F.round("density", 9).alias("density"))
 
 
 @query(f"""WITH {GRAPH}, d AS (SELECT src AS n, count(*)::DOUBLE AS d FROM edges GROUP BY 1)
   SELECT relation, round(avg(u.d), 6) AS du, round(avg(coalesce(v.d, 0)), 6) AS dv, round(avg(abs(u.d - coalesce(v.d, 0))), 6) AS gap FROM edges JOIN d u ON src = u.n LEFT JOIN d v ON dst = v.n GROUP BY 1""")
 def gnn_struct_features(spark, sf_dir):
-    f = gnn.edge_features(written_graph(spark, sf_dir).edges)
+    f = gnn.edge_features(cut(graph_of(spark, sf_dir).edges.select("src", "dst", "relation")))
     return f.groupBy("relation").agg(*[F.round(F.avg(F.col("z")[i]), 6).alias(n) for i, n in enumerate(("du", "dv", "gap"))])
 
 
-def _states(graph, dim=8):
-    """States from hashed embeddings of names, folded to ``dim`` numbers."""
-    sparse = vectors.hashed_buckets(graph.entities, "entity_id", "name", dim)
-    return sparse.groupBy(F.col("entity_id").alias("node")).agg(F.array(*[F.coalesce(F.sum(F.when(F.col("bucket") == i, F.col("weight"))), F.lit(0.0)) for i in range(dim)]).alias("h"))
+DIM = 8
+LAYER = gnn.Layer.seeded(DIM, gate=4, seed=1)
 
 
-@query()
-def gnn_layer(spark, sf_dir):
-    g = written_graph(spark, sf_dir)
-    edges = gnn.edge_features(g.edges.select("src", "dst").distinct())
-    out = gnn.forward(_states(g), edges, gnn.Layer.seeded(8, seed=1))
-    return out.select(F.col("node").alias("entity_id"), F.transform("h", lambda x: F.round(x, 6)).alias("h"))
+def _numbers(values) -> str:
+    return "[" + ", ".join(f"{float(v)!r}::DOUBLE" for v in values) + "]"
+
+
+def _rows(matrix) -> str:
+    return "[" + ", ".join(map(_numbers, matrix)) + "]"
+
+
+def _gate(z: str) -> str:
+    """The gate of a link whose features are the list ``z``."""
+    inner = f"list_transform({_rows(LAYER.w_g1)}, lambda w: tanh(list_dot_product(w, {z})))"
+    return f"list_transform({_rows(LAYER.w_g2)}, lambda w: 1.0::DOUBLE + {LAYER.delta!r}::DOUBLE * tanh(list_dot_product(w, {inner})))"
+
 
+def _norm(h: str) -> str:
+    """Layer norm of a list."""
+    centred = f"list_transform({h}, lambda x: x - list_avg({h}))"
+    return f"list_transform({centred}, lambda x: x / sqrt(list_sum(list_transform({centred}, lambda y: y * y)) / {DIM} + 1e-5::DOUBLE))"
 
-@query()
+
+def _vectors(source: str, key: str, column: str) -> str:
+    """Hashed embeddings of ``DIM`` numbers as a CTE body; all are 0 for a text without tokens."""
+    sparse = _buckets(source, key, column).replace("% 128", f"% {DIM}")
+    return f"""(SELECT s.{key} AS k, list_transform(range({DIM}), lambda i: coalesce(any_value(m)[i], 0.0::DOUBLE)) AS e
+      FROM {source} s LEFT JOIN (SELECT k, map(list(bucket), list(weight)) AS m FROM {sparse} GROUP BY 1) b ON b.k = s.{key} GROUP BY 1)"""
+
+
+_DEGREES = """deg AS (SELECT src, sum(times)::DOUBLE AS d FROM links GROUP BY 1),
+shape AS (SELECT sum(times)::DOUBLE AS e, (SELECT count(*) FROM nodes)::DOUBLE AS n FROM links),
+zed AS (SELECT l.src, l.dst, times, [u.d, coalesce(v.d, 0.0::DOUBLE), abs(u.d - coalesce(v.d, 0.0::DOUBLE)), e / n, e / (n * (n - 1))] AS z FROM links l JOIN shape ON true JOIN deg u ON u.src = l.src LEFT JOIN deg v ON v.src = l.dst)"""
+_PRELU = f"CASE WHEN m >= 0 THEN m ELSE {LAYER.slope!r}::DOUBLE * m END"
+
+
+@query(f"""WITH {GRAPH}, links AS MATERIALIZED (SELECT DISTINCT src, dst, 1 AS times FROM edges), nodes AS (SELECT src FROM links UNION SELECT dst FROM links), {_DEGREES},
+  st AS MATERIALIZED {_vectors('entities', 'entity_id', 'name')},
+  msg AS (SELECT dst, unnest(range(1, {DIM + 1})) AS i, {_gate('z')} AS gate, list_transform({_rows(LAYER.w_msg)}, lambda w: list_dot_product(w, e)) AS wh FROM zed JOIN st ON st.k = src),
+  agg AS (SELECT dst, i, sum(gate[i] * wh[i]) AS m FROM msg GROUP BY 1, 2), heard AS (SELECT dst, list({_PRELU} ORDER BY i) AS m FROM agg GROUP BY 1),
+  lifted AS (SELECT k, CASE WHEN m IS NULL THEN e ELSE list_transform(range(1, {DIM + 1}), lambda i: e[i] + m[i]) END AS h FROM st LEFT JOIN heard ON dst = k),
+  done AS (SELECT k, {_norm('h')} AS h FROM lifted)
+  SELECT k AS entity_id, """ + ", ".join(f"round(h[{i + 1}], 6) AS h{i}" for i in range(DIM)) + " FROM done")
+def gnn_layer(spark, sf_dir):
+    g = graph_of(spark, sf_dir)
+    edges = gnn.edge_features(cut(g.edges.select("src", "dst").distinct()))
+    states = vectors.embedding_arrays(g.entities, ["entity_id"], "name", DIM).select(F.col("entity_id").alias("node"), F.col("e").alias("h"))
+    out = gnn.forward(cut(states), edges, LAYER)
+    return out.select(F.col("node").alias("entity_id"), *[F.round(F.col("h")[i], 6).alias(f"h{i}") for i in range(DIM)])
+
+
+@query(f"""WITH {GRAPH}, {_ASKED}, {_MATCH}, nq AS (SELECT * FROM queries WHERE tier = 4), qv AS {_vectors('nq', 'query_id', 'text')}, ev AS {_vectors('entities', 'entity_id', 'name')},
+  base AS (SELECT q.k AS query_id, v.k AS entity_id, q.e AS q, coalesce(raw, 0.0::DOUBLE) + 1.2::DOUBLE * greatest(CASE WHEN list_sum(list_transform(v.e, lambda x: x * x)) = 0 THEN 0.0::DOUBLE ELSE list_cosine_similarity(q.e, v.e) END, 0.0::DOUBLE) AS raw
+    FROM qv q CROSS JOIN ev v LEFT JOIN scores s ON s.query_id = q.k AND s.entity_id = v.k),
+  tops AS (SELECT query_id, max(raw) AS top FROM base GROUP BY 1), mass AS (SELECT b.query_id, any_value(top) AS top, sum(exp((raw - top) / 0.5::DOUBLE)) AS z FROM base b JOIN tops t ON b.query_id = t.query_id GROUP BY 1),
+  prob AS MATERIALIZED (SELECT b.query_id, entity_id, q, exp((raw - top) / 0.5::DOUBLE) / z AS p FROM base b JOIN mass m ON b.query_id = m.query_id),
+  links AS MATERIALIZED (SELECT src, dst, count(*) AS times FROM edges GROUP BY 1, 2), nodes AS (SELECT entity_id FROM entities), {_DEGREES},
+  gated AS MATERIALIZED (SELECT src, dst, times, {_gate('z')} AS gate FROM zed),
+  agg AS (SELECT query_id, dst, unnest(range(1, {DIM + 1})) AS i, sqrt(p) * times AS scale, gate FROM prob JOIN gated ON src = entity_id),
+  heard AS (SELECT query_id, dst, list(m ORDER BY i) AS m FROM (SELECT query_id, dst, i, sum(scale * gate[i]) AS m FROM agg GROUP BY 1, 2, 3) GROUP BY 1, 2),
+  wide AS (SELECT p.query_id, entity_id, p, q, m, list_transform({_rows(LAYER.w_msg)}, lambda w: list_dot_product(w, q)) AS wq FROM prob p LEFT JOIN heard h ON h.query_id = p.query_id AND dst = entity_id),
+  lifted AS (SELECT query_id, entity_id, p, list_transform(range(1, {DIM + 1}), lambda i: sqrt(p) * q[i] + CASE WHEN m IS NULL THEN 0 WHEN m[i] * wq[i] >= 0 THEN m[i] * wq[i] ELSE {LAYER.slope!r}::DOUBLE * m[i] * wq[i] END) AS h FROM wide),
+  l AS (SELECT query_id, entity_id, p, list_sum(list_transform({_norm('h')}, lambda x: abs(x))) AS l1 FROM lifted),
+  docscore AS (SELECT query_id, doc_id, round(sum(0.5::DOUBLE * p + 0.5::DOUBLE * l1 / (l1 + 1)), 6) AS score FROM l JOIN entity_docs USING (entity_id) GROUP BY 1, 2)
+  SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM docscore) WHERE rank <= 10""")
 def gfm_read(spark, sf_dir):
-    """Documents by a blend of address probability and propagated state, for the query of each nation."""
-    g = written_graph(spark, sf_dir)
-    plans = planner.heuristic_plan(_queries(spark, sf_dir).where("tier = 4"))
-    edges = cut(gnn.edge_features(g.edges.select("src", "dst").distinct()))
-    states = gnn.stack(_states(g), edges, [gnn.Layer.seeded(8, seed=i + 1) for i in range(2)], gnn.Head.identity(8, 2), cut)
-    found, _ = address.softmax(address.match_scores(plans, g.entities), reader.candidates(plans, g.entities), 0.5)
-    both = found.join(states.withColumnRenamed("node", "entity_id"), "entity_id").withColumn("p", gnn.blend(F.col("p"), F.col("h")))
-    docs = both.join(g.entity_docs, ["tenant", "entity_id"]).groupBy("query_id", "doc_id").agg(F.round(F.sum("p"), 6).alias("score"))
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
-    return docs.withColumn("rank", rank).where("rank <= 10")
+    """Documents by a blend of address probability and propagated state, for the query of each nation (a stated set)."""
+    q = _queries(spark, sf_dir).where("tier = 4")
+    return reader.propagated(q, written_graph(spark, sf_dir, "entities", "entity_docs"), LAYER, k=10).select("query_id", "doc_id", "score", "rank")
 
 
 # analytics --------------------------------------------------------------------------------------------------------------
@@ -607,18 +814,34 @@ def co_occurrence_pairs(spark, sf_dir):
 
 @query(f"WITH {GRAPH}, p AS (SELECT entity_id, count(*) AS n_docs FROM entity_docs GROUP BY 1) SELECT n_docs, count(*) AS entities FROM p GROUP BY 1")
 def hub_histogram(spark, sf_dir):
-    return analytics.hub_histogram(written_graph(spark, sf_dir).entity_docs)
+    return analytics.hub_histogram(graph_of(spark, sf_dir).entity_docs)
 
 
 @query(f"WITH {GRAPH}, p AS (SELECT tenant, entity_id, count(*) AS n_docs FROM entity_docs GROUP BY 1, 2) SELECT tenant, name, n_docs FROM p JOIN entities USING (tenant, entity_id) ORDER BY n_docs DESC, name DESC LIMIT 20")
 def top_hubs(spark, sf_dir):
-    g = written_graph(spark, sf_dir)
+    g = graph_of(spark, sf_dir)
     return analytics.top_hubs(g.entity_docs, g.entities)
 
 
-@query("SELECT source AS facet, doc_id, count(*) OVER (PARTITION BY source) AS n FROM documents")
+@query("WITH f AS (SELECT lang || ':' || source AS facet, doc_id FROM documents), n AS (SELECT facet, count(*) AS n FROM f GROUP BY 1 HAVING count(*) >= 3) SELECT f.facet, doc_id, n FROM f JOIN n ON f.facet = n.facet WHERE n < (SELECT max(n) FROM n)")
 def inverted_index(spark, sf_dir):
-    return analytics.inverted_index(table(spark, sf_dir, "documents"), "source")
+    """Documents of each language and source with three or more of them, but for the largest."""
+    docs = table(spark, sf_dir, "documents").withColumn("facet_", F.concat("lang", F.lit(":"), "source"))
+    index = analytics.inverted_index(docs, "facet_", least=3)
+    return index.join(F.broadcast(index.agg(F.max("n").alias("most"))), F.col("n") < F.col("most")).select("facet", "doc_id", "n")  # one row
+
+
+@query("WITH d AS (SELECT * FROM documents WHERE lang = 'en'), t AS (SELECT source, count(*) AS total FROM d GROUP BY 1 ORDER BY total DESC, source LIMIT 1) "
+  + " UNION ALL ".join(f"SELECT source, '{n}' AS theme, count(*) FILTER ({' OR '.join(f'contains(lower(text), {chr(39)}{w}{chr(39)})' for w in words)}) AS hits, total FROM d JOIN t USING (source) GROUP BY 1, total" for n, words in THEMES.items()))
+def theme_coverage(spark, sf_dir):
+    """Themes of the source with most English documents."""
+    return analytics.top_coverage(table(spark, sf_dir, "documents"), F.col("lang") == "en", "source", THEMES)
+
+
+@query(" UNION ALL ".join(f"(SELECT '{n}' AS theme, doc_id, row_number() OVER (ORDER BY doc_id)::INT AS rank FROM documents WHERE {' OR '.join(f'contains(lower(text), {chr(39)}{w}{chr(39)})' for w in words)} ORDER BY doc_id LIMIT 20)" for n, words in THEMES.items()))
+def first_hits(spark, sf_dir):
+    """The first twenty documents of each theme, in the order of the file."""
+    return analytics.first_hits(table(spark, sf_dir, "documents"), THEMES).select("theme", "doc_id", "rank")
 
 
 @query("SELECT source AS a, lang AS b, count(DISTINCT doc_id) AS n FROM documents GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 3")
@@ -654,6 +877,12 @@ def gt_stats(spark, sf_dir):
     return _gt(spark, sf_dir).groupBy("query").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
 
 
+@query("SELECT 'nothing' AS query")
+def gt_dropped(spark, sf_dir):
+    """Selectors without a document, which an evaluation would leave out."""
+    return analytics.without_truth(_gt(spark, sf_dir), SPECS)
+
+
 @query(f"""WITH {GRAPH}, {_ASKED}, {_MATCH}, {_DENSE}, {_RANKED} SELECT o_orderpriority, count(*) AS n, o_orderpriority = '1-URGENT' AS is_target FROM results JOIN orders ON doc_id = o_orderkey GROUP BY 1""")
 def landscape_by_facet(spark, sf_dir):
     docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), "o_orderpriority")

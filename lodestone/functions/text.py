@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -76,7 +75,7 @@ def route(score: Column, deep: int = DEEP_SCORE) -> Column:
     return F.when(score >= deep, "deep").otherwise("light")
 
 
-# facets of composed paragraphs ----------------------------------------------------------------------
+# lists in composed paragraphs -------------------------------------------------------------------------
 
 
 def listed(text: Column, pattern: str) -> Column:
@@ -85,33 +84,6 @@ def listed(text: Column, pattern: str) -> Column:
     return F.filter(parts, lambda p: p != "")
 
 
-def facets(text: Column) -> dict[str, Column]:
-    """Inventors, assignees and classes of a paragraph as ``compose`` writes it."""
-    return {
-        "inventors": listed(text, r" by ([^.]+?)(?:\. Assigned| \.)"),
-        "assignees": listed(text, r"Assigned to ([^.]+)\."),
-        "classes": listed(text, r"CPC classes: ([^.]+)\."),
-    }
-
-
-def compose(title: Column, number: Column, inventors: Column, assignees: Column, classes: Column, abstract: Column, claim: Column | None = None, max_chars: int | None = None) -> Column:
-    """A paragraph from ordered, optional parts; missing ones are left out."""
-    head = F.concat(F.lit("Patent "), number, F.lit(": "), title, F.lit("."))
-    body = trim_space(abstract)
-    parts = [
-        F.when(F.size(inventors) > 0, F.concat(head, F.lit(" by "), F.array_join(F.slice(inventors, 1, 8), ", "), F.lit("."))).otherwise(head),
-        F.when(F.size(assignees) > 0, F.concat(F.lit("Assigned to "), F.array_join(assignees, ", "), F.lit("."))),
-        F.when(F.size(classes) > 0, F.concat(F.lit("CPC classes: "), F.array_join(classes, ", "), F.lit("."))),
-        F.when(F.length(body) > 0, F.when(body.endswith("."), body).otherwise(F.concat(body, F.lit(".")))),
-    ]
-    if claim is not None:
-        parts.append(F.when(F.length(claim) > 250, F.concat(F.lit("Claim: "), F.substring(claim, 1, 250), F.lit("..."))).when(F.length(claim) > 0, F.concat(F.lit("Claim: "), claim)))
-    text = F.concat_ws(" ", *parts)
-    if max_chars is None:
-        return text
-    return F.when(F.length(text) > max_chars, F.concat(F.substring(text, 1, max_chars - 4), F.lit(" ..."))).otherwise(text)
-
-
 # pages ----------------------------------------------------------------------------------------------
 
 
@@ -159,18 +131,22 @@ def envelope_text(raw: Column) -> Column:
     return F.coalesce(*fields, raw)
 
 
-def over_context(message: Column, markers: Sequence[str] = ("context window", "context length", "too long")) -> Column:
-    """Whether an error message says that the request was too long."""
-    low = F.lower(message)
+#: What messages about too long a request, and about a used up quota, say.
+CONTEXT_MARKERS, QUOTA_MARKERS = ("context window", "context length", "too long"), ("quota", "rate limit", "usage limit")
+
+
+def says(message: Column, markers: Sequence[str]) -> Column:
+    """Whether an error message has one of the markers, in any case."""
     hit = F.lit(False)
     for m in markers:
-        hit = hit | low.contains(m)
-    return hit
+        hit = hit | F.lower(message).contains(m)
+    return F.coalesce(hit, F.lit(False))
 
 
-def limit_in(message: Column) -> Column:
-    """The number in parentheses of an error message, null without one."""
-    return F.try_to_number(F.nullif(F.regexp_extract(message, r"\((\d+)\)", 1), F.lit("")), F.lit("999999999")).cast("long")
+def limit_in(message: Column, markers: Sequence[str] = CONTEXT_MARKERS) -> Column:
+    """The number in parentheses behind a marker of an error message, null without one."""
+    pattern = "(?is)(?:" + "|".join(markers) + r").*?\((\d{1,9})\)"
+    return F.try_to_number(F.nullif(F.regexp_extract(message, pattern, 1), F.lit("")), F.lit("999999999")).cast("long")
 
 
 def shrink(text: Column, limit: Column) -> Column:
@@ -178,17 +154,20 @@ def shrink(text: Column, limit: Column) -> Column:
     return F.substring(text, F.lit(1), F.greatest(3 * limit, F.lit(500)).cast("int"))
 
 
-def first_object(text: str | None) -> dict | None:
-    """The first JSON object in a text by matching braces (quotes are not looked at), None without one."""
-    if not text or "{" not in text:
-        return None
-    start, depth = text.index("{"), 0
-    for i in range(start, len(text)):
-        depth += (text[i] == "{") - (text[i] == "}")
-        if depth == 0:
-            try:
-                found = json.loads(text[start : i + 1])
-            except ValueError:
-                return None
-            return found if isinstance(found, dict) else None
-    return None
+def last_line(text: Column) -> Column:
+    """The last line that is not blank, as of a response in JSON lines."""
+    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
+    return F.when(F.size(lines) > 0, F.element_at(lines, -1))
+
+
+def first_object(text: Column) -> Column:
+    """The first JSON object in a text by matching braces (quotes are not looked at); null without one."""
+    rest = F.substring(text, F.instr(text, "{"), F.length(text))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(0).alias("end"))
+
+    def step(acc, c):
+        depth = acc["depth"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)
+        return F.struct(depth.alias("depth"), (acc["n"] + 1).alias("n"), F.when((acc["end"] == 0) & (depth == 0), acc["n"] + 1).otherwise(acc["end"]).alias("end"))
+
+    end = F.aggregate(F.split(rest, ""), start, step, lambda acc: acc["end"])
+    return F.when((F.instr(text, "{") > 0) & (end > 0), F.substring(rest, F.lit(1), end))

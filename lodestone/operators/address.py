@@ -16,6 +16,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.text import name_tokens
 from ..functions.vectors import hashed_buckets, sparse_cosine
+from .store import all_names
 
 
 @dataclass(frozen=True)
@@ -88,23 +89,27 @@ def constrain(plans: DataFrame, entities: DataFrame) -> DataFrame:
     """
     asked = plans.where(F.size("constraints") > 0).select("tenant", "query_id", F.explode("constraints").alias("c"), F.size(F.filter("constraints", lambda c: c["kind"] != "MustExclude")).alias("n"))
     need = asked.where("c.kind <> 'MustExclude'").select("tenant", "query_id", "n", "c.kind", "c.value").distinct()
-    names = entities.select("tenant", "entity_id", F.explode(_names(entities)).alias("value"), F.lit("MustInclude").alias("kind"))
+    names = entities.select("tenant", "entity_id", F.explode(all_names(entities)).alias("value"), F.lit("MustInclude").alias("kind"))
     types = entities.select("tenant", "entity_id", F.col("etype").alias("value"), F.lit("EntityType").alias("kind"))
     met = need.join(names.unionByName(types).distinct(), ["tenant", "kind", "value"]).groupBy("tenant", "query_id", "entity_id", "n").agg(F.count("*").alias("met"))
     return met.where("met = n").select("tenant", "query_id", "entity_id").join(excluded(plans, entities), ["tenant", "query_id", "entity_id"], "left_anti")
 
 
+def allowed(plans: DataFrame, pairs: DataFrame, entities: DataFrame) -> DataFrame:
+    """Those of given ``(tenant, query_id, entity_id)`` that violate no constraint of their query."""
+    facts = entities.select("tenant", "entity_id", "etype", all_names(entities).alias("names"))
+    both = pairs.join(plans.select("tenant", "query_id", "constraints"), ["tenant", "query_id"]).join(facts, ["tenant", "entity_id"])
+    holds = lambda c: F.when(c["kind"] == "EntityType", c["value"] == F.col("etype")).otherwise(F.array_contains("names", c["value"]) == (c["kind"] == "MustInclude"))
+    return both.where(F.col("constraints").isNull() | F.forall("constraints", holds)).select("tenant", "query_id", "entity_id")
+
+
 def excluded(plans: DataFrame, entities: DataFrame) -> DataFrame:
     """``(tenant, query_id, entity_id)`` that MustExclude takes away."""
     asked = plans.where(F.size("constraints") > 0).select("tenant", "query_id", F.explode("constraints").alias("c")).where("c.kind = 'MustExclude'")
-    names = entities.select("tenant", "entity_id", F.explode(_names(entities)).alias("value"))
+    names = entities.select("tenant", "entity_id", F.explode(all_names(entities)).alias("value"))
     return asked.select("tenant", "query_id", "c.value").join(names, ["tenant", "value"]).select("tenant", "query_id", "entity_id").distinct()
 
 
-def _names(entities: DataFrame):
-    return F.array_distinct(F.concat(F.array("name"), F.coalesce(F.col("aliases"), F.array().cast("array<string>")))) if "aliases" in entities.columns else F.array("name")
-
-
 def softmax(scores: DataFrame, candidates: DataFrame, temperature: float, cons: float = 0.0) -> tuple[DataFrame, DataFrame]:
     """Probabilities of scored entities, and of the others.
 

@@ -91,6 +91,7 @@ def top_hubs(entity_docs: DataFrame, entities: DataFrame, top: int = 20) -> Data
 def inverted_index(docs: DataFrame, facet: str, key: str = "doc_id", least: int = 1) -> DataFrame:
     """``(facet, key)`` rows for facet values of at least ``least`` documents; a row for each document, not one list."""
     rows = docs.select(F.col(facet).alias("facet"), F.col(key)).where("facet is not null").distinct()
+    # one row for each value, so Spark broadcasts them while they are few and splits a hot value's rows if not
     many = rows.groupBy("facet").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     return rows.join(many, "facet").select("facet", key, "n")
 
@@ -132,6 +133,31 @@ def ground_truth(docs: DataFrame, specs: Mapping[str, Mapping], facets: Mapping[
     return docs.select(F.col(key), F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("query"))
 
 
+def without_truth(truth: DataFrame, specs: Mapping[str, Mapping]) -> DataFrame:
+    """``(query)``: the specs that select no document, which an evaluation leaves out."""
+    every = truth.sparkSession.createDataFrame([(n,) for n in specs], "query string")
+    return every.join(truth.select("query").distinct(), "query", "left_anti")
+
+
+def first_hits(docs: DataFrame, themes: Mapping[str, Sequence[str]], top: int = 20, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``(theme, key, rank)``: of each theme the first ``top`` documents by key that have a keyword; tasks keep no more."""
+    low = F.lower(F.col(text))
+    named = F.array(*[F.when(F.coalesce(_any(low, words), F.lit(False)), F.lit(n)) for n, words in themes.items()])
+    hits = docs.select(F.col(key), F.explode(F.filter(named, lambda x: x.isNotNull())).alias("theme"))
+    rank = F.row_number().over(W.partitionBy("theme").orderBy(key))
+    return hits.withColumn("rank", rank).where(F.col("rank") <= top)
+
+
+def top_coverage(docs: DataFrame, target: Column, facet: str, themes: Mapping[str, Sequence[str]], text: str = "text") -> DataFrame:
+    """``(facet, theme, hits, total)``: how many documents of the target's most frequent facet value have each theme."""
+    own = docs.where(target)
+    top = own.groupBy(facet).agg(F.count("*").alias("total")).orderBy(F.desc("total"), facet).limit(1)  # one row
+    of_top = own.join(F.broadcast(top), facet)
+    low = F.lower(F.col(text))
+    sums = [F.struct(F.lit(n).alias("theme"), F.sum(F.coalesce(_any(low, words), F.lit(False)).cast("long")).alias("hits")) for n, words in themes.items()]
+    return of_top.groupBy(facet, "total").agg(F.array(*sums).alias("t")).select(facet, "total", F.explode("t").alias("t")).select(facet, "t.theme", "t.hits", "total")
+
+
 def landscape(results: DataFrame, docs: DataFrame, facet: str, target: str, key: str = "doc_id", top: int = 20) -> DataFrame:
     """Retrieved documents by facet value, most first, with a mark on the target; unknown ids are left out."""
     counts = results.join(docs.select(key, facet), key).groupBy(facet).agg(F.count("*").alias("n"))

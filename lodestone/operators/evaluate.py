@@ -60,6 +60,12 @@ def report(measured: DataFrame, *by: str) -> DataFrame:
     return measured.groupBy(*by).agg(F.count("*").alias("n"), *means)
 
 
+def report_with_overall(measured: DataFrame, by: str) -> DataFrame:
+    """``report`` by a column, and one row over all (its ``by`` is null)."""
+    means = [F.avg(c).alias(c) for c in ("recall", "precision", "f1", "mrr")]
+    return measured.rollup(by).agg(F.count("*").alias("n"), *means)
+
+
 def recovery(retrieved: Column, truth: Column) -> Column:
     """Hits counted over the list, repeats too, by the length of the truth."""
     hits = F.size(F.filter(retrieved, lambda d: F.array_contains(truth, d))).cast("double")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ids import entity_id
+
 #: Relations that are kept as they are.
 RELATIONS = (
     "is_a", "part_of", "located_in", "founded_by", "founded", "works_at", "knows", "related_to", "causes", "treats", "next",
@@ -62,11 +64,13 @@ def type_hint(raw: Column) -> Column:
 
 
 def mentions(triples: DataFrame) -> DataFrame:
-    """Both ends of every triple: ``(tenant, doc_id, seq, name, etype)``; sources come before targets.
+    """Both ends of every triple: ``(tenant, doc_id, seq, name, etype, entity_id)``; sources come before targets.
 
-    ``seq`` orders the mentions of a document as an ingest reads them.
+    ``seq`` orders the mentions of a document as an ingest reads them.  Ids are those that the triples
+    bring (``src_id``, ``dst_id``), or are made from the names.
     """
     kind = lambda c: entity_type(F.col(c)) if c in triples.columns else F.lit("concept")
-    side = lambda i, name, t: F.struct(F.lit(i).alias("i"), F.col(name).alias("name"), t.alias("etype"))
+    given = lambda c: F.col(f"{c}_id") if f"{c}_id" in triples.columns else entity_id(F.col(c))
+    side = lambda i, name, t: F.struct(F.lit(i).alias("i"), F.col(name).alias("name"), t.alias("etype"), given(name).alias("entity_id"))
     both = triples.select("tenant", "doc_id", "triple_idx", F.explode(F.array(side(0, "src", kind("src_type")), side(1, "dst", kind("dst_type")))).alias("m"))
-    return both.select("tenant", "doc_id", (F.col("triple_idx") * 2 + F.col("m.i")).alias("seq"), "m.name", "m.etype")
+    return both.select("tenant", "doc_id", (F.col("triple_idx") * 2 + F.col("m.i")).alias("seq"), "m.name", "m.etype", "m.entity_id")

@@ -7,7 +7,7 @@ expressions; numpy is used for the gates and the message transform alone.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,22 +28,42 @@ def scatter_add(rows: DataFrame, index: str, value: str, size: int | None = None
     return rows.sparkSession.range(size).withColumnRenamed("id", index).join(sums, index, "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
 
 
-def graph_shape(edges: DataFrame, n_nodes: int | None = None) -> DataFrame:
-    """One row: nodes, edges, mean out-degree, density; parallel edges count."""
+def scatter_add_rows(rows: DataFrame, index: str, value: str, dim: int, size: int | None = None) -> DataFrame:
+    """``scatter_add`` of arrays of ``dim`` numbers; arrays of another length are refused."""
+    if not rows.where(F.size(value) != dim).isEmpty():
+        raise ValueError(f"a row has not {dim} numbers")
+    wide = rows.select(index, *[F.col(value)[i].alias(f"v{i}") for i in range(dim)])
+    sums = wide.groupBy(index).agg(*[F.sum(f"v{i}").alias(f"v{i}") for i in range(dim)])
+    if size is not None:
+        if not rows.where((F.col(index) < 0) | (F.col(index) >= size)).isEmpty():
+            raise ValueError("an index is out of range")
+        sums = rows.sparkSession.range(size).withColumnRenamed("id", index).join(sums, index, "left")
+    return sums.select(index, F.array(*[F.coalesce(f"v{i}", F.lit(0.0)) for i in range(dim)]).alias(value))
+
+
+def graph_shape(edges: DataFrame, n_nodes: int | None = None, times: str | None = None) -> DataFrame:
+    """One row: nodes, edges, mean out-degree, density; parallel edges count (or ``times`` says how many a row is)."""
     if n_nodes is None:
         nodes = edges.select(F.col("src").alias("n")).union(edges.select("dst")).distinct().agg(F.count("*").alias("nodes"))
     else:
         nodes = edges.sparkSession.range(1).select(F.lit(n_nodes).cast("long").alias("nodes"))
-    both = edges.agg(F.count("*").alias("edges")).join(nodes)  # one row each
+    number = F.count("*") if times is None else F.coalesce(F.sum(times), F.lit(0))
+    both = edges.agg(number.alias("edges")).join(nodes)  # one row each
     most = F.when(F.col("nodes") < 2, 1.0).otherwise(F.col("nodes").cast("double") * (F.col("nodes") - 1))
     return both.select("nodes", "edges", (F.col("edges") / F.greatest("nodes", F.lit(1))).alias("mean_degree"), (F.col("edges") / most).alias("density"))
 
 
-def edge_features(edges: DataFrame, n_nodes: int | None = None) -> DataFrame:
-    """Add ``z``: out-degrees of both ends, their difference, mean degree, density."""
-    degree = edges.groupBy("src").agg(F.count("*").cast("double").alias("d"))
-    shape = graph_shape(edges, n_nodes).first()
-    out = edges.join(degree.withColumnRenamed("d", "du"), "src").join(degree.select(F.col("src").alias("dst"), F.col("d").alias("dv")), "dst", "left")
+def edge_features(edges: DataFrame, n_nodes: int | None = None, by: Sequence[str] = (), times: str | None = None) -> DataFrame:
+    """Add ``z``: out-degrees of both ends, their difference, mean degree, density.
+
+    ``by`` names columns, such as a tenant, within which degrees count; ``times`` one that says how many
+    parallel edges a row stands for.
+    """
+    keys = list(by)
+    number = F.count("*") if times is None else F.sum(times)
+    degree = edges.groupBy(*keys, "src").agg(number.cast("double").alias("d"))
+    shape = graph_shape(edges, n_nodes, times).first()
+    out = edges.join(degree.withColumnRenamed("d", "du"), [*keys, "src"]).join(degree.select(*keys, F.col("src").alias("dst"), F.col("d").alias("dv")), [*keys, "dst"], "left")
     dv = F.coalesce("dv", F.lit(0.0))
     return out.withColumn("z", F.array("du", dv, F.abs(F.col("du") - dv), F.lit(float(shape["mean_degree"])), F.lit(float(shape["density"])))).drop("du", "dv")
 
@@ -68,6 +88,23 @@ class Layer:
     def dim(self) -> int:
         return len(self.w_msg)
 
+    def gates(self, z: Column) -> list[Column]:
+        """The gate of each state number for an edge's features, as Columns."""
+        inner = [F.tanh(_dot([z[j] for j in range(FEATURES)], row)) for row in self.w_g1]
+        return [F.lit(1.0) + F.lit(self.delta) * F.tanh(_dot(inner, row)) for row in self.w_g2]
+
+    def projected(self, h: Column) -> Column:
+        """The message transform of a state."""
+        return F.array(*[_dot([h[j] for j in range(self.dim)], row) for row in self.w_msg])
+
+
+def _dot(values: Sequence[Column], weights: np.ndarray) -> Column:
+    terms = [v * F.lit(float(w)) for v, w in zip(values, weights, strict=True)]
+    out = terms[0]
+    for t in terms[1:]:
+        out = out + t
+    return out
+
 
 def layer_norm(h: Column, dim: int) -> Column:
     """Scale 1, shift 0, population variance + 1e-5."""
@@ -78,31 +115,34 @@ def layer_norm(h: Column, dim: int) -> Column:
     return F.transform(centred, lambda x: x / F.sqrt(var + 1e-5))
 
 
+def updated(h: Column, heard: Column, layer: Layer) -> Column:
+    """A state after a layer: ``LN(h + PReLU(heard))``; ``heard`` is null where no message came."""
+    prelu = lambda x: F.when(x >= 0, x).otherwise(layer.slope * x)
+    return layer_norm(F.when(heard.isNull(), h).otherwise(F.zip_with(h, heard, lambda a, b: a + prelu(b))), layer.dim)
+
+
 def forward(states: DataFrame, edges: DataFrame, layer: Layer) -> DataFrame:
     """One layer: ``LN(h + PReLU(sum of gated messages))``; edges need ``src, dst, z``.
 
     A node without incoming edges gets ``LN(h)``.  Edges whose source has no state are left out.
     """
     dim = layer.dim
+    names = [f"m{i}" for i in range(dim)]
 
     def message(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            z = np.array(batch.column(1).to_pylist(), float).reshape(-1, FEATURES)
-            h = np.array(batch.column(2).to_pylist(), float).reshape(-1, dim)
+            z, h = (batch.column(i).flatten().to_numpy().reshape(-1, n) for i, n in ((1, FEATURES), (2, dim)))
             gates = 1.0 + layer.delta * np.tanh(np.tanh(z @ layer.w_g1.T) @ layer.w_g2.T)
             m = gates * (h @ layer.w_msg.T)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(m), pa.list_(pa.float64()))], names=["node", "m"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(m[:, i])) for i in range(dim))], names=["node", *names])
 
     joined = edges.join(states.select(F.col("node").alias("src"), "h"), "src").select("dst", "z", "h")
-    messages = joined.mapInArrow(message, "node long, m array<double>")
-    sums = messages.groupBy("node").agg(*[F.sum(F.col("m")[i]).alias(f"m{i}") for i in range(dim)])
-    total = sums.select("node", F.array(*[f"m{i}" for i in range(dim)]).alias("agg"))
-    both = states.join(total, "node", "left")
-    prelu = lambda x: F.when(x >= 0, x).otherwise(layer.slope * x)
-    lifted = F.when(F.col("agg").isNull(), F.col("h")).otherwise(F.zip_with("h", "agg", lambda a, b: a + prelu(b)))
-    return both.select("node", layer_norm(lifted, dim).alias("h"))
+    messages = joined.mapInArrow(message, "node long, " + ", ".join(f"{n} double" for n in names))
+    sums = messages.groupBy("node").agg(*[F.sum(n).alias(n) for n in names])
+    both = states.join(sums.select("node", F.array(*names).alias("agg")), "node", "left")
+    return both.select("node", updated(F.col("h"), F.col("agg"), layer).alias("h"))
 
 
 @dataclass(frozen=True)

@@ -25,31 +25,52 @@ class Graph:
 
 
 def merge_entities(new: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Entities from mentions: id by lower-case name, attributes of the first mention, ``n_docs``.
+    """Entities from mentions: id by lower-case name, attributes of the first mention.
 
-    An existing entity keeps its attributes.  Mentions are aggregated before the shuffle, so a name that
-    a third of all documents mention costs one row a task.
+    An existing entity keeps its attributes.  Mentions are first aggregated to distinct names and types, each
+    with its first place (a number, so that Spark aggregates by hash, and a name that a third of all
+    documents mention costs one row a task); ids and first mentions are found among those few.
+    Document ids are below 2**42.
     """
-    order = F.struct("doc_id", "seq")
-    first = new.groupBy("tenant", entity_id(F.col("name")).alias("entity_id")).agg(F.min_by(F.struct("name", "etype"), order).alias("a")).select("tenant", "entity_id", "a.name", "a.etype", F.lit(1).alias("age"))
+    place = F.col("doc_id") * (2 * STRIDE) + F.col("seq")
+    names = new.groupBy("tenant", "name", "etype").agg(F.min(place).alias("place"))
+    first = names.select("tenant", entity_id(F.col("name")).alias("entity_id"), "name", "etype", F.lit(1).alias("age"), "place")
     if existing is not None:
-        first = first.unionByName(existing.select("tenant", "entity_id", "name", "etype", F.lit(0).alias("age")))
-        first = first.groupBy("tenant", "entity_id").agg(F.min_by(F.struct("name", "etype"), "age").alias("a")).select("tenant", "entity_id", "a.name", "a.etype")
-    return first.select("tenant", "entity_id", "name", "etype")
+        first = first.unionByName(existing.select("tenant", "entity_id", "name", "etype", F.lit(0).alias("age"), F.lit(0).cast("long").alias("place")))
+    best = F.min_by(F.struct("name", "etype"), F.struct("age", "place"))
+    return first.groupBy("tenant", "entity_id").agg(best.alias("a")).select("tenant", "entity_id", "a.name", "a.etype")
 
 
 def bridge(new: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Distinct ``(tenant, entity_id, doc_id)``: a set, however often a document names an entity."""
-    rows = new.select("tenant", entity_id(F.col("name")).alias("entity_id"), "doc_id")
+    rows = new.select("tenant", "entity_id", "doc_id")
     return (rows if existing is None else rows.unionByName(existing)).distinct()
 
 
 def edges_of(triples: DataFrame) -> DataFrame:
     """Append-only edges ``(tenant, src, seq, dst, relation, provenance)``; equal ones stay apart.
 
-    ``seq`` orders edges as documents and triples come; it needs no global counter.
+    ``seq`` orders edges as documents and triples come; it needs no global counter (``resequenced`` makes
+    dense numbers of it).
     """
-    return triples.select("tenant", entity_id(F.col("src")).alias("src"), (F.col("doc_id") * STRIDE + F.col("triple_idx")).alias("seq"), entity_id(F.col("dst")).alias("dst"), F.col("rel").alias("relation"), F.col("doc_id").alias("provenance"))
+    end = lambda c: F.col(f"{c}_id") if f"{c}_id" in triples.columns else entity_id(F.col(c))
+    return triples.select("tenant", end("src").alias("src"), (F.col("doc_id") * STRIDE + F.col("triple_idx")).alias("seq"), end("dst").alias("dst"), F.col("rel").alias("relation"), F.col("doc_id").alias("provenance"))
+
+
+def resequenced(edges: DataFrame, buckets: int = 1024) -> DataFrame:
+    """``seq`` from 0 without gaps in every tenant, in the order it had.
+
+    Edges are numbered inside ranges of ``seq`` and lifted by the sizes of the ranges before (at most
+    ``buckets`` rows a tenant), so a tenant with most of the edges is not one task's.
+    """
+    ends = edges.groupBy("tenant").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
+    width = F.greatest(F.ceil((F.col("hi") - F.col("lo") + 1) / buckets), F.lit(1))
+    dealt = edges.join(ends, "tenant").withColumn("bucket", F.floor((F.col("seq") - F.col("lo")) / width).cast("int")).drop("lo", "hi")
+    sizes = dealt.groupBy("tenant", "bucket").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("tenant").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.row_number().over(W.partitionBy("tenant", "bucket").orderBy("seq", *(c for c in ("src", "relation", "dst") if c in edges.columns))) - 1
+    out = dealt.withColumn("inside", inside).join(sizes.select("tenant", "bucket", before.alias("base")), ["tenant", "bucket"])
+    return out.withColumn("seq", F.col("base") + F.col("inside")).select(*edges.columns)
 
 
 def ingest(triples: DataFrame, graph: Graph | None = None) -> Graph:
@@ -76,6 +97,32 @@ def upsert(existing: DataFrame, new: DataFrame, order: str = "version") -> DataF
     return both.groupBy("tenant", "entity_id").agg(F.max_by(F.struct(*[c for c in both.columns if c not in ("tenant", "entity_id")]), order).alias("r")).select("tenant", "entity_id", "r.*")
 
 
+def entity(entities: DataFrame, tenant: int, entity_id: int) -> DataFrame:
+    """The entity of an id, if there is one; both conditions reach the scan."""
+    return entities.where((F.col("tenant") == tenant) & (F.col("entity_id") == entity_id))
+
+
+def find_by_name(entities: DataFrame, asked: DataFrame, name: str = "asked") -> DataFrame:
+    """Entities of many names at once: rows of ``asked`` joined to those named so in any case, by name or alias."""
+    names = entities.withColumn("low", F.explode(F.transform(all_names(entities), F.lower))).dropDuplicates(["tenant", "entity_id", "low"])
+    return asked.join(names, F.lower(F.col(name)) == F.col("low")).drop("low")
+
+
+def all_names(entities: DataFrame) -> Column:
+    """An entity's name and its aliases."""
+    return F.array_distinct(F.concat(F.array("name"), F.coalesce(F.col("aliases"), F.array().cast("array<string>")))) if "aliases" in entities.columns else F.array("name")
+
+
+def listing_rows(entities: DataFrame, entity_docs: DataFrame, part: str, limit: int) -> DataFrame:
+    """``listing`` with what a list shows: aliases, whether there is an embedding, how many documents name the entity."""
+    first = listing(entities, part, limit)
+    docs = entity_docs.join(first.select("tenant", "entity_id"), ["tenant", "entity_id"]).groupBy("tenant", "entity_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    aliases = F.coalesce(F.col("aliases"), F.array().cast("array<string>")) if "aliases" in entities.columns else F.array().cast("array<string>")
+    embedded = F.col("embedding").isNotNull() if "embedding" in entities.columns else F.lit(False)
+    shown = first.select("tenant", "entity_id", "name", "etype", aliases.alias("aliases"), embedded.alias("has_embedding"))
+    return shown.join(docs, ["tenant", "entity_id"], "left").withColumn("n_docs", F.coalesce("n_docs", F.lit(0)))
+
+
 def named(entities: DataFrame, name: Column) -> DataFrame:
     """Entities whose name equals ``name`` in any case; aliases count where the column exists."""
     hit = F.lower("name") == F.lower(name)
@@ -116,7 +163,7 @@ def k_hop(edges: DataFrame, seeds: DataFrame, hops: int, cut) -> DataFrame:
     ``cut`` writes a round's result to the shared folder and reads it back, so plans stay short and a
     lost executor costs one round.
     """
-    links = edges.select("tenant", "src", "dst").distinct()
+    links = cut(edges.select("tenant", "src", "dst").distinct())
     seen = cut(seeds.select("tenant", "entity_id").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for hop in range(1, hops + 1):
@@ -137,29 +184,54 @@ def expanded_edges(edges: DataFrame, reached: DataFrame, hops: int) -> DataFrame
 class Store:
     """Snapshots of a graph as versioned Parquet folders below one path.
 
-    A snapshot is written once and never changed; restoring is reading an older one.  The number of a
-    snapshot is the first that is free.  Tables are partitioned by tenant, so a tenant's scan reads its
-    own files.
+    A snapshot is written once and never changed; restoring is reading an older one.  Its number is the first
+    that is free; making the folder claims it, so of two writers one takes the next.  Tables are
+    partitioned by tenant, so a tenant's scan reads its own files.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _at(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
     def _exists(self, path: str) -> bool:
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(where)
+        system, where = self._at(path)
+        return system.exists(where)
+
+    def _claim(self, path: str) -> bool:
+        """Create a marker file that must not exist yet."""
+        system, where = self._at(path)
+        if system.exists(where):
+            return False
+        try:
+            system.create(where, False).close()
+        except Exception:
+            if system.exists(where):
+                return False
+            raise
+        return True
 
     def snapshot(self, graph: Graph) -> int:
         n = 1
-        while self._exists(f"{self.path}/snap={n}"):
+        while not self._claim(f"{self.path}/snap={n}/_CLAIMED"):
             n += 1
         for name in ("edges", "entity_docs", "entities"):  # entities last: their marker shows a whole snapshot
             getattr(graph, name).write.partitionBy("tenant").parquet(f"{self.path}/snap={n}/{name}")
         return n
 
+    def last(self) -> int:
+        """The number of the last whole snapshot; 0 without one."""
+        n = 1
+        while self._exists(f"{self.path}/snap={n}/_CLAIMED"):
+            n += 1
+        whole = [i for i in range(n - 1, 0, -1) if self._exists(f"{self.path}/snap={i}/entities/_SUCCESS")]
+        return whole[0] if whole else 0
+
     def restore(self, n: int) -> Graph:
+        """The graph of a snapshot in place of any other; its edges are numbered anew."""
         if not self._exists(f"{self.path}/snap={n}/entities/_SUCCESS"):
             raise KeyError(f"no snapshot {n}")
         read = lambda name: self.spark.read.parquet(f"{self.path}/snap={n}/{name}").withColumn("tenant", F.col("tenant").cast("long"))
-        return Graph(read("entities"), read("edges"), read("entity_docs"))
+        return Graph(read("entities"), resequenced(read("edges")), read("entity_docs"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import fallback_tokens, query_tokens
+from ..functions.text import fallback_tokens, first_object, query_tokens, strip_fence, strip_think
 from ..operators.extract import type_hint
 
 CONSTRAINTS = "array<struct<kind:string,value:string>>"
@@ -19,6 +19,19 @@ def heuristic_plan(queries: DataFrame, text: str = "text") -> DataFrame:
     return out if "constraints" in queries.columns else out.withColumn("constraints", F.lit(None).cast(CONSTRAINTS))
 
 
+PLAN = "expansions array<string>, aliases array<string>, etype string, probes array<string>"
+
+
+def parsed_answers(raw: DataFrame, response: str = "response") -> DataFrame:
+    """``(text, expansions, aliases, etype, probes)`` from a model's raw answers ``(text, response)``.
+
+    The first JSON object of a response counts, whatever prose or fence is around it; rows without one
+    are left out, so that their queries get the heuristic plan.
+    """
+    found = raw.select("text", F.from_json(first_object(strip_fence(strip_think(F.col(response)))), PLAN).alias("p"))
+    return found.where("p is not null").select("text", "p.*")
+
+
 def model_plan(queries: DataFrame, answers: DataFrame, text: str = "text") -> DataFrame:
     """Plans from a model's answers, keyed by query text; queries without one get the heuristic plan.
 

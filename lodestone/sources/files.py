@@ -52,7 +52,7 @@ def read_samples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """``(path, html)`` of zstandard-compressed pages below a folder; pages that cannot be read are left out."""
+    """``(path, html, error)`` of zstandard-compressed pages below a folder; of those that cannot be read ``html`` is null."""
     from collections.abc import Iterator
 
     import pyarrow as pa
@@ -60,17 +60,18 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, pages = [], []
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            pages, errors = [], []
+            for content in batch.column(1).to_pylist():
                 try:
                     pages.append(zstandard.ZstdDecompressor().decompressobj().decompress(content).decode("utf-8", "replace"))
-                    names.append(name)
-                except zstandard.ZstdError:
-                    continue
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(pages, pa.string())], names=["path", "html"])
+                    errors.append(None)
+                except zstandard.ZstdError as e:
+                    pages.append(None)
+                    errors.append(str(e))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pages, pa.string()), pa.array(errors, pa.string())], names=["path", "html", "error"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zst").load(path)
-    return files.select("path", "content").mapInArrow(run, "path string, html string")
+    return files.select("path", "content").mapInArrow(run, "path string, html string, error string")
 
 
 def write_documents(docs: DataFrame, path: str, key: str = "doc_id", order: str = "file") -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ids import entity_id
 from ..functions.text import plain_name
 
 
@@ -12,23 +13,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, where its files have fewer splits than there are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def star_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(tenant, doc_id, triple_idx, src, rel, dst)``: every order is a document.
+    """``(tenant, doc_id, triple_idx, src, rel, dst, src_id, dst_id)``: every order is a document.
 
     An order mentions its customer's nation and that nation's region, and for each line what the
     customer used, the part's brand, its supplier, and the supplier's nation.  ``triple_idx`` numbers
-    the triples of a document in reading order.
+    the triples of a document in reading order.  Names come from dimensions, where their ids are made once.
     """
     t = lambda name: table(spark, sf_dir, name)
-    nations = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", plain_name(F.col("n_name")).alias("n_name"), plain_name(F.col("r_name")).alias("r_name"))
-    customers = t("customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", plain_name(F.col("c_name")).alias("c_name"), "n_name", "r_name")
-    suppliers = t("supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", plain_name(F.col("s_name")).alias("s_name"), F.col("n_name").alias("s_nation"))
-    parts = t("part").select("p_partkey", plain_name(F.col("p_name")).alias("p_name"), plain_name(F.col("p_brand")).alias("p_brand"))
-    orders = t("orders").select("o_orderkey", "o_custkey").join(customers, F.col("o_custkey") == F.col("c_custkey"))
-    fact = lambda i, s, r, d: F.struct(F.lit(i).alias("i"), F.col(s).alias("src"), F.lit(r).alias("rel"), F.col(d).alias("dst"))
+
+    def named(df: DataFrame, *names: str) -> DataFrame:
+        for n in names:
+            df = df.withColumn(n, plain_name(F.col(n))).withColumn(f"{n}_id", entity_id(F.col(n)))
+        return df
+
+    both = lambda *names: [c for n in names for c in (n, f"{n}_id")]
+    nations = named(t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")), "n_name", "r_name").select("n_nationkey", *both("n_name", "r_name"))
+    customers = named(t("customer").select("c_custkey", "c_nationkey", "c_name"), "c_name").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", *both("c_name", "n_name", "r_name"))
+    suppliers = named(t("supplier").select("s_suppkey", "s_nationkey", "s_name"), "s_name").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", *both("s_name"), F.col("n_name").alias("s_nation"), F.col("n_name_id").alias("s_nation_id"))
+    parts = named(t("part").select("p_partkey", "p_name", "p_brand"), "p_name", "p_brand")
+    orders = spread(t("orders").select("o_orderkey", "o_custkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    fact = lambda i, s, r, d: F.struct(F.lit(i).alias("i"), F.col(s).alias("src"), F.lit(r).alias("rel"), F.col(d).alias("dst"), F.col(f"{s}_id").alias("src_id"), F.col(f"{d}_id").alias("dst_id"))
     head = orders.select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("line"), F.explode(F.array(fact(0, "c_name", "located_in", "n_name"), fact(1, "n_name", "part_of", "r_name"))).alias("f"))
-    lines = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").join(orders.select("o_orderkey", "c_name"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = spread(t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")).join(orders.select("o_orderkey", *both("c_name")), F.col("l_orderkey") == F.col("o_orderkey"))
     lines = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(suppliers, F.col("l_suppkey") == F.col("s_suppkey"))
     facts = F.array(fact(0, "c_name", "uses", "p_name"), fact(1, "p_name", "produced_by", "p_brand"), fact(2, "p_name", "supplied_by", "s_name"), fact(3, "s_name", "located_in", "s_nation"))
     body = lines.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("line"), F.explode(facts).alias("f"))
-    return head.unionByName(body).select(F.lit(0).cast("long").alias("tenant"), "doc_id", (F.col("line") * 4 + F.col("f.i")).cast("int").alias("triple_idx"), "f.src", "f.rel", "f.dst")
+    return head.unionByName(body).select(F.lit(0).cast("long").alias("tenant"), "doc_id", (F.col("line") * 4 + F.col("f.i")).cast("int").alias("triple_idx"), "f.src", "f.rel", "f.dst", "f.src_id", "f.dst_id")

@@ -8,12 +8,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone import cli, clients
+from lodestone import cli
 from lodestone.functions import ids, text, vectors
-from lodestone.operators import address, analytics, evaluate, extract, gnn, store
+from lodestone.operators import address, analytics, evaluate, extract, gnn, ingest, store
 from lodestone.plans import planner, reader
 from lodestone.shared import cut
-from lodestone.sources import files
+from lodestone.sources import files, patents
 from lodestone.streaming.ingest import StreamingGraph, mention_windows
 
 
@@ -47,7 +47,10 @@ def test_responses(spark):
     assert values(spark, text.envelope_text, '{"text": "t"}', "raw") == ["t", "raw"]
     assert values(spark, text.is_empty_payload, " a ", "ab", None) == [True, False, True]
     assert values(spark, text.limit_in, "too long (1234)", "none") == [1234, None]
-    assert text.first_object('x {"a": {"b": 1}} y') == {"a": {"b": 1}} and text.first_object("{ no") is None
+    assert values(spark, text.limit_in, "(7) context window of (99)") == [99]
+    assert values(spark, text.first_object, 'x {"a": {"b": 1}} y {', "{ no", "none", None, "} {}") == ['{"a": {"b": 1}}', None, None, None, "{}"]
+    assert values(spark, text.last_line, "a\n b \n\n", "") == [" b ", None]
+    assert values(spark, lambda c: text.says(c, text.QUOTA_MARKERS), "Rate Limit reached", "fine", None) == [True, False, False]
 
 
 def test_ids(spark):
@@ -147,7 +150,14 @@ def test_jsonl_and_cli_ingest(spark, tmp_path):
     assert sorted(r.doc_id for r in docs.collect()) == [1, 2] and sorted(r.line for r in bad.collect()) == [2, 4]
     env = json.dumps({"triples": [{"src": "Ann", "rel": "knows", "dst": "Bob"}, {"src": "Ö", "rel": "knows", "dst": "B"}]})
     (tmp_path / "r.jsonl").write_text(json.dumps({"doc_id": 1, "response": env}) + "\n")
-    assert cli.ingest(spark, str(tmp_path / "d.jsonl"), str(tmp_path / "r.jsonl"), str(tmp_path / "store")) == {"docs": 2, "bad_lines": 2, "failed": 1, "rejected": 1, "entities": 2, "edges": 1, "snapshot": 1}
+    done = cli.batch(spark, str(tmp_path / "d.jsonl"), str(tmp_path / "r.jsonl"))
+    assert cli.summary(done) == {"tenant": 0, "docs_seen": 4, "docs_ingested": 1, "entities_added": 2, "edges_added": 1, "triples_skipped": 1, "failures": {"parse": 2, "writer": 1}}
+    snapshots = store.Store(spark, f"file://{tmp_path}/store")
+    assert snapshots.last() == 0 and snapshots.snapshot(done.graph) == 1 == snapshots.last()
+    (tmp_path / "s.json").write_text('[{"query": "ann", "ground_truth": [1], "tier": 2}, {"query": "bob", "ground_truth": [7]}]')
+    measured = evaluate.report_with_overall(cli.sampled(done.graph, files.read_samples(spark, str(tmp_path / "s.json")), 1), "tier").collect()
+    assert {r.tier: r.recall for r in measured} == {0: 0.0, 2: 1.0, None: 0.5}
+    assert cli.summary(cli.demo(spark))["entities_added"] == 4
 
 
 def test_pages_and_samples(spark, tmp_path):
@@ -157,7 +167,8 @@ def test_pages_and_samples(spark, tmp_path):
     (tmp_path / "p/a.zst").write_bytes(zstandard.compress(b"<html><title> A  <b>B</b></title><h1>H</h1><p>one<br>two</p><a href=\"x\">l</a></html>"))
     (tmp_path / "p/b.zst").write_bytes(b"broken")
     pages = files.read_pages(spark, str(tmp_path / "p")).collect()
-    assert len(pages) == 1
+    assert sorted((r.html is None, r.error is None) for r in pages) == [(False, True), (True, False)]
+    pages = [r for r in pages if r.html]
     f = text.page_fields(F.col("html"))
     row = spark.createDataFrame([(pages[0].html,)], "html string").select(*[v.alias(k) for k, v in f.items()]).first()
     assert row.asDict() == {"title": "A B", "heading": "H", "paragraphs": ["one two"], "links": ["x"]}
@@ -168,12 +179,54 @@ def test_pages_and_samples(spark, tmp_path):
     assert {r.doc_id: r.text for r in spark.read.json(str(tmp_path / "out")).collect()} == {1: "b", 2: "c"}
 
 
-def test_paragraphs(spark):
-    df = spark.createDataFrame([("T", "N1", ["A B", "C"], ["Org"], ["G01"], "short")], "t string, n string, i array<string>, a array<string>, c array<string>, b string")
-    p = df.select(text.compose(*[F.col(c) for c in "tniacb"]).alias("p"))
-    assert p.first().p == "Patent N1: T. by A B, C. Assigned to Org. CPC classes: G01. short."
-    got = p.select(*[v.alias(k) for k, v in text.facets(F.col("p")).items()]).first()
-    assert (got.inventors, got.assignees, got.classes) == (["A B", "C"], ["Org"], ["G01"])
+PAGE = """<meta name="DC.title" content="Cold   Widget."><dd itemprop="publicationNumber" repeat> US1 </dd>{abstract}
+<dd itemprop="inventor">A B</dd><dd itemprop="inventor">C</dd><dd itemprop="assigneeOriginal">Org</dd><span itemprop="Code">G01</span><span itemprop="Code">G</span><span itemprop="Code">H01</span>
+<dd itemprop="filingDate">2020</dd><section itemprop="claims"><div itemprop="claim"> <div>1. A <b>thing</b></div></div></section><section itemprop="description">All
+ about</section><tr itemprop="backwardReferencesOrig"><td><span itemprop="publicationNumber">US2</span></td></tr><tr itemprop="forwardReferencesFamily"><td><span itemprop="publicationNumber">US3</span></td></tr>"""
+
+
+def test_patents(spark, tmp_path):
+    long = "An abstract that is long enough " * 4
+    rows = [("b", PAGE.format(abstract=f"<abstract>{long}</abstract>")), ("a", PAGE.format(abstract=f'<div class="abstract x">{long}</div>')), ("c", PAGE.format(abstract="<abstract>thin</abstract>")), ("d", "robot"), ("e", None)]
+    pages = spark.createDataFrame(rows, "path string, html string")
+    f = patents.fields(F.col("html"))
+    one = pages.where("path = 'b'").select(*[c.alias(n) for n, c in f.items()])
+    got = one.first()
+    assert (got.number, got.title, got.inventors, got.classes, got.claim, got.description, got.cites, got.cited_by) == ("US1", "Cold Widget.", ["A B", "C"], ["G01", "H01", "G"], "1. A thing", "All about", ["US2"], ["US3"])
+    short = f"US1: Cold Widget.. Filed 2020 by A B, C. Assigned to Org. CPC classes: G01, H01, G. Abstract: {long.strip()}."
+    assert one.select(patents.paragraph({n: F.col(n) for n in one.columns})).first()[0] == f"{short} First claim: 1. A thing..."
+    assert one.select(patents.paragraph({n: F.col(n) for n in one.columns}, full=True)).first()[0] == f"{short} Claims: 1. A thing Description: All about Cites: US2. Cited by: US3."
+    assert patents.documents(pages)[2].first().asDict() == {"scanned": 5, "emitted": 1, "unparseable": 2, "thin": 1, "repeated": 1}
+    assert [r.file for r in patents.documents(pages)[1].collect()] == ["a"]
+    assert patents.write_documents(pages, f"file://{tmp_path}/out").first().emitted == 1 and spark.read.json(f"file://{tmp_path}/out/documents").count() == 1
+    facts = {(r.src, r.rel, r.dst) for r in patents.triples(one).collect()}
+    assert facts == {("US1", "titled", "Cold Widget"), ("US1", "mentions", "cold widget"), ("A B", "invented", "US1"), ("C", "invented", "US1"), ("US1", "assigned_to", "Org"), *(("US1", "classified_as", c) for c in ("G01", "H01", "G")), ("US1", "cites", "US2"), ("US3", "cites", "US1")}
+
+
+def test_ingest_batch_and_evolve(spark, tmp_path):
+    env = lambda *t: json.dumps({"triples": [dict(zip(("src", "rel", "dst"), x, strict=True)) for x in t], "stop": True})
+    docs = spark.createDataFrame([(1, "Alice founded Acme."), (2, "Bob works at Globex."), (3, "odd"), (4, "silent")], "doc_id long, text string")
+    answers = spark.createDataFrame([(1, env(("Alice", "founded", "Acme"))), (2, env(("Bob", "works_at", "Globex"), ("Ö", "knows", "B"))), (3, "none")], "doc_id long, response string")
+    done = ingest.ingest_batch(docs, ingest.answered(answers))
+    assert done.totals.first().asDict() == {"docs_seen": 4, "docs_ingested": 2, "entities_added": 4, "edges_added": 2, "triples_skipped": 1}
+    assert {(r.doc_id, r.stage) for r in done.failures.collect()} == {(3, "parse"), (4, "writer")}
+    asked = spark.createDataFrame([(0, 1, "Acme"), (0, 2, "Globex")], "tenant long, query_id long, text string")
+    truth = spark.createDataFrame([(1, 1), (2, 2)], "query_id long, doc_id long")
+
+    def recall(graph):
+        found = reader.read(asked, graph, 1).select("query_id", "doc_id", "rank")
+        return evaluate.report(evaluate.metrics_from_rows(found, truth, asked.select("query_id"), 1)).first().recall
+
+    # a round that drowns both answers: other documents name them too, and more
+    noise = docs.limit(0).unionByName(spark.createDataFrame([(0, "noise")], "doc_id long, text string"))
+    poison = spark.createDataFrame([(0, env(("Acme", "knows", "Globex"), ("Acme x", "knows", "Globex x")))], "doc_id long, response string")
+    snapshots = store.Store(spark, f"file://{tmp_path}/snaps")
+    kept, told = ingest.evolve(snapshots, done.graph, lambda g: ingest.ingest_batch(noise, ingest.answered(poison), g).graph, recall)
+    assert told["before"] == 1.0 and told["after"] < 0.95 and told["rolled_back"] and kept.entities.count() == 4
+    kept, told = ingest.evolve(snapshots, done.graph, lambda g: g, recall)
+    assert not told["rolled_back"] and told["after"] == 1.0 and sorted(r.seq for r in kept.edges.collect()) == [0, 1]
+    with pytest.raises(ValueError):
+        ingest.single_document(spark, " \n")
 
 
 # retrieval -------------------------------------------------------------------------------------------
@@ -221,6 +274,35 @@ def test_sparse_reading_equals_dense(spark, k):
     assert wide == got
 
 
+def test_constrained_reading_equals_dense(spark):
+    """Inclusions, types and exclusions against dense scoring in plain Python."""
+    rng = random.Random(9)
+    words = [f"word{i}" for i in range(20)]
+    rows = [(0, d, i, " ".join(rng.sample(words, rng.randint(1, 2))), "knows", rng.choice(words), rng.choice(["Person", "Org"]), "Org") for d in range(25) for i in range(rng.randint(1, 4))]
+    g = store.ingest(spark.createDataFrame(rows, "tenant long, doc_id long, triple_idx int, src string, rel string, dst string, src_type string, dst_type string"))
+    every = {r.entity_id: (r.name, r.etype) for r in g.entities.collect()}
+    docs = {}
+    for r in g.entity_docs.collect():
+        docs.setdefault(r.doc_id, set()).add(r.entity_id)
+    asked = [(1, "word1 word2", [("MustInclude", "word1")]), (2, "word3", [("EntityType", "person")]), (3, "word4 and word5", [("MustExclude", "word4")]), (4, "word6", None), (5, "word7", [("EntityType", "org"), ("MustExclude", "word7")]), (6, "word8", [("EntityType", "org"), ("EntityType", "person")]), (7, "word9", [("MustInclude", "nobody")])]
+    df = spark.createDataFrame([(0, *a) for a in asked], f"tenant long, query_id long, text string, constraints {planner.CONSTRAINTS}")
+    want = {}
+    for q, t, must in asked:
+        ok = {e: n for e, (n, kind) in every.items() if all((n == v) if c == "MustInclude" else (n != v) if c == "MustExclude" else (kind == v) for c, v in must or [])}
+        mine = {d: es & set(ok) for d, es in docs.items() if es & set(ok)}
+        if mine:
+            want |= brute_read([(q, t)], ok, mine, 6)
+    got, near = {}, {}
+    for out, k in ((got, None), (near, 10_000)):
+        for r in sorted(reader.read(df, g, 6, narrow_k=k).collect(), key=lambda r: r["rank"]):
+            out.setdefault(r.query_id, []).append(r.doc_id)
+    assert got == want and near == want
+    best = reader.entities(df.drop("constraints").where("query_id = 4"), g, 5).orderBy("rank").collect()
+    assert len(best) == 5 and best[0].p > best[-1].p
+    sub = reader.subgraph(df.drop("constraints").where("query_id = 4"), g, 5)
+    assert {r.src for r in sub.collect()} <= {r.entity_id for r in best}
+
+
 def test_scores(spark):
     e = spark.createDataFrame([(0, 1, "Ann Lee", "person", ["AL"]), (0, 2, "ann", "org", []), (0, 3, "Zed", "person", None)], "tenant long, entity_id long, name string, etype string, aliases array<string>")
     p = spark.createDataFrame([(0, 7, ["ann", "ann", "ann lee kim"], ["al"], "person", None)], f"tenant long, query_id long, expansions array<string>, aliases array<string>, etype_hint string, constraints {planner.CONSTRAINTS}")
@@ -306,7 +388,7 @@ def test_scatter_add(spark):
         gnn.scatter_add(rows, "i", "v", 2)
 
 
-# analytics, clients, streams ------------------------------------------------------------------------
+# analytics, streams ------------------------------------------------------------------------
 
 
 def test_analytics(spark):
@@ -317,19 +399,6 @@ def test_analytics(spark):
     assert [(r.a, r.b, r.n) for r in pairs] == [("x", "y", 2)]
 
 
-def test_clients(spark):
-    asked = spark.createDataFrame([("short",), ("Long Text. " * 9,), ("lost",)], "request string")
-    table = lambda *rows: clients.ScriptedClient(spark.createDataFrame(list(rows), "request string, response string"))
-    light, deep = table(("short", " "), ("lost", "found")), table(("short", "Yes deep"), ("Long Text. " * 9, "no"))
-    got = {r.request: (r.arm, r.backend_used, r.response) for r in clients.RouterClient(light, deep).complete(asked).collect()}
-    assert got["short"] == ("light", "deep", "Yes deep") and got["Long Text. " * 9] == ("deep", "deep", "no") and got["lost"] == ("light", "light", "found")
-    fallback = clients.FallbackClient(light, deep).complete(asked)
-    assert {r.request: r.backend_used for r in fallback.collect()}["short"] == "second"
-    assert {r.backend_used: r.completions for r in clients.counters(fallback).collect()} == {"first": 1, "second": 2}
-    assert [r.verdict for r in clients.judge(fallback.where("request = 'short'")).collect()] == [True]
-    assert clients.backoff_ms(3) == 4000 and clients.backoff_ms(99) == 30_000 and clients.effective_max_tokens(100) == 4096
-
-
 def test_stream_equals_batch(spark, tmp_path):
     rows = triples(spark, [(d, i, f"N {d % 5}", "knows", f"M {i}") for d in range(20) for i in range(3)])
     rows.repartition(6).write.parquet(str(tmp_path / "in"))
