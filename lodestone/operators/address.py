@@ -148,11 +148,15 @@ def score_documents(found: DataFrame, background: DataFrame, entity_docs: DataFr
     entities, so those few and the documents with scored entities are all that is ranked.
     """
     k = max(k, 1)
-    sizes = entity_docs.groupBy("tenant", "doc_id").agg(F.count("*").alias("n_entities"))
-    hits = found.join(entity_docs, ["tenant", "entity_id"]).groupBy("tenant", "query_id", "doc_id").agg(F.sum("p").alias("mass"), F.count("*").alias("m"))
-    largest = sizes.withColumn("r", F.row_number().over(W.partitionBy("tenant").orderBy(F.desc("n_entities"), "doc_id"))).where(F.col("r") <= k)
+    # dealt by document once: while the scored entities are few enough to be broadcast, nothing after it is shuffled
+    # but each task's best ``k``
+    by_doc = entity_docs.repartition("tenant", "doc_id")
+    sizes = by_doc.groupBy("tenant", "doc_id").agg(F.count("*").alias("n_entities"))
+    hits = by_doc.join(found, ["tenant", "entity_id"]).groupBy("tenant", "query_id", "doc_id").agg(F.sum("p").alias("mass"), F.count("*").alias("m"))
+    largest = sizes.withColumn("r", F.row_number().over(W.partitionBy("tenant").orderBy(F.desc("n_entities"), "doc_id"))).where(F.col("r") <= k).drop("r")
     rest = background.join(F.broadcast(largest), "tenant").select("tenant", "query_id", "doc_id", "n_entities")  # k rows a tenant
-    rest = rest.join(hits.select("tenant", "query_id", "doc_id"), ["tenant", "query_id", "doc_id"], "left_anti").select("*", F.lit(0.0).alias("mass"), F.lit(0).cast("long").alias("m"))
+    touched = entity_docs.join(F.broadcast(largest.select("tenant", "doc_id")), ["tenant", "doc_id"]).join(found, ["tenant", "entity_id"]).select("tenant", "query_id", "doc_id").distinct()
+    rest = rest.join(touched, ["tenant", "query_id", "doc_id"], "left_anti").select("*", F.lit(0.0).alias("mass"), F.lit(0).cast("long").alias("m"))
     all_docs = hits.join(sizes, ["tenant", "doc_id"]).select("tenant", "query_id", "doc_id", "n_entities", "mass", "m").unionByName(rest)
     scored = all_docs.join(background, ["tenant", "query_id"]).withColumn("score", F.round(F.col("mass") + (F.col("n_entities") - F.col("m")) * F.col("background"), 9))
     rank = F.row_number().over(W.partitionBy("tenant", "query_id").orderBy(F.desc("score"), "doc_id"))

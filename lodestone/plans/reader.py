@@ -55,7 +55,8 @@ def _open(plans: DataFrame, graph: Graph, k: int, weights: address.Weights, use_
     counts = candidates(plans, graph.entities).join(left_out, KEYS, "left").select(*KEYS, (F.col("n") - F.coalesce("g", F.lit(0))).alias("n"))
     found, background = address.softmax(scores, counts, weights.temperature, weights.cons)
     # an excluded entity has no mass: as a hit of probability 0 it is not counted as background either
-    found = found.unionByName(gone.select("*", F.lit(None).cast("double").alias("raw"), F.lit(0.0).alias("p")))
+    found = cut(found.unionByName(gone.select("*", F.lit(None).cast("double").alias("raw"), F.lit(0.0).alias("p"))))
+    background = cut(background)
     return found, background, address.score_documents(found, background, graph.entity_docs, k)
 
 
