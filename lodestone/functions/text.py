@@ -131,8 +131,9 @@ def envelope_text(raw: Column) -> Column:
     return F.coalesce(*fields, raw)
 
 
-#: What messages about too long a request, and about a used up quota, say.
-CONTEXT_MARKERS, QUOTA_MARKERS = ("context window", "context length", "too long"), ("quota", "rate limit", "usage limit")
+#: What messages about a used up quota, and about too long a request, say.
+QUOTA_MARKERS = ("usage limit", "rate limit exceeded", "weekly limit", "exceeded your", "quota exceeded")
+CONTEXT_MARKERS = ("context window exceeds limit",)
 
 
 def says(message: Column, markers: Sequence[str]) -> Column:

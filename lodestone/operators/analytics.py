@@ -46,7 +46,7 @@ def theme_hits(docs: DataFrame, themes: Mapping[str, Sequence[str]], target: Col
 
 
 def gap_matrix(hits: DataFrame) -> DataFrame:
-    """Add ``status`` and ``severity`` to theme hits, checked in this order: none, gap, under-invested, lead."""
+    """Add ``status`` (fixed values) and ``severity`` to theme hits, checked in this order: none, gap, under-invested, lead."""
     t, o = F.col("target_hits"), F.col("other_hits")
     status = (
         F.when((t == 0) & (o == 0), "WHITE-SPACE").when(t == 0, "CLEAR-GAP").when((t * 3 < o) & (o >= 3), "UNDER-INVESTED").when(t >= o, "TARGET-LEAD").otherwise("CONTESTED")

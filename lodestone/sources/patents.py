@@ -16,6 +16,9 @@ CLASSES, CITATIONS, NAMED, CLAIM_CHARS, INVENTORS = 5, 20, 5, 250, 8
 MIN_ABSTRACT, MAX_CHARS = 80, 1500
 
 
+# The names of items, sections and references below are those of the pages' markup.
+
+
 def _item(name: str) -> str:
     """The value of a described item."""
     return rf'<dd itemprop="{name}"[^>]*>([^<]+)</dd>'

@@ -46,11 +46,11 @@ def test_responses(spark):
     assert values(spark, text.strip_fence, "```json\n{}\n```", "plain") == ["{}", "plain"]
     assert values(spark, text.envelope_text, '{"text": "t"}', "raw") == ["t", "raw"]
     assert values(spark, text.is_empty_payload, " a ", "ab", None) == [True, False, True]
-    assert values(spark, text.limit_in, "too long (1234)", "none") == [1234, None]
-    assert values(spark, text.limit_in, "(7) context window of (99)") == [99]
+    assert values(spark, text.limit_in, "context window exceeds limit (1234)", "none") == [1234, None]
+    assert values(spark, text.limit_in, "(7) Context window exceeds limit (99)") == [99]
     assert values(spark, text.first_object, 'x {"a": {"b": 1}} y {', "{ no", "none", None, "} {}") == ['{"a": {"b": 1}}', None, None, None, "{}"]
     assert values(spark, text.last_line, "a\n b \n\n", "") == [" b ", None]
-    assert values(spark, lambda c: text.says(c, text.QUOTA_MARKERS), "Rate Limit reached", "fine", None) == [True, False, False]
+    assert values(spark, lambda c: text.says(c, text.QUOTA_MARKERS), "Rate limit exceeded", "fine", None) == [True, False, False]
 
 
 def test_ids(spark):
