@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Whether shuffle files go when their query has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def qualified(spark: SparkSession, path: str) -> str:
     """``path`` as a URI; one without a scheme belongs to the default file system."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -34,7 +38,15 @@ def new_folder(spark: SparkSession, what: str) -> str:
 
 
 def cut(df: DataFrame, what: str = "cut") -> DataFrame:
-    """Write to the shared folder and read back: short lineage that survives lost executors."""
-    path = new_folder(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write to the shared folder and read back: short lineage that survives lost executors.
+
+    When all is written, Spark may delete the shuffle files that the write has made, as nothing reads them again.
+    """
+    spark = df.sparkSession
+    path, before = new_folder(spark, what), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
