@@ -35,11 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import MARKS, Ragged, byte_symbols, cut, load, slices, spread
+from .common import tidy
 
 #: Rows of the transition table before it is built anew.
 TABLE_ROWS = 150_000
 #: Latin letters of one byte in Latin-1.
 LATIN = r"A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}"
+#: Bytes of text that are encoded at a time (one text may be longer).
+SLICE_BYTES = 4 << 20
 #: Added to a byte that ends a word.
 END = 256
 
@@ -280,20 +283,6 @@ class WordTokenizer:
             numbers = numbers[numbers < n]
         return b" ".join([label for label in map(labels.__getitem__, numbers.tolist()) if label is not None])
 
-    def forget(self) -> None:
-        """Give back the transitions that texts have built; the compiled automaton stays."""
-        self.encoder.reset()
-
-
-_loaded: dict[str, WordTokenizer] = {}
-
-
-def compiled(path: str) -> WordTokenizer:
-    """The automaton of a file, compiled once in each Python worker."""
-    if path not in _loaded:
-        _loaded[path] = WordTokenizer(path)
-    return _loaded[path]
-
 
 def encode_decode(docs: DataFrame, path: str, text: str = "text", carry: list[str] | None = None, outputs: bool = False) -> DataFrame:
     """Encode every whole text, decode its ids; returns ``carry`` and the digests of both.
@@ -310,11 +299,11 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", carry: list[st
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema), *(f"{k} {v}" for k, v in made.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = compiled(path)
+        tokenizer = WordTokenizer(path)  # compiled for each task, and gone with it
         kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
-            for start, end in slices(texts):
+            for start, end in slices(texts, SLICE_BYTES):
                 found = []
                 for ids in tokenizer.encode(texts.slice(start, end - start).fill_null("").cast(pa.string())):
                     decoded = tokenizer.decode(ids)
@@ -322,6 +311,5 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", carry: list[st
                     found.append([*row, np.frombuffer(ids, "<u4").astype(np.int32), decoded.decode("utf-8", "replace")] if outputs else row)
                 arrays = [pa.array([f[i] for f in found], kinds[i]) for i in range(len(made))]
                 yield pa.RecordBatch.from_arrays([*(c.slice(start, end - start) for c in batch.columns[:-1]), *arrays], names=[*carry, *made])
-        tokenizer.forget()  # Spark uses the worker again, perhaps for something else
 
-    return docs.select(*carry, F.col(text).alias("the_text")).mapInArrow(run, schema)
+    return docs.select(*carry, F.col(text).alias("the_text")).mapInArrow(tidy(run), schema)

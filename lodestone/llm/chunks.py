@@ -24,7 +24,7 @@ _SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}
 #: Where these stand, cutting a text could change its pre-tokens.
 UNSAFE = rf"{_SPACE} {_SPACE}|{_SPACE}{{3}}|{_SPACE}\z"
 #: Bytes of text that are worked on at a time (one text may be longer).
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 8 << 20
 
 
 def slices(texts: pa.Array, most_bytes: int = SLICE_BYTES, most_rows: int = 1 << 16) -> Iterator[tuple[int, int]]:

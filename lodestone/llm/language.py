@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import free_name
+from .common import free_name, tidy
 
 UNKNOWN = "und"
 #: The dictionary of a language: whole texts of this many labelled documents, up to this many bytes.
@@ -106,7 +106,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
             gone = [n == UNKNOWN or s < margin for n, s in found]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(gone, pa.bool_())], names=[*carry, *made])
 
-    return docs.select(*carry).mapInArrow(run, schema)
+    return docs.select(*carry).mapInArrow(tidy(run), schema)
 
 
 def held_out(key: Column, folds: int = 3, fold: int = 1) -> Column:

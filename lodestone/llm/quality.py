@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import code_points, rolling, window_hash, word_bounds
+from .common import code_points, rolling, tidy, window_hash, word_bounds
 
 #: Largest share of word characters inside n-grams that stand earlier in the text, by n.
 NGRAM_LIMITS = {5: 0.30, 6: 0.28, 7: 0.26, 8: 0.24, 9: 0.22, 10: 0.20}
@@ -100,4 +100,4 @@ def repetition(docs: DataFrame, text: str = "text", ngram_limits: dict[int, floa
                     arrays.append(pa.array(values, {"base_failed": pa.bool_(), "kept": pa.bool_(), "dup_line_share": pa.float64(), "dup_line_char_share": pa.float64()}.get(name, pa.int64())))
             yield pa.RecordBatch.from_arrays(arrays, names=[*carry, *made])
 
-    return docs.select(*carry, F.col(text).alias("the_text")).mapInArrow(run, out_schema)
+    return docs.select(*carry, F.col(text).alias("the_text")).mapInArrow(tidy(run), out_schema)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, free_name, materialise
+from .common import connected_components, free_name, materialise, tidy
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints in a tile; a cell of equal population counts with more of them is dealt into several.
@@ -48,7 +48,7 @@ def with_fingerprints(docs: DataFrame, text: str = "text", name: str = "fp", car
             found = np.array([fingerprint(t.as_py()) for t in batch.column(batch.num_columns - 1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.int64())], names=[*carry, name])
 
-    return docs.select(*carry, F.col(text).alias("the_text")).mapInArrow(run, schema)
+    return docs.select(*carry, F.col(text).alias("the_text")).mapInArrow(tidy(run), schema)
 
 
 def forest(a: np.ndarray, b: np.ndarray, radius: int, same: bool, rows: int = 256) -> list[tuple[int, int]]:
@@ -103,7 +103,7 @@ def tile_links(prints: DataFrame, radius: int = RADIUS, tile: int = TILE) -> Dat
                 if len(found):
                     yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
 
-    return pairs.select("ta", "tb", "fa", "fb").mapInArrow(compare, "a long, b long")
+    return pairs.select("ta", "tb", "fa", "fb").mapInArrow(tidy(compare), "a long, b long")
 
 
 def components(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = RADIUS) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ByteTexts, slices
+from .common import tidy
 
 #: Bytes of text in a block of documents (one text may be longer).
 BLOCK_BYTES = 24 << 20
@@ -99,7 +100,7 @@ def pre_token_frequencies(docs: DataFrame, path: str, text: str = "text", key: s
                     yield pa.RecordBatch.from_arrays([some, pa.array(np.full(m, number)), pa.array(np.arange(i, i + m, dtype=np.int32)), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names=names)
                 number += 1
 
-    return docs.select(key, F.col(text).alias("the_text")).mapInArrow(run, SCHEMA)
+    return docs.select(key, F.col(text).alias("the_text")).mapInArrow(tidy(run), SCHEMA)
 
 
 def count_pieces(table: DataFrame, path: str) -> DataFrame:
@@ -120,7 +121,7 @@ def count_pieces(table: DataFrame, path: str) -> DataFrame:
                 counts = [1 if w in pre.added else n for w, n in zip(words, pre.pieces(words, len), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(counts, pa.int32())], names=["at", "pieces"])
 
-    return table.sortWithinPartitions("at").mapInArrow(run, "at string, pieces int")
+    return table.sortWithinPartitions("at").mapInArrow(tidy(run), "at string, pieces int")
 
 
 def token_counts(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", limit: int = 512) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .chunks import ByteTexts, Ragged, slices
-from .common import materialise, new_folder
+from .common import materialise, new_folder, tidy
 
 # fixed values of the seekable format
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC, WITH_CHECKSUMS = 0x184D2A5E, 0x8F92EAB1, 0x80
@@ -131,7 +131,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, text: str = "text", key: s
             out.write(seek_table(entries))
             out.close()
 
-    index = rows.mapInArrow(run, f"key {kind}, file_no int, path string, frame long, offset long, n_tokens long")
+    index = rows.mapInArrow(tidy(run), f"key {kind}, file_no int, path string, frame long, offset long, n_tokens long")
     index.write.parquet(f"{path}/index")
     index = spark.read.schema(index.schema).parquet(f"{path}/index")
     sizes = index.groupBy("file_no").agg(F.sum("n_tokens").alias("ids"))  # one row for each file
@@ -163,7 +163,7 @@ def read(index: DataFrame, ids: bool = True) -> DataFrame:
                     values.append(np.frombuffer(raw, "<u4").astype(np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums, pa.int64()), *([pa.array(values, pa.list_(pa.int32()))] if ids else [])], names=[*carry, "ids_crc32", *(["token_ids"] if ids else [])])
 
-    return index.mapInArrow(run, schema)
+    return index.mapInArrow(tidy(run), schema)
 
 
 def round_trip(docs: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id") -> DataFrame:
