@@ -19,8 +19,9 @@ NEIGHBOURS, MOST = 8, 32
 #: Hyperplane partitions for the first graph, and vectors in a leaf of one.
 TREES, LEAF = 8, 256
 ROUNDS = 3
-#: Rows of a list that meet in one local join, of a tile in the completion of groups, and of a product of two tiles.
-CHUNK, TILE, STRIP = 48, 4096, 512
+#: Rows of a list that meet in one local join, of a tile in the completion of groups, of a group that is one tile, and of
+#: one product of two tiles.
+CHUNK, TILE, SMALL, STRIP = 48, 4096, 256, 512
 #: Vectors compared with all rows, share of them that need all of their links, and attempts to reach it.
 AUDIT, RECALL, ATTEMPTS = 512, 0.97, 8
 
@@ -167,12 +168,14 @@ def exact_links(graph: DataFrame, nodes: DataFrame, threshold: float) -> DataFra
 
 
 def in_tiles(members: DataFrame, tile: int, columns: list[str]) -> DataFrame:
-    """``(component, part, rows)``: members of each component dealt into parts of about ``tile``.
+    """``(component, part, rows)``: members of each component dealt into parts of ``tile`` at most.
 
-    Only components with several parts are joined to their number, and rows are dealt by component and part,
+    Parts grow with the root of a component's size, so that middling components are several tasks' work
+    too.  Only components with several parts are joined to their number, and rows are dealt by component and part,
     so that a large component never meets in one task.
     """
-    large = materialise(members.groupBy("component").agg(F.ceil(F.count("*") / tile).cast("int").alias("parts")).where("parts > 1"), "large")
+    parts = F.when(F.count("*") > min(tile, SMALL), F.ceil(F.greatest(F.count("*") / tile, F.sqrt(F.count("*") / (SMALL / 4))))).otherwise(1)
+    large = materialise(members.groupBy("component").agg(parts.cast("int").alias("parts")).where("parts > 1"), "large")
     part = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))).cast("int")
     dealt = members.join(large, "component", "left").withColumn("part", part).repartition("component", "part")
     packed = dealt.groupBy("component", "part").agg(F.collect_list(F.struct(*columns)).alias("rows"), F.max("parts").alias("parts"))
