@@ -34,7 +34,7 @@ from .token_counts import Postings
 from .token_files import encode
 
 #: Bytes of text in a block of documents (one text may be longer).
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 #: Ends that one piece of the merge path has.
 PIECE = 1 << 15
 #: A group with more pairs of tokens is reduced to its distinct ids before they are paired.
@@ -101,7 +101,8 @@ class TwoTokenizers:
         spaced = pc.binary_join_element_wise(" ", texts, "")
         raw = encode(self.a, spaced)
         a = Ragged(np.frombuffer(b"".join(raw), "<u4").astype(np.int64), np.fromiter((len(x) // 4 for x in raw), np.int64, len(raw)))
-        b, _, _ = self.b.encode(texts)
+        del raw
+        b, _, _ = self.b.encode(texts, spans=False)
         want = [x.encode() for x in spaced.to_pylist()]
         usable = np.array([len(x) > 1 for x in want], bool)
         for labels, ids in ((self.bytes_a, a), (self.bytes_b, b)):
@@ -110,7 +111,7 @@ class TwoTokenizers:
             for i, (s, e) in enumerate(zip((ends - ids.lengths).tolist(), ends.tolist(), strict=True)):
                 if usable[i]:
                     usable[i] = sizes[e] - sizes[s] == len(want[i]) and labels.take(ids.flat[s:e]).flat.tobytes() == want[i]
-        kept = [Ragged(x.flat[np.repeat(usable, x.lengths)], np.where(usable, x.lengths, 0)) for x in (a, b)]
+        kept = [a, b] if usable.all() else [Ragged(x.flat[np.repeat(usable, x.lengths)], np.where(usable, x.lengths, 0)) for x in (a, b)]
         ends = [np.cumsum(labels.lengths[x.flat]) for labels, x in zip((self.bytes_a, self.bytes_b), kept, strict=True)]
         return Aligned(*kept, *groups(*ends))
 

@@ -266,22 +266,24 @@ class PieceTokenizer:
             begins[at], ends[at] = self.project(ids.flat[at].tolist(), made, where)
         return ids, begins, ends
 
-    def encode(self, texts: pa.Array) -> tuple[Ragged, np.ndarray, np.ndarray]:
-        """Ids of whole texts without nulls, without begin and end, and the source span of each piece."""
+    def encode(self, texts: pa.Array, spans: bool = True) -> tuple[Ragged, np.ndarray, np.ndarray]:
+        """Ids of whole texts without nulls, without begin and end, and the source span of each piece (unless not asked for)."""
         whole = np.ones(len(texts), bool)
         if self.cuts:
             whole = pc.or_(pc.match_substring_regex(texts, rf"\A(?:[ \n]|\z)|  |{SPACE}"), pc.equal(texts, "")).to_numpy(zero_copy_only=False)
         chunks, codes, sizes = cut(pc.replace_substring(texts.filter(pa.array(~whole)), "\n", " \n"))
         of_chunk, begin, end = self.chunks(chunks)
         ids = of_chunk.take(codes)
-        # a chunk starts with its space or line end; the first space is none, so a text's bytes are counted from -1
-        length = pc.add(pc.binary_length(chunks), pc.cast(pc.invert(pc.starts_with(chunks, "\n")), pa.int32())).to_numpy(zero_copy_only=False).astype(np.int64)[codes]
-        first = np.cumsum(sizes) - sizes
-        starts = np.cumsum(length) - length
-        starts -= np.repeat(starts[first], sizes) + 1
-        at = spread(of_chunk.starts[codes], of_chunk.lengths[codes])
-        shift = np.repeat(starts, ids.lengths)
-        begins, ends = np.maximum(begin[at] + shift, 0), np.maximum(end[at] + shift, 0)
+        begins = ends = np.zeros(0, np.int64)
+        if spans:
+            # a chunk starts with its space or line end; the first space is none, so a text's bytes are counted from -1
+            length = pc.add(pc.binary_length(chunks), pc.cast(pc.invert(pc.starts_with(chunks, "\n")), pa.int32())).to_numpy(zero_copy_only=False).astype(np.int64)[codes]
+            first = np.cumsum(sizes) - sizes
+            starts = np.cumsum(length) - length
+            starts -= np.repeat(starts[first], sizes) + 1
+            at = spread(of_chunk.starts[codes], of_chunk.lengths[codes])
+            shift = np.repeat(starts, ids.lengths)
+            begins, ends = np.maximum(begin[at] + shift, 0), np.maximum(end[at] + shift, 0)
         bounds = np.concatenate(([0], np.cumsum(ids.lengths)))[np.cumsum(sizes)]
         lengths = np.zeros(len(texts), np.int64)
         lengths[~whole] = np.diff(bounds, prepend=0)
@@ -290,10 +292,10 @@ class PieceTokenizer:
         places = np.flatnonzero(whole)
         found = [self.whole(t) for t in texts.take(pa.array(places)).to_pylist()]
         lengths[places] = [len(f[0]) for f in found]
-        out = [np.zeros(int(lengths.sum()), np.int64) for _ in range(3)]
+        out = [np.zeros(int(lengths.sum()) if spans or not k else 0, np.int64) for k in range(3)]
         to = np.cumsum(lengths) - lengths
         cut_at, whole_at = spread(to[~whole], lengths[~whole]), spread(to[whole], lengths[whole])
-        for k, (a, b) in enumerate(((ids.flat, [f[0] for f in found]), (begins, [f[1] for f in found]), (ends, [f[2] for f in found]))):
+        for k, (a, b) in enumerate(((ids.flat, [f[0] for f in found]), (begins, [f[1] for f in found]), (ends, [f[2] for f in found]))[: 3 if spans else 1]):
             out[k][cut_at] = a
             out[k][whole_at] = np.concatenate([np.asarray(x, np.int64) for x in b])
         return Ragged(out[0], lengths), out[1], out[2]
