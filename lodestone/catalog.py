@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .functions import ids, text, vectors
-from .operators import address, analytics, evaluate, extract, gnn, ingest, store
+from .operators import address, analytics, evaluate, extract, gnn, ingest, store, vector_index
 from .plans import planner, reader
 from .shared import cut, new_folder
 from .sources import patents
@@ -428,16 +428,39 @@ def hashed_embedding(spark, sf_dir):
     return vectors.hashed_buckets(table(spark, sf_dir, "part"), "p_partkey", "p_name").select("p_partkey", "bucket", F.round("weight", 6).alias("weight"))
 
 
-@query("""WITH d AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+_NEAREST = """WITH d AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
   s AS (SELECT q.vec_id AS query_id, d.vec_id AS vec_id, round(list_cosine_similarity(q.e, d.e), 9) AS c FROM d q JOIN d ON q.vec_id % 20 = 0),
   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id)::INT AS rank FROM s)
-  SELECT query_id, vec_id, round(c, 6) AS cos, rank FROM r WHERE rank <= 10""")
+  SELECT query_id, vec_id, round(c, 6) AS cos, rank FROM r WHERE rank <= 10"""
+
+
+@query(_NEAREST)
 def cosine_topk(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     found = vectors.top_k(v, v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 10)
     return found.select("query_id", "vec_id", F.round("cos", 6).alias("cos"), F.col("rank").cast("int").alias("rank"))
 
 
+def _searched(spark, sf_dir, cells, target=None):
+    v = table(spark, sf_dir, "embeddings")
+    asked = v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    index = vector_index.build(v, cells, new_folder(spark, "index"))
+    found = vector_index.search(index, asked, 10, cells if target is None else vector_index.probes_for(index, asked, 10, target))
+    return found.select("query_id", "vec_id", F.round("cos", 6).alias("cos"), F.col("rank").cast("int").alias("rank"))
+
+
+@query(_NEAREST)
+def indexed_topk(spark, sf_dir):
+    """The index with all its cells probed: exact."""
+    return _searched(spark, sf_dir, 64)
+
+
+@query()
+def indexed_topk_probed(spark, sf_dir):
+    """As many of the 64 cells as find 0.95 of these neighbours."""
+    return _searched(spark, sf_dir, 64, 0.95)
+
+
 @query("""WITH n AS (SELECT DISTINCT p_name, list_distinct(string_split(lower(p_name), ' ')) AS t FROM part)
   SELECT a.p_name AS a, b.p_name AS b, round(len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t))), 6) AS jaccard FROM n a JOIN n b ON a.p_name < b.p_name WHERE len(list_intersect(a.t, b.t)) > 0""")
 def jaccard_names(spark, sf_dir):

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -58,6 +57,17 @@ def sparse_cosine(a: DataFrame, b: DataFrame, key_a: str, key_b: str) -> DataFra
     return left.join(right, "bucket").groupBy(key_a, key_b).agg(F.sum(F.col("wa") * F.col("wb")).alias("cos"))
 
 
+def best_places(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` highest scores, best first, ties by id; only those few are sorted."""
+    if 0 < k < len(scores):
+        least = np.partition(scores, len(scores) - k)[len(scores) - k]
+        above, tied = np.flatnonzero(scores > least), np.flatnonzero(scores == least)
+        places = np.concatenate([above, tied[np.argsort(ids[tied], kind="stable")[: k - len(above)]]])
+    else:
+        places = np.arange(len(scores) if k else 0)
+    return places[np.lexsort((ids[places], -scores[places]))]
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", embedding: str = "embedding", query: str = "query_id", rows: int = 65_536, block: int = 1024, group: str | None = None) -> DataFrame:
     """Exact nearest neighbours: ``(query, key, cos, rank)`` for each query, best first, ties by key.
 
@@ -90,7 +100,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", e
             a, b, ids = np.stack(qs["e"]), np.stack(vs["e"]), vs["id"].to_numpy()
             sims = np.round((a @ b.T) / np.maximum(np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :], 1e-12), 9)
             for i, name in enumerate(qs["q"]):
-                order = np.lexsort((ids, -sims[i]))[:k]
+                order = best_places(sims[i], ids, k)
                 out.append(pd.DataFrame({"g": qs["g"].iloc[0], "q": name, "id": ids[order], "cos": sims[i][order]}))
         return pd.concat(out) if out else empty
 
@@ -99,18 +109,3 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", e
     rank = F.row_number().over(W.partitionBy("g", "q").orderBy(F.desc("cos"), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select(*carry, F.col("q").alias(query), F.col("id").alias(key), "cos", "rank")
 
-
-def normalise(texts: DataFrame, embedding: str) -> DataFrame:
-    """Arrays scaled to unit length; zero vectors stay as they are."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = texts.columns.index(embedding)
-        for batch in batches:
-            out = []
-            for e in batch.column(at).to_pylist():
-                v = None if e is None else np.array(e, float)
-                out.append(None if v is None else v / (np.linalg.norm(v) or 1.0))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) if i != at else pa.array(out, pa.list_(pa.float64())) for i in range(batch.num_columns))], names=texts.columns)
-
-    schema = ", ".join(f"`{f.name}` {'array<double>' if f.name == embedding else f.dataType.simpleString()}" for f in texts.schema)
-    return texts.mapInArrow(run, schema)

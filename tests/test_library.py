@@ -56,7 +56,8 @@ def test_responses(spark):
 def test_ids(spark):
     a, b = values(spark, ids.entity_id, "Alice", "aLICE")
     assert a == b > 0
-    assert values(spark, ids.tenant_label, "255") == ["t00000000000000ff"] or True
+    labels = spark.createDataFrame([(255,), (0,), (-1,)], "tenant long").select(ids.tenant_label(F.col("tenant")))
+    assert [r[0] for r in labels.collect()] == ["t00000000000000ff", "t0000000000000000", "tffffffffffffffff"]
 
 
 def test_vectors(spark):
