@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .functions import ids, text, vectors
-from .operators import address, analytics, evaluate, extract, gnn, ingest, store, vector_index
+from .operators import address, analytics, evaluate, extract, gnn, increments, ingest, store, vector_index
 from .plans import planner, reader
 from .shared import cut, new_folder
 from .sources import patents
-from .sources.files import parse_envelopes
+from .sources.files import parse_envelopes, read_documents
 from .sources.star import star_triples, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -187,6 +187,21 @@ def snapshot_restore_counts(spark, sf_dir):
     return count("entities").unionByName(count("edges")).unionByName(count("entity_docs"))
 
 
+@query(f"""WITH {GRAPH} SELECT e.entity_id, name, n_docs, coalesce(n_edges, 0)::BIGINT AS n_edges FROM entities e JOIN (SELECT entity_id, count(*) AS n_docs FROM entity_docs GROUP BY 1) d ON e.entity_id = d.entity_id
+  LEFT JOIN (SELECT src, count(*) AS n_edges FROM edges GROUP BY 1) o ON e.entity_id = o.src""")
+def incremental_store(spark, sf_dir):
+    """Finished orders are one batch and all others the next: the graph is that of one batch."""
+    triples = star_triples(spark, sf_dir)
+    finished = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("doc_id"))
+    growing = increments.GrowingStore(spark, new_folder(spark, "growing"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    growing.append(triples.join(finished, "doc_id", "left_semi"))
+    growing.append(triples.join(finished, "doc_id", "left_anti"))
+    g = growing.graph()
+    docs = g.entity_docs.groupBy("entity_id").agg(F.count("*").alias("n_docs"))
+    out = g.edges.groupBy(F.col("src").alias("entity_id")).agg(F.count("*").alias("n_edges"))
+    return g.entities.join(docs, "entity_id").join(out, "entity_id", "left").select("entity_id", "name", "n_docs", F.coalesce("n_edges", F.lit(0)).cast("long").alias("n_edges"))
+
+
 @query(f"""WITH {TRIPLES}, t AS (SELECT c_nationkey % 5 AS tenant, triples.* EXCLUDE tenant FROM triples JOIN orders ON doc_id = o_orderkey JOIN customer ON o_custkey = c_custkey),
   m AS (SELECT tenant, src AS name FROM t UNION ALL SELECT tenant, dst FROM t)
   SELECT a.tenant::BIGINT AS tenant, entities, edges FROM (SELECT tenant, count(DISTINCT {_eid('name')}) AS entities FROM m GROUP BY 1) a JOIN (SELECT tenant, count(*) AS edges FROM t GROUP BY 1) b ON a.tenant = b.tenant""")
@@ -369,6 +384,22 @@ def patent_triples(spark, sf_dir):
     return patents.triples(records).groupBy("src", "rel", "dst").agg(F.count("*").alias("n"))
 
 
+_CLEAN = "regexp_full_match({0}, '[A-Za-z0-9 _.\\-,/()'']+') AND strlen({0}) <= 96"
+
+
+@query(f"""WITH {_PATENTS}, d AS (SELECT ('0x' || substr(sha256(number), 1, 16))::UBIGINT AS doc_id, number, title FROM emitted WHERE {_CLEAN.format("title")}),
+  m AS (SELECT doc_id, number AS name FROM d UNION SELECT doc_id, title FROM d)
+  SELECT {_eid('name')} AS entity_id, count(*) AS n_docs, min(doc_id)::VARCHAR AS first_doc, max(doc_id)::VARCHAR AS last_doc FROM m GROUP BY 1""")
+def patent_ingest(spark, sf_dir):
+    """Pages to documents in JSON lines, with ids of 64 bits, read back and ingested: which documents name each entity."""
+    path = new_folder(spark, "patents")
+    patents.write_documents(_pages(spark, sf_dir), path)
+    docs, bad = read_documents(spark, f"{path}/documents")
+    said = F.struct(F.array(F.struct(F.regexp_extract("text", "^([^:]+): ", 1).alias("src"), F.lit("titled").alias("rel"), F.regexp_extract("text", r"^[^:]+: (.+?)\. Filed", 1).alias("dst"))).alias("triples"))
+    done = ingest.ingest_batch(docs, lambda d: d.withColumn("response", F.to_json(said)), bad_lines=bad)
+    return done.graph.entity_docs.groupBy("entity_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").cast("string").alias("first_doc"), F.max("doc_id").cast("string").alias("last_doc"))
+
+
 @query("SELECT page_id, ('0x' || substr(sha256(url), 1, 16))::UBIGINT::VARCHAR AS doc_key FROM pages")
 def doc_id_hash(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", ids.document_key(F.col("url")).cast("string").alias("doc_key"))

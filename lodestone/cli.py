@@ -29,7 +29,7 @@ from .sources.files import read_documents, read_samples
 def batch(spark: SparkSession, jsonl: str, responses: str, graph: store.Graph | None = None, tenant: int = 0) -> Ingested:
     """Documents in JSON lines and a writer's responses ``{"doc_id", "response"}``, merged into a graph."""
     docs, bad_lines = read_documents(spark, jsonl)
-    answers = spark.read.schema("doc_id long, response string").json(responses)
+    answers = spark.read.schema("doc_id decimal(20,0), response string").json(responses)
     return ingest_batch(docs, answered(answers), graph, tenant, bad_lines=bad_lines)
 
 

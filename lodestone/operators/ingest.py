@@ -55,7 +55,7 @@ def ingest_batch(docs: DataFrame, policy: Policy, graph: store.Graph | None = No
     before = count(graph.entities if graph is not None else merged.entities.limit(0), "before")
     rows = judged.agg(F.sum(F.col("reject_reason").isNull().cast("long")).alias("edges_added"), F.sum(F.col("reject_reason").isNotNull().cast("long")).alias("triples_skipped"))
     if bad_lines is not None:
-        lines = bad_lines.select(F.lit(None).cast("long").alias("doc_id"), "stage", "error")
+        lines = bad_lines.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "stage", "error")
         seen = seen.join(count(lines, "bad")).select((F.col("docs_seen") + F.col("bad")).alias("docs_seen"))
         failures, failed = failures.unionByName(lines), failed.join(count(lines, "bad")).select((F.col("failed") + F.col("bad")).alias("failed"))
     one = seen.join(failed).join(rows).join(count(merged.entities, "after")).join(before)  # one row each

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions.ids import entity_id
@@ -24,19 +26,29 @@ class Graph:
     entity_docs: DataFrame
 
 
+def place(df: DataFrame, stride: int, inside: Column) -> Column:
+    """A number that orders rows by ``doc_id``, then by ``inside``, which is below ``stride``.
+
+    Ids of 64 bits without a sign come as DECIMAL and make a DECIMAL; long ones make a long, and are below
+    2**63 / stride (a larger one is an overflow error).
+    """
+    doc = F.col("doc_id")
+    if isinstance(df.schema["doc_id"].dataType, T.DecimalType):
+        return (doc.cast("decimal(20,0)") * F.lit(Decimal(stride)) + inside).cast("decimal(38,0)")
+    return doc * stride + inside
+
+
 def merge_entities(new: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """Entities from mentions: id by lower-case name, attributes of the first mention.
 
     An existing entity keeps its attributes.  Mentions are first aggregated to distinct names and types, each
     with its first place (a number, so that Spark aggregates by hash, and a name that a third of all
     documents mention costs one row a task); ids and first mentions are found among those few.
-    Document ids are below 2**42.
     """
-    place = F.col("doc_id") * (2 * STRIDE) + F.col("seq")
-    names = new.groupBy("tenant", "name", "etype").agg(F.min(place).alias("place"))
+    names = new.groupBy("tenant", "name", "etype").agg(F.min(place(new, 2 * STRIDE, F.col("seq"))).alias("place"))
     first = names.select("tenant", entity_id(F.col("name")).alias("entity_id"), "name", "etype", F.lit(1).alias("age"), "place")
     if existing is not None:
-        first = first.unionByName(existing.select("tenant", "entity_id", "name", "etype", F.lit(0).alias("age"), F.lit(0).cast("long").alias("place")))
+        first = first.unionByName(existing.select("tenant", "entity_id", "name", "etype", F.lit(0).alias("age"), F.lit(0).cast(first.schema["place"].dataType).alias("place")))
     best = F.min_by(F.struct("name", "etype"), F.struct("age", "place"))
     return first.groupBy("tenant", "entity_id").agg(best.alias("a")).select("tenant", "entity_id", "a.name", "a.etype")
 
@@ -54,7 +66,7 @@ def edges_of(triples: DataFrame) -> DataFrame:
     dense numbers of it).
     """
     end = lambda c: F.col(f"{c}_id") if f"{c}_id" in triples.columns else entity_id(F.col(c))
-    return triples.select("tenant", end("src").alias("src"), (F.col("doc_id") * STRIDE + F.col("triple_idx")).alias("seq"), end("dst").alias("dst"), F.col("rel").alias("relation"), F.col("doc_id").alias("provenance"))
+    return triples.select("tenant", end("src").alias("src"), place(triples, STRIDE, F.col("triple_idx")).alias("seq"), end("dst").alias("dst"), F.col("rel").alias("relation"), F.col("doc_id").alias("provenance"))
 
 
 def resequenced(edges: DataFrame, buckets: int = 1024) -> DataFrame:
@@ -64,8 +76,9 @@ def resequenced(edges: DataFrame, buckets: int = 1024) -> DataFrame:
     ``buckets`` rows a tenant), so a tenant with most of the edges is not one task's.
     """
     ends = edges.groupBy("tenant").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
-    width = F.greatest(F.ceil((F.col("hi") - F.col("lo") + 1) / buckets), F.lit(1))
-    dealt = edges.join(ends, "tenant").withColumn("bucket", F.floor((F.col("seq") - F.col("lo")) / width).cast("int")).drop("lo", "hi")
+    # doubles round, but never change the order of two numbers
+    width = F.greatest(F.ceil((F.col("hi") - F.col("lo") + 1).cast("double") / buckets), F.lit(1)).cast("double")
+    dealt = edges.join(ends, "tenant").withColumn("bucket", F.floor((F.col("seq") - F.col("lo")).cast("double") / width).cast("int")).drop("lo", "hi")
     sizes = dealt.groupBy("tenant", "bucket").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("tenant").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     inside = F.row_number().over(W.partitionBy("tenant", "bucket").orderBy("seq", *(c for c in ("src", "relation", "dst") if c in edges.columns))) - 1
@@ -213,8 +226,14 @@ class Store:
             raise
         return True
 
+    def _numbers(self) -> list[int]:
+        """Numbers of snapshots that are whole or being written, in order."""
+        system, where = self._at(self.path)
+        found = [f.getPath().getName() for f in system.listStatus(where)] if system.exists(where) else []
+        return sorted(int(f[5:]) for f in found if f.startswith("snap="))
+
     def snapshot(self, graph: Graph) -> int:
-        n = 1
+        n = max(self._numbers(), default=0) + 1
         while not self._claim(f"{self.path}/snap={n}/_CLAIMED"):
             n += 1
         for name in ("edges", "entity_docs", "entities"):  # entities last: their marker shows a whole snapshot
@@ -223,11 +242,7 @@ class Store:
 
     def last(self) -> int:
         """The number of the last whole snapshot; 0 without one."""
-        n = 1
-        while self._exists(f"{self.path}/snap={n}/_CLAIMED"):
-            n += 1
-        whole = [i for i in range(n - 1, 0, -1) if self._exists(f"{self.path}/snap={i}/entities/_SUCCESS")]
-        return whole[0] if whole else 0
+        return next((n for n in reversed(self._numbers()) if self._exists(f"{self.path}/snap={n}/entities/_SUCCESS")), 0)
 
     def restore(self, n: int) -> Graph:
         """The graph of a snapshot in place of any other; its edges are numbered anew."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,15 +11,19 @@ from pyspark.sql.window import Window as W
 
 TRIPLE = T.StructType([T.StructField(n, T.StringType()) for n in ("src", "rel", "dst", "src_type", "dst_type")])
 ENVELOPE = T.StructType([T.StructField("triples", T.ArrayType(TRIPLE)), T.StructField("stop", T.BooleanType())])
-SAMPLE = T.StructType([T.StructField("query", T.StringType()), T.StructField("ground_truth", T.ArrayType(T.LongType())), T.StructField("tier", T.IntegerType())])
-DOCUMENT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+#: Ids of documents: 64 bits without a sign.
+DOC_ID = T.DecimalType(20, 0)
+SAMPLE = T.StructType([T.StructField("query", T.StringType()), T.StructField("ground_truth", T.ArrayType(DOC_ID)), T.StructField("tier", T.IntegerType())])
+#: Ids are read with decimal places, so that a fraction is seen as such.
+DOCUMENT = T.StructType([T.StructField("doc_id", T.DecimalType(30, 8)), T.StructField("text", T.StringType())])
 
 
 def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """JSON lines ``{"doc_id", "text"}``: the good documents, and ``(file, line, stage, error)`` of bad lines.
 
     Blank lines are skipped before counting; line numbers count what is left of a file from 1.  Unknown
-    keys are ignored; a line without one of the keys, or with one of another type, is bad.  Lines of a
+    keys are ignored; a line without one of the keys, or with one of another type, is bad, and so is an id
+    that is no whole number from 0 to 2**64 - 1.  Ids come as DECIMAL(20, 0).  Lines of a
     file are numbered by their block and offset, so a file may be split over tasks.
     """
     raw = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).where(F.trim("value") != "")
@@ -25,9 +31,14 @@ def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     sizes = raw.groupBy("file", "block").agg(F.count("*").alias("size"))
     before = sizes.select("file", "block", F.coalesce(F.sum("size").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     rows = inside.join(before, ["file", "block"]).select("file", (F.col("before") + F.col("n")).alias("line"), "value", F.from_json("value", DOCUMENT, {"mode": "PERMISSIVE"}).alias("d"))
-    good = F.col("d.doc_id").isNotNull() & F.col("d.text").isNotNull()
-    failures = rows.where(~F.coalesce(good, F.lit(False))).select("file", "line", F.lit("parse").alias("stage"), F.lit("not a document").alias("error"))
-    return rows.where(good).select("d.*"), failures
+    whole = F.col("d.doc_id").between(F.lit(0), F.lit(Decimal(2**64 - 1))) & (F.floor("d.doc_id") == F.col("d.doc_id"))
+    # decimals are read from strings too; only where one may stand in the line is its type looked up
+    typed = F.schema_of_variant(F.try_variant_get(F.try_parse_json("value"), "$.doc_id", "variant"))
+    number = F.when(F.col("value").rlike(r'"doc_id"\s*:\s*"'), typed != "STRING").otherwise(F.lit(True))
+    good = whole & number & F.col("d.text").isNotNull()
+    rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
+    failures = rows.where(~F.col("good")).select("file", "line", F.lit("parse").alias("stage"), F.lit("not a document").alias("error"))
+    return rows.where("good").select(F.col("d.doc_id").cast(DOC_ID).alias("doc_id"), "d.text"), failures
 
 
 def parse_envelopes(responses: DataFrame, response: str = "response", cap: int = 64) -> tuple[DataFrame, DataFrame]:
