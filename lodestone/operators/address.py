@@ -10,12 +10,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions.text import name_tokens
-from ..functions.vectors import hashed_buckets, sparse_cosine
+from ..functions.vectors import best_places, hashed_buckets, sparse_cosine
 from .store import all_names
 
 
@@ -140,24 +143,117 @@ def dense_softmax(scores: DataFrame, temperature: float) -> DataFrame:
     return out.withColumn("p", F.when(F.col("z") < 1e-12, 0.0).otherwise(F.col("w") / F.col("z"))).drop("w", "z")
 
 
+#: Rows of the bridge between entities and documents in a block of documents, and queries in a block.
+BLOCK_ROWS, BLOCK_QUERIES = 1 << 21, 1 << 12
+#: Documents of a block that give a query its first threshold.
+HEAD = 512
+
+
+class ImpactBlock:
+    """Some documents, the largest first, and for every entity the places of those that name it.
+
+    A document's place tells how many entities it has at most, so the best that a query can still find
+    from a place on is known without looking: the sum of its heaviest entities, that many of them.
+    """
+
+    def __init__(self, entity: np.ndarray, doc: np.ndarray, order: np.ndarray) -> None:
+        """``doc`` holds codes of documents, ``order`` the rank of each code's id."""
+        sizes = np.bincount(doc, minlength=len(order))
+        self.codes = np.lexsort((order, -sizes))  # of the document at each place
+        self.sizes, self.ids = sizes[self.codes], order[self.codes]
+        place = np.empty(len(order), np.int64)
+        place[self.codes] = np.arange(len(order))
+        self.entities, own = np.unique(entity, return_inverse=True)
+        self.width = max(1, len(order))
+        self.keys = np.sort(own * self.width + place[doc])  # by entity, then by place
+
+    def _upto(self, entities: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """For entities (numbers in this block) their places before ``end``, end to end, and how many each has."""
+        first = np.searchsorted(self.keys, entities * self.width)
+        n = np.searchsorted(self.keys, entities * self.width + end) - first
+        ends = np.cumsum(n)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - (ends - n), n)
+        return self.keys[at] % self.width, n
+
+    def best(self, entity: np.ndarray, p: np.ndarray, background: float, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Places and scores of the best ``k`` documents for one query, and how many places were looked at.
+
+        ``entity`` and ``p``: its scored entities and their probabilities; all others have ``background``.
+        """
+        at = np.searchsorted(self.entities, entity)
+        at[at == len(self.entities)] = 0
+        here = self.entities[at] == entity if len(self.entities) else np.zeros(len(entity), bool)
+        at, p = at[here], p[here]
+        gains = np.concatenate(([0.0], np.cumsum(np.sort(np.maximum(p - background, 0.0))[::-1])))
+        bound = gains[np.minimum(self.sizes, len(p))] + self.sizes * background
+        end = min(len(self.sizes), max(HEAD, 2 * k))
+        while True:
+            places, n = self._upto(at, end)
+            if 8 * len(places) > end:  # dense
+                mass, count = np.bincount(places, np.repeat(p, n), end), np.bincount(places, minlength=end)
+                found = np.arange(end)
+            else:
+                found, own = np.unique(places, return_inverse=True)
+                mass, count = np.bincount(own, np.repeat(p, n), len(found)), np.bincount(own, minlength=len(found))
+                # of documents without a scored entity the largest are the best
+                rest = np.setdiff1d(np.arange(min(end, k + len(found))), found, assume_unique=True)[:k]
+                found = np.concatenate([found, rest])
+                mass, count = (np.concatenate([x, np.zeros(len(rest))]) for x in (mass, count))
+            scores = np.round(mass + (self.sizes[found] - count) * background, 9)
+            best = best_places(scores, self.ids[found], k)
+            least = scores[best[-1]] if len(best) == k else -np.inf
+            # places from which on no document can be as good, with room for rounding
+            stop = int(np.searchsorted(-(bound + 2e-9), -least, "right"))
+            if stop <= end:
+                return found[best], scores[best], end
+            end = stop
+
+
 def score_documents(found: DataFrame, background: DataFrame, entity_docs: DataFrame, k: int) -> DataFrame:
     """``(tenant, query_id, doc_id, score, rank)``: the best ``k`` documents (1 at least) by mass, ties by id.
 
-    A document's mass is that of its scored entities and the background of its others.  A document
-    without scored entities can only be among the best if it has one of the ``k`` largest numbers of
-    entities, so those few and the documents with scored entities are all that is ranked.
+    A document's mass is that of its scored entities and the background of its others.  Documents are dealt
+    into blocks, in each of which they stand by size, and queries too; a pair of blocks looks at the documents of
+    a query's entities from the largest document on, until none of the rest can be among its best, and gives
+    ``k`` rows a query.  A row of a query, an entity and a document never exists, so an entity or token
+    that many documents and queries share costs no more rows than another.
     """
     k = max(k, 1)
-    # dealt by document once: while the scored entities are few enough to be broadcast, nothing after it is shuffled
-    # but each task's best ``k``
-    by_doc = entity_docs.repartition("tenant", "doc_id")
-    sizes = by_doc.groupBy("tenant", "doc_id").agg(F.count("*").alias("n_entities"))
-    hits = by_doc.join(found, ["tenant", "entity_id"]).groupBy("tenant", "query_id", "doc_id").agg(F.sum("p").alias("mass"), F.count("*").alias("m"))
-    largest = sizes.withColumn("r", F.row_number().over(W.partitionBy("tenant").orderBy(F.desc("n_entities"), "doc_id"))).where(F.col("r") <= k).drop("r")
-    rest = background.join(F.broadcast(largest), "tenant").select("tenant", "query_id", "doc_id", "n_entities")  # k rows a tenant
-    touched = entity_docs.join(F.broadcast(largest.select("tenant", "doc_id")), ["tenant", "doc_id"]).join(found, ["tenant", "entity_id"]).select("tenant", "query_id", "doc_id").distinct()
-    rest = rest.join(touched, ["tenant", "query_id", "doc_id"], "left_anti").select("*", F.lit(0.0).alias("mass"), F.lit(0).cast("long").alias("m"))
-    all_docs = hits.join(sizes, ["tenant", "doc_id"]).select("tenant", "query_id", "doc_id", "n_entities", "mass", "m").unionByName(rest)
-    scored = all_docs.join(background, ["tenant", "query_id"]).withColumn("score", F.round(F.col("mass") + (F.col("n_entities") - F.col("m")) * F.col("background"), 9))
+    spark = entity_docs.sparkSession
+    doc_blocks = max(entity_docs.count() // BLOCK_ROWS + 1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    query_blocks = background.count() // BLOCK_QUERIES + 1
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    docs = entity_docs.select("tenant", F.pmod(F.xxhash64("doc_id"), F.lit(doc_blocks)).cast("int").alias("d"), every(query_blocks).alias("q"), "entity_id", "doc_id")
+    asked = found.select("tenant", "query_id", "entity_id", "p").unionByName(background.select("tenant", "query_id", F.lit(None).cast("long").alias("entity_id"), F.col("background").alias("p")))
+    asked = asked.select("tenant", every(doc_blocks).alias("d"), F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("q"), "query_id", "entity_id", "p")
+    kinds = {c: t for df in (asked, docs) for c, t in df.dtypes}
+    names = ["tenant", "query_id", "doc_id", "score"]
+
+    def best(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({c: pa.array([], pa.float64() if c == "score" else (left if c == "doc_id" else right).schema.field(c).type) for c in names})
+        coded = left.column("doc_id").combine_chunks().dictionary_encode()
+        ids = coded.dictionary
+        order = np.empty(len(ids), np.int64)
+        order[pc.sort_indices(ids).to_numpy()] = np.arange(len(ids))
+        block = ImpactBlock(left.column("entity_id").to_numpy(), coded.indices.to_numpy(), order)
+        asked = right.column("query_id").combine_chunks().dictionary_encode()
+        entity = right.column("entity_id").combine_chunks()
+        rest = entity.is_null().to_numpy(zero_copy_only=False)
+        p, entity = right.column("p").to_numpy(), entity.fill_null(0).to_numpy()
+        number = asked.indices.to_numpy()
+        other = np.zeros(len(asked.dictionary))
+        other[number[rest]] = p[rest]
+        rows = np.flatnonzero(~rest)
+        rows = rows[np.argsort(number[rows], kind="stable")]
+        bounds = np.searchsorted(number[rows], np.arange(len(other) + 1)).tolist()
+        out = [block.best(entity[rows[i:j]], p[rows[i:j]], other[n], k) for n, (i, j) in enumerate(zip(bounds, bounds[1:], strict=False))]
+        n = np.repeat(np.arange(len(out)), [len(x[0]) for x in out])
+        first = right.column("tenant").combine_chunks().take(pa.array(np.zeros(len(n), np.int64)))
+        return pa.table([first, asked.dictionary.take(pa.array(n)), ids.take(pa.array(block.codes[np.concatenate([x[0] for x in out])])), np.concatenate([x[1] for x in out])], names=names)
+
+    by = ["tenant", "d", "q"]
+    schema = ", ".join(f"{c} {'double' if c == 'score' else kinds[c]}" for c in names)
+    scored = docs.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(best, schema)
     rank = F.row_number().over(W.partitionBy("tenant", "query_id").orderBy(F.desc("score"), "doc_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("tenant", "query_id", "doc_id", "score", "rank")
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select(*names, "rank")
