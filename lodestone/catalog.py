@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .functions import ids, text, vectors
-from .operators import address, analytics, evaluate, extract, gnn, increments, ingest, store, vector_index
+from .operators import address, analytics, evaluate, extract, gnn, increments, ingest, keywords, setjoin, store, vector_index
 from .plans import planner, reader
 from .shared import cut, new_folder
 from .sources import patents
@@ -501,6 +501,17 @@ def jaccard_names(spark, sf_dir):
     return both.select("a", "b", F.round(F.col("c") / (F.col("n_a") + F.col("n_b") - F.col("c")), 6).alias("jaccard"))
 
 
+@query(f"""WITH n AS (SELECT DISTINCT name, list_distinct(string_split(lower(name), ' ')) AS t FROM (SELECT {_plain('p_name')} AS name FROM part UNION SELECT {_plain('p_brand')} FROM part UNION SELECT {_plain('c_name')} FROM customer UNION SELECT {_plain('s_name')} FROM supplier UNION SELECT {_plain('n_name')} FROM nation UNION SELECT {_plain("p_name || ' ' || p_type")} FROM part))
+  SELECT a.name AS a, b.name AS b, round(len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t))), 6) AS jaccard FROM n a JOIN n b ON a.name < b.name
+  WHERE len(list_intersect(a.t, b.t)) > 0 AND len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t))) >= 0.6::DOUBLE""")
+def similar_names(spark, sf_dir):
+    """Names of parts (with and without their type), brands, customers, suppliers and nations that share most of their words."""
+    t = lambda n, *c: table(spark, sf_dir, n).select(text.plain_name(F.concat_ws(" ", *c)).alias("name"))
+    names = t("part", "p_name").union(t("part", "p_brand")).union(t("customer", "c_name")).union(t("supplier", "s_name")).union(t("nation", "n_name")).union(t("part", "p_name", "p_type")).distinct()
+    found = setjoin.similar_sets(names.withColumn("tokens", text.name_tokens(F.col("name"))), 0.6, key="name").expanded()
+    return found.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+
+
 # retrieval -------------------------------------------------------------------------------------------------------
 
 _ASKED = f"""asked AS (
@@ -832,6 +843,16 @@ def _hits(spark, sf_dir, source="src0"):
     return analytics.theme_hits(table(spark, sf_dir, "documents"), THEMES, F.col("source") == source)
 
 
+@query("""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS keyword FROM benchmark),
+  h AS (SELECT keyword, doc_id, instr(lower(text), keyword) AS at FROM w JOIN documents ON contains(lower(text), keyword))
+  SELECT keyword, count(*) AS n_docs, min(doc_id) AS first_doc FROM h GROUP BY 1""")
+def keyword_documents(spark, sf_dir):
+    """For every longer word of the benchmark: how many documents have it somewhere, and the first of them."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))).alias("keyword"))
+    found = keywords.keyword_hits(table(spark, sf_dir, "documents"), words)
+    return found.groupBy("keyword").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+
+
 @query(f"""WITH t AS ({_THEME_SQL}) SELECT *, CASE WHEN target_hits = 0 AND other_hits = 0 THEN 'WHITE-SPACE' WHEN target_hits = 0 THEN 'CLEAR-GAP' WHEN target_hits * 3 < other_hits AND other_hits >= 3 THEN 'UNDER-INVESTED' WHEN target_hits >= other_hits THEN 'TARGET-LEAD' ELSE 'CONTESTED' END AS status,
   round((other_hits + 1)::DOUBLE / (target_hits + 1), 2) AS severity FROM t""")
 def gap_matrix(spark, sf_dir):
