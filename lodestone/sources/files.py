@@ -41,20 +41,29 @@ def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return rows.where("good").select(F.col("d.doc_id").cast(DOC_ID).alias("doc_id"), "d.text"), failures
 
 
+def parsed(responses: DataFrame, response: str = "response") -> DataFrame:
+    """Add ``envelope``, and ``whole``: whether it is one; a triple lacking a required key spoils it."""
+    out = responses.withColumn("envelope", F.from_json(response, ENVELOPE))
+    whole = F.col("envelope.triples").isNotNull() & F.forall("envelope.triples", lambda t: t["src"].isNotNull() & t["rel"].isNotNull() & t["dst"].isNotNull())
+    return out.withColumn("whole", F.coalesce(whole, F.lit(False)))
+
+
+def envelope_triples(whole: DataFrame, carry: list[str], cap: int = 64) -> DataFrame:
+    """The first ``cap`` triples of whole envelopes, with names and relations trimmed."""
+    trim = lambda c: F.regexp_replace(c, r"^\s+|\s+\z", "")
+    rows = whole.select(*carry, F.posexplode(F.slice("envelope.triples", 1, cap)).alias("triple_idx", "t"))
+    return rows.select(*carry, "triple_idx", trim("t.src").alias("src"), trim("t.rel").alias("rel"), trim("t.dst").alias("dst"), "t.src_type", "t.dst_type")
+
+
 def parse_envelopes(responses: DataFrame, response: str = "response", cap: int = 64) -> tuple[DataFrame, DataFrame]:
     """Triples of JSON envelopes ``{"triples": [{src, rel, dst}], "stop"}`` and the rows that fail.
 
     A triple lacking a required key fails its whole row.  Of good rows the first ``cap`` raw triples
     are taken, with names and relations trimmed; all other columns are carried along.
     """
-    parsed = responses.withColumn("envelope", F.from_json(response, ENVELOPE))
-    whole = F.col("envelope.triples").isNotNull() & F.forall("envelope.triples", lambda t: t["src"].isNotNull() & t["rel"].isNotNull() & t["dst"].isNotNull())
-    whole = F.coalesce(whole, F.lit(False))
     carry = [c for c in responses.columns if c != response]
-    good = parsed.where(whole).select(*carry, F.posexplode(F.slice("envelope.triples", 1, cap)).alias("triple_idx", "t"))
-    trim = lambda c: F.regexp_replace(c, r"^\s+|\s+\z", "")
-    triples = good.select(*carry, "triple_idx", trim("t.src").alias("src"), trim("t.rel").alias("rel"), trim("t.dst").alias("dst"), "t.src_type", "t.dst_type")
-    return triples, parsed.where(~whole).select(*carry, F.lit("parse").alias("stage"))
+    read = parsed(responses, response)
+    return envelope_triples(read.where("whole"), carry, cap), read.where("not whole").select(*carry, F.lit("parse").alias("stage"))
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:
