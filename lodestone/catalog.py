@@ -811,24 +811,22 @@ def gnn_layer(spark, sf_dir):
     return out.select(F.col("node").alias("entity_id"), *[F.round(F.col("h")[i], 6).alias(f"h{i}") for i in range(DIM)])
 
 
-@query(f"""WITH {GRAPH}, {_ASKED}, {_MATCH}, nq AS (SELECT * FROM queries WHERE tier = 4), qv AS {_vectors('nq', 'query_id', 'text')}, ev AS {_vectors('entities', 'entity_id', 'name')},
+@query(f"""WITH {GRAPH}, {_ASKED}, {_MATCH}, qv AS {_vectors('queries', 'query_id', 'text')}, ev AS {_vectors('entities', 'entity_id', 'name')},
   base AS (SELECT q.k AS query_id, v.k AS entity_id, q.e AS q, coalesce(raw, 0.0::DOUBLE) + 1.2::DOUBLE * greatest(CASE WHEN list_sum(list_transform(v.e, lambda x: x * x)) = 0 THEN 0.0::DOUBLE ELSE list_cosine_similarity(q.e, v.e) END, 0.0::DOUBLE) AS raw
     FROM qv q CROSS JOIN ev v LEFT JOIN scores s ON s.query_id = q.k AND s.entity_id = v.k),
   tops AS (SELECT query_id, max(raw) AS top FROM base GROUP BY 1), mass AS (SELECT b.query_id, any_value(top) AS top, sum(exp((raw - top) / 0.5::DOUBLE)) AS z FROM base b JOIN tops t ON b.query_id = t.query_id GROUP BY 1),
   prob AS MATERIALIZED (SELECT b.query_id, entity_id, q, exp((raw - top) / 0.5::DOUBLE) / z AS p FROM base b JOIN mass m ON b.query_id = m.query_id),
   links AS MATERIALIZED (SELECT src, dst, count(*) AS times FROM edges GROUP BY 1, 2), nodes AS (SELECT entity_id FROM entities), {_DEGREES},
   gated AS MATERIALIZED (SELECT src, dst, times, {_gate('z')} AS gate FROM zed),
-  agg AS (SELECT query_id, dst, unnest(range(1, {DIM + 1})) AS i, sqrt(p) * times AS scale, gate FROM prob JOIN gated ON src = entity_id),
-  heard AS (SELECT query_id, dst, list(m ORDER BY i) AS m FROM (SELECT query_id, dst, i, sum(scale * gate[i]) AS m FROM agg GROUP BY 1, 2, 3) GROUP BY 1, 2),
+  heard AS (SELECT query_id, dst, [""" + ", ".join(f"sum(sqrt(p) * times * gate[{i}])" for i in range(1, DIM + 1)) + f"""] AS m FROM prob JOIN gated ON src = entity_id GROUP BY 1, 2),
   wide AS (SELECT p.query_id, entity_id, p, q, m, list_transform({_rows(LAYER.w_msg)}, lambda w: list_dot_product(w, q)) AS wq FROM prob p LEFT JOIN heard h ON h.query_id = p.query_id AND dst = entity_id),
   lifted AS (SELECT query_id, entity_id, p, list_transform(range(1, {DIM + 1}), lambda i: sqrt(p) * q[i] + CASE WHEN m IS NULL THEN 0 WHEN m[i] * wq[i] >= 0 THEN m[i] * wq[i] ELSE {LAYER.slope!r}::DOUBLE * m[i] * wq[i] END) AS h FROM wide),
   l AS (SELECT query_id, entity_id, p, list_sum(list_transform({_norm('h')}, lambda x: abs(x))) AS l1 FROM lifted),
   docscore AS (SELECT query_id, doc_id, round(sum(0.5::DOUBLE * p + 0.5::DOUBLE * l1 / (l1 + 1)), 6) AS score FROM l JOIN entity_docs USING (entity_id) GROUP BY 1, 2)
   SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM docscore) WHERE rank <= 10""")
 def gfm_read(spark, sf_dir):
-    """Documents by a blend of address probability and propagated state, for the query of each nation (a stated set)."""
-    q = _queries(spark, sf_dir).where("tier = 4")
-    return reader.propagated(q, written_graph(spark, sf_dir, "entities", "entity_docs"), LAYER, k=10).select("query_id", "doc_id", "score", "rank")
+    """Documents by a blend of address probability and propagated state, for every query."""
+    return reader.propagated(_queries(spark, sf_dir), written_graph(spark, sf_dir, "entities", "entity_docs"), LAYER, k=10).select("query_id", "doc_id", "score", "rank")
 
 
 # analytics --------------------------------------------------------------------------------------------------------------

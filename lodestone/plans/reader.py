@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.vectors import cosine, embedding_arrays, top_k
-from ..operators import address, gnn
+from ..functions.vectors import embedding_arrays, top_k
+from ..operators import address, gnn, propagate
 from ..operators.store import Graph
 from ..shared import cut
 from .planner import heuristic_plan
@@ -133,39 +133,16 @@ def evidence(queries: DataFrame, results: DataFrame) -> DataFrame:
     return found.select(*KEYS, "evidence", F.concat(F.lit("Question: "), "text", F.lit("\nEvidence doc IDs: "), listed, F.lit("\nAnswer concisely.")).alias("prompt"))
 
 
-def propagated(queries: DataFrame, graph: Graph, layer: gnn.Layer, k: int = 3, weights: address.Weights = address.Weights(), eta: float = 0.5, plan=heuristic_plan) -> DataFrame:
+def propagated(queries: DataFrame, graph: Graph, layer: gnn.Layer, k: int = 3, weights: address.Weights = address.Weights(), eta: float = 0.5, plan=heuristic_plan, tiling: propagate.Tiling = propagate.Tiling()) -> DataFrame:
     """Documents by a blend of address probability and propagated state: ``(tenant, query_id, doc_id, score, rank)``.
 
     Every entity takes part for every query, always with the cosine of hashed embeddings.  An entity starts
     from its probability to the power ``eta`` times the query's embedding, one layer is applied along
     all edges, and half the probability and half l1 / (l1 + 1) of the state is its score; a document sums
-    those of its entities.  A message is linear in its source's state, so an edge carries one number
-    for each gate: the embedding is multiplied in at the target.  The query set is stated and bounded
-    (it is broadcast); entities, edges and documents may be of any number.
+    those of its entities.  A message is linear in its source's state, so a source carries one number
+    for each query: the embedding is multiplied in at the target.  Entities and documents are worked on in
+    tiles, queries in blocks (``propagate``); a query whose tenant has no entity finds nothing.
     """
-    dim = layer.dim
     plans = plan(queries)
-    q = embedding_arrays(plans.select(*KEYS, "text"), KEYS, "text", dim).withColumnRenamed("e", "q")
-    names = embedding_arrays(graph.entities.select("tenant", "entity_id", "name"), ["tenant", "entity_id"], "name", dim)
-    near = F.greatest(cosine(F.col("q"), F.col("e")), F.lit(0.0))
-    dense = names.join(F.broadcast(q), "tenant").select(*PAIR, (weights.cos * near + weights.cons).alias("near"))
-    matched = address.match_scores(plans, graph.entities, weights).withColumn("raw", F.col("raw") - weights.cons)
-    raw = cut(dense.join(matched, PAIR, "left").select(*PAIR, (F.col("near") + F.coalesce("raw", F.lit(0.0))).alias("raw")))
-    t = max(weights.temperature, 1e-6)
-    tops = raw.groupBy(*KEYS).agg(F.max("raw").alias("top"))
-    lifted = raw.join(F.broadcast(tops), KEYS).withColumn("w", F.exp((F.col("raw") - F.col("top")) / t))  # a row for each query
-    mass = lifted.groupBy(*KEYS).agg(F.sum("w").alias("z"))
-    p = cut(lifted.join(F.broadcast(mass), KEYS).select(*PAIR, (F.col("w") / F.col("z")).alias("p")))
-    alive = graph.entities.select("tenant", F.col("entity_id").alias("dst"))
-    links = cut(graph.edges.groupBy("tenant", "src", "dst").agg(F.count("*").alias("times")).join(alive, ["tenant", "dst"], "left_semi"))
-    links = gnn.edge_features(links, graph.entities.count(), ["tenant"], "times")
-    links = cut(links.select("tenant", "src", "dst", "times", F.array(*layer.gates(F.col("z"))).alias("gate")))
-    started = p.select(*KEYS, F.col("entity_id").alias("src"), F.pow("p", F.lit(eta)).alias("scale"))
-    sums = [F.sum(F.col("scale") * F.col("times") * F.col("gate")[i]).alias(f"m{i}") for i in range(dim)]
-    heard = started.join(links, ["tenant", "src"]).groupBy(*KEYS, F.col("dst").alias("entity_id")).agg(*sums)
-    heard = heard.select(*PAIR, F.array(*[f"m{i}" for i in range(dim)]).alias("m"))
-    both = p.join(heard, PAIR, "left").join(F.broadcast(q), KEYS)
-    state = gnn.updated(F.transform("q", lambda x: x * F.pow("p", F.lit(eta))), F.zip_with("m", layer.projected(F.col("q")), lambda a, b: a * b), layer)
-    scored = both.select(*PAIR, gnn.blend(F.col("p"), state).alias("s"))
-    docs = scored.join(graph.entity_docs, ["tenant", "entity_id"]).groupBy(*KEYS, "doc_id").agg(F.round(F.sum("s"), 6).alias("score"))
-    return _ranked(docs, k)
+    scores, asked = propagate.entity_scores(plans, graph.entities, graph.edges, layer, weights, eta, tiling)
+    return _ranked(propagate.document_scores(scores, asked, graph.entity_docs, k, tiling), k)
