@@ -16,7 +16,7 @@ from .functions import ids, text, vectors
 from .operators import address, analytics, evaluate, extract, gnn, increments, ingest, keywords, setjoin, store, vector_index
 from .plans import planner, reader
 from .shared import cut, new_folder
-from .sources import patents
+from .sources import formats, patents
 from .sources.files import parse_envelopes, read_documents
 from .sources.star import star_triples, table
 
@@ -371,6 +371,17 @@ def patent_documents(spark, sf_dir):
     return both.select(F.col("doc_id").cast("string").alias("doc_id"), "number", "title", "file", F.md5(F.col("text").cast("binary")).alias("text"))
 
 
+@query(f"""WITH {_PATENTS} SELECT ('0x' || substr(sha256(number), 1, 16))::UBIGINT::VARCHAR AS doc_id, number, title, lpad(p_partkey::VARCHAR, 12, '0') AS file, substr({_HEAD}, 1, 60) AS head FROM emitted""")
+def sidecar_documents(spark, sf_dir):
+    """Documents and sidecar written as JSON lines and read again by their formats, in small pieces: who is who, and how each begins."""
+    path = new_folder(spark, "patents")
+    patents.write_documents(_pages(spark, sf_dir), path)
+    formats.register(spark)
+    docs, sidecar = (spark.read.format(f"lodestone_{n}").option("splitBytes", 1 << 20).load(f"{path}/{p}").where("error is null") for n, p in (("documents", "documents"), ("sidecar", "sidecar")))
+    both = docs.select("doc_id", F.substring("text", 1, 60).alias("head")).join(sidecar.select("doc_id", "number", "title", "file"), "doc_id")
+    return both.withColumn("doc_id", F.col("doc_id").cast("string")).select("doc_id", "number", "title", "file", "head")
+
+
 @query(f"""WITH {_PATENTS}, w AS (SELECT *, list_filter(list_transform(regexp_split_to_array(title, '[^A-Za-z0-9_]+'), lambda t: lower(t)), lambda t: length(t) >= 3) AS t FROM emitted),
   f AS (SELECT number AS src, 'titled' AS rel, title AS dst FROM w UNION ALL SELECT number, 'mentions', unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM w
     UNION ALL SELECT unnest(inventors), 'invented', number FROM w UNION ALL SELECT number, 'assigned_to', assignees[1] FROM w UNION ALL SELECT number, 'classified_as', unnest([c1, c2]) FROM w
@@ -896,12 +907,11 @@ def top_hubs(spark, sf_dir):
     return analytics.top_hubs(g.entity_docs, g.entities)
 
 
-@query("WITH f AS (SELECT lang || ':' || source AS facet, doc_id FROM documents), n AS (SELECT facet, count(*) AS n FROM f GROUP BY 1 HAVING count(*) >= 3) SELECT f.facet, doc_id, n FROM f JOIN n ON f.facet = n.facet WHERE n < (SELECT max(n) FROM n)")
+@query("WITH f AS (SELECT lang || ':' || source AS facet, doc_id FROM documents), n AS (SELECT facet, count(*) AS n FROM f GROUP BY 1 HAVING count(*) >= 3) SELECT f.facet, doc_id, n FROM f JOIN n ON f.facet = n.facet")
 def inverted_index(spark, sf_dir):
-    """Documents of each language and source with three or more of them, but for the largest."""
+    """Documents of each language and source with three or more of them."""
     docs = table(spark, sf_dir, "documents").withColumn("facet_", F.concat("lang", F.lit(":"), "source"))
-    index = analytics.inverted_index(docs, "facet_", least=3)
-    return index.join(F.broadcast(index.agg(F.max("n").alias("most"))), F.col("n") < F.col("most")).select("facet", "doc_id", "n")  # one row
+    return analytics.inverted_index(docs, "facet_", least=3)
 
 
 @query("WITH d AS (SELECT * FROM documents WHERE lang = 'en'), t AS (SELECT source, count(*) AS total FROM d GROUP BY 1 ORDER BY total DESC, source LIMIT 1) "
