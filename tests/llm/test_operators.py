@@ -228,6 +228,27 @@ def test_fuzzy_passages_recall(spark):
     assert found["random", 10] == n and found["random", 5] >= 0.9 * n and found["every", 5] >= 0.9 * n
 
 
+def test_passages_of_a_line_said_again_and_again(spark):
+    """More chains of one pair than one row asks for, in stretches that touch and in some that do not."""
+    line = " ".join(f"word{i}" for i in range(45))
+    near = [f"a{i} b{i}" for i in range(100)]
+    far = [" ".join(f"far{i}x{j}" for j in range(120)) for i in range(100)]
+    text = " ".join(f"{line} {gap}" for gap in near + far)
+    docs = spark.createDataFrame([(1, f"start {line} finish"), (2, text)], "doc_id long, text string")
+    rows = passages.find_passages(docs).collect()
+    want, at = set(), text.find(line)
+    while at >= 0:
+        want.add((at, at + len(line)))
+        at = text.find(line, at + 1)
+    assert len(want) == 200 and {(r.start, r.end) for r in rows} == want and len(rows) == 200
+    assert all((r.doc_id, r.other, r.n_words, r.similarity) == (2, 1, 45, 1.0) for r in rows)
+
+
+def test_windows_around_chains_cover_them_once():
+    lo, hi = np.array([50, 0, 500, 90]), np.array([60, 10, 900, 120])
+    assert passages.merged(lo, hi, 20).tolist() == [[0, 140], [480, 920]]
+
+
 def test_passages_odd(odd, empty):
     found = passages.find_passages(odd).collect()
     assert {(r.doc_id, r.other) for r in found} == {(9, 8), (15, 14)}
