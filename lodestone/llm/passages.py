@@ -9,7 +9,7 @@ from math import isqrt
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import slices
@@ -27,6 +27,12 @@ SIDE = 16
 AGREE, BETTER = 0.65, 6
 #: Earlier documents with a seed, beside the first one, that each of its places is compared with.
 OWNERS = 4
+#: Words before a seed and behind it in which places that are left over are compared.
+AROUND, BESIDE = 36, 48
+#: Places left over of a seed, above which their pairs are dealt over several tasks.
+TILE = 4096
+#: Earlier places from which on a place is compared with them column by column, and pairs that are compared at a time otherwise.
+MANY, PAIRS = 40, 1 << 13
 #: Documents of one slice that hold a seed, above which the slice sends one place of it to the others.
 HOT = 16
 #: Characters between two seeds of a chain at which the gap costs as much as a seed gains.
@@ -204,28 +210,43 @@ def agreement(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
 
 
 def linked(seeds: DataFrame, owners: int, agree: float, better: int) -> DataFrame:
-    """``(doc, other, x, y)``: places of a seed joined to a place in an earlier document.
+    """``(doc, other, x, y, h)``: places of a seed joined to a place in an earlier document.
 
     The table is partitioned by seed and sorted by seed, document and place.  Every place is compared with
     the seed's first document and the ``owners`` nearest earlier ones, by the words on both sides.  Of
     those that agree on one side the one with most agreement is taken, the earliest of nearly equal
     ones.  A task keeps a few rows of a seed, however many it has.
+
+    Every place of a seed that three documents or more hold is a row without ``other`` as well, with the
+    seed's common name ``h``: where no passage is found with the one chosen, ``left_over`` compares it with all the others.
     """
     kind = seeds.schema["doc"].dataType.simpleString()
+    names = ["doc", "other", "x", "y", "h"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.RecordBatch | None = None
+        held, many = [], False  # of the last seed: its places while few documents have it, and whether more do
         for batch in batches:
+            if not batch.num_rows:
+                continue
             old = kept.num_rows if kept is not None else 0
             if old:
                 batch = pa.concat_batches([kept, batch])
-            if batch.num_rows < 2:
-                kept = batch
-                continue
             h, docs, x, sketch = (batch.column(i) for i in range(4))
+            places = pa.RecordBatch.from_arrays([docs, pa.nulls(len(x), docs.type), x, pa.nulls(len(x), pa.int32()), h], names=names)
             h, x, sketch = h.to_numpy(), x.to_numpy(), sketch.to_numpy().view(np.uint64)
             new = np.concatenate(([True], h[1:] != h[:-1]))
             runs = new | np.concatenate(([True], pc.not_equal(docs.slice(1), docs.slice(0, len(docs) - 1)).to_numpy(zero_copy_only=False)))
+            starts = np.flatnonzero(new)
+            several = np.add.reduceat(runs.astype(np.int64), starts) > 2
+            several[0] |= many and old > 0
+            if several[0]:
+                yield from held
+            wanted = np.arange(len(h)) >= old
+            yield places.filter(pa.array(wanted & np.repeat(several, np.diff(np.append(starts, len(h))))))
+            many = bool(several[-1])
+            last = wanted & (np.arange(len(h)) >= starts[-1])
+            held = [] if many else [*(held if len(starts) == 1 else []), places.filter(pa.array(last))]
             run_of, rows_of = np.cumsum(runs) - 1, np.flatnonzero(runs)
             places_of = np.diff(np.append(rows_of, len(runs)))
             first = run_of[np.flatnonzero(new)][np.cumsum(new) - 1]
@@ -245,12 +266,169 @@ def linked(seeds: DataFrame, owners: int, agree: float, better: int) -> DataFram
                 ok = np.flatnonzero(top >= 0)
                 place = np.array(places)[near.argmax(0)[ok], ok]
                 some = pa.array(rows[ok])
-                yield pa.RecordBatch.from_arrays([docs.take(some), docs.take(pa.array(place)), pa.array(x[rows[ok]]), pa.array(x[place])], names=["doc", "other", "x", "y"])
+                yield pa.RecordBatch.from_arrays([docs.take(some), docs.take(pa.array(place)), pa.array(x[rows[ok]]), pa.array(x[place]), pa.nulls(len(ok), pa.int64())], names=names)
             # of the last seed: its first row, and the first row of each of the last documents
             tail = rows_of[rows_of >= np.flatnonzero(new)[-1]]
             kept = batch.take(pa.array(np.unique(np.concatenate((tail[:1], tail[-max(owners, 1) :])))))
 
-    return seeds.repartition("h").sortWithinPartitions("h", "doc", "x").mapInArrow(tidy(run), f"doc {kind}, other {kind}, x int, y int")
+    return seeds.repartition("h").sortWithinPartitions("h", "doc", "x").mapInArrow(tidy(run), f"doc {kind}, other {kind}, x int, y int, h long")
+
+
+def likeness(own: np.ndarray, said: np.ndarray, words: int) -> np.ndarray:
+    """Most of ``words`` words in a row of a place that stand around each of many others; ``said`` has a row for each code."""
+    hits = np.zeros((len(own) + 1, said.shape[1]), np.uint8)
+    if said.shape[1] < 512:  # one call for all words, or one fast one for each
+        np.cumsum(said[own], axis=0, dtype=np.uint8, out=hits[1:])
+    else:
+        for i, c in enumerate(own.tolist()):
+            np.add(hits[i], said[c], out=hits[i + 1])
+    return (hits[words:] - hits[:-words]).max(0)
+
+
+def likeness_of_pairs(own: np.ndarray, said: np.ndarray, words: int) -> np.ndarray:
+    """The same for pairs: a row of ``own`` and ``said`` for each."""
+    hits = np.zeros((len(own), own.shape[1] + 1), np.uint8)
+    np.cumsum(said[np.arange(len(own))[:, None], own], axis=1, dtype=np.uint8, out=hits[:, 1:])
+    return (hits[:, words:] - hits[:, :-words]).max(1)
+
+
+def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``common_words`` of pairs of code sequences of up to 128 words, a row for each; code 0 is no word."""
+    low = high = np.full(len(a), (1 << 64) - 1, np.uint64)
+    for word in b.T:
+        equal = np.zeros((len(a), 16), np.uint8)
+        bits = np.packbits((a == word[:, None]) & (a > 0), axis=1, bitorder="little")
+        equal[:, : bits.shape[1]] = bits
+        masks = equal.view("<u8")
+        hit, more = low & masks[:, 0], high & masks[:, 1]
+        total = low + hit
+        high = (high + more + (total < low)) | (high - more)
+        low = total | (low - hit)
+    return 128 - np.bitwise_count(low).astype(np.int64) - np.bitwise_count(high)
+
+
+def left_over(places: DataFrame, texts: DataFrame, found: DataFrame, min_words: int, similarity: float) -> DataFrame:
+    """``(doc, other, x, y)``: places that no passage covers, joined to places in all earlier documents that may share one.
+
+    ``places`` are rows ``(h, doc, x)``.  The words around every place become codes of one byte; places of a
+    seed in equal surroundings are one, and those in later documents are joined to the first.  All pairs of
+    the others are compared, in tiles where there are many: of some ``min_words`` words in a row
+    around the later place the share ``similarity`` must stand around the earlier one, and as many in
+    order (codes may be equal by chance, so none that does is lost).  Work grows with the square of a seed's
+    different surroundings.
+    """
+    kind = texts.schema["d"].dataType.simpleString()
+    asked = places.groupBy("doc").agg(F.collect_list(F.struct("h", "x")).alias("m"))
+    spans = found.groupBy(F.col("doc").alias("c")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
+    given = asked.join(texts, F.col("doc") == F.col("d")).join(spans, F.col("doc") == F.col("c"), "left").select("doc", "m", "spans", "t")
+    names = ["h", "c", "doc", "x", "bare", "codes"]
+    wide, core = 2 * BESIDE + SEED_WORDS, slice(BESIDE - AROUND, BESIDE + AROUND + SEED_WORDS)
+    least = min(min_words, 2 * AROUND + SEED_WORDS)
+
+    def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start, end in slices(batch.column(3), SLICE_BYTES):
+                part = batch.slice(start, end - start)
+                words = Words(part.column(3).fill_null("").cast(pa.string()))
+                row = pc.list_parent_indices(part.column(1)).to_numpy().astype(np.int64)
+                h, x = (pc.list_flatten(part.column(1)).field(i).to_numpy() for i in range(2))
+                key = row << 32 | x
+                at = np.searchsorted(words.text << 32 | words.start, key)
+                covered = np.zeros(len(key), bool)
+                inside = pc.list_flatten(part.column(2))
+                if len(inside):
+                    of = pc.list_parent_indices(part.column(2)).to_numpy().astype(np.int64) << 32
+                    first, last = of | inside.field(0).to_numpy(), np.maximum.accumulate(of | inside.field(1).to_numpy())
+                    span = np.searchsorted(first, key, "right") - 1
+                    covered = (span >= 0) & (last[span] > key)
+                # a byte for each word, 0 where there is none
+                code = np.pad((words.hash >> np.uint64(32)) % np.uint64(255) + np.uint64(1), BESIDE + SEED_WORDS).astype(np.uint8)
+                text = np.pad(words.text, BESIDE + SEED_WORDS, constant_values=-1)
+                for i in range(0, len(key), 10_000):
+                    near = at[i : i + 10_000, None] + np.arange(SEED_WORDS, SEED_WORDS + wide)
+                    own = row[i : i + 10_000]
+                    codes = np.where(text[near] == own[:, None], code[near], 0).astype(np.uint8)
+                    c = np.zeros(len(own), np.uint64)
+                    for column in codes.T:
+                        c = mix(c + column)
+                    bare = ~covered[i : i + 10_000] & ((codes[:, core] > 0).sum(1) >= similarity * least)
+                    data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(wide), len(own), [None, pa.py_buffer(codes.tobytes())])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 10_000]), pa.array(c.view(np.int64)), part.column(0).take(pa.array(own)), pa.array(x[i : i + 10_000]), pa.array(bare), data.cast(pa.binary())], names=names)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: list[pa.RecordBatch] = []
+
+        def joined(rows: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            docs, x, bare = rows.column("doc"), rows.column("x").to_numpy(), rows.column("bare").to_numpy(zero_copy_only=False)
+            ids = [rows.column(c).to_numpy() for c in ("h", "i", "j")]
+            block, mixed = rows.column("block").to_numpy(), ids[1] != ids[2]
+            new = np.concatenate(([True], np.any([c[1:] != c[:-1] for c in ids], axis=0)))
+            runs = new | np.concatenate(([True], pc.not_equal(docs.slice(1), docs.slice(0, len(docs) - 1)).to_numpy(zero_copy_only=False)))
+            run, group = np.maximum.accumulate(np.where(runs, np.arange(len(x)), 0)), np.cumsum(new) - 1
+            data = rows.column("codes")
+            codes = np.frombuffer(data.buffers()[2], np.uint8)[data.offset * wide : (data.offset + len(data)) * wide].reshape(-1, wide)
+            low = np.flatnonzero(new)[group]
+            ask = np.flatnonzero(bare & (run > low))
+            low, count = low[ask], (run - low)[ask]
+            later, earlier = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            said = np.zeros((len(x), 256), bool)
+            said[np.arange(len(x))[:, None], codes] = True
+            said[:, 0] = False
+            own = codes[:, core]
+            many = count >= MANY
+            columns = said.T.astype(np.uint8) if many.any() else said
+            for b, at, n in zip(ask[many].tolist(), low[many].tolist(), count[many].tolist(), strict=True):
+                a = at + np.flatnonzero(likeness(own[b], columns[:, at : at + n], least) >= similarity * least)
+                later.append(np.full(len(a), b))
+                earlier.append(a)
+            ask, low, count = ask[~many], low[~many], count[~many]
+            ends = np.cumsum(count)
+            for start in range(0, int(ends[-1]) if len(ends) else 0, PAIRS):
+                pair = np.arange(start, min(start + PAIRS, int(ends[-1])))
+                which = np.searchsorted(ends, pair, "right")
+                b, at = ask[which], low[which] + pair - (ends - count)[which]
+                alike = likeness_of_pairs(own[b], said[at], least) >= similarity * least
+                later.append(b[alike])
+                earlier.append(at[alike])
+            b, a = np.concatenate(later), np.concatenate(earlier)
+            ok = ~mixed[a] | (block[a] != block[b])
+            b, a = b[ok], a[ok]
+            for i in range(0, len(a), PAIRS):
+                some = slice(i, i + PAIRS)
+                ok = in_order(own[b[some]], codes[a[some]]) >= similarity * least
+                b_, a_ = pa.array(b[some][ok]), pa.array(a[some][ok])
+                yield pa.RecordBatch.from_arrays([rows.column("h").take(b_), rows.column("c").take(b_), docs.take(a_), rows.column("x").take(a_)], names=["h", "c", "other", "y"])
+
+        for batch in batches:
+            # a tile is compared when all its rows are there
+            ids = [batch.column(c).to_numpy() for c in ("h", "i", "j")]
+            new = np.flatnonzero(np.any([c[1:] != c[:-1] for c in ids], axis=0)) + 1
+            if left and batch.num_rows and any(left[0].column(c)[0].as_py() != batch.column(c)[0].as_py() for c in ("h", "i", "j")):
+                new = np.concatenate(([0], new))
+            if len(new):
+                left.append(batch.slice(0, int(new[-1])))
+                yield from joined(pa.concat_batches(left))
+                left = []
+            if batch.num_rows > (int(new[-1]) if len(new) else 0):
+                left.append(batch.slice(int(new[-1]) if len(new) else 0))
+        if left:
+            yield from joined(pa.concat_batches(left))
+
+    around = materialise(given.mapInArrow(tidy(surroundings), f"h long, c long, doc {kind}, x int, bare boolean, codes binary"), "surroundings")
+    first = around.groupBy("h", "c").agg(F.min(F.struct("doc", "x")).alias("r"), F.first("codes").alias("codes"))
+    first = materialise(first.select("h", "c", F.col("r.doc").alias("doc"), F.col("r.x").alias("x"), "codes"), "different")
+    bare = around.where("bare").select("h", "c", "doc", "x")
+    bare = materialise(bare.join(first.select("h", "c", F.col("doc").alias("other"), F.col("x").alias("y")), ["h", "c"]), "bare")
+    own = bare.where("doc = other").select("h", "c", "doc", "x")
+    asking = own.select("h", "c").distinct().withColumn("bare", F.lit(True))
+    blocks = F.ceil(F.count("*").over(Window.partitionBy("h")) / TILE).cast("int")
+    dealt = first.join(asking, ["h", "c"], "left").withColumn("n", blocks).withColumn("block", F.pmod("c", F.col("n")).cast("int"))
+    # with each block of the seed's places once
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    dealt = dealt.select("h", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "c", "doc", "x", F.col("bare").isNotNull().alias("bare"), "codes")
+    tiles = dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "doc", "x")
+    links = tiles.mapInArrow(tidy(compare), f"h long, c long, other {kind}, y int")
+    return own.join(links, ["h", "c"]).select("doc", "other", "x", "y").union(bare.where("doc <> other").select("doc", "other", "x", "y"))
 
 
 class Fenwick:
@@ -517,16 +695,15 @@ def find_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", k: i
 
     Seeds are k-mers of whole texts, one of ``sample`` by its hash (and one of any ``WINDOW`` in a row), so a
     passage has the same seeds in all documents.  Each place of a seed is joined to one earlier document that holds it: among the first one
-    and the four nearest, the one whose words around the seed agree most (see ``linked``).  Rows are
-    never more than places of seeds, however many copies a passage has.  Matches of a pair of documents
+    and the four nearest, the one whose words around the seed agree most (see ``linked``).  Matches of a pair of documents
     are chained with gap costs; the chains of a pair ask for the text around them together, so text that
     several of them need moves once; chains are aligned word by word.  Passages of ``min_words`` words or more
     of which ``similarity`` agree in order are returned; a chain that agrees too little as a whole is
-    split into those that do.  Sixteen words in a row are long seeds, joined in the same way, of which every
-    passage of 39 equal words has one where it stands in a document first: fragments of a passage in any number
-    of other documents do not hide it.
-    A passage that is not equal is missed where none of its k-mers is a seed that agrees, or
-    where each of its seeds stands, in the same words, in another of the documents looked at; one word
+    split into those that do.  Sixteen words in a row are long seeds, joined in the same way.  Every place that
+    no passage covers then is compared with the places of its seed in all earlier documents (see ``left_over``),
+    and those that may share a passage are chained and aligned as well, so fragments of a passage in any
+    number of other documents do not hide it.
+    A passage is missed where none of its k-mers is a seed; one word
     said again and again is no passage; ``sample`` of 1 takes every k-mer for a seed.
     ``test_passages_*`` measure recall.
 
@@ -553,9 +730,17 @@ def _passages(docs: DataFrame, text: str, key: str, k: int, sample: int, gap: in
     """``find_passages`` with ``doc`` for the key, and the hash of its text."""
     if sample < 1:
         raise ValueError("one of 1 k-mers or more is a seed")
-    kind = docs.schema[key].dataType.simpleString()
     texts = one_text(docs, text, key)
-    matches = linked(seed_table(texts, "t", "d", k, sample, SIDE, HOT), OWNERS, AGREE, BETTER)
+    matches = materialise(linked(seed_table(texts, "t", "d", k, sample, SIDE, HOT), OWNERS, AGREE, BETTER), "matches")
+    found = materialise(_aligned(matches.where("h is null"), texts, gap, reach, min_words, similarity), "passages")
+    places = matches.where("h is not null").select("h", "doc", "x")
+    more = _aligned(left_over(places, texts, found, min_words, similarity), texts, gap, reach, min_words, similarity)
+    return found.union(more).distinct()
+
+
+def _aligned(matches: DataFrame, texts: DataFrame, gap: int, reach: int, min_words: int, similarity: float) -> DataFrame:
+    """Passages of the pairs of documents that have matches ``(doc, other, x, y)``: chained, then aligned."""
+    kind = texts.schema["d"].dataType.simpleString()
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Chains of each pair of documents, some dozens at a time, as requests for the stretches of both texts around them."""
