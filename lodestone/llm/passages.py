@@ -159,14 +159,14 @@ def _either(bits: np.ndarray, text: np.ndarray, side: int) -> np.ndarray:
 
 
 def seed_table(docs: DataFrame, text: str, key: str, k: int, sample: int, side: int, hot: int) -> DataFrame:
-    """``(h, doc, x, sketch)``: every seed with its first character and the sketches of its sides.
+    """``(h, doc, x, sketch, g)``: every seed with its first character and the sketches of its sides.
 
     A seed that many documents of one slice hold gets a name of its own there, and only the slice's
     first document sends it under its common name too; so no name has many more rows than there are
-    slices.
+    slices.  ``g`` is the common name of all these rows, null for others; ``linked`` gives their places on.
     """
     kind = docs.schema[key].dataType.simpleString()
-    names = ["h", "doc", "x", "sketch"]
+    names = ["h", "doc", "x", "sketch", "g"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -189,13 +189,15 @@ def seed_table(docs: DataFrame, text: str, key: str, k: int, sample: int, side:
                 own = h[order].copy()
                 own[many] = mix(own[many] + np.uint64(number))
                 take = np.concatenate((order, order[many & new]))
+                common = np.concatenate((many, np.ones(len(take) - len(order), bool)))
+                g = pa.array(h[take].view(np.int64), mask=~common)
                 h = np.concatenate((own, h[order[many & new]]))
                 number += 1
                 for i in range(0, len(h), 100_000):
                     some = take[i : i + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 100_000].view(np.int64)), part.column(0).take(pa.array(doc[some])), pa.array(x[some].astype(np.int32)), pa.array(sketch[some].view(np.int64))], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 100_000].view(np.int64)), part.column(0).take(pa.array(doc[some])), pa.array(x[some].astype(np.int32)), pa.array(sketch[some].view(np.int64)), g.slice(i, 100_000)], names=names)
 
-    return docs.select(key, text).mapInArrow(tidy(run), f"h long, doc {kind}, x int, sketch long")
+    return docs.select(key, text).mapInArrow(tidy(run), f"h long, doc {kind}, x int, sketch long, g long")
 
 
 def agreement(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
@@ -232,17 +234,19 @@ def linked(seeds: DataFrame, owners: int, agree: float, better: int) -> DataFram
             old = kept.num_rows if kept is not None else 0
             if old:
                 batch = pa.concat_batches([kept, batch])
-            h, docs, x, sketch = (batch.column(i) for i in range(4))
-            places = pa.RecordBatch.from_arrays([docs, pa.nulls(len(x), docs.type), x, pa.nulls(len(x), pa.int32()), h], names=names)
+            h, docs, x, sketch, g = (batch.column(i) for i in range(5))
+            places = pa.RecordBatch.from_arrays([docs, pa.nulls(len(x), docs.type), x, pa.nulls(len(x), pa.int32()), pc.coalesce(g, h)], names=names)
+            again = pc.fill_null(pc.equal(g, h), False).to_numpy(zero_copy_only=False)  # under its own name too
+            named = g.is_valid().to_numpy(zero_copy_only=False)
             h, x, sketch = h.to_numpy(), x.to_numpy(), sketch.to_numpy().view(np.uint64)
             new = np.concatenate(([True], h[1:] != h[:-1]))
             runs = new | np.concatenate(([True], pc.not_equal(docs.slice(1), docs.slice(0, len(docs) - 1)).to_numpy(zero_copy_only=False)))
             starts = np.flatnonzero(new)
-            several = np.add.reduceat(runs.astype(np.int64), starts) > 2
+            several = (np.add.reduceat(runs.astype(np.int64), starts) > 2) | np.logical_or.reduceat(named, starts)
             several[0] |= many and old > 0
             if several[0]:
                 yield from held
-            wanted = np.arange(len(h)) >= old
+            wanted = (np.arange(len(h)) >= old) & ~again
             yield places.filter(pa.array(wanted & np.repeat(several, np.diff(np.append(starts, len(h))))))
             many = bool(several[-1])
             last = wanted & (np.arange(len(h)) >= starts[-1])

@@ -26,6 +26,16 @@ def test_partner_behind_other_documents(spark):
     assert {(r.doc_id, r.other) for r in found if r.n_words >= 55} == want
 
 
+def test_partner_in_another_slice(spark):
+    early, late, halves = hidden(np.random.default_rng(6), 30)
+    kind = "doc_id long, text string"
+    one = spark.createDataFrame([(1000, early)], kind).coalesce(1)
+    # a slice in which so many documents hold the seeds that it sends them under a name of its own
+    many = spark.createDataFrame([*((i, t) for i, t in enumerate(halves)), (2000, late)], kind).coalesce(1)
+    found = passages.find_passages(one.union(many)).collect()
+    assert {(r.doc_id, r.other) for r in found if r.n_words >= 55} == {(2000, 1000)}
+
+
 def test_tiles_lose_no_pair(spark, monkeypatch):
     early, late, halves = hidden(np.random.default_rng(7), 30)
     docs = spark.createDataFrame([(0, early), *((i + 1, t) for i, t in enumerate(halves)), (2000, late)], "doc_id long, text string")
