@@ -35,14 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import MARKS, Ragged, byte_symbols, cut, load, slices, spread
-from .common import tidy
+from .common import give_back, tidy
 
 #: Rows of the transition table before it is built anew.
 TABLE_ROWS = 150_000
 #: Latin letters of one byte in Latin-1.
 LATIN = r"A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}"
 #: Bytes of text that are encoded at a time (one text may be longer).
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Added to a byte that ends a word.
 END = 256
 
@@ -300,6 +300,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", carry: list[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = WordTokenizer(path)  # compiled for each task, and gone with it
+        give_back()
         kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
@@ -311,5 +312,6 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text", carry: list[st
                     found.append([*row, np.frombuffer(ids, "<u4").astype(np.int32), decoded.decode("utf-8", "replace")] if outputs else row)
                 arrays = [pa.array([f[i] for f in found], kinds[i]) for i in range(len(made))]
                 yield pa.RecordBatch.from_arrays([*(c.slice(start, end - start) for c in batch.columns[:-1]), *arrays], names=[*carry, *made])
+            batch = texts = None  # gone before the next one comes
 
     return docs.select(*carry, F.col(text).alias("the_text")).mapInArrow(tidy(run), schema)

@@ -21,7 +21,9 @@ SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
 def give_back() -> None:
-    """Return to the system what this process has freed; Spark keeps Python workers for later stages."""
+    """Return to the system what this process has freed, tables of powers too; Spark keeps Python workers for later stages."""
+    global _powers, _inverse
+    _powers = _inverse = np.ones(1, np.uint64)
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # not every C library has it
         ctypes.CDLL(None).malloc_trim(0)

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from lodestone.llm import passages
+from lodestone.llm import common, passages
 
 
 def hidden(rng, decoys):
@@ -55,3 +55,11 @@ def test_words_in_order_and_around():
     assert passages.likeness_of_pairs(own, said, 40).tolist() == want
     for n in (100, 700):  # both ways to count
         assert passages.likeness(own[0], said[:n].T.astype(np.uint8), 40).tolist() == passages.likeness_of_pairs(np.repeat(own[:1], n, 0), said[:n], 40).tolist()
+
+
+def test_powers_go_with_a_task():
+    powers, inverse = common.powers_upto(1 << 17)
+    assert (powers[:9] * inverse[:9] == 1).all()
+    common.give_back()
+    assert len(common._powers) == len(common._inverse) == 1
+    assert (common.powers_upto(1 << 17)[0] == powers).all()
