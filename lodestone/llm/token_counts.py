@@ -15,12 +15,35 @@ from .common import tidy
 
 #: Bytes of text in a block of documents (one text may be longer).
 BLOCK_BYTES = 24 << 20
+#: Bytes of a block's text that are cut into pre-tokens at a time.
+SLICE_BYTES = 3 << 20
 #: Columns of the frequency table: rows of pre-tokens, and one row for each block.
 SCHEMA = "at string, block long, place int, docs binary, postings binary"
 
 
 def frequencies(pre: ByteTexts, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pre-tokens of some texts, and (place of the pre-token, place of the text, count), sorted."""
+    """Distinct pre-tokens of some texts, and (place of the pre-token, place of the text, count), sorted.
+
+    Texts are cut slice by slice; of a slice only its distinct pre-tokens and its counts stay.
+    """
+    words, codes, docs, counts = [pa.array([], pa.string())], [], [], []
+    for start, end in slices(texts, SLICE_BYTES):
+        own, code, doc, times = _of_slice(pre, texts.slice(start, end - start))
+        codes.append((code + sum(map(len, words))).astype(np.int32))
+        docs.append((doc + start).astype(np.int32))
+        counts.append(times.astype(np.int32))
+        words.append(own)
+    coded = pa.concat_arrays(words).dictionary_encode()
+    if not codes:
+        return coded.dictionary, *(np.zeros(0, np.int32),) * 3
+    code = coded.indices.to_numpy()[np.concatenate(codes)]
+    # slices and their texts ascend, so equal pre-tokens stay in the order of their texts
+    order = np.argsort(code, kind="stable").astype(np.int32)
+    return coded.dictionary, code[order], np.concatenate(docs)[order], np.concatenate(counts)[order]
+
+
+def _of_slice(pre: ByteTexts, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """The same for one slice, sorted by text."""
     whole = pre.whole(texts)
     words, found = pre.read(texts.filter(pa.array(~whole)))
     code, doc = found.flat, np.repeat(np.flatnonzero(~whole), found.lengths)
@@ -32,10 +55,10 @@ def frequencies(pre: ByteTexts, texts: pa.Array) -> tuple[pa.Array, np.ndarray,
         code = np.concatenate([codes[code], codes[len(words) :]])
         doc = np.concatenate([doc, np.repeat(at, np.fromiter(map(len, parts), np.int64, len(parts)))])
         words = coded.dictionary
-    n = max(1, len(texts))
-    keys = np.sort(code * n + doc)
+    n = max(1, len(words))
+    keys = np.sort(doc * n + code)
     first = np.flatnonzero(np.diff(keys, prepend=-1))
-    return words, keys[first] // n, keys[first] % n, np.diff(np.append(first, len(keys)))
+    return words, keys[first] % n, keys[first] // n, np.diff(np.append(first, len(keys)))
 
 
 class Postings:
