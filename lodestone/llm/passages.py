@@ -9,7 +9,7 @@ from math import isqrt
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import slices
@@ -33,6 +33,10 @@ AROUND, BESIDE = 36, 48
 TILE = 4096
 #: Earlier places from which on a place is compared with them column by column, and pairs that are compared at a time otherwise.
 MANY, PAIRS = 40, 1 << 13
+#: Later places of a seed with so many earlier ones from which on they are compared by bits, and 64s of pairs that are compared so at a time.
+CROWD, BITS = 8, 1 << 12
+#: Words apart at which stretches around two places are aligned, and words beyond those of a passage that must agree for a link to be sure.
+STEP, SURE = 7, 4
 #: Documents of one slice that hold a seed, above which the slice sends one place of it to the others.
 HOT = 16
 #: Characters between two seeds of a chain at which the gap costs as much as a seed gains.
@@ -296,30 +300,89 @@ def likeness_of_pairs(own: np.ndarray, said: np.ndarray, words: int) -> np.ndarr
     return (hits[:, words:] - hits[:, :-words]).max(1)
 
 
-def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """``common_words`` of pairs of code sequences of up to 128 words, a row for each; code 0 is no word."""
-    low = high = np.full(len(a), (1 << 64) - 1, np.uint64)
+def likeness_by_bits(own: np.ndarray, said: np.ndarray, words: int, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of ``own`` and of ``said`` whose likeness is ``need`` or more, for all pairs; 64 pairs take one number.
+
+    Counters are kept digit by digit: one array for each binary digit of the words of a window that are there.
+    """
+    columns = np.packbits(said.T, axis=1, bitorder="little")
+    columns = np.ascontiguousarray(np.pad(columns, ((0, 0), (0, -columns.shape[1] % 8)))).view(np.uint64)
+    digits, low = int(words).bit_length(), (need & -need).bit_length() - 1
+    step, rows, places = max(1, BITS // columns.shape[1]), [], []
+    for start in range(0, len(own), step):
+        hits = [columns[c] for c in own[start : start + step].T]
+        count = np.zeros((digits, *hits[0].shape), np.uint64)
+        found, spare, x, down = (np.zeros_like(hits[0]) for _ in range(4))
+        for i, hit in enumerate(hits):
+            # a word enters the window, and one leaves it
+            if i < words:
+                np.copyto(x, hit)
+            else:
+                np.bitwise_xor(hit, hits[i - words], out=x)
+                np.bitwise_and(x, hits[i - words], out=down)
+            for c in count[: digits if i >= words else (i + 1).bit_length()]:
+                np.bitwise_xor(c, down, out=spare)
+                np.bitwise_xor(c, x, out=c)
+                np.bitwise_and(x, spare, out=x)
+            if i + 1 >= words:
+                np.copyto(spare, count[low])
+                for d in range(low + 1, digits):
+                    (np.bitwise_and if need >> d & 1 else np.bitwise_or)(spare, count[d], out=spare)
+                np.bitwise_or(found, spare, out=found)
+        row, word = np.nonzero(found)
+        at, bit = np.nonzero(np.unpackbits(found[row, word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+        rows.append(start + row[at])
+        places.append(word[at] * 64 + bit)
+    return np.concatenate(rows), np.concatenate(places)
+
+
+def in_order(a: np.ndarray, b: np.ndarray, of: np.ndarray | None = None) -> np.ndarray:
+    """``common_words`` of pairs of code sequences, ``a`` of up to 128 words; code 0 is no word.
+
+    Each row of ``b`` is paired with the row of ``a`` that ``of`` names, or with its own.
+    """
+    of = np.arange(len(a)) if of is None else of
+    # where each code stands in each row of a
+    masks = np.zeros((2, len(a) * 256), np.uint64)
+    at = np.arange(len(a)) * 256
+    for i, c in enumerate(a.T):
+        masks[i // 64, at + c] |= np.uint64(1 << i % 64)
+    masks[:, at] = 0
+    low = high = np.full(len(b), (1 << 64) - 1, np.uint64)
+    at = of * 256
     for word in b.T:
-        equal = np.zeros((len(a), 16), np.uint8)
-        bits = np.packbits((a == word[:, None]) & (a > 0), axis=1, bitorder="little")
-        equal[:, : bits.shape[1]] = bits
-        masks = equal.view("<u8")
-        hit, more = low & masks[:, 0], high & masks[:, 1]
+        place = at + word
+        near = masks[0].take(place)
+        hit = low & near
         total = low + hit
-        high = (high + more + (total < low)) | (high - more)
+        if a.shape[1] > 64:
+            far = masks[1].take(place)
+            more = high & far
+            high = (high + more + (total < low)) | (high - more)
         low = total | (low - hit)
     return 128 - np.bitwise_count(low).astype(np.int64) - np.bitwise_count(high)
 
 
-def left_over(places: DataFrame, texts: DataFrame, found: DataFrame, min_words: int, similarity: float) -> DataFrame:
+def enough_links(later: np.ndarray, earlier: np.ndarray, score: np.ndarray, sure) -> np.ndarray:
+    """Which links go on: of each later place the one of highest score (the earliest of equals) if it is ``sure``, otherwise all."""
+    order = np.lexsort((earlier, -score, later))
+    best = np.diff(later[order], prepend=-1) != 0
+    settled = sure(order[best])[np.cumsum(best) - 1]
+    return np.sort(order[best | ~settled])
+
+
+def left_over(places: DataFrame, texts: DataFrame, found: DataFrame, reach: int, min_words: int, similarity: float) -> DataFrame:
     """``(doc, other, x, y)``: places that no passage covers, joined to places in all earlier documents that may share one.
 
     ``places`` are rows ``(h, doc, x)``.  The words around every place become codes of one byte; places of a
     seed in equal surroundings are one, and those in later documents are joined to the first.  All pairs of
     the others are compared, in tiles where there are many: of some ``min_words`` words in a row
     around the later place the share ``similarity`` must stand around the earlier one, and as many in
-    order (codes may be equal by chance, so none that does is lost).  Work grows with the square of a seed's
-    different surroundings.
+    order (codes may be equal by chance, so none that does is lost).  A place is joined to the partner in a
+    tile that agrees most if that one is sure: on stretches around both, none of them beyond ``reach``,
+    ``SURE`` words more than a passage needs agree in order (that many codes hardly agree by chance).  Any
+    other place is joined to all of its partners.  Pairs that are looked at grow with the square of a seed's
+    different surroundings, 64 of them in one number; rows do so only for places without a sure partner.
     """
     kind = texts.schema["d"].dataType.simpleString()
     asked = places.groupBy("doc").agg(F.collect_list(F.struct("h", "x")).alias("m"))
@@ -328,6 +391,9 @@ def left_over(places: DataFrame, texts: DataFrame, found: DataFrame, min_words:
     names = ["h", "c", "doc", "x", "bare", "codes"]
     wide, core = 2 * BESIDE + SEED_WORDS, slice(BESIDE - AROUND, BESIDE + AROUND + SEED_WORDS)
     least = min(min_words, 2 * AROUND + SEED_WORDS)
+    need = max(1, int(np.ceil(similarity * least)))
+    whole = 2 * AROUND + SEED_WORDS
+    short = min(int(min_words / similarity) - 2, whole)
 
     def surroundings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -337,7 +403,8 @@ def left_over(places: DataFrame, texts: DataFrame, found: DataFrame, min_words:
                 row = pc.list_parent_indices(part.column(1)).to_numpy().astype(np.int64)
                 h, x = (pc.list_flatten(part.column(1)).field(i).to_numpy() for i in range(2))
                 key = row << 32 | x
-                at = np.searchsorted(words.text << 32 | words.start, key)
+                first_of, last_of = words.text << 32 | words.start, words.text << 32 | words.end
+                at = np.searchsorted(first_of, key)
                 covered = np.zeros(len(key), bool)
                 inside = pc.list_flatten(part.column(2))
                 if len(inside):
@@ -352,11 +419,16 @@ def left_over(places: DataFrame, texts: DataFrame, found: DataFrame, min_words:
                     near = at[i : i + 10_000, None] + np.arange(SEED_WORDS, SEED_WORDS + wide)
                     own = row[i : i + 10_000]
                     codes = np.where(text[near] == own[:, None], code[near], 0).astype(np.uint8)
+                    # and the words before and behind that an alignment may reach
+                    some = x[i : i + 10_000].astype(np.int64)
+                    before = at[i : i + 10_000] - np.searchsorted(last_of, own << 32 | np.maximum(some - reach, 0), "right")
+                    behind = np.searchsorted(first_of, own << 32 | some + 1 + reach) - at[i : i + 10_000]
+                    codes = np.column_stack((codes, np.minimum(before, 255), np.minimum(behind, 255))).astype(np.uint8)
                     c = np.zeros(len(own), np.uint64)
                     for column in codes.T:
                         c = mix(c + column)
                     bare = ~covered[i : i + 10_000] & ((codes[:, core] > 0).sum(1) >= similarity * least)
-                    data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(wide), len(own), [None, pa.py_buffer(codes.tobytes())])
+                    data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(wide + 2), len(own), [None, pa.py_buffer(codes.tobytes())])
                     yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 10_000]), pa.array(c.view(np.int64)), part.column(0).take(pa.array(own)), pa.array(x[i : i + 10_000]), pa.array(bare), data.cast(pa.binary())], names=names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,7 +442,8 @@ def left_over(places: DataFrame, texts: DataFrame, found: DataFrame, min_words:
             runs = new | np.concatenate(([True], pc.not_equal(docs.slice(1), docs.slice(0, len(docs) - 1)).to_numpy(zero_copy_only=False)))
             run, group = np.maximum.accumulate(np.where(runs, np.arange(len(x)), 0)), np.cumsum(new) - 1
             data = rows.column("codes")
-            codes = np.frombuffer(data.buffers()[2], np.uint8)[data.offset * wide : (data.offset + len(data)) * wide].reshape(-1, wide)
+            codes = np.frombuffer(data.buffers()[2], np.uint8)[data.offset * (wide + 2) : (data.offset + len(data)) * (wide + 2)].reshape(-1, wide + 2)
+            codes, far = codes[:, :wide], codes[:, wide:]
             low = np.flatnonzero(new)[group]
             ask = np.flatnonzero(bare & (run > low))
             low, count = low[ask], (run - low)[ask]
@@ -380,9 +453,22 @@ def left_over(places: DataFrame, texts: DataFrame, found: DataFrame, min_words:
             said[:, 0] = False
             own = codes[:, core]
             many = count >= MANY
-            columns = said.T.astype(np.uint8) if many.any() else said
-            for b, at, n in zip(ask[many].tolist(), low[many].tolist(), count[many].tolist(), strict=True):
-                a = at + np.flatnonzero(likeness(own[b], columns[:, at : at + n], least) >= similarity * least)
+            asked_of = group[ask]
+            crowd = many & (np.bincount(asked_of[many], minlength=int(group[-1]) + 1)[asked_of] >= CROWD)
+            for g in np.unique(asked_of[crowd]).tolist():
+                mine = np.flatnonzero(crowd & (asked_of == g))
+                at, ends = int(low[mine[0]]), count[mine]
+                # the first ones have few earlier places
+                for i in range(0, len(mine), 512):
+                    some = slice(i, i + 512)
+                    b, a = likeness_by_bits(own[ask[mine[some]]], said[at : at + int(ends[some].max())], least, need)
+                    ok = a < ends[some][b]
+                    later.append(ask[mine[some]][b[ok]])
+                    earlier.append(at + a[ok])
+            alone = many & ~crowd
+            columns = said.T.astype(np.uint8) if alone.any() else said
+            for b, at, n in zip(ask[alone].tolist(), low[alone].tolist(), count[alone].tolist(), strict=True):
+                a = at + np.flatnonzero(likeness(own[b], columns[:, at : at + n], least) >= need)
                 later.append(np.full(len(a), b))
                 earlier.append(a)
             ask, low, count = ask[~many], low[~many], count[~many]
@@ -391,16 +477,35 @@ def left_over(places: DataFrame, texts: DataFrame, found: DataFrame, min_words:
                 pair = np.arange(start, min(start + PAIRS, int(ends[-1])))
                 which = np.searchsorted(ends, pair, "right")
                 b, at = ask[which], low[which] + pair - (ends - count)[which]
-                alike = likeness_of_pairs(own[b], said[at], least) >= similarity * least
+                alike = likeness_of_pairs(own[b], said[at], least) >= need
                 later.append(b[alike])
                 earlier.append(at[alike])
             b, a = np.concatenate(later), np.concatenate(earlier)
             ok = ~mixed[a] | (block[a] != block[b])
             b, a = b[ok], a[ok]
+            order = np.lexsort((a, b))
+            b, a = b[order], a[order]
+            score = np.zeros(len(a), np.int64)
             for i in range(0, len(a), PAIRS):
-                some = slice(i, i + PAIRS)
-                ok = in_order(own[b[some]], codes[a[some]]) >= similarity * least
-                b_, a_ = pa.array(b[some][ok]), pa.array(a[some][ok])
+                ones, of = np.unique(b[i : i + PAIRS], return_inverse=True)
+                score[i : i + PAIRS] = in_order(own[ones], codes[a[i : i + PAIRS]], of)
+            ok = score >= need
+            b, a, score = b[ok], a[ok], score[ok]
+
+            def sure(links: np.ndarray) -> np.ndarray:
+                out = np.zeros(len(links), bool)
+                for i in range(0, len(links), PAIRS):
+                    x, y = b[links[i : i + PAIRS]], a[links[i : i + PAIRS]]
+                    before, behind = np.minimum(far[x], far[y]).T
+                    for n in (short, (short + whole) // 2, whole):
+                        for s in range(0, whole - n + 1, STEP):
+                            within = (before >= AROUND - s) & (behind >= s + n - AROUND)
+                            out[i : i + PAIRS] |= within & (in_order(own[x, s : s + n], own[y, s : s + n]) >= max(min_words, similarity * n) + SURE)
+                return out
+
+            kept = enough_links(b, a, score, sure)
+            for i in range(0, len(kept), PAIRS):
+                b_, a_ = pa.array(b[kept[i : i + PAIRS]]), pa.array(a[kept[i : i + PAIRS]])
                 yield pa.RecordBatch.from_arrays([rows.column("h").take(b_), rows.column("c").take(b_), docs.take(a_), rows.column("x").take(a_)], names=["h", "c", "other", "y"])
 
         for batch in batches:
@@ -419,17 +524,18 @@ def left_over(places: DataFrame, texts: DataFrame, found: DataFrame, min_words:
             yield from joined(pa.concat_batches(left))
 
     around = materialise(given.mapInArrow(tidy(surroundings), f"h long, c long, doc {kind}, x int, bare boolean, codes binary"), "surroundings")
-    first = around.groupBy("h", "c").agg(F.min(F.struct("doc", "x")).alias("r"), F.first("codes").alias("codes"))
-    first = materialise(first.select("h", "c", F.col("r.doc").alias("doc"), F.col("r.x").alias("x"), "codes"), "different")
+    # of each class the first place, and whether its document asks anywhere
+    first = around.groupBy("h", "c").agg(F.min(F.struct("doc", "x")).alias("r"), F.min(F.struct("doc", (~F.col("bare")).alias("covered"))).alias("s"), F.first("codes").alias("codes"))
+    first = materialise(first.select("h", "c", F.col("r.doc").alias("doc"), F.col("r.x").alias("x"), (~F.col("s.covered")).alias("bare"), "codes"), "different")
     bare = around.where("bare").select("h", "c", "doc", "x")
     bare = materialise(bare.join(first.select("h", "c", F.col("doc").alias("other"), F.col("x").alias("y")), ["h", "c"]), "bare")
     own = bare.where("doc = other").select("h", "c", "doc", "x")
-    asking = own.select("h", "c").distinct().withColumn("bare", F.lit(True))
-    blocks = F.ceil(F.count("*").over(Window.partitionBy("h")) / TILE).cast("int")
-    dealt = first.join(asking, ["h", "c"], "left").withColumn("n", blocks).withColumn("block", F.pmod("c", F.col("n")).cast("int"))
+    # seeds with several blocks are a few: one of TILE places at most
+    blocks = first.groupBy("h").agg(F.ceil(F.count("*") / TILE).cast("int").alias("n")).where("n > 1")
+    dealt = first.join(F.broadcast(blocks), "h", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("block", F.pmod("c", F.col("n")).cast("int"))
     # with each block of the seed's places once
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = dealt.select("h", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "c", "doc", "x", F.col("bare").isNotNull().alias("bare"), "codes")
+    dealt = dealt.select("h", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "c", "doc", "x", "bare", "codes")
     tiles = dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "doc", "x")
     links = tiles.mapInArrow(tidy(compare), f"h long, c long, other {kind}, y int")
     return own.join(links, ["h", "c"]).select("doc", "other", "x", "y").union(bare.where("doc <> other").select("doc", "other", "x", "y"))
@@ -738,7 +844,7 @@ def _passages(docs: DataFrame, text: str, key: str, k: int, sample: int, gap: in
     matches = materialise(linked(seed_table(texts, "t", "d", k, sample, SIDE, HOT), OWNERS, AGREE, BETTER), "matches")
     found = materialise(_aligned(matches.where("h is null"), texts, gap, reach, min_words, similarity), "passages")
     places = matches.where("h is not null").select("h", "doc", "x")
-    more = _aligned(left_over(places, texts, found, min_words, similarity), texts, gap, reach, min_words, similarity)
+    more = _aligned(left_over(places, texts, found, reach, min_words, similarity), texts, gap, reach, min_words, similarity)
     return found.union(more).distinct()
 
 

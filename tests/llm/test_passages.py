@@ -1,5 +1,7 @@
 """Passages whose seeds stand in many other documents: no partner is lost among them."""
 
+import re
+
 import numpy as np
 
 from lodestone.llm import common, passages
@@ -63,3 +65,40 @@ def test_powers_go_with_a_task():
     common.give_back()
     assert len(common._powers) == len(common._inverse) == 1
     assert (common.powers_upto(1 << 17)[0] == powers).all()
+
+
+def test_likeness_by_bits():
+    rng = np.random.default_rng(9)
+    for n, words, need in ((1, 40, 32), (70, 40, 32), (900, 40, 33), (130, 7, 5), (130, 76, 61)):
+        own, said = rng.integers(0, 256, (150, 76)).astype(np.uint8), rng.random((n, 256)) < 0.75
+        said[:, 0] = False
+        want = [(i, j) for i in range(150) for j in np.flatnonzero(passages.likeness_of_pairs(np.repeat(own[i : i + 1], n, 0), said, words) >= need).tolist()]
+        got = passages.likeness_by_bits(own, said, words, need)
+        assert sorted(zip(*(x.tolist() for x in got), strict=True)) == want and (n < 100 or want)
+
+
+def test_links_that_go_on():
+    later, earlier, score = np.array([9, 9, 9, 7, 7, 9]), np.array([1, 2, 3, 1, 2, 4]), np.array([5, 8, 8, 4, 3, 2])
+    seen = []
+    kept = passages.enough_links(later, earlier, score, lambda links: seen.extend(links.tolist()) or later[links] == 9)
+    assert kept.tolist() == [1, 3, 4] and seen == [3, 1]
+
+
+def test_a_place_has_one_link(spark):
+    """A line that every document has in other surroundings: each later place goes on with one partner, not with all."""
+    rng = np.random.default_rng(10)
+    said = lambda n: [f"w{i}" for i in rng.integers(0, 50_000, n)]
+    line = said(60)
+    rows = [(d, " ".join(said(60) + line + said(60))) for d in range(50)]
+    texts = spark.createDataFrame(rows, "d long, t string")
+    at = {d: [m.start() for m in re.finditer(r"\S+", t)] for d, t in rows}
+    places = spark.createDataFrame([(7, d, at[d][90]) for d, _ in rows], "h long, doc long, x int")
+    none = spark.createDataFrame([], "doc long, start long, end long")
+    links = passages.left_over(places, texts, none, passages.REACH, 40, 0.8).collect()
+    assert sorted(r.doc for r in links) == list(range(1, 50))
+    # 40 words that agree are no more than must: all partners are looked at
+    rows = [(d, " ".join(said(60) + line[:40] + said(60))) for d in range(50)]
+    at = {d: [m.start() for m in re.finditer(r"\S+", t)] for d, t in rows}
+    places = spark.createDataFrame([(7, d, at[d][80]) for d, _ in rows], "h long, doc long, x int")
+    links = passages.left_over(places, spark.createDataFrame(rows, "d long, t string"), none, passages.REACH, 40, 0.8).collect()
+    assert len(links) > 1200 and {r.doc for r in links} == set(range(1, 50))
