@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
+from functools import cache
 from math import isqrt
 
 import numpy as np
@@ -49,6 +49,8 @@ EDGE = 32
 MIN_WORDS, SIMILARITY = 40, 0.8
 #: Chains of a pair of documents that ask for their texts in one row.
 TOGETHER = 64
+#: Matches of pairs that are chained at a time, unless one pair has more.
+MATCHES = 1 << 17
 #: Bytes of text that are hashed at a time.
 SLICE_BYTES = 1 << 20
 
@@ -126,8 +128,11 @@ class Words:
         chosen = whole & (_windows(least, LONG_WINDOW, np.maximum) == found)
         at = np.flatnonzero(chosen)
         # a line that a document repeats has its long seeds at its first place
-        _, first = np.unique(np.stack((self.text[at].astype(np.uint64), found[at])), axis=1, return_index=True)
-        at = at[np.sort(first)]
+        order = np.argsort(found[at], kind="stable")
+        said, of = found[at[order]], self.text[at[order]]
+        again = np.zeros(len(at), bool)
+        again[order[1:]] = (said[1:] == said[:-1]) & (of[1:] == of[:-1])
+        at = at[~again]
         return found[at], at
 
     def sketches(self, at: np.ndarray, k: int, side: int) -> np.ndarray:
@@ -185,17 +190,23 @@ def seed_table(docs: DataFrame, text: str, key: str, k: int, sample: int, side:
                 if not len(h):
                     continue
                 doc, x, sketch = words.text[at], words.start[at], words.sketches(at, k, side)
-                order = np.lexsort((x, doc, h))
-                new = np.concatenate(([True], np.diff(h[order]) != 0))
-                runs = new | np.concatenate(([True], np.diff(doc[order]) != 0))
+                # only seeds with more places can be in more documents: these are put in order
+                order = np.argsort(h)
+                places = np.diff(np.append(np.flatnonzero(np.diff(h[order], prepend=~h[order[:1]]) != 0), len(h)))
+                order = order[np.repeat(places > hot, places)]
+                order = order[np.lexsort((at[order], h[order]))]
+                new = np.diff(h[order], prepend=~h[order[:1]]) != 0
+                runs = new | (np.diff(doc[order], prepend=-1) != 0)
                 group = np.cumsum(new) - 1
                 many = (np.bincount(group, weights=runs) > hot)[group]
-                own = h[order].copy()
-                own[many] = mix(own[many] + np.uint64(number))
-                take = np.concatenate((order, order[many & new]))
-                common = np.concatenate((many, np.ones(len(take) - len(order), bool)))
-                g = pa.array(h[take].view(np.int64), mask=~common)
-                h = np.concatenate((own, h[order[many & new]]))
+                held, first = order[many], order[many & new]
+                take = np.concatenate((np.arange(len(h)), first))
+                alone = np.ones(len(take), bool)
+                alone[held] = alone[len(h) :] = False
+                g = pa.array(h[take].view(np.int64), mask=alone)
+                own = h.copy()
+                own[held] = mix(own[held] + np.uint64(number))
+                h = np.concatenate((own, h[first]))
                 number += 1
                 for i in range(0, len(h), 100_000):
                     some = take[i : i + 100_000]
@@ -413,19 +424,23 @@ def left_over(places: DataFrame, texts: DataFrame, found: DataFrame, reach: int,
                     span = np.searchsorted(first, key, "right") - 1
                     covered = (span >= 0) & (last[span] > key)
                 # a byte for each word, 0 where there is none
-                code = np.pad((words.hash >> np.uint64(32)) % np.uint64(255) + np.uint64(1), BESIDE + SEED_WORDS).astype(np.uint8)
-                text = np.pad(words.text, BESIDE + SEED_WORDS, constant_values=-1)
+                code = np.pad(((words.hash >> np.uint64(32)) % np.uint64(255) + np.uint64(1)).astype(np.uint8), BESIDE + SEED_WORDS)
+                rows_of = np.lib.stride_tricks.sliding_window_view(code, wide)
                 for i in range(0, len(key), 10_000):
-                    near = at[i : i + 10_000, None] + np.arange(SEED_WORDS, SEED_WORDS + wide)
                     own = row[i : i + 10_000]
-                    codes = np.where(text[near] == own[:, None], code[near], 0).astype(np.uint8)
+                    codes = rows_of[at[i : i + 10_000] + SEED_WORDS]
+                    # not those of the texts beside it
+                    front, back = at[i : i + 10_000] - words.bounds[own], words.bounds[own + 1] - at[i : i + 10_000]
+                    edge = np.flatnonzero((front < BESIDE) | (back < BESIDE + SEED_WORDS))
+                    place = np.arange(-BESIDE, BESIDE + SEED_WORDS)
+                    codes[edge] *= (place >= -front[edge, None]) & (place < back[edge, None])
                     # and the words before and behind that an alignment may reach
                     some = x[i : i + 10_000].astype(np.int64)
                     before = at[i : i + 10_000] - np.searchsorted(last_of, own << 32 | np.maximum(some - reach, 0), "right")
                     behind = np.searchsorted(first_of, own << 32 | some + 1 + reach) - at[i : i + 10_000]
                     codes = np.column_stack((codes, np.minimum(before, 255), np.minimum(behind, 255))).astype(np.uint8)
                     c = np.zeros(len(own), np.uint64)
-                    for column in codes.T:
+                    for column in np.pad(codes, ((0, 0), (0, -codes.shape[1] % 8))).view(np.uint64).T:  # eight bytes at a time
                         c = mix(c + column)
                     bare = ~covered[i : i + 10_000] & ((codes[:, core] > 0).sum(1) >= similarity * least)
                     data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(wide + 2), len(own), [None, pa.py_buffer(codes.tobytes())])
@@ -564,12 +579,17 @@ class Fenwick:
 
 def merge_runs(x: np.ndarray, y: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Join neighbours (in order of x) on one diagonal: start x, start y, end x, seeds of each run."""
-    order = np.lexsort((y, x))
+    return runs_of_pairs(np.zeros(len(x), np.int64), x, y, gap)[1:]
+
+
+def runs_of_pairs(of: np.ndarray, x: np.ndarray, y: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``merge_runs`` for the matches of many pairs, the numbers ``of`` which ascend, and each run's pair."""
+    order = np.lexsort((y, x, of))
     x, y = x[order], y[order]
-    new = np.concatenate(([True], (np.diff(x) != np.diff(y)) | (np.diff(x) > gap)))
+    new = np.concatenate(([True], (np.diff(of) != 0) | (np.diff(x) != np.diff(y)) | (np.diff(x) > gap)))
     first = np.flatnonzero(new)
     last = np.concatenate((first[1:], [len(x)])) - 1
-    return x[first], y[first], x[last] + 1, last - first + 1
+    return of[first], x[first], y[first], x[last] + 1, last - first + 1
 
 
 def chains(x: np.ndarray, y: np.ndarray, gap: int = GAP) -> list[tuple[int, int, int, int]]:
@@ -581,26 +601,30 @@ def chains(x: np.ndarray, y: np.ndarray, gap: int = GAP) -> list[tuple[int, int,
     Fenwick tree over y keeps these maxima while x ascends.  Chains are then taken greedily from the
     best score down, each with runs that no better one has.
     """
-    sx, sy, ex, size = merge_runs(x, y, gap)
+    return chains_of_runs(*merge_runs(x, y, gap), gap)
+
+
+def chains_of_runs(sx: np.ndarray, sy: np.ndarray, ex: np.ndarray, size: np.ndarray, gap: int) -> list[tuple[int, int, int, int]]:
+    """``chains`` of matches that are runs already."""
     ey = sy + (ex - sx)
     cost = 1.0 / (2 * gap)
     ranks = np.unique(ey)
-    upto = [bisect_left(ranks, int(v) + 1) for v in sy]
-    rank = np.searchsorted(ranks, ey) + 1
+    upto, rank = np.searchsorted(ranks, sy, "right").tolist(), (np.searchsorted(ranks, ey) + 1).tolist()
     starts, ends = np.argsort(sx, kind="stable").tolist(), np.argsort(ex, kind="stable").tolist()
-    tree, score, before, done = Fenwick(len(ranks)), np.zeros(len(sx)), np.full(len(sx), -1), 0
+    sx, sy, ex, ey, size = sx.tolist(), sy.tolist(), ex.tolist(), ey.tolist(), size.tolist()
+    tree, score, before, done = Fenwick(len(ranks)), [0.0] * len(sx), [-1] * len(sx), 0
     for i in starts:
         while done < len(ends) and ex[ends[done]] <= sx[i]:
             j = ends[done]
             if score[j] > 0:
-                tree.put(int(rank[j]), (float(score[j] + cost * (ex[j] + ey[j])), j))
+                tree.put(rank[j], (score[j] + cost * (ex[j] + ey[j]), j))
             done += 1
         best, j = tree.top(upto[i])
-        gain = best - cost * float(sx[i] + sy[i]) if j >= 0 else 0.0
+        gain = best - cost * (sx[i] + sy[i]) if j >= 0 else 0.0
         score[i] = size[i] + max(0.0, gain)
         before[i] = j if gain > 0 else -1
-    out, used = [], np.zeros(len(sx), bool)
-    for i in np.argsort(-score, kind="stable").tolist():
+    out, used = [], [False] * len(sx)
+    for i in sorted(range(len(sx)), key=score.__getitem__, reverse=True):
         if used[i]:
             continue
         j = last = i
@@ -608,24 +632,53 @@ def chains(x: np.ndarray, y: np.ndarray, gap: int = GAP) -> list[tuple[int, int,
             used[j] = True
             if before[j] < 0 or used[before[j]]:
                 break
-            j = int(before[j])
-        out.append((int(sx[j]), int(ex[last]), int(sy[j]), int(ey[last])))
+            j = before[j]
+        out.append((sx[j], ex[last], sy[j], ey[last]))
     return out
 
 
+def chains_of_pairs(of: np.ndarray, x: np.ndarray, y: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pair and chain (a row of four) of the ``chains`` of many pairs' matches, ascending; ``of`` ascends."""
+    of, sx, sy, ex, size = runs_of_pairs(of, x, y, gap)
+    first = np.flatnonzero(np.diff(of, prepend=-1))
+    runs = np.diff(np.append(first, len(of)))
+    # one run is one chain
+    alone = first[runs == 1]
+    pairs, found = [of[alone]], [np.stack((sx, ex, sy, sy + (ex - sx)), axis=1)[alone]]
+    for i, n in zip(first[runs > 1].tolist(), runs[runs > 1].tolist(), strict=True):
+        c = chains_of_runs(sx[i : i + n], sy[i : i + n], ex[i : i + n], size[i : i + n], gap)
+        pairs.append(np.full(len(c), of[i]))
+        found.append(np.array(c, np.int64))
+    pair, found = np.concatenate(pairs), np.concatenate(found)
+    order = np.lexsort((*found.T[::-1], pair))
+    return pair[order], found[order]
+
+
 def common_words(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence, by bit-parallel rows."""
+    """Length of the longest common subsequence, by bit-parallel rows; what both begin or end with is in it."""
     if len(a) > len(b):
         a, b = b, a
+    apart = np.flatnonzero(a != b[: len(a)])
+    head = int(apart[0]) if len(apart) else len(a)
+    a, b = a[head:], b[head:]
+    apart = np.flatnonzero(a != b[len(b) - len(a) :])
+    tail = len(a) - 1 - int(apart[-1]) if len(apart) else len(a)
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
     masks: dict[int, int] = {}
     for i, w in enumerate(a.tolist()):
         masks[w] = masks.get(w, 0) | 1 << i
     full = (1 << len(a)) - 1
     row = full
     for w in b.tolist():
-        hit = row & masks.get(w, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(a) - row.bit_count()
+        if w in masks:
+            hit = row & masks[w]
+            row = ((row + hit) | (row - hit)) & full
+    return head + tail + len(a) - row.bit_count()
+
+
+@cache
+def _steps(skip: int) -> list[tuple[int, int]]:
+    return sorted(((d, e) for d in range(skip + 1) for e in range(skip + 1) if d + e), key=sum)
 
 
 def extend(a: np.ndarray, b: np.ndarray, i: int, j: int, skip: int = 3) -> tuple[int, int]:
@@ -637,8 +690,9 @@ def extend(a: np.ndarray, b: np.ndarray, i: int, j: int, skip: int = 3) -> tuple
         i, j = i + n, j + n
         if i == len(a) or j == len(b):
             break
-        for d, e in sorted(((d, e) for d in range(skip + 1) for e in range(skip + 1) if d + e), key=sum):
-            if i + d + 1 < len(a) and j + e + 1 < len(b) and a[i + d] == b[j + e] and a[i + d + 1] == b[j + e + 1]:
+        x, y = a[i : i + skip + 2].tolist(), b[j : j + skip + 2].tolist()
+        for d, e in _steps(skip):
+            if d + 1 < len(x) and e + 1 < len(y) and x[d] == y[e] and x[d + 1] == y[e + 1]:
                 i, j = i + d, j + e
                 break
         else:
@@ -756,24 +810,31 @@ def align(wa: np.ndarray, wb: np.ndarray, i0: int, i1: int, j0: int, j1: int, mi
         if common >= similarity * words:
             return [(i0, i1, words, common)]
     # walking on may have stopped early, so all that was given is aligned
-    if np.isin(wa, wb).sum() < similarity * min_words or common_words(wa, wb) < similarity * min_words:
+    if sum(map(set(wb.tolist()).__contains__, wa.tolist())) < similarity * min_words or common_words(wa, wb) < similarity * min_words:
         return []
     return [(i, ii, max(ii - i, jj - j), n) for i, ii, j, jj, n in stretches(wa, wb, min_words, similarity)]
 
 
-def lists(of: list[np.ndarray]) -> pa.ListArray:
-    """A list for each array of numbers."""
-    ends = np.cumsum([0, *map(len, of)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(of).astype(np.int32)))
+def lists(values: np.ndarray, of: np.ndarray, n: int) -> pa.ListArray:
+    """A list of numbers for each of ``n`` rows; ``of`` has the row of each number and ascends."""
+    ends = np.searchsorted(of, np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.int32)))
 
 
 def merged(lo: np.ndarray, hi: np.ndarray, reach: int) -> np.ndarray:
     """``(at, to)`` of the stretches that spans ``lo..hi``, widened by ``reach``, cover; ascending and apart."""
-    order = np.argsort(lo, kind="stable")
-    at = np.maximum(lo[order].astype(np.int64) - reach, 0)
-    to = np.maximum.accumulate(hi[order].astype(np.int64) + reach)
+    return merged_of_rows(np.zeros(len(lo), np.int64), lo, hi, reach)[1]
+
+
+def merged_of_rows(of: np.ndarray, lo: np.ndarray, hi: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and ``merged`` stretches of the spans of many rows, the numbers ``of``."""
+    order = np.lexsort((lo, of))
+    row = of[order] << 40  # far more than a text has characters
+    at = np.maximum(lo[order].astype(np.int64) - reach, 0) + row
+    to = np.maximum.accumulate(hi[order].astype(np.int64) + reach + row)
     first = np.flatnonzero(np.concatenate(([True], at[1:] > to[:-1])))
-    return np.stack((at[first], to[np.append(first[1:], len(to)) - 1]), axis=1)
+    row = row[first]
+    return row >> 40, np.stack((at[first] - row, to[np.append(first[1:], len(to)) - 1] - row), axis=1)
 
 
 class Stretches:
@@ -783,18 +844,21 @@ class Stretches:
         texts, spans = rows.column("s"), rows.column("lo")
         words = Words(texts.flatten().cast(pa.string()))
         base = rows.column("at").flatten().to_numpy()[words.text]
-        self.hash, self.start, self.end, self.reach = words.hash, words.start + base, words.end + base, reach
-        self.lo, self.hi = (rows.column(c).flatten().to_numpy().astype(np.int64) for c in ("lo", "hi"))
+        self.hash, self.start, self.end = words.hash, words.start + base, words.end + base
+        lo, hi = (rows.column(c).flatten().to_numpy().astype(np.int64) for c in ("lo", "hi"))
         starts = texts.offsets.to_numpy()
-        self.words, self.chains = words.bounds[starts - starts[0]], spans.offsets.to_numpy() - spans.offsets[0].as_py()
+        of_words, self.chains = words.bounds[starts - starts[0]], spans.offsets.to_numpy() - spans.offsets[0].as_py()
+        # row and character in one number, so that all chains are looked up together
+        row = np.repeat(np.arange(len(texts)) << 40, np.diff(of_words))
+        own = np.repeat(np.arange(len(texts)) << 40, np.diff(self.chains))
+        i0, i1, end = (np.searchsorted(row + self.start, own + to) for to in (lo, hi, hi + reach))
+        begin, end = np.searchsorted(row + self.end, own + (lo - reach), "right"), np.maximum(end, i0 + 1)
+        self.bounds = np.stack((begin, end, i0 - begin, np.minimum(np.maximum(i0 + 1, i1), end) - begin), axis=1).tolist()
 
     def around(self, row: int, chain: int) -> tuple[np.ndarray, int, int, int]:
         """Hashes of the words up to ``reach`` characters around a row's chain, its words ``i0:i1`` among them, and the first one's number."""
-        lo, hi = int(self.lo[self.chains[row] + chain]), int(self.hi[self.chains[row] + chain])
-        own, last = int(self.words[row]), int(self.words[row + 1])
-        i0, i1, end = (np.searchsorted(self.start[own:last], (lo, hi, hi + self.reach)) + own).tolist()
-        begin, end = own + int(np.searchsorted(self.end[own:last], lo - self.reach, "right")), max(end, i0 + 1)
-        return self.hash[begin:end], i0 - begin, min(max(i0 + 1, i1), end) - begin, begin
+        begin, end, i0, i1 = self.bounds[self.chains[row] + chain]
+        return self.hash[begin:end], i0, i1, begin
 
 
 def find_passages(docs: DataFrame, text: str = "text", key: str = "doc_id", k: int = SEED_WORDS, sample: int = SAMPLE, gap: int = GAP, reach: int = REACH, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -858,21 +922,28 @@ def _aligned(matches: DataFrame, texts: DataFrame, gap: int, reach: int, min_wor
 
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            rows, found = [], []
-            for r, m in enumerate(batch.column(2)):
-                x, y = (m.values.field(i).to_numpy().astype(np.int64) for i in range(2))
-                c = np.array(sorted(chains(x, y, gap)) if len(x) > 1 else [(int(x[0]), int(x[0]) + 1, int(y[0]), int(y[0]) + 1)], np.int32)
-                for i in range(0, len(c), TOGETHER):
-                    rows.append(r)
-                    found.append(c[i : i + TOGETHER])
-            if rows:
-                take = pa.array(rows)
-                pair = pa.array(np.arange(number, number + len(rows)))
-                number += len(rows)
+            if not batch.num_rows:
+                continue
+            m = batch.column(2)
+            ends = m.offsets.to_numpy().astype(np.int64) - m.offsets[0].as_py()
+            xs, ys = (pc.list_flatten(m).field(i).to_numpy() for i in range(2))
+            start = 0
+            while start < batch.num_rows:
+                end = max(start + 1, int(np.searchsorted(ends, ends[start] + MATCHES, "right")) - 1)
+                some = slice(int(ends[start]), int(ends[end]))
+                of, c = chains_of_pairs(np.repeat(np.arange(start, end), np.diff(ends[start : end + 1])), xs[some].astype(np.int64), ys[some].astype(np.int64), gap)
+                start = end
+                # of each pair TOGETHER chains a row
+                new = np.diff(of, prepend=-1) != 0
+                new |= (np.arange(len(of)) - np.maximum.accumulate(np.where(new, np.arange(len(of)), 0))) % TOGETHER == 0
+                row, take = np.cumsum(new) - 1, pa.array(of[new])
+                pair = pa.array(np.arange(number, number + len(take)))
+                number += len(take)
                 for side, at in ((0, 0), (1, 2)):
-                    windows = [merged(c[:, at], c[:, at + 1], reach + EDGE) for c in found]
-                    cols = [lists([w[:, i] for w in windows]) for i in range(2)] + [lists([c[:, at + i] for c in found]) for i in range(2)]
-                    yield pa.RecordBatch.from_arrays([pair, pa.array(np.full(len(rows), side, np.int32)), batch.column(side).take(take), *cols], names=["pair", "side", "d", "at", "to", "lo", "hi"])
+                    lo, hi = c[:, at], c[:, at + 1]
+                    near, windows = merged_of_rows(row, lo, hi, reach + EDGE)
+                    cols = [lists(w, near, len(take)) for w in windows.T] + [lists(w, row, len(take)) for w in (lo, hi)]
+                    yield pa.RecordBatch.from_arrays([pair, pa.array(np.full(len(take), side, np.int32)), batch.column(side).take(take), *cols], names=["pair", "side", "d", "at", "to", "lo", "hi"])
 
     pairs = matches.groupBy("doc", "other").agg(F.collect_list(F.struct("x", "y")).alias("m"))
     asked = materialise(pairs.mapInArrow(tidy(chain), f"pair long, side int, d {kind}, at array<int>, to array<int>, lo array<int>, hi array<int>"), "chains")

@@ -1,8 +1,10 @@
 """Passages whose seeds stand in many other documents: no partner is lost among them."""
 
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 
 from lodestone.llm import common, passages
 
@@ -102,3 +104,59 @@ def test_a_place_has_one_link(spark):
     places = spark.createDataFrame([(7, d, at[d][80]) for d, _ in rows], "h long, doc long, x int")
     links = passages.left_over(places, spark.createDataFrame(rows, "d long, t string"), none, passages.REACH, 40, 0.8).collect()
     assert len(links) > 1200 and {r.doc for r in links} == set(range(1, 50))
+
+
+def test_common_words_of_long_equal_texts():
+    """What both sequences begin or end with costs no rows of as many bits as they have words."""
+    a = np.arange(200_000) * 7
+    b = np.delete(a, 100_000)
+    b[100_050] = -1
+    before = time.process_time()
+    assert passages.common_words(a, b) == passages.common_words(b, a) == 199_998
+    assert passages.common_words(a, a) == 200_000 and passages.common_words(a[:0], a) == 0
+    assert time.process_time() - before < 2
+    rng = np.random.default_rng(11)
+    for _ in range(300):
+        a, b = rng.integers(0, 4, rng.integers(0, 12)), rng.integers(0, 4, rng.integers(0, 12))
+        row = [0] * (len(b) + 1)
+        for x in a.tolist():
+            row, last = [0], row
+            for j, y in enumerate(b.tolist()):
+                row.append(max(last[j] + 1 if x == y else 0, last[j + 1], row[j]))
+        assert passages.common_words(a, b) == row[-1]
+
+
+def test_chains_of_many_pairs():
+    """The chains of many pairs together are those of each pair alone, and so are the stretches around them."""
+    rng = np.random.default_rng(12)
+    of = np.sort(rng.integers(0, 400, 1500))
+    x = rng.integers(0, 3000, 1500)
+    y = x + rng.integers(-2, 3, 1500) * rng.integers(0, 200, 1500).clip(150) + 1000
+    pair, found = passages.chains_of_pairs(of, x, y, passages.GAP)
+    want = [(i, *c) for i in np.unique(of).tolist() for c in sorted(passages.chains(x[of == i], y[of == i]))]
+    assert [(i, *c) for i, c in zip(pair.tolist(), found.tolist(), strict=True)] == want and len(want) > len(np.unique(of))
+    for lo, hi in ((found[:, 0], found[:, 1]), (found[:, 2], found[:, 3])):
+        row, windows = passages.merged_of_rows(pair, lo, hi, 272)
+        assert [windows[row == i].tolist() for i in np.unique(pair)] == [passages.merged(lo[pair == i], hi[pair == i], 272).tolist() for i in np.unique(pair)]
+
+
+def test_words_around_chains():
+    """Chains looked up together: the words that touch the stretch, also before the first and behind the last text's end."""
+    rng = np.random.default_rng(13)
+    pieces = [[" ".join("x" * n for n in rng.integers(1, 9, m)) for m in rng.integers(1, 40, k)] for k in (2, 1, 3)]
+    at = [np.cumsum([7, *(len(p) + 50 for p in row[:-1])]).tolist() for row in pieces]
+    spans = [sorted((b + int(i), b + int(i) + 3) for b, p in zip(bases, row, strict=True) for i in rng.integers(0, len(p), 3)) for bases, row in zip(at, pieces, strict=True)]
+    spans[0].append((5000, 5001))
+    rows = pa.RecordBatch.from_pydict({"s": pieces, "at": at, "lo": [[s[0] for s in r] for r in spans], "hi": [[s[1] for s in r] for r in spans]})
+    got = passages.Stretches(rows, 20)
+    first = 0
+    for r, (bases, row) in enumerate(zip(at, pieces, strict=True)):
+        words = [(b + m.start(), b + m.end()) for b, p in zip(bases, row, strict=True) for m in re.finditer(r"\S+", p)]
+        for c, (lo, hi) in enumerate(spans[r]):
+            begin = sum(e <= lo - 20 for _, e in words)
+            i0, i1, end = (sum(s < to for s, _ in words) for to in (lo, hi, hi + 20))
+            end = max(end, i0 + 1)
+            near, a, b, at_word = got.around(r, c)
+            assert (a, b, at_word) == (i0 - begin, min(max(i0 + 1, i1), end) - begin, first + begin)
+            assert near.tolist() == got.hash[first + begin : first + end].tolist()
+        first += len(words)
