@@ -87,14 +87,14 @@ def fit(unit: DataFrame, cells: int, dim: int, rounds: int = ROUNDS) -> np.ndarr
 
 
 def _dealt(rows: DataFrame, centroids: np.ndarray, probes: int) -> DataFrame:
-    """Rows ``id, n, e, some`` with each of their ``probes`` nearest cells."""
+    """Rows ``id, n, e, some`` with each of their ``probes`` nearest cells; ``at`` counts from the nearest, also when all are asked for."""
     dim = centroids.shape[1] if len(centroids) else 0
     probes = min(probes, len(centroids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = _matrix(batch.column(batch.schema.get_field_index("e")), dim) @ centroids.T
-            best = np.argsort(-near, axis=1, kind="stable")[:, :probes] if probes < len(centroids) else np.broadcast_to(np.arange(probes), near.shape)
+            best = np.argsort(-near, axis=1, kind="stable")[:, :probes]
             yield pa.RecordBatch.from_arrays([pa.array(best.astype(np.int32).tolist(), pa.list_(pa.int32())), *batch.columns], names=["cells", *batch.schema.names])
 
     kind = rows.schema["id"].dataType.simpleString()

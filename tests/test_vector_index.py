@@ -84,3 +84,13 @@ def test_probed_recall_on_the_table(spark, sf_dir):
     assert 8 < probes <= 16
     assert vector_index.recall(vector_index.search(index, asked(v), 10, probes - 1), truth) < 0.95 <= vector_index.recall(vector_index.search(index, asked(v), 10, probes), truth)
     assert vector_index.looked_at(index, asked(v), 8) < 0.8
+
+
+def test_probes_are_counted_from_the_nearest_cell(spark):
+    """Eight points, four copies each, a cell for each point: one probe finds all copies, whatever the cell's number."""
+    rows = [(i, [float(i % 8 == d) for d in range(8)]) for i in range(32)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    index = vector_index.build(v, 8)
+    queries = v.where("vec_id < 8").withColumnRenamed("vec_id", "query_id")
+    assert vector_index.probes_for(index, queries, 4, 0.95) == 1
+    assert vector_index.recall(vector_index.search(index, queries, 4, 1), vector_index.search(index, queries, 4, 8)) == 1.0
