@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from ..functions.ids import entity_id
+from ..shared import tidy
 from .extract import mentions
 
 #: Triples of a document at most, for sequence numbers of edges.
@@ -78,11 +79,12 @@ def resequenced(edges: DataFrame, buckets: int = 1024) -> DataFrame:
     ends = edges.groupBy("tenant").agg(F.min("seq").alias("lo"), F.max("seq").alias("hi"))
     # doubles round, but never change the order of two numbers
     width = F.greatest(F.ceil((F.col("hi") - F.col("lo") + 1).cast("double") / buckets), F.lit(1)).cast("double")
-    dealt = edges.join(ends, "tenant").withColumn("bucket", F.floor((F.col("seq") - F.col("lo")).cast("double") / width).cast("int")).drop("lo", "hi")
+    dealt = edges.join(ends, "tenant", "left").withColumn("bucket", F.floor((F.col("seq") - F.col("lo")).cast("double") / width).cast("int")).drop("lo", "hi")
     sizes = dealt.groupBy("tenant", "bucket").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("tenant").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     inside = F.row_number().over(W.partitionBy("tenant", "bucket").orderBy("seq", *(c for c in ("src", "relation", "dst") if c in edges.columns))) - 1
-    out = dealt.withColumn("inside", inside).join(sizes.select("tenant", "bucket", before.alias("base")), ["tenant", "bucket"])
+    # all edges have their range: left joins leave Spark free to skip the numbers where nobody reads them
+    out = dealt.withColumn("inside", inside).join(sizes.select("tenant", "bucket", before.alias("base")), ["tenant", "bucket"], "left")
     return out.withColumn("seq", F.col("base") + F.col("inside")).select(*edges.columns)
 
 
@@ -236,8 +238,10 @@ class Store:
         n = max(self._numbers(), default=0) + 1
         while not self._claim(f"{self.path}/snap={n}/_CLAIMED"):
             n += 1
-        for name in ("edges", "entity_docs", "entities"):  # entities last: their marker shows a whole snapshot
-            getattr(graph, name).write.partitionBy("tenant").parquet(f"{self.path}/snap={n}/{name}")
+        # rows go to the files of two tenants as they come; only those of further ones are sorted first
+        with tidy(self.spark, spark__sql__maxConcurrentOutputFileWriters="2"):
+            for name in ("edges", "entity_docs", "entities"):  # entities last: their marker shows a whole snapshot
+                getattr(graph, name).write.option("compression", "zstd").partitionBy("tenant").parquet(f"{self.path}/snap={n}/{name}")
         return n
 
     def last(self) -> int:

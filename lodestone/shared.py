@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,16 +39,33 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, what: str = "cut") -> DataFrame:
-    """Write to the shared folder and read back: short lineage that survives lost executors.
+@contextlib.contextmanager
+def tidy(spark: SparkSession, **more: str) -> Iterator[None]:
+    """While it holds, Spark may delete the shuffle files of a write when all is written, as nothing reads them again.
 
-    When all is written, Spark may delete the shuffle files that the write has made, as nothing reads them again.
+    ``more`` are other settings for the while, their dots written as two underscores.
     """
-    spark = df.sparkSession
-    path, before = new_folder(spark, what), spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    wanted = {CLEANUP: "true"} | {k.replace("__", "."): v for k, v in more.items()}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
-        df.write.parquet(path)
+        yield
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def cut(df: DataFrame, what: str = "cut", path: str | None = None, **options: str) -> DataFrame:
+    """Write to the shared folder (to ``path``, a new one by default) and read back: short lineage that survives lost executors."""
+    spark = df.sparkSession
+    path = path or new_folder(spark, what)
+    with tidy(spark):
+        df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``new_folder`` named, when nothing reads it any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
