@@ -2,8 +2,13 @@
 
 A row holds what an entity (or a document's part) has for a whole block of queries, as one array, so the
 number of rows does not grow with entities times queries.  A tile asks for the sources of its edges once,
-however many edges start there.  Targets with very many edges are summed piece by piece before their tile
-is worked on; a source with very many edges is one row in each tile.
+however many edges start there.  Targets with very many edges are summed apart before their tile is worked on, in
+pieces by the tile of the source, so a source is one row there, whatever it names; a source with very many edges is one
+row in each tile.
+
+Documents are summed only where they can be among the best: entities have a highest score of all queries, a document
+the sum of those as its bound, and the documents of the highest bounds give each query ``k`` scores that others must
+reach.
 """
 
 from __future__ import annotations
@@ -14,6 +19,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..functions.vectors import best_places, embedding_arrays
 from ..shared import cut
@@ -25,13 +31,20 @@ PART = ["tenant", "block", "part", "salt"]
 
 @dataclass(frozen=True)
 class Tiling:
-    """About how many entities and edges a tile has, from how many edges on a target is summed apart, and queries of a block."""
+    """About how many entities and edges a tile has, from how many edges on a target is summed apart, and queries of a block.
+
+    ``first`` documents of a tenant are summed to know what others must reach; ``heavy`` entities at most, over all tenants,
+    have their own bound, the rest one in common; a list of up to ``listed`` documents goes to all tasks.
+    """
 
     rows: int = 4096
     edges: int = 32_768
     hot: int = 8192
     block: int = 128
     slots: int = 16
+    first: int = 1024
+    heavy: int = 65_536
+    listed: int = 1 << 20
 
 
 def _parts(rows: DataFrame, most: int) -> DataFrame:
@@ -180,8 +193,7 @@ def entity_scores(plans: DataFrame, entities: DataFrame, edges: DataFrame, layer
     own = scored.where("kind = 0").select("tenant", "block", F.col("tile").alias("part"), F.lit(0).cast("long").alias("salt"), F.lit(OWN).alias("kind"), F.col("entity_id").alias("a"), F.lit(0).cast("long").alias("b"), F.col("raw").alias("v"))
     rows = rows.unionByName(own)
     if not hot.isEmpty():
-        salts = F.ceil(F.col("n") / tiling.hot)
-        pieces = links.join(hot, ["tenant", "dst"]).select("tenant", F.col("dst").alias("part"), F.pmod(F.xxhash64("src"), salts).alias("salt"), "src", "dst", "v")
+        pieces = links.join(hot, ["tenant", "dst"]).join(tiles, "tenant").select("tenant", _place("src").alias("part"), F.lit(0).cast("long").alias("salt"), "src", "dst", "v")
         sums = _summed(_rows(asked, scored, pieces, pieces.select("tenant", "part", "salt").distinct()), layer, weights.temperature, eta, kind)
         sums = sums.join(tiles, "tenant").select("tenant", "block", _place("dst").alias("part"), F.lit(0).cast("long").alias("salt"), F.lit(SUMMED).alias("kind"), F.col("dst").alias("a"), F.lit(0).cast("long").alias("b"), F.col("m").alias("v"))
         rows = rows.unionByName(sums)
@@ -212,14 +224,54 @@ def entity_scores(plans: DataFrame, entities: DataFrame, edges: DataFrame, layer
     return rows.groupBy(*PART).applyInPandas(run, f"tenant {kind}, block long, entity_id long, s array<double>"), asked
 
 
+def _bounds(scores: DataFrame, bridge: DataFrame, tiling: Tiling) -> DataFrame:
+    """``(tenant, doc_id, bound)``: what no score of a document exceeds, for any query.
+
+    Entities of the highest scores count with their own, all others with the highest among them.
+    """
+    tenants = scores.select("tenant").distinct().count()
+    most = tiling.heavy // max(tenants, 1)
+    few = F.broadcast if tenants <= tiling.heavy else lambda df: df  # a row a tenant, and ``heavy`` ones
+    highest = scores.select("tenant", "entity_id", F.array_max("s").alias("u")).groupBy("tenant", "entity_id").agg(F.max("u").alias("u"))
+    ranked = highest.withColumn("r", F.row_number().over(W.partitionBy("tenant").orderBy(F.desc("u"), "entity_id"))).where(F.col("r") <= most + 1)
+    ranked = cut(ranked)
+    heavy, rest = ranked.where(F.col("r") <= most).drop("r"), ranked.where(F.col("r") == most + 1).select("tenant", F.col("u").alias("rest"))
+    both = bridge.join(few(heavy), ["tenant", "entity_id"], "left").join(few(rest), "tenant", "left")
+    return both.groupBy("tenant", "doc_id").agg(F.sum(F.coalesce("u", "rest", F.lit(0.0))).alias("bound"))
+
+
+def _able(scores: DataFrame, asked: DataFrame, bridge: DataFrame, k: int, tiling: Tiling) -> DataFrame:
+    """The rows of the bridge whose document can be among the best ``k`` of a query, at least those."""
+    bounds = cut(_bounds(scores, bridge, tiling))
+    order = F.row_number().over(W.partitionBy("tenant").orderBy(F.desc("bound"), "doc_id"))
+    first = cut(bounds.withColumn("r", order).where(F.col("r") <= max(tiling.first, k)).select("tenant", "doc_id"))
+    found = _best(scores, asked, cut(bridge.join(F.broadcast(first) if first.count() <= tiling.listed else first, ["tenant", "doc_id"], "left_semi")), k, tiling)
+    rank = F.row_number().over(W.partitionBy("tenant", "block", "slot").orderBy(F.desc("score"), "doc_id"))
+    least = found.withColumn("r", rank).where(F.col("r") == k).select("tenant", "block", "slot", "score")
+    least = asked.select("tenant", "block", "slot").join(least, ["tenant", "block", "slot"], "left")
+    least = least.groupBy("tenant").agg(F.min(F.coalesce("score", F.lit(float("-inf")))).alias("least"))
+    able = cut(bounds.join(least, "tenant").where(F.col("bound") >= F.col("least") - 2e-6).select("tenant", "doc_id"))  # scores are rounded
+    n = able.count()
+    if 2 * n >= bounds.count():
+        return bridge
+    return cut(bridge.join(F.broadcast(able) if n <= tiling.listed else able, ["tenant", "doc_id"], "left_semi"))
+
+
 def document_scores(scores: DataFrame, asked: DataFrame, entity_docs: DataFrame, k: int, tiling: Tiling) -> DataFrame:
-    """``(tenant, query_id, doc_id, score)``: sums over a document's entities, of each part of the documents the best ``k`` a query."""
-    bridge = entity_docs.select("tenant", "entity_id", "doc_id")
+    """``(tenant, query_id, doc_id, score)``: sums over a document's entities, the best ``k`` a query at least."""
+    k = max(k, 1)
+    scores, bridge = cut(scores), entity_docs.select("tenant", "entity_id", "doc_id")
+    best = _best(scores, asked, _able(scores, asked, bridge, k, tiling), k, tiling)
+    return best.join(asked.select("tenant", "block", "slot", "query_id"), ["tenant", "block", "slot"]).select("tenant", "query_id", "doc_id", "score")
+
+
+def _best(scores: DataFrame, asked: DataFrame, bridge: DataFrame, k: int, tiling: Tiling) -> DataFrame:
+    """``(tenant, block, slot, doc_id, score)``: sums over the entities of a document, of each part of the documents the best ``k``."""
+    kind = bridge.schema["doc_id"].dataType.simpleString()
     bridge = bridge.join(_parts(bridge, tiling.edges), "tenant").select("tenant", _place("doc_id").alias("part"), "entity_id", "doc_id")
     wanted = bridge.select("tenant", "part", "entity_id").distinct()
     right = _fresh(wanted.join(scores, ["tenant", "entity_id"])).select("tenant", "block", "part", "entity_id", "s")
     left = bridge.join(asked.select("tenant", "block").distinct(), "tenant")
-    kinds = [(n, s.schema[n].dataType.simpleString()) for n, s in (("tenant", scores), ("doc_id", entity_docs))]
 
     def run(pairs: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         known = known.sort_values("entity_id")
@@ -237,13 +289,11 @@ def document_scores(scores: DataFrame, asked: DataFrame, entity_docs: DataFrame,
         codes, out = doc[starts], []
         for slot in range(s.shape[1]):
             total = np.round(np.add.reduceat(s[at, slot], starts), 6)
-            best = best_places(total, codes, max(k, 1))
+            best = best_places(total, codes, k)
             out.append(pd.DataFrame({"slot": slot, "doc_id": names[codes[best]], "score": total[best]}))
         found = pd.concat(out)
         found["block"], found["tenant"] = pairs["block"].iloc[0], [pairs["tenant"].iloc[0]] * len(found)
         return found[["tenant", "block", "slot", "doc_id", "score"]]
 
     by = ["tenant", "block", "part"]
-    types = dict(kinds)
-    best = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(run, f"tenant {types['tenant']}, block long, slot int, doc_id {types['doc_id']}, score double")
-    return best.join(asked.select("tenant", "block", "slot", "query_id"), ["tenant", "block", "slot"]).select("tenant", "query_id", "doc_id", "score")
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(run, f"tenant {scores.schema['tenant'].dataType.simpleString()}, block long, slot int, doc_id {kind}, score double")

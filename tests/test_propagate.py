@@ -110,3 +110,41 @@ def test_rows_do_not_grow_with_queries(spark, monkeypatch):
         reader.propagated(queries.where(F.col("query_id") < many), g, LAYER).collect()
         scored = next(df for df in seen if "mass" in df.columns and "entity_id" in df.columns)
         assert scored.where("kind = 0").count() == 12
+
+
+def shuffled(spark):
+    """Bytes that shuffles have written so far."""
+    found = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+@pytest.mark.parametrize("case", ["sizes differ", "all alike", "fewer than k"])
+def test_documents_that_cannot_rank_are_not_summed(spark, case):
+    """Scores meet only the documents whose bound reaches what others have; the best are those of all sums."""
+    from lodestone.operators import propagate
+
+    rng = np.random.default_rng(7)
+    n, slots, k, docs = 1500, 96, 5, 4 if case == "fewer than k" else 2500
+    s = rng.uniform(0.38, 0.42, (n, slots)) if case != "all alike" else np.full((n, slots), 0.25)
+    s[rng.integers(0, n, 300), rng.integers(0, slots, 300)] += 0.5  # matches
+    sizes = rng.integers(2, 7, docs) if case == "sizes differ" else np.full(docs, 4)
+    if case == "sizes differ":
+        sizes[::100] = 60
+    names = [rng.choice(n, m, replace=False) for m in sizes]
+    scores = spark.createDataFrame([(0, 0, i, s[i].tolist()) for i in range(n)], "tenant long, block long, entity_id long, s array<double>")
+    asked = spark.createDataFrame([(0, 0, i, 100 + i, [0.0]) for i in range(slots)], "tenant long, block long, slot int, query_id long, v array<double>")
+    bridge = spark.createDataFrame([(0, int(e), d) for d, es in enumerate(names) for e in es] + [(0, n + 5, 1)], BRIDGE)
+    tiling = Tiling(edges=1000, first=30, heavy=200)
+    before = shuffled(spark)
+    out = propagate.document_scores(scores, asked, bridge, k, tiling).collect()
+    moved = shuffled(spark) - before
+    best = {}
+    for r in out:
+        best.setdefault(r.query_id, []).append((-r.score, r.doc_id))
+    sums = np.round(np.array([s[es].sum(0) for es in names]), 6)
+    for q in range(slots):
+        want = sorted((-x, d) for d, x in enumerate(sums[:, q]))[:k]
+        got = sorted(best[100 + q])[:k]
+        assert [d for _, d in got] == [d for _, d in want] and np.allclose([x for x, _ in got], [x for x, _ in want], atol=1e-6)
+    if case == "sizes differ":
+        assert moved < 3_000_000  # the scores of a document's part alone are 1 MB
