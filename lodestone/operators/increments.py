@@ -2,7 +2,8 @@
 
 Every batch writes its own entities, pairs of entity and document, and edges, and nothing else is read or
 rewritten for it.  A reader gathers the deltas, which are small, and joins them to the base in its buckets: the
-base is never shuffled.  Compaction writes the merged tables as a new base.  (A union of bucketed tables would
+base is never shuffled, and neither are the pairs of a single delta.  Edges, which nothing is joined to, are written as
+they come.  Compaction writes the merged tables as a new base.  (A union of bucketed tables would
 look simpler, but Spark 4.1 then aggregates partitions that do not hold the same buckets.)
 
 A version is a small JSON file that lists its tables, oldest first.  A writer claims the next number by
@@ -20,11 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .extract import mentions
-from .store import Graph, bridge, edges_of, merge_entities
+from ..shared import cut, drop, tidy
+from .store import Graph, ingest
 
-#: How each kind is bucketed.  An entity with a third of all documents or edges has them in all buckets.
-KEYS = {"entities": ["tenant", "entity_id"], "entity_docs": ["tenant", "entity_id", "doc_id"], "edges": ["tenant", "src", "seq"]}
+#: How each kind is bucketed, if it is.  An entity with a third of all documents has them in all buckets.
+KEYS = {"entities": ["tenant", "entity_id"], "entity_docs": ["tenant", "entity_id", "doc_id"], "edges": []}
+#: Rows that are dealt into buckets at once: what their shuffle takes of the disk does not grow with a batch.
+PASS_ROWS = 1 << 26
 
 
 class GrowingStore:
@@ -76,14 +79,27 @@ class GrowingStore:
         """Write tables that nobody lists yet; each bucket is one sorted file."""
         name, schemas = uuid.uuid4().hex, {}
         for kind, keys in KEYS.items():
-            df = getattr(graph, kind)
-            table = f"growing_{name}_{kind}"
-            rows = df.repartition(self.buckets, *keys)
-            rows.write.bucketBy(self.buckets, *keys).sortBy(*keys).option("path", f"{self.path}/tables/{name}/{kind}").saveAsTable(table)
-            self.spark.sql(f"DROP TABLE {table}")  # the files stay
+            df, where = getattr(graph, kind), f"{self.path}/tables/{name}/{kind}"
+            if keys:
+                self._deal(df, keys, where)
+            else:
+                cut(df, kind, where, compression="zstd")
             schemas[kind] = json.loads(df.schema.json())
         return {"name": name, "schemas": schemas}
 
+    def _deal(self, df: DataFrame, keys: list[str], where: str) -> None:
+        """Write the buckets of a table, some of them at a time if it has many rows."""
+        rows, table = cut(df, "rows", f"{where}-rows", compression="zstd"), f"growing_{uuid.uuid4().hex}"
+        passes = min(-(-rows.count() // PASS_ROWS) or 1, self.buckets)
+        bucket = F.pmod(F.hash(*keys), F.lit(self.buckets))  # as Spark numbers them
+        with tidy(self.spark):
+            for i in range(passes):
+                some = rows if passes == 1 else rows.where(bucket % passes == i)
+                dealt = some.repartition(self.buckets, *keys).write.mode("append").option("compression", "zstd")
+                dealt.bucketBy(self.buckets, *keys).sortBy(*keys).option("path", where).saveAsTable(table)
+        self.spark.sql(f"DROP TABLE {table}")  # the files stay
+        drop(self.spark, f"{where}-rows")
+
     def _plain(self, batch: dict, kind: str) -> DataFrame:
         """A table as its files, without their buckets."""
         return self.spark.read.schema(T.StructType.fromJson(batch["schemas"][kind])).parquet(f"{self.path}/tables/{batch['name']}/{kind}")
@@ -102,12 +118,15 @@ class GrowingStore:
     # what users call --------------------------------------------------------------------------------------------
 
     def append(self, triples: DataFrame, most_deltas: int = 32) -> int:
-        """Add a batch of clean triples; returns the version.  Only the batch is read.
+        """Add a batch of clean triples; returns the version.  Only the batch is read."""
+        return self.add(ingest(triples), most_deltas)
+
+    def add(self, graph: Graph, most_deltas: int = 32) -> int:
+        """Add a batch that is a graph already, each pair once; returns the version.
 
         More than ``most_deltas`` tables beside the base are merged into a new one.
         """
-        seen = mentions(triples)
-        batch = self._write(Graph(merge_entities(seen), edges_of(triples), bridge(seen)))
+        batch = self._write(graph)
         version = self._commit(lambda batches: [*batches, batch])
         return self.compact() if len(self._listed(version)[1]["batches"]) > most_deltas + 1 else version
 
@@ -133,7 +152,9 @@ class GrowingStore:
         later = gathered("entities").groupBy(*key).agg(F.min_by(F.struct("name", "etype"), "batch").alias("b"))
         first = self._bucketed(base, "entities").select(*key, F.struct("name", "etype").alias("a"))
         entities = first.join(later, key, "full").select(*key, F.coalesce("a", "b").alias("a")).select(*key, "a.name", "a.etype")
-        pairs = gathered("entity_docs").drop("batch").distinct().join(self._bucketed(base, "entity_docs"), KEYS["entity_docs"], "left_anti")
+        # pairs of one delta are distinct and have the buckets of the base
+        new = self._bucketed(deltas[0], "entity_docs") if len(deltas) == 1 else gathered("entity_docs").drop("batch").distinct()
+        pairs = new.join(self._bucketed(base, "entity_docs"), KEYS["entity_docs"], "left_anti")
         return Graph(entities, self._plain(base, "edges").unionByName(gathered("edges").drop("batch")), self._plain(base, "entity_docs").unionByName(pairs))
 
     def compact(self) -> int:

@@ -1,5 +1,6 @@
 """A growing store against one merge; ids of 64 bits."""
 
+import os
 import re
 from decimal import Decimal
 
@@ -123,3 +124,39 @@ def test_cli_batch_with_large_ids(spark, tmp_path):
     done = cli.batch(spark, str(tmp_path / "d.jsonl"), str(tmp_path / "r.jsonl"))
     assert done.totals.first().docs_ingested == 1
     assert cli.sampled(done.graph, files.read_samples(spark, str(tmp_path / "s.json")), 1).first().recall == 1.0
+
+
+def test_buckets_in_passes_and_one_delta_without_shuffles(spark, tmp_path, monkeypatch, request):
+    """A large batch is dealt into some buckets at a time, each still one file; pairs of one delta meet the base where they are."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
+    monkeypatch.setattr(increments, "PASS_ROWS", 9)
+    many = lambda low, high: spark.range(low, high).selectExpr("0L tenant", "id % 40 doc_id", "int(id) triple_idx", "concat('n', id % 23) src", "'knows' rel", "concat('N', id % 31) dst")
+    one, two = many(0, 60), many(50, 140)
+    growing = increments.GrowingStore(spark, str(tmp_path / "g"), 8)
+    growing.append(one)
+    growing.add(store.ingest(two))
+    tables = tmp_path / "g" / "tables"
+    assert sorted(p.name for p in next(tables.iterdir()).iterdir()) == ["edges", "entities", "entity_docs"]
+    for kind in ("entities", "entity_docs"):
+        for batch in tables.iterdir():
+            found = [int(re.search(r"_(\d{5})\.", p.name)[1]) for p in (batch / kind).glob("*.parquet")]
+            assert len(found) == len(set(found)) and set(found) <= set(range(8))
+    g = growing.graph()
+    both = store.ingest(two, store.ingest(one))
+    assert rows(g) == rows(both)
+    assert "Exchange" not in plan(g.entity_docs)
+    # a third batch: deltas are gathered
+    growing.append(many(100, 170))
+    assert rows(growing.graph()) == rows(store.ingest(many(100, 170), both))
+
+
+def test_a_batch_leaves_no_shuffle_files(spark, tmp_path):
+    def shuffled():
+        where = spark.sparkContext.getConf().get("spark.local.dir")
+        return {f for _, _, fs in os.walk(where) for f in fs if f.startswith("shuffle_")}
+
+    triples = spark.createDataFrame(FIRST * 50, SCHEMA).repartition(3)
+    before = shuffled()
+    increments.GrowingStore(spark, str(tmp_path / "g"), 4).append(triples)
+    assert shuffled() <= before
